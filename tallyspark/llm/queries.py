@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from .hnsw import op4_embedding_near_dedup
+from .lines import op1_line_dedup
 from .mixing import op10_mix_sources
 from .packing import op8_best_fit_packing
+from .qda import op7_quality_classifier
+from .quality import OP5_SQL, op5_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .tokens import op9_token_counts
+from .toxicity import op6_toxicity
+from .urls import OP2_SQL, op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_url_filters, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_quality_rules,
+        op6_toxicity, op7_quality_classifier, op8_best_fit_packing, op9_token_counts, op10_mix_sources,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL}
