@@ -30,7 +30,7 @@ TOKEN = re.compile(r"\S+")
 #: Within a word cut free of punctuation: padding, digits or signs beside letters.
 ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(*#.\-_~^]|[0-9@$!|+(*#.\-_~^].*[^\W\d_]")
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~^"
-SPACED = re.compile(r"(?<!\S)(?:[a-zA-Z0-9@$!|*][ .\-_]){2,}[a-zA-Z0-9@$!|*](?!\S)")
+SPACED = re.compile(r"(?<![^\W_])(?:[a-zA-Z0-9@$!|*][ .\-_]){2,}[a-zA-Z0-9@$|*](?![^\W_])")
 ADDRESS = re.compile(r"[@.].*\.|://|=|\d{4}|^[+(]?\d")
 PLAIN = re.compile(r"[^\W\d_]+")
 
