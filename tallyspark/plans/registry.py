@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .accounts import QUERIES as _A
+from .accounts import SQL as _AS
+from .detectors import QUERIES as _D
+from .detectors import SQL as _DS
+from .scalars import QUERIES as _F
+from .scalars import SQL as _FS
+
+QUERIES: dict = _F | _D | _A
+ORACLE_SQL: dict[str, str] = _FS | _DS | _AS
