@@ -6,8 +6,10 @@ from .accounts import QUERIES as _A
 from .accounts import SQL as _AS
 from .detectors import QUERIES as _D
 from .detectors import SQL as _DS
+from .extras import QUERIES as _X
+from .extras import SQL as _XS
 from .scalars import QUERIES as _F
 from .scalars import SQL as _FS
 
-QUERIES: dict = _F | _D | _A
-ORACLE_SQL: dict[str, str] = _FS | _DS | _AS
+QUERIES: dict = _F | _D | _A | _X
+ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS
