@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, local_forest, table
 
-#: Fingerprints of one trie leaf that a task joins; a fuller leaf is split while it is above ``HISTOGRAM_BITS`` deep.
-LEAF_ROWS = 16384
-#: The top of the trie is planned from a histogram of so many leading bits, which bounds it at 65,536 rows.
-HISTOGRAM_BITS = 16
 CHUNK = 1 << 16
 
 
@@ -49,60 +45,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} long, fp long")
 
 
-def plan_leaves(histogram: dict[int, int], leaf_rows: int) -> list[tuple[int, int]]:
-    """Leaves ``(depth, prefix)`` of the trie's top: a node splits while it holds more than ``leaf_rows``."""
-    import numpy as np
+def rotations(budget: int) -> list[tuple[int, int]]:
+    """``(rotation, top bits)`` for ``budget + 1`` blocks of the 64 bits.
 
-    total = np.zeros((1 << HISTOGRAM_BITS) + 1, np.int64)
-    for k, n in histogram.items():
-        total[k + 1] = n
-    total, leaves, todo = np.cumsum(total), [], [(0, 0)]
-    while todo:
-        depth, prefix = todo.pop()
-        below = HISTOGRAM_BITS - depth
-        rows = total[(prefix + 1) << below] - total[prefix << below]
-        if rows > leaf_rows and below:
-            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
-        elif rows:
-            leaves.append((depth, prefix))
-    return sorted(leaves, key=lambda x: x[1] << (64 - x[0]))
-
-
-def plan_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs of leaves ``i <= j`` whose shared depth differs in at most ``budget`` bits: the trie walked against itself."""
-    index, inner = {x: i for i, x in enumerate(leaves)}, set()
-    for depth, prefix in leaves:
-        inner |= {(depth - k, prefix >> k) for k in range(1, depth + 1)}
-    pairs: set[tuple[int, int]] = set()
-    todo = [((0, 0), (0, 0))] if leaves else []
-    kids = lambda x: [x] if x in index else [y for y in ((x[0] + 1, 2 * x[1]), (x[0] + 1, 2 * x[1] + 1)) if y in index or y in inner]
-    while todo:
-        x, y = todo.pop()
-        if x in index and y in index:
-            pairs.add(tuple(sorted((index[x], index[y]))))
-            continue
-        for p in kids(x):
-            for q in kids(y):
-                d = min(p[0], q[0])
-                differ = ((p[1] >> (p[0] - d)) ^ (q[1] >> (q[0] - d))).bit_count()
-                if differ <= budget and not (x == y and p > q):
-                    todo.append((p, q))
-    return sorted(pairs)
+    Two fingerprints within the budget agree on a whole block, so rotated by its start they share a trie node as
+    deep as the block is long.
+    """
+    cuts = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False)]
 
 
-def trie_links(a, b, budget: int, same: bool, most: int = 1 << 18):
+def trie_links(a, b, budget: int, same: bool, most: int = 1 << 18, top: int = 0):
     """Index pairs ``(i of a, j of b)`` at ``budget`` or fewer differing bits, in chunks; ``a`` and ``b`` are sorted uint64.
 
     Node pairs are walked level by level with the bits they already differ in; a pair over the budget or with an
     empty side is dropped. Small node pairs are finished by comparing their members. ``same`` joins a set with
-    itself and gives each pair once.
+    itself and gives each pair once. With ``top`` the walk starts at the pairs of equal nodes ``top`` bits deep.
     """
     import numpy as np
 
     if not len(a) or not len(b):
         return
     one = np.uint64(1)
-    todo = [(0, *(np.array([x], np.int64) for x in (0, len(a), 0, len(b))), np.zeros(1, np.int64))]
+    low = np.array([0], np.int64), np.array([len(a)], np.int64), np.array([0], np.int64), np.array([len(b)], np.int64)
+    if top:
+        nodes, begin = np.unique(a >> np.uint64(64 - top), return_index=True)
+        end = np.append(begin[1:], len(a))
+        other = b >> np.uint64(64 - top)
+        low = begin, end, np.searchsorted(other, nodes), np.searchsorted(other, nodes, side="right")
+        some = (low[3] > low[2]) & ((end - begin > 1) | (not same))
+        low = tuple(x[some].astype(np.int64) for x in low)
+    todo = [(top, *low, np.zeros(len(low[0]), np.int64))]
     while todo:
         depth, al, ah, bl, bh, spent = todo.pop()
         if len(al) > most:
@@ -126,9 +99,9 @@ def trie_links(a, b, budget: int, same: bool, most: int = 1 << 18):
         if not len(al):
             continue
         bit = one << np.uint64(63 - depth)
-        top = ~((bit << one) - one) if depth else np.uint64(0)
-        am = np.clip(np.searchsorted(a, (a[al] & top) | bit), al, ah)
-        bm = np.clip(np.searchsorted(b, (b[bl] & top) | bit), bl, bh)
+        above = ~((bit << one) - one) if depth else np.uint64(0)
+        am = np.clip(np.searchsorted(a, (a[al] & above) | bit), al, ah)
+        bm = np.clip(np.searchsorted(b, (b[bl] & above) | bit), bl, bh)
         parts = [(al, am, bl, bm, spent), (am, ah, bm, bh, spent), (al, am, bm, bh, spent + 1), (am, ah, bl, bm, spent + 1)]
         if same:  # of two mirrored node pairs the one with the larger left side is dropped
             mirror = (al == bl) & (ah == bh)
@@ -139,61 +112,67 @@ def trie_links(a, b, budget: int, same: bool, most: int = 1 << 18):
             todo.append((depth + 1, *(x[keep] for x in grown)))
 
 
-def link_components(fps: DataFrame, budget: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``(fp, component_id)`` for the distinct fingerprints of a written ``(id, fp)`` table.
+def hamming_forest(reps: DataFrame, budget: int) -> DataFrame:
+    """``(a, b)``: a spanning forest, per task, of the links within the budget between rows of ``reps(fp, rep)``.
 
-    Copies meet first: one row per fingerprint with its smallest id. Each fingerprint then goes to the tasks of
-    the leaf pairs within the budget, a task walks its two subtries, unites what it links and returns a spanning
-    forest, and the forests are united. Every link within the budget is found.
+    Each fingerprint goes, once per rotation, to the task that holds its node at the rotation's depth. A task
+    walks the tries below its nodes against themselves, a run of nodes at a time, and unites what it links.
+    Every link within the budget joins its two ends in the united forests. Fingerprints must be distinct; a task
+    holds 16 bytes for each of a node. Rows with a null ``rep`` are left out.
     """
     import numpy as np
     import pandas as pd
 
-    spark = fps.sparkSession
-    ident = fps.columns[0]
-    reps = cut(fps.groupBy("fp").agg(F.min(ident).alias("rep")))
-    top = F.shiftrightunsigned("fp", 64 - HISTOGRAM_BITS)
-    leaves = plan_leaves({r[0]: r[1] for r in reps.groupBy(top.alias("k")).count().collect()}, leaf_rows)
-    pairs = plan_pairs(leaves, budget)
-    of_leaf: dict[int, list[int]] = {i: [] for i in range(len(leaves))}
-    for k, (i, j) in enumerate(pairs):
-        for x in {i, j}:
-            of_leaf[x].append(k)
-    first = np.array([p << (64 - d) if d else 0 for d, p in leaves], dtype=np.uint64)
-
-    def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            leaf = np.searchsorted(first, pdf["fp"].to_numpy().astype(np.int64).view(np.uint64), side="right") - 1
-            count = np.array([len(of_leaf[x]) for x in leaf.tolist()], dtype=np.int64)
-            out = pdf.loc[pdf.index.repeat(count)]
-            out = out.assign(pair=np.concatenate([of_leaf[x] for x in leaf.tolist()]).astype(np.int64) if len(leaf) else [], leaf=np.repeat(leaf, count))
-            yield out[["pair", "leaf", "fp", "rep"]]
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pairs[int(pdf["pair"].iloc[0])]
-        pdf = pdf.assign(u=pdf["fp"].to_numpy().view(np.uint64)).sort_values("u", kind="stable")
-        if i == j:
-            value, rep, cutoff = pdf["u"].to_numpy(), pdf["rep"].to_numpy(), 0
-            links = trie_links(value, value, budget, True)
-        else:
-            a, b = pdf[pdf["leaf"] == i], pdf[pdf["leaf"] == j]
-            rep, cutoff = np.concatenate([a["rep"].to_numpy(), b["rep"].to_numpy()]), len(a)
-            links = ((x, y + cutoff) for x, y in trie_links(a["u"].to_numpy(), b["u"].to_numpy(), budget, False))
-        label = local_forest(len(rep), links)
+    turns = rotations(budget)
+    depth = [d for _, d in turns]
+    turned = lambda r: F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)) if r else F.col("fp")
+    node = lambda r, d: F.shiftrightunsigned(turned(r), 64 - d)
+    copies = F.array(*(F.struct(F.lit(k).alias("turn"), node(r, d).alias("node"), turned(r).alias("bits")) for k, (r, d) in enumerate(turns)))
+    routed = reps.where("rep is not null").select("rep", F.explode(copies).alias("c")).select("c.turn", "c.node", "c.bits", "rep").repartition("turn", "node").sortWithinPartitions("turn", "node", "bits")
+
+    def walk(turn: int, bits: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+        bits = bits.view(np.uint64)
+        order = np.argsort(bits, kind="stable")
+        bits, rep = bits[order], rep[order]
+        label = local_forest(len(rep), trie_links(bits, bits, budget, True, top=depth[turn]))
         own = np.flatnonzero(label != np.arange(len(rep)))
         return pd.DataFrame({"a": rep[own], "b": rep[label[own]]})
 
-    with_id = reps.where("rep is not null")
-    if pairs:
-        routed = with_id.select("fp", "rep").mapInPandas(route, "pair long, leaf long, fp long, rep long")
-        edges = routed.groupBy("pair").applyInPandas(join, "a long, b long")
-        roots = components(edges)
-    else:
-        roots = spark.createDataFrame([], "node long, component long")
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the rows of a node that may go on in the next part
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            last = (pdf["turn"] == pdf["turn"].iloc[-1]) & (pdf["node"] == pdf["node"].iloc[-1])
+            if last.all() and held and tuple(held[-1].iloc[-1][["turn", "node"]]) == tuple(pdf.iloc[-1][["turn", "node"]]):
+                held.append(pdf)
+                continue
+            done = pd.concat([*held, pdf[~last]])
+            held = [pdf[last]]
+            first = tuple(held[0].iloc[0][["turn", "node"]])
+            more = (done["turn"] == first[0]) & (done["node"] == first[1])
+            if more.any():
+                held.insert(0, done[more])
+                done = done[~more]
+            for turn, rows in done.groupby("turn"):
+                yield walk(int(turn), rows["bits"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64))
+        for turn, rows in pd.concat(held).groupby("turn") if held else ():
+            yield walk(int(turn), rows["bits"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64))
+
+    return routed.mapInPandas(join, "a long, b long")
+
+
+def link_components(fps: DataFrame, budget: int = 2) -> DataFrame:
+    """``(fp, component_id)`` for the distinct fingerprints of a written ``(id, fp)`` table.
+
+    Copies meet first: one row per fingerprint with its smallest id, however many copies a text has.
+    """
+    reps = cut(fps.groupBy("fp").agg(F.min(fps.columns[0]).alias("rep")))
+    roots = components(hamming_forest(reps, budget))
     return cut(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, budget: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, budget: int = 2) -> DataFrame:
     """``(id_col, fingerprint hex, component_id)`` for every row of ``docs``.
 
     Null, empty and blank texts have fingerprint zero, which links like any other. Long texts are read whole.
@@ -202,7 +181,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their names. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
-    comp = link_components(fps, budget, leaf_rows)
+    comp = link_components(fps, budget)
     return fps.join(comp, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

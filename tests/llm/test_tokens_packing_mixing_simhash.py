@@ -60,11 +60,13 @@ def brute_components(ids, linked):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("leaf_rows", [4, 16384])
-def test_simhash_matches_brute_force(docs, leaf_rows):
+@pytest.mark.parametrize("rows", ["3", "10000"])
+def test_simhash_matches_brute_force(spark, docs, rows):
     fps = {i: brute_fingerprint(t) for i, t in texts(docs)}
     want = brute_components(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 2])
-    got = simhash.simhash_components(docs, leaf_rows=leaf_rows).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    got = simhash.simhash_components(docs).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
@@ -76,6 +78,10 @@ def test_trie_walk_finds_every_pair():
     want = {(i, j) for i, j in itertools.combinations(range(len(a)), 2) if (int(a[i]) ^ int(a[j])).bit_count() <= 2}
     got = [p for i, j in simhash.trie_links(a, a, 2, True, most=64) for p in zip(i.tolist(), j.tolist())]
     assert len(got) == len(set(got)) and set(got) == want
+    for turn, top in simhash.rotations(2):
+        r = np.sort(a << np.uint64(turn) | a >> np.uint64(64 - turn)) if turn else a
+        got = {p for i, j in simhash.trie_links(r, r, 2, True, top=top) for p in zip(i.tolist(), j.tolist())}
+        assert got == {(i, j) for i, j in itertools.combinations(range(len(r)), 2) if (int(r[i]) ^ int(r[j])).bit_count() <= 2 and int(r[i]) >> (64 - top) == int(r[j]) >> (64 - top)}
     b = a[::3]
     got = {p for i, j in simhash.trie_links(b, a, 2, False) for p in zip(i.tolist(), j.tolist())}
     assert got == {(i, j) for i in range(len(b)) for j in range(len(a)) if (int(b[i]) ^ int(a[j])).bit_count() <= 2}
