@@ -3,37 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, small, table
+from .simhash import hamming_forest, rotations
 
 #: Normalisation: A-Z (and what ``str.lower`` lowers) in lower case, digits as 0, other ASCII punctuation as space.
 NORMAL = bytes(48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
 MIN_WORDS = 5
 MAX_BITS = 3
-BLOCKS, AGREE = 5, 2
 SIMILARITY = 0.8
 
 
-def block_masks(bits: int = 64, blocks: int = BLOCKS, agree: int = AGREE) -> list[int]:
-    """Masks of every choice of ``agree`` of the blocks. Two fingerprints that differ in at most
-    ``blocks - agree`` bits are equal under one of them."""
-    cuts = [bits * k // blocks for k in range(blocks + 1)]
-    each = [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(each, agree)]
-
-
 def normal_words(line: str) -> list[bytes]:
     return line.lower().encode("utf-8", "replace").translate(NORMAL).split()
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line, norm, sim, words)`` for each line with ``min_words`` or more normal words.
+    """``(id, line, kind, sim, words)`` for each line with ``min_words`` or more normal words.
 
-    ``norm`` hashes the normal line, ``sim`` is the SimHash of its words. Lines are numbered from 0.
+    ``kind`` hashes the normal line, ``sim`` is the SimHash of its words. Lines are numbered from 0.
     """
     import numpy as np
     import pyarrow as pa
@@ -56,9 +47,9 @@ def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
                             sizes.append(len(words))
                             hashes += map(hash_of, words)
                 sims = simhashes(np.array(hashes, dtype="<u8"), np.array(sizes, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(np.array(norms, dtype=np.uint64).view(np.int64)), pa.array(sims.view(np.int64)), pa.array(sizes, pa.int32())], names=[id_col, "line", "norm", "sim", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(np.array(norms, dtype=np.uint64).view(np.int64)), pa.array(sims.view(np.int64)), pa.array(sizes, pa.int32())], names=[id_col, "line", "kind", "sim", "words"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, line int, norm long, sim long, words int")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, line int, kind long, sim long, words int")
 
 
 KEEP_BREAKS = NORMAL[:10] + b"\n" + NORMAL[11:]
@@ -113,28 +104,10 @@ def similar(a: list, b: list, least: float) -> bool:
     return not longest or edit_distance(a, b) <= (1 - least) * longest + 1e-9
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(lines, gone)``: all lines looked at, and ``(id, line)`` of those that an earlier line of their group stands for.
-
-    1. Equal normal lines meet in one row with their first place (smallest id, then line).
-    2. Those rows meet on every choice of pigeonhole blocks; at ``max_bits`` or fewer differing bits and a length
-       that allows the similarity they are candidates. Each candidate pair is compared once.
-    3. Candidates' texts are fetched and their edit similarity over words is verified.
-    4. Verified pairs are united; the group's first place keeps its line.
-    """
+def verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``(a, b, same)`` for pairs of kinds: whether the edit similarity over words of their first lines reaches ``similarity``."""
     import pyarrow as pa
 
-    if BLOCKS - AGREE < max_bits:
-        raise ValueError(f"{BLOCKS} blocks of which {AGREE} agree find at most {BLOCKS - AGREE} differing bits")
-    lines = cut(lines_of(docs.where(F.col(id_col).isNotNull()), min_words, id_col, text_col))
-    kinds = cut(lines.groupBy("norm", "sim", "words").agg(F.min(F.struct(id_col, "line")).alias("first")).select(F.xxhash64("norm", "sim", "words").alias("kind"), "norm", "sim", "words", F.col(f"first.{id_col}").alias("fid"), F.col("first.line").alias("fline")))
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [F.struct(F.lit(k).alias("m"), F.col("sim").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(block_masks())]
-    keyed = kinds.select("kind", "sim", "words", F.explode(F.array(*masks)).alias("b")).select("kind", "sim", "words", "b.m", "b.key")
-    other = keyed.select(*(F.col(c).alias(f"o_{c}") for c in keyed.columns))
-    near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("o_sim"))) <= max_bits) & (F.least("words", "o_words") >= F.greatest("words", "o_words") * similarity)
-    pairs = cut(keyed.join(other, (F.col("m") == F.col("o_m")) & (F.col("key") == F.col("o_key")) & (F.col("kind") < F.col("o_kind")) & near).select(F.col("kind").alias("a"), F.col("o_kind").alias("b")).distinct())
-
     asked = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct().join(kinds.select("kind", "fid", "fline"), "kind")
     asked = cut(asked.groupBy(F.col("fid").alias("__fid")).agg(F.collect_list(F.struct("fline", "kind")).alias("asked")))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t")).join(small(asked, 64), F.col("__id") == F.col("__fid"))
@@ -144,16 +117,52 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int =
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = [similar(normal_words(p), normal_words(q), similarity) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in x.columns[:2]], names=["a", "b"])
+            same = [similar(normal_words(p), normal_words(q), similarity) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*x.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     left, right = (texts.select(F.col("kind").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    linked = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(verify, "a long, b long")
-    groups = components(linked)
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(verify, "a long, b long, same boolean"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(lines, gone)``: all lines looked at, and ``(id, line)`` of those that an earlier line of their group stands for.
+
+    1. Equal normal lines meet in one kind with their first place (smallest id, then line).
+    2. Kinds meet on pigeonhole blocks of their SimHashes; inside a block those at ``max_bits`` or fewer differing
+       bits are linked, and a spanning forest of the links is returned, not all pairs of a group.
+    3. The forest's texts are fetched and their edit similarity over words is verified.
+    4. A link that fails leaves its two sides apart, though another pair between them may pass. So in clusters
+       with a failed link, all linked pairs whose sides are still apart are verified too. Then every verified pair
+       lies inside one group, as if all linked pairs had been compared.
+    5. The group's first place keeps its line.
+    """
+    lines = cut(lines_of(docs.where(F.col(id_col).isNotNull()), min_words, id_col, text_col))
+    kinds = cut(lines.groupBy("kind").agg(F.min("sim").alias("sim"), F.count("*").alias("places"), F.min(F.struct(id_col, "line")).alias("first")).select("kind", "sim", "places", F.col(f"first.{id_col}").alias("fid"), F.col("first.line").alias("fline")))
+    reps = cut(kinds.groupBy("sim").agg(F.min("kind").alias("rep")).select(F.col("sim").alias("fp"), "rep"))
+    equal = kinds.join(reps, kinds["sim"] == reps["fp"]).where("kind <> rep").select(F.col("kind").alias("a"), F.col("rep").alias("b"))
+    forest = cut(hamming_forest(reps, max_bits).unionByName(equal))
+    found = verified(forest, kinds, docs, similarity, id_col, text_col)
+    passed = found.where("same").select("a", "b")
+    groups = cut(components(passed))
+    failed = cut(found.where("NOT same").select("a", "b"))
+    if failed.count():
+        clusters = components(forest)
+        torn = failed.join(clusters, failed["a"] == clusters["node"]).select(F.col("component").alias("cluster")).distinct()
+        apart = clusters.join(torn, clusters["component"] == torn["cluster"], "left_semi").join(kinds.select("kind", "sim"), F.col("node") == F.col("kind"))
+        apart = cut(apart.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g")), F.col("node") == F.col("g_node"), "left").select("kind", "sim", F.col("component").alias("cluster"), F.coalesce("g", "kind").alias("g")))
+        blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.shiftrightunsigned(F.shiftleft("sim", r), 64 - d).alias("key")) for k, (r, d) in enumerate(rotations(max_bits))))).alias("b")
+        keyed = apart.select("kind", "sim", "cluster", "g", blocks).select("kind", "sim", "cluster", "g", "b.m", "b.key")
+        x, y = keyed.alias("x"), keyed.alias("y")
+        on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("cluster", "m", "key")]
+        near = (F.col("x.g") != F.col("y.g")) & (F.col("x.kind") < F.col("y.kind")) & (F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= max_bits)
+        more = cut(x.join(y, [*on, near]).select(F.col("x.kind").alias("a"), F.col("y.kind").alias("b")).distinct())
+        again = verified(more, kinds, docs, similarity, id_col, text_col).where("same").select("a", "b")
+        groups = cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)))
     grouped = kinds.join(groups, kinds["kind"] == groups["node"], "left").withColumn("g", F.coalesce("component", "kind"))
-    firsts = grouped.groupBy("g").agg(F.min(F.struct("fid", "fline")).alias("keep"))
-    grouped = cut(grouped.join(firsts, "g").select("norm", "sim", "words", F.col("keep.fid").alias("kid"), F.col("keep.fline").alias("kline")))
-    gone = lines.join(grouped, ["norm", "sim", "words"]).where((F.col(id_col) != F.col("kid")) | (F.col("line") != F.col("kline"))).select(id_col, "line")
+    firsts = grouped.where("component is not null").groupBy("g").agg(F.min(F.struct("fid", "fline")).alias("keep"))
+    grouped = grouped.join(firsts, "g", "left").withColumn("keep", F.coalesce("keep", F.struct("fid", "fline"))).where("places > 1 OR keep.fid <> fid OR keep.fline <> fline")
+    grouped = cut(grouped.select(F.col("kind").alias("__kind"), F.col("keep.fid").alias("kid"), F.col("keep.fline").alias("kline")))
+    gone = lines.select(id_col, "line", "kind").join(small(grouped, 32), F.col("kind") == F.col("__kind")).where((F.col(id_col) != F.col("kid")) | (F.col("line") != F.col("kline"))).select(id_col, "line")
     return lines, cut(gone.distinct())
 
 

@@ -38,11 +38,6 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == levenshtein(a, b)
 
 
-def test_block_masks_cover_three_bits():
-    masks = lines.block_masks()
-    assert all(any(not sum(1 << b for b in c) & m for m in masks) for c in itertools.combinations(range(64), 3))
-
-
 def brute_lines(rows):
     """Kept lines by comparing all pairs of distinct normal lines."""
     seen, at = {}, {}
@@ -71,6 +66,9 @@ def test_line_dedup_matches_brute_force(spark, docs, odd):
     near = [b.replace("w60 ", "changed ", 1) for b in base]
     extra = [(1000 + k, t + "\nshort line\nUnique words stand in this line %d times" % k, "en", "s", 0, None, None, None) for k, t in enumerate([*base, *near, base[0].upper()])]
     both = odd.unionByName(spark.createDataFrame(extra, SCHEMA))
+    words = [f"v{j}" for j in range(200)]
+    torn = [(2000 + k, " ".join(w), "en", "s", 0, None, None, None) for k, w in enumerate([words, words[::-1], words[:60] + words[61:] + words[60:61], words[::-1][:-1] + ["v199"]])]
+    both = both.unionByName(spark.createDataFrame(torn, SCHEMA))
     for table in (docs, both):
         rows = [(r[0], r[1]) for r in table.select("doc_id", "text").collect()]
         out = lines.dedup_lines(table)
