@@ -331,3 +331,15 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM e),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON r.vec_id = l.a),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, CAST((SELECT count(*) FROM l WHERE l.a = c.vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""

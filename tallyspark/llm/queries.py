@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .hnsw import op4_embedding_near_dedup
+from .hnsw import OP4_SQL, op4_embedding_near_dedup
 from .lines import op1_line_dedup
 from .mixing import op10_mix_sources
 from .packing import op8_best_fit_packing
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
