@@ -56,23 +56,24 @@ def components(edges: DataFrame) -> DataFrame:
     """
     canon = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(canon(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))))
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    seen = mark(now)
-    while seen[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         now = cut(pairs.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
-        after = mark(now)
-        if after == seen:
-            break
-        seen = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none: then the edges are the components."""
+    roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("top")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("top")))
+    per = roles.groupBy("n").agg(F.sum("down").alias("down"), F.max("top").alias("top"))
+    return not per.where("down > 1 OR (down > 0 AND top > 0)").limit(1).count()
+
+
 def local_forest(n: int, chunks) -> "numpy.ndarray":  # noqa: F821
     """Labels of ``n`` local nodes after uniting every ``(i, j)`` index pair of ``chunks``; the label is the smallest index."""
     import numpy as np
