@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, local_forest, table
 
 CHUNK = 1 << 16
+SQUARE = 512
 
 
 def fingerprint(text: str | None, shingle_words: int) -> int:
@@ -82,12 +83,21 @@ def trie_links(a, b, budget: int, same: bool, most: int = 1 << 18, top: int = 0)
             todo += [(depth, *(x[k : k + most] for x in (al, ah, bl, bh, spent))) for k in range(0, len(al), most)]
             continue
         product = (ah - al) * (bh - bl)
+        if depth == 64:  # equal members: large nodes are compared in squares
+            for k in np.flatnonzero(product > most).tolist():
+                for x in range(al[k], ah[k], SQUARE):
+                    for y in range(max(bl[k], x) if same else bl[k], bh[k], SQUARE):
+                        i, j = (v.ravel() for v in np.meshgrid(np.arange(x, min(x + SQUARE, ah[k])), np.arange(y, min(y + SQUARE, bh[k])), indexing="ij"))
+                        yield (i[i < j], j[i < j]) if same else (i, j)
+            al, ah, bl, bh, spent = (x[product <= most] for x in (al, ah, bl, bh, spent))
+            product = product[product <= most]
         done = (product <= 32) | (depth == 64)
         if done.any():
             x0, x1, y0, y1 = al[done], ah[done], bl[done], bh[done]
             width, size = y1 - y0, (x1 - x0) * (y1 - y0)
-            for s in range(0, len(size), most // 8):
-                e = min(s + most // 8, len(size))
+            step = most // 8 if depth < 64 else 4
+            for s in range(0, len(size), step):
+                e = min(s + step, len(size))
                 n = size[s:e]
                 at = np.repeat(np.arange(s, e), n)
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -112,13 +122,15 @@ def trie_links(a, b, budget: int, same: bool, most: int = 1 << 18, top: int = 0)
             todo.append((depth + 1, *(x[keep] for x in grown)))
 
 
-def hamming_forest(reps: DataFrame, budget: int) -> DataFrame:
+def hamming_forest(reps: DataFrame, budget: int, test=None, columns: tuple[str, ...] = ()) -> DataFrame:
     """``(a, b)``: a spanning forest, per task, of the links within the budget between rows of ``reps(fp, rep)``.
 
+    ``test(values, i, j)`` may refuse pairs by further ``columns`` of long values.
+
     Each fingerprint goes, once per rotation, to the task that holds its node at the rotation's depth. A task
     walks the tries below its nodes against themselves, a run of nodes at a time, and unites what it links.
-    Every link within the budget joins its two ends in the united forests. Fingerprints must be distinct; a task
-    holds 16 bytes for each of a node. Rows with a null ``rep`` are left out.
+    Every link within the budget joins its two ends in the united forests. A task holds 16 bytes and the further
+    columns for each row of a node. Rows with a null ``rep`` are left out.
     """
     import numpy as np
     import pandas as pd
@@ -128,13 +140,17 @@ def hamming_forest(reps: DataFrame, budget: int) -> DataFrame:
     turned = lambda r: F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)) if r else F.col("fp")
     node = lambda r, d: F.shiftrightunsigned(turned(r), 64 - d)
     copies = F.array(*(F.struct(F.lit(k).alias("turn"), node(r, d).alias("node"), turned(r).alias("bits")) for k, (r, d) in enumerate(turns)))
-    routed = reps.where("rep is not null").select("rep", F.explode(copies).alias("c")).select("c.turn", "c.node", "c.bits", "rep").repartition("turn", "node").sortWithinPartitions("turn", "node", "bits")
+    routed = reps.where("rep is not null").select("rep", *(F.col(c).cast("long").alias(c) for c in columns), F.explode(copies).alias("c")).select("c.turn", "c.node", "c.bits", "rep", *columns).repartition("turn", "node").sortWithinPartitions("turn", "node", "bits")
 
-    def walk(turn: int, bits: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
-        bits = bits.view(np.uint64)
+    def walk(turn: int, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = rows["bits"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(bits, kind="stable")
-        bits, rep = bits[order], rep[order]
-        label = local_forest(len(rep), trie_links(bits, bits, budget, True, top=depth[turn]))
+        bits, rep = bits[order], rows["rep"].to_numpy(np.int64)[order]
+        values = {c: rows[c].to_numpy(np.int64)[order] for c in columns}
+        links = trie_links(bits, bits, budget, True, top=depth[turn])
+        if test:
+            links = ((i[ok], j[ok]) for i, j in links for ok in (test(values, i, j),))
+        label = local_forest(len(rep), links)
         own = np.flatnonzero(label != np.arange(len(rep)))
         return pd.DataFrame({"a": rep[own], "b": rep[label[own]]})
 
@@ -155,9 +171,9 @@ def hamming_forest(reps: DataFrame, budget: int) -> DataFrame:
                 held.insert(0, done[more])
                 done = done[~more]
             for turn, rows in done.groupby("turn"):
-                yield walk(int(turn), rows["bits"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64))
+                yield walk(int(turn), rows)
         for turn, rows in pd.concat(held).groupby("turn") if held else ():
-            yield walk(int(turn), rows["bits"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64))
+            yield walk(int(turn), rows)
 
     return routed.mapInPandas(join, "a long, b long")
 

@@ -224,3 +224,9 @@ def test_mixed_documents_hold_the_words_taken(spark, docs, odd):
         assert n >= want - 1 and (table is odd or n == want)
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_counts(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_trie_walk_with_equal_members():
+    a = np.sort(np.array([7] * 1500 + [8] * 3 + [15], dtype=np.uint64))
+    got = [p for i, j in simhash.trie_links(a, a, 1, True, most=1000) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) == 1500 * 1499 // 2 + 3 + 1500
