@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from .detect import end_of_day, fx_text
 
-ACCOUNT_MONTH = Window.partitionBy("account_no").orderBy("month")
-BEFORE = ACCOUNT_MONTH.rowsBetween(Window.unboundedPreceding, -1)
+
+def account_month():
+    return Window.partitionBy("account_no").orderBy("month")
 
 
 def dbl(c):
@@ -34,8 +35,8 @@ def monthly(tx: DataFrame) -> DataFrame:
         dbl(F.max_by(F.when(F.col("balance").isNotNull(), F.col("balance")), F.when(F.col("balance").isNotNull(), F.struct("dt", "row_order")))).alias("closing"),
         dbl(F.min("balance")).alias("lowest"), dbl(F.max("balance")).alias("highest"),
     )
-    first = F.row_number().over(ACCOUNT_MONTH) == 1
-    out = agg.withColumn("opening", F.when(first, F.col("first_opening")).otherwise(F.last("closing", ignorenulls=True).over(BEFORE)))
+    first = F.row_number().over(account_month()) == 1
+    out = agg.withColumn("opening", F.when(first, F.col("first_opening")).otherwise(F.last("closing", ignorenulls=True).over(account_month().rowsBetween(Window.unboundedPreceding, -1))))
     return out.withColumn("swing", F.col("highest") - F.col("lowest")).drop("first_opening")
 
 
@@ -183,8 +184,8 @@ def ui_months(tx: DataFrame) -> DataFrame:
 def balance_chain(tx: DataFrame) -> DataFrame:
     """closing_n = first opening + net_1 + ... + net_n and opening_n = closing_{n-1}, per account."""
     m = tx.groupBy("account_no", "month").agg((F.sum("credit") - F.sum("debit")).alias("net"), F.min_by(F.col("balance") - F.col("credit") + F.col("debit"), F.struct("dt", "row_order")).alias("back"))
-    start = F.coalesce(F.first("back").over(ACCOUNT_MONTH), F.lit(0))
-    out = m.withColumn("start", start).withColumn("run", F.sum("net").over(ACCOUNT_MONTH.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.coalesce(F.first("back").over(account_month()), F.lit(0))
+    out = m.withColumn("start", start).withColumn("run", F.sum("net").over(account_month().rowsBetween(Window.unboundedPreceding, 0)))
     return out.select("account_no", "month", dbl(F.col("start") + F.col("run") - F.col("net")).alias("opening"), dbl("net").alias("net"), dbl(F.col("start") + F.col("run")).alias("closing"))
 
 
