@@ -14,8 +14,12 @@ SHARD_ROWS, LEAST_SHARDS = 1 << 16, 6
 #: Links of a node on upper layers and on the ground layer, beam width of building and first one of asking.
 LINKS, GROUND_LINKS, BUILD_BEAM, ASK_BEAM = 12, 24, 48, 48
 BATCH = 256
+#: Further links of a ground node to what would be cut off.
+BRIDGES = 4
 #: Queries of an audit, against every vector of the shard, and the share of true links they must find.
 AUDIT, RECALL = 128, 0.99
+#: Pairs of shards are dealt to so many tasks at most.
+MOST_TASKS = 20_000
 
 
 class Graph:
@@ -45,8 +49,36 @@ class Graph:
             to = min(n, at + min(max(at, 1), BATCH))
             self._insert(np.arange(at, to), at)
             at = to
+        self._bridge()
         return self
 
+    def _bridge(self) -> None:
+        """Link what cannot be reached from the entry on the ground layer to its nearest reachable node, one way in."""
+        import numpy as np
+
+        n = len(self.v)
+        extra = np.full((n, BRIDGES), -1, np.int32)
+        links = np.concatenate([self.links[0], extra], 1)
+        reached, front = np.zeros(n, bool), np.array([0] if n else [], np.int64)
+        used = np.zeros(n, int)
+        while True:
+            while len(front):
+                reached[front] = True
+                near = np.unique(links[front])
+                near = near[near >= 0]
+                front = near[~reached[near]]
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                break
+            home = np.flatnonzero(reached & (used < BRIDGES))
+            sims = self.v[lost[:BATCH]] @ self.v[home].T
+            k = int(sims.max(1).argmax())
+            node, at = int(lost[k]), int(home[sims[k].argmax()])
+            links[at, -BRIDGES + used[at]] = node
+            used[at] += 1
+            front = np.array([node])
+        self.links[0] = links
+
     def _layer(self, k: int, known: int) -> int:
         return min(self.sizes[k], known)
 
@@ -183,7 +215,11 @@ class Graph:
 
         n = len(self.v)
         out: list[tuple] = []
-        for s in range(0, len(q), BATCH):
+        if 4 * width >= n:  # a beam this wide sees most of the shard: look at all of it
+            for s in range(0, len(q), BATCH):
+                r, c = np.nonzero(q[s : s + BATCH] @ self.v.T >= least)
+                out.append((r + s, self.order[c]))
+        for s in range(0, len(q) if 4 * width < n else 0, BATCH):
             rows, beam = np.arange(s, min(s + BATCH, len(q))), min(width, n)
             while len(rows):
                 entry = np.zeros((len(rows), 1), np.int64)
@@ -222,8 +258,8 @@ class Graph:
 def audited(graph: Graph, vectors, queries, least: float):
     """Pairs found by asking the graph with ``queries`` (both double), the beam widened until the audit passes.
 
-    The audit compares queries spread evenly over the block with every vector of the shard. At a beam as wide as
-    the shard the search is exhaustive, so it ends.
+    The audit compares queries spread evenly over the block with every vector of the shard. At a beam of a quarter
+    of the shard the search looks at every vector, so it ends.
     """
     import numpy as np
 
@@ -235,7 +271,7 @@ def audited(graph: Graph, vectors, queries, least: float):
         r, c = graph.ask(q32[probe], width, least - 1e-5)
         hit = np.zeros_like(truth)
         hit[r, c] = True
-        if truth.sum() == 0 or (hit & truth).sum() >= RECALL * truth.sum() or width >= len(vectors):
+        if truth.sum() == 0 or (hit & truth).sum() >= RECALL * truth.sum() or 4 * width >= len(vectors):
             break
         width *= 2
     i, j = graph.ask(q32, width, least - 1e-5)
@@ -317,7 +353,7 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
                 keep = own | (links > 0)
                 yield pd.DataFrame({"a": names[keep], "b": names[label[keep]], "n": links[keep]})
 
-    asked = asks.join(told, ["dim", "shard"]).repartition(F.col("dim"), F.col("i"), F.col("shard"))
+    asked = asks.join(told, ["dim", "shard"]).repartition(min(sum(n * (n + 1) // 2 for n in shards.values()), MOST_TASKS))
     links = cut(asked.mapInPandas(search, "a long, b long, n long"))
     roots = components(links.where("a <> b").select("a", "b"))
     named = nodes.select("node", "rep", "copies").join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("component", "node"))
