@@ -7,10 +7,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_forest, table
+from .bands import band_keys, banded_groups
+from .common import components, cut, local_forest, small, table
 
 CHUNK = 1 << 16
 SQUARE = 512
+#: The pipeline's stage: similarity of five-word shingle sets, bits that candidates may differ in, and MinHash bands.
+STAGE_JACCARD, STAGE_BITS = 0.8, 22
+BANDS, BAND_ROWS = 20, 5
 
 
 def fingerprint(text: str | None, shingle_words: int) -> int:
@@ -201,13 +205,78 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(comp, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_hashes(text: str | None, shingle_words: int):
+    """``(hash of the words, sorted distinct shingle hashes)`` of the A-Z-lower-cased text; zero and none for a blank one."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, np.array([], dtype="<u8")
+    n = max(len(words) - shingle_words + 1, 1)
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle_words]), 42) for k in range(n)], dtype="<u8")
+    return xxhash.xxh3_64_intdigest(b" ".join(words)), np.unique(hashes)
+
+
+def shingle_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """``(id, kind, sim, size, sketch)`` for every row: texts of equal words share a kind, ``size`` counts distinct shingles."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                y = b.slice(s, 256)
+                texts = y.column(1).to_pylist()
+                parts = [shingle_hashes(t, shingle_words) for t in texts]
+                sims = np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
+                kinds = np.array([k for k, _ in parts], dtype=np.uint64).view(np.int64)
+                sizes = np.array([len(h) for _, h in parts], dtype=np.int64)
+                runs = [h if len(h) else np.zeros(1, "<u8") for _, h in parts]
+                keys = band_keys(np.concatenate(runs) if runs else np.array([], "<u8"), np.maximum(sizes, 1), BAND_ROWS, BANDS)
+                yield pa.RecordBatch.from_arrays([y.column(0), pa.array(kinds), pa.array(sims), pa.array(sizes, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "kind", "sim", "size", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, kind long, sim long, size int, sketch binary")
+
+
+def jaccard_verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, shingle_words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``(a, b, same)`` for pairs of kinds: whether the Jaccard similarity of their shingle sets reaches ``least``."""
+    import pyarrow as pa
+
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct().join(kinds.select("kind", "rep_id"), "kind").select(F.col("rep_id").alias("__id")).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(small(asked, 16), F.col("id") == F.col("__id")).select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                parts = [shingle_hashes(t, shingle_words) for t in b.column(0).slice(s, 256).to_pylist()]
+                kind = [k - (1 << 64) if k >> 63 else k for k, _ in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array([h.view("<i8") for _, h in parts], pa.list_(pa.int64()))], names=["kind", "shingles"])
+
+    sets = cut(texts.mapInArrow(run, "kind long, shingles array<long>").dropDuplicates(["kind"]))
+    left, right = (sets.select(F.col("kind").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", (both >= least * (F.size("set_a") + F.size("set_b") - both) - 1e-9).alias("same")))
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS, least: float = STAGE_JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; all columns stay.
 
-    Rows that repeat an id share its fate, which the smallest of its components decides; rows without an id stay.
+    Components are of texts with a Jaccard similarity of ``least`` or more over word shingles. Candidates share a MinHash
+    band and differ in at most ``budget`` bits of their SimHashes; the similarity is verified on the texts. Blank texts
+    are copies of one another. Rows that repeat an id share its fate, which the smallest of its components decides;
+    rows without an id stay.
     """
-    comp = simhash_components(docs, id_col, text_col, shingle_words, budget)
-    gone = cut(comp.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("c")).where(F.col("c") != F.col(id_col)).select(F.col(id_col).alias("__gone")))
+    rows = cut(shingle_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle_words))
+    kinds = cut(rows.groupBy("kind").agg(F.min("id").alias("rep_id"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+    reps = kinds.where("size > 0").select(F.col("kind").alias("rep"), "sim", "size", "sketch")
+    groups = banded_groups(reps, lambda pairs: jaccard_verified(pairs, docs, kinds, shingle_words, least, id_col, text_col), BANDS, 0, budget, least)
+    linked = cut(kinds.select("kind", "rep_id").join(groups, F.col("kind") == F.col("node"), "left").select("kind", "rep_id", F.coalesce("component", "kind").alias("group")))
+    firsts = linked.groupBy("group").agg(F.min("rep_id").alias("first"))
+    of_kind = linked.join(firsts, "group").select("kind", "first")
+    gone = rows.select("id", "kind").distinct().join(of_kind, "kind").select("id", "first")
+    gone = gone.groupBy("id").agg(F.min("first").alias("first")).where("first <> id")
+    gone = cut(gone.select(F.col("id").alias("__gone")))
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
