@@ -1,4 +1,4 @@
-"""Operator 1: fuzzy line dedup by SimHash, pigeonhole blocks, edit similarity and connected groups."""
+"""Operator 1: fuzzy line dedup by MinHash bands, SimHash, edit similarity and connected groups."""
 
 from __future__ import annotations
 
@@ -7,14 +7,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, small, table
-from .simhash import hamming_forest, rotations
+from .bands import band_keys, banded_groups
+from .common import cut, small, table
 
 #: Normalisation: A-Z (and what ``str.lower`` lowers) in lower case, digits as 0, other ASCII punctuation as space.
 NORMAL = bytes(48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
 MIN_WORDS = 5
-MAX_BITS = 3
+MAX_BITS = 18
 SIMILARITY = 0.8
+#: Bands of so many minima over a line's words, and 64-bit words of its bag. At 0.8 by replaced words alone, the least
+#: overlap, two lines share a band with probability 0.985.
+BANDS, BAND_ROWS, BAGS = 12, 3, 4
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -22,9 +25,10 @@ def normal_words(line: str) -> list[bytes]:
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line, kind, sim, words, bag)`` for each line with ``min_words`` or more normal words.
+    """``(id, line, kind, sim, words, sketch)`` for each line with ``min_words`` or more normal words.
 
-    ``kind`` hashes the normal line, ``sim`` is the SimHash of its words, ``bag`` has a bit for each word. Lines are numbered from 0.
+    ``kind`` hashes the normal line, ``sim`` is the SimHash of its words, ``sketch`` has its band keys and a bag with a bit
+    for each word. Lines are numbered from 0.
     """
     import numpy as np
     import pyarrow as pa
@@ -48,16 +52,37 @@ def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
                             hashes += map(hash_of, words)
                 hashes, sizes = np.array(hashes, dtype="<u8"), np.array(sizes, dtype=np.int64)
                 sims = simhashes(hashes, sizes)
-                bits = np.left_shift(np.uint64(1), hashes >> np.uint64(58))
-                bags = np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes) if len(sizes) else bits
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(np.array(norms, dtype=np.uint64).view(np.int64)), pa.array(sims.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bags.view(np.int64))], names=[id_col, "line", "kind", "sim", "words", "bag"])
+                sketches = line_sketches(hashes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(np.array(norms, dtype=np.uint64).view(np.int64)), pa.array(sims.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=[id_col, "line", "kind", "sim", "words", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, line int, kind long, sim long, words int, bag long")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, line int, kind long, sim long, words int, sketch binary")
 
 
 KEEP_BREAKS = NORMAL[:10] + b"\n" + NORMAL[11:]
 
 
+def line_sketches(hashes, sizes) -> list[bytes]:
+    """Band keys and bags of each run of ``sizes`` word hashes; a word's second place in a line counts as another word."""
+    import numpy as np
+
+    if not len(sizes):
+        return []
+    start = np.cumsum(sizes) - sizes
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, run))
+    h, r = hashes[order], run[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]
+    first = np.flatnonzero(new)
+    place = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
+    h = (h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    keys = band_keys(h, sizes, BAND_ROWS, BANDS)
+    slot, bit = (h >> np.uint64(16)) % np.uint64(BAGS), np.left_shift(np.uint64(1), h & np.uint64(63))
+    bags = np.stack([np.bitwise_or.reduceat(np.where(slot == k, bit, np.uint64(0)), start) for k in range(BAGS)], axis=1)
+    rows = np.concatenate([keys.view(np.uint8).reshape(len(sizes), -1), np.ascontiguousarray(bags).view(np.uint8)], axis=1)
+    return [x.tobytes() for x in rows]
+
+
 def simhashes(hashes, sizes):
     """SimHash of each run of ``sizes`` word hashes; a bit is 1 if set in over half the words. Works in slices of words."""
     import numpy as np
@@ -107,21 +132,6 @@ def similar(a: list, b: list, least: float) -> bool:
     return not longest or edit_distance(a, b) <= (1 - least) * longest + 1e-9
 
 
-def possible(least: float):
-    """A test of pairs that every pair of the similarity passes: lengths that allow it, and few enough words of one line only.
-
-    An edit changes at most two bits of a bag of words, so bags differ in at most two bits for each allowed edit.
-    """
-    import numpy as np
-
-    def test(x: dict, i, j):
-        longest = np.maximum(x["words"][i], x["words"][j])
-        differ = np.bitwise_count(x["bag"][i].view(np.uint64) ^ x["bag"][j].view(np.uint64))
-        return (np.minimum(x["words"][i], x["words"][j]) >= longest * least - 1e-6) & (differ <= 2 * longest * (1 - least) + 1e-6)
-
-    return test
-
-
 def verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """``(a, b, same)`` for pairs of kinds: whether the edit similarity over words of their first lines reaches ``similarity``."""
     import pyarrow as pa
@@ -146,9 +156,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int =
     """``(lines, gone)``: all lines looked at, and ``(id, line)`` of those that an earlier line of their group stands for.
 
     1. Equal normal lines meet in one kind with their first place (smallest id, then line).
-    2. Kinds meet on pigeonhole blocks of their SimHashes; inside a block those at ``max_bits`` or fewer differing
-       bits whose lengths and bags of words allow the similarity are linked, and a spanning forest of the links is
-       returned, not all pairs of a group.
+    2. Kinds meet in MinHash bands of their words; those at ``max_bits`` or fewer differing bits of their SimHashes whose
+       lengths and bags of words allow the similarity are linked, and a spanning forest of the links is returned, not
+       all pairs of a group.
     3. The forest's texts are fetched and their edit similarity over words is verified.
     4. A link that fails leaves its two sides apart, though another pair between them may pass. So in clusters
        with a failed link, all linked pairs whose sides are still apart are verified too. Then every verified pair
@@ -156,27 +166,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int =
     5. The group's first place keeps its line.
     """
     lines = cut(lines_of(docs.where(F.col(id_col).isNotNull()), min_words, id_col, text_col))
-    kinds = cut(lines.groupBy("kind").agg(F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("bag").alias("bag"), F.count("*").alias("places"), F.min(F.struct(id_col, "line")).alias("first")).select("kind", "sim", "words", "bag", "places", F.col(f"first.{id_col}").alias("fid"), F.col("first.line").alias("fline")))
-    forest = cut(hamming_forest(kinds.select(F.col("sim").alias("fp"), F.col("kind").alias("rep"), "words", "bag"), max_bits, possible(similarity), ("words", "bag")))
-    found = verified(forest, kinds, docs, similarity, id_col, text_col)
-    passed = found.where("same").select("a", "b")
-    groups = cut(components(passed))
-    failed = cut(found.where("NOT same").select("a", "b"))
-    if failed.count():
-        clusters = components(forest)
-        torn = failed.join(clusters, failed["a"] == clusters["node"]).select(F.col("component").alias("cluster")).distinct()
-        apart = clusters.join(torn, clusters["component"] == torn["cluster"], "left_semi").join(kinds.select("kind", "sim", "words", "bag"), F.col("node") == F.col("kind"))
-        apart = cut(apart.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g")), F.col("node") == F.col("g_node"), "left").select("kind", "sim", "words", "bag", F.col("component").alias("cluster"), F.coalesce("g", "kind").alias("g")))
-        blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.shiftrightunsigned(F.shiftleft("sim", r), 64 - d).alias("key")) for k, (r, d) in enumerate(rotations(max_bits))))).alias("b")
-        keyed = apart.select("kind", "sim", "words", "bag", "cluster", "g", blocks).select("kind", "sim", "words", "bag", "cluster", "g", "b.m", "b.key")
-        x, y = keyed.alias("x"), keyed.alias("y")
-        on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("cluster", "m", "key")]
-        near = (F.col("x.g") != F.col("y.g")) & (F.col("x.kind") < F.col("y.kind")) & (F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= max_bits)
-        longest = F.greatest("x.words", "y.words")
-        likely = (F.least("x.words", "y.words") >= longest * similarity - 1e-6) & (F.bit_count(F.col("x.bag").bitwiseXOR(F.col("y.bag"))) <= 2 * longest * (1 - similarity) + 1e-6)
-        more = cut(x.join(y, [*on, near, likely]).select(F.col("x.kind").alias("a"), F.col("y.kind").alias("b")).distinct())
-        again = verified(more, kinds, docs, similarity, id_col, text_col).where("same").select("a", "b")
-        groups = cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)))
+    kinds = cut(lines.groupBy("kind").agg(F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("sketch").alias("sketch"), F.count("*").alias("places"), F.min(F.struct(id_col, "line")).alias("first")).select("kind", "sim", "words", "sketch", "places", F.col(f"first.{id_col}").alias("fid"), F.col("first.line").alias("fline")))
+    reps = kinds.select(F.col("kind").alias("rep"), "sim", F.col("words").alias("size"), "sketch")
+    groups = banded_groups(reps, lambda pairs: verified(pairs, kinds, docs, similarity, id_col, text_col), BANDS, BAGS, max_bits, similarity)
     grouped = kinds.join(groups, kinds["kind"] == groups["node"], "left").withColumn("g", F.coalesce("component", "kind"))
     firsts = grouped.where("component is not null").groupBy("g").agg(F.min(F.struct("fid", "fline")).alias("keep"))
     grouped = grouped.join(firsts, "g", "left").withColumn("keep", F.coalesce("keep", F.struct("fid", "fline"))).where("places > 1 OR keep.fid <> fid OR keep.fline <> fline")

@@ -1,6 +1,6 @@
 import itertools
 
-from tallyspark.llm import simhash
+from tallyspark.llm import lines, simhash
 
 from .test_tokens_packing_mixing_simhash import brute_components
 
@@ -30,3 +30,38 @@ def test_keep_one_matches_brute_jaccard(spark):
     want = set(brute_components(list(sets), links).values())
     got = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_lines_at_the_similarity_are_grouped(spark):
+    """Recall against brute force on edit similarity alone, in lines of every length."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    kinds, last = {}, {}
+    rows = [(i, t) for i, t in docs.collect() if t]
+    for n in (5, 6, 8, 10, 12, 15, 19, 25, 40, 80, 150):
+        for k in range(8):
+            words = [f"q{n}a{k}b{j}" for j in range(n)]
+            far = [w if j % 5 != k % 5 or j // 5 >= n // 5 else f"z{w}" for j, w in enumerate(words)]
+            rows += [(20_000 + 100 * n + 2 * k, " ".join(words)), (20_001 + 100 * n + 2 * k, " ".join(far))]
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            w = tuple(lines.normal_words(line))
+            if len(w) >= lines.MIN_WORDS:
+                kinds[w] = min(kinds.get(w, (i, k)), (i, k))
+                last[i, k] = w
+    ordered = sorted(kinds, key=len)
+    bags = [set(w) for w in ordered]
+    linked = []
+    for x, w in enumerate(ordered):
+        for y in range(x):
+            if len(ordered[y]) >= 0.8 * len(w) - 1e-6 and len(bags[x] - bags[y]) <= 0.2 * len(w) + 1e-6 and lines.similar(list(w), list(ordered[y]), 0.8):
+                linked.append((x, y))
+    group = brute_components(range(len(ordered)), linked)
+    first = {}
+    for x, w in enumerate(ordered):
+        first[group[x]] = min(first.get(group[x], kinds[w]), kinds[w])
+    index = {w: x for x, w in enumerate(ordered)}
+    want = {p for p, w in last.items() if first[group[index[w]]] != p}
+    _, gone = lines.repeated_lines(spark.createDataFrame(rows, DOCS))
+    got = {tuple(r) for r in gone.collect()}
+    print("lines gone", len(got), "of", len(want))
+    assert got <= want and len(got) >= 0.98 * len(want)
