@@ -31,7 +31,11 @@ TOKEN = re.compile(r"\S+")
 ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(*#.\-_~^]|[0-9@$!|+(*#.\-_~^].*[^\W\d_]")
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~^"
 SPACED = re.compile(r"(?<![^\W_])(?:[a-zA-Z0-9@$!|*][ .\-_]){2,}[a-zA-Z0-9@$|*](?![^\W_])")
-ADDRESS = re.compile(r"[@.].*\.|://|=|\d{4}|^[+(]?\d")
+#: Punctuation at the edges of a word that stands for no letter, and signs there that may.
+PUNCTUATION, SIGNS = ".,;:?\"')[]{}<>%&-_~^", "$!|*#("
+#: Left as written: addresses, assignments, and numbers with or without a unit.
+ADDRESS = re.compile(r"://|=|^www\.|\.(?:com|net|org|edu|gov|mil|info|biz|io)(?:[/:?#]|$)")
+NUMBER = re.compile(r"[+(#$]*\d[\d.,:/()\-]*(?:st|nd|rd|th|kg|km|cm|mm|ms|[kmgt]b|am|pm|hz|[smghkx])?")
 PLAIN = re.compile(r"[^\W\d_]+")
 
 
@@ -110,12 +114,19 @@ class Decoder:
                     extra.append(self.decode(w))
                 continue
             core = w.strip(EDGES)
+            wide = w.strip(PUNCTUATION)
             if core.isalpha():
                 extra.append(core)
+                if wide == core:
+                    continue
+            else:
+                extra += PLAIN.findall(core)
+            if ADDRESS.search(core) or NUMBER.fullmatch(core):
                 continue
-            extra += PLAIN.findall(core)
-            if ODD.search(core) and not ADDRESS.search(core):
-                extra.append(self.decode(core))
+            # signs at either edge may be letters or punctuation
+            for x in {core, wide, wide.lstrip(SIGNS).lstrip(EDGES), wide.rstrip(SIGNS).rstrip(EDGES)}:
+                if ODD.search(x):
+                    extra.append(self.decode(x))
         return extra
 
 

@@ -1,6 +1,6 @@
 import itertools
 
-from tallyspark.llm import lines, simhash
+from tallyspark.llm import lines, simhash, toxicity
 
 from .test_tokens_packing_mixing_simhash import brute_components
 
@@ -65,3 +65,14 @@ def test_lines_at_the_similarity_are_grouped(spark):
     got = {tuple(r) for r in gone.collect()}
     print("lines gone", len(got), "of", len(want))
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_restore_decodes_digits_and_signs_at_the_edges(spark):
+    docs = spark.createDataFrame([(1, " ".join(["idiot moron pathetic worthless stupid disgusting loser trash obscene the and of that"] * 50))], DOCS)
+    d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))
+    for written, word in (("1d10t", "idiot"), ("5tupid", "stupid"), ("0bscene", "obscene"), ("$tupid", "stupid"), ("$tup1d!", "stupid"), ("id.i.ot", "idiot"), ("!diot", "idiot"), ("m0r0n.", "moron"), ("(1d10t)", "idiot"), ("tr4sh!!", "trash"), ("l000ser", "loser"), ("l0000ser", "loser")):
+        assert word in d.restore(f"you are a {written} and that"), written
+    for written in ("http://1d10t.com/x", "www.1d10t.org", "me@1d10t.com", "x=1d10t"):
+        assert "idiot" not in d.restore(written), written
+    for written in ("2024-01-02", "+49-30-1234", "3rd", "5kg", "1,000.5"):
+        assert set(d.restore(written)) <= {"rd", "kg"}, written
