@@ -1,4 +1,4 @@
-"""MinHash bands: rows that share most of their features meet in a bucket, where wide sketches choose the pairs to verify."""
+"""Buckets of shared features: rows that share a bucket are compared by small sketches, likely pairs go on to be verified."""
 
 from __future__ import annotations
 
@@ -7,92 +7,125 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_forest
+from .common import components, cut, spanning_pairs
 
 #: Rows gathered before their buckets are walked, and pairs looked at in one step.
 PART, STEP = 1 << 18, 1 << 19
+#: A bucket key holds 48 bits of hash, then a row's size, 65,535 standing for all that are as large or larger.
+SIZE_BITS = 16
+MOST_SIZE = (1 << SIZE_BITS) - 1
+#: Rows of a bucket from which its pairs are sought by walking the trie of their first sketch, if ``budget`` allows it.
+LARGE = 1024
 
 
-def band_keys(hashes, sizes, rows: int, bands: int):
-    """``(len(sizes), bands)`` 32-bit keys for runs of ``sizes`` feature hashes, each of ``rows`` minima.
+def mixed(h):
+    """A bijection of uint64 that spreads every bit over all."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def bucket_keys(hashes, sizes):
+    """Signed keys of buckets from uint64 ``hashes`` and the sizes of the rows that they stand for."""
+    import numpy as np
 
-    Two sets of Jaccard similarity s share a band with probability ``1 - (1 - s ** rows) ** bands``. No run is empty.
+    return ((hashes & ~np.uint64(MOST_SIZE)) | np.minimum(sizes, MOST_SIZE).astype(np.uint64)).view(np.int64)
+
+
+def minima(hashes, starts, count: int):
+    """``(len(starts), count)`` minima of runs of feature hashes under as many hash functions.
+
+    Two sets of Jaccard similarity s share one with probability ``1 - (1 - s) ** count``. No run is empty.
     """
     import numpy as np
 
-    odd = np.random.default_rng(5).integers(0, 1 << 64, rows * bands, dtype=np.uint64) | np.uint64(1)
-    out = np.zeros((len(sizes), bands), dtype=np.uint32)
-    if not len(sizes):
-        return out
-    start = np.cumsum(sizes) - sizes
-    for b in range(bands):
-        key = np.full(len(sizes), b + 1, np.uint64)
-        for r in range(rows):
-            key = (key ^ np.minimum.reduceat(hashes * odd[b * rows + r], start)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
-        out[:, b] = (key >> np.uint64(32)).astype(np.uint32)
-    return out
-
-
-def bucket_links(reps: DataFrame, bands: int, bags: int, max_bits: int, least: float, grouped: bool = False) -> DataFrame:
-    """``(a, b)``: per task a spanning forest of the likely pairs of ``reps(rep, sim, size, sketch)`` that share a bucket.
-
-    ``sketch`` holds ``bands`` keys of 32 bits, then ``bags`` words of 64 bits. A pair is likely if its sizes allow the similarity
-    ``least``, its SimHashes differ in at most ``max_bits`` bits and its bags in at most two bits for each allowed edit.
-    With ``grouped`` all likely pairs whose column ``g`` differs are returned, not a forest.
+    odd = np.random.default_rng(5).integers(0, 1 << 64, count, dtype=np.uint64) | np.uint64(1)
+    return np.stack([np.minimum.reduceat(mixed(hashes * o), starts) for o in odd], axis=1) if len(starts) else np.zeros((0, count), np.uint64)
+
+
+def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False) -> DataFrame:
+    """``(a, b)``: per task a spanning forest of the likely pairs of ``rows(key, rep, w0, w1, ...)`` that share a bucket.
+
+    A pair is likely if its sizes allow the similarity ``least`` and ``near(size_i, size_j, w_i, w_j)`` gives it a cost
+    that is not negative; cheap pairs are taken first. With ``grouped`` all likely pairs whose column ``g`` differs are
+    returned, not a forest. A row may stand in a bucket more than once.
+
+    A task holds the rows of one bucket and looks at pairs by the step. ``budget(size)`` tells how many bits ``w0`` of a
+    likely pair may differ in where the longer side has that size. Where a large bucket's budget is small, the trie of
+    ``w0`` is walked against itself, so that rows that differ by more are never paired.
     """
     import numpy as np
     import pyarrow as pa
 
-    names = ["rep", "sim", "size", *(["g"] if grouped else []), *(f"bag{k}" for k in range(bags))]
-    width = 4 * bands + 8 * bags
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for s in range(0, x.num_rows, 8192):
-                y = x.slice(s, 8192)
-                raw = np.frombuffer(b"".join(y.column(y.num_columns - 1).to_pylist()), np.uint8).reshape(-1, width)
-                keys = np.ascontiguousarray(raw[:, : 4 * bands]).view("<u4").astype(np.int64) | (np.arange(bands, dtype=np.int64) << 32)
-                cols = [y.column(k).to_numpy(zero_copy_only=False) for k in range(y.num_columns - 1)]
-                cols += list(np.ascontiguousarray(raw[:, 4 * bands :]).view("<i8").T) if bags else []
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, bands)) for c in cols)], names=["key", *names])
-
-    def links(x):
-        key, size, sim = x["key"], x["size"].astype(np.int64), x["sim"].view(np.uint64)
-        bag = [x[f"bag{k}"].view(np.uint64) for k in range(bags)]
-        at = np.cumsum(np.r_[0, key[1:] != key[:-1]]) << 24
-        end = np.searchsorted(at | size, at | np.minimum(np.floor(size / least + 1e-6).astype(np.int64), (1 << 24) - 1), side="right")
-        own = np.arange(len(key))
-        n = end - own - 1  # later rows of the bucket that are not too long
+    from .simhash import trie_links
+
+    words = [f"w{k}" for k in range(sketches)]
+    names = ["key", "rep", *words, *(["g"] if grouped else [])]
+
+    def runs(size, first, last):
+        """Index pairs of each bucket in steps; rows are sorted by bucket, then size."""
+        at = np.repeat(np.arange(len(first)), last - first) << 24
+        longest = np.where(size == MOST_SIZE, MOST_SIZE, np.floor(size / least + 1e-6).astype(np.int64))
+        n = np.searchsorted(at | size, at | np.minimum(longest, MOST_SIZE), side="right") - np.arange(len(size)) - 1
         done = np.cumsum(n)
         lo = 0
         while lo < len(n):
-            hi = max(int(np.searchsorted(done, (done[lo - 1] if lo else 0) + STEP, side="right")), lo + 1)
-            i = np.repeat(own[lo:hi], n[lo:hi])
-            j = i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - n[lo:hi] - (done[lo - 1] if lo else 0), n[lo:hi])
-            near = np.bitwise_count(sim[i] ^ sim[j]) <= max_bits
-            i, j = i[near], j[near]
-            if grouped:
-                near = x["g"][i] != x["g"][j]
-                i, j = i[near], j[near]
-            if bags:
-                differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bag)
-                near = differ <= 2 * (1 - least) * size[j] + 1e-6
-                i, j = i[near], j[near]
-            yield i, j
+            base = done[lo - 1] if lo else 0
+            hi = max(int(np.searchsorted(done, base + STEP, side="right")), lo + 1)
+            i = np.repeat(np.arange(lo, hi), n[lo:hi])
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - n[lo:hi] - base, n[lo:hi])
             lo = hi
 
+    def candidates(x, size):
+        bucket = x["key"] >> SIZE_BITS
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        last = np.r_[first[1:], len(bucket)]
+        many = last - first > LARGE
+        limit = np.array([budget(int(size[e - 1])) if budget else 64 for e in last[many]], dtype=np.int64)
+        tries = np.flatnonzero(many)[limit <= 4]
+        for k, bits in zip(tries, limit[limit <= 4], strict=True):
+            s, e = first[k], last[k]
+            sketch = x["w0"][s:e].view(np.uint64)
+            order = np.argsort(sketch, kind="stable")
+            for i, j in trie_links(sketch[order], sketch[order], int(bits), True):
+                yield s + order[i], s + order[j]
+        keep = np.ones(len(first), bool)
+        keep[tries] = False
+        if not keep.any():
+            return
+        own = np.flatnonzero(np.repeat(keep, last - first))
+        width = (last - first)[keep]
+        ends = np.cumsum(width)
+        for i, j in runs(size[own], ends - width, ends):
+            yield own[i], own[j]
+
+    def likely(x, size):
+        for i, j in candidates(x, size):
+            short, long = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            some = (short >= least * long - 1e-6) & (x["rep"][i] != x["rep"][j])
+            if grouped:
+                some &= x["g"][i] != x["g"][j]
+            i, j, short, long = i[some], j[some], short[some], long[some]
+            cost = near(short, long, [x[w][i].view(np.uint64) for w in words], [x[w][j].view(np.uint64) for w in words])
+            some = cost >= 0
+            yield i[some], j[some], cost[some]
+
     def walk(x) -> pa.RecordBatch:
-        rep = x["rep"]
+        order = np.lexsort((x["rep"], x["key"]))
+        x = {c: v[order] for c, v in x.items()}
+        new = np.r_[True, (x["key"][1:] != x["key"][:-1]) | (x["rep"][1:] != x["rep"][:-1])]
+        x = {c: v[new] for c, v in x.items()}
+        rep, node = np.unique(x["rep"], return_inverse=True)
+        size = x["key"] & MOST_SIZE
         if grouped:
-            parts = list(links(x))
-            i, j = (np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.array([], np.int64) for k in (0, 1))
+            parts = [(node[i], node[j]) for i, j, _ in likely(x, size)]
+            i, j = (np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in (0, 1))
         else:
-            label = local_forest(len(rep), links(x))
-            i = np.flatnonzero(label != np.arange(len(rep)))
-            j = label[i]
-        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+            i, j = spanning_pairs(len(rep), ((node[i], node[j], c) for i, j, c in likely(x, size)))
+        pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rep[pairs[0]]), pa.array(rep[pairs[1]])], names=["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -100,29 +133,29 @@ def bucket_links(reps: DataFrame, bands: int, bags: int, max_bits: int, least: f
         for y in batches:
             if not y.num_rows:
                 continue
-            held.append({c: y.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(["key", *names])})
+            held.append({c: y.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)})
             n += y.num_rows
-            if n >= PART and held[0]["key"][0] != held[-1]["key"][-1]:
-                x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-                stop = int(np.searchsorted(x["key"], x["key"][-1]))  # the last bucket may go on
+            if n >= PART and held[0]["key"][0] >> SIZE_BITS != held[-1]["key"][-1] >> SIZE_BITS:
+                x = {c: np.concatenate([h[c] for h in held]) for c in names}
+                stop = int(np.searchsorted(x["key"] >> SIZE_BITS, x["key"][-1] >> SIZE_BITS))  # the last bucket may go on
                 yield walk({c: v[:stop] for c, v in x.items()})
                 held, n = [{c: v[stop:] for c, v in x.items()}], len(x["key"]) - stop
         if held:
-            yield walk({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            yield walk({c: np.concatenate([h[c] for h in held]) for c in names})
 
-    longs = ", ".join(f"{c} {'int' if c == 'size' else 'long'}" for c in ["key", *names])
-    rows = reps.where("rep is not null").select(*(["rep", "sim", "size"] + (["g"] if grouped else [])), "sketch").mapInArrow(deal, longs)
-    return rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(join, "a long, b long").distinct()
+    dealt = rows.select(*names).repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
+    return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def banded_groups(reps: DataFrame, verified: Callable[[DataFrame], DataFrame], bands: int, bags: int, max_bits: int, least: float) -> DataFrame:
-    """``(node, component)`` of the rows of a written ``reps(rep, sim, size, sketch)`` that verified pairs unite.
+def banded_groups(rows: Callable[[DataFrame | None], DataFrame], verified: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """``(node, component)`` of the rows that verified pairs unite.
 
+    ``rows(None)`` gives all bucket rows, ``rows(nodes)`` those of the written ``nodes(node, g)`` with their column ``g``.
     ``verified`` turns ``(a, b)`` into a written ``(a, b, same)``. A link of the forest that fails leaves its two sides
     apart, though another pair between them may pass. So in clusters with a failed link all likely pairs whose sides are
     still apart are verified too.
     """
-    forest = cut(bucket_links(reps, bands, bags, max_bits, least))
+    forest = cut(bucket_links(rows(None), **how))
     found = verified(forest)
     groups = cut(components(found.where("same").select("a", "b")))
     failed = cut(found.where("NOT same").select("a", "b"))
@@ -130,8 +163,8 @@ def banded_groups(reps: DataFrame, verified: Callable[[DataFrame], DataFrame], b
         return groups
     clusters = components(forest)
     torn = failed.join(clusters, failed["a"] == clusters["node"]).select(F.col("component").alias("cluster")).distinct()
-    apart = clusters.join(torn, clusters["component"] == torn["cluster"], "left_semi").select("node").join(reps, F.col("node") == F.col("rep"))
-    apart = cut(apart.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g")), F.col("node") == F.col("g_node"), "left").select("rep", "sim", "size", "sketch", F.coalesce("g", "rep").alias("g")))
-    done = cut(bucket_links(apart, bands, bags, max_bits, least, grouped=True).join(failed, ["a", "b"], "left_anti"))
+    apart = clusters.join(torn, clusters["component"] == torn["cluster"], "left_semi").select("node")
+    apart = cut(apart.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g")), F.col("node") == F.col("g_node"), "left").select("node", F.coalesce("g", "node").alias("g")))
+    done = cut(bucket_links(rows(apart), grouped=True, **how).join(failed, ["a", "b"], "left_anti"))
     again = verified(done).where("same").select("a", "b")
     return cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)))

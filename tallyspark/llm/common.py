@@ -50,19 +50,22 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``; component is the smallest node.
 
-    Alternating large-star and small-star rounds over a written edge table. Minima are pre-aggregated before
-    each shuffle and joined back to the edges, so no neighbour list is ever gathered in one task. Nulls and
+    Alternating large-star and small-star rounds over a written edge table. Minima are aggregated with partial sums
+    and written, then joined back: broadcast below the size limit, else by a shuffle of two written tables, in which
+    adaptive execution splits a star's centre over tasks. No neighbour list is ever gathered in one task. Nulls and
     self-links are ignored; an empty input gives an empty result.
     """
     canon = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(canon(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))))
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        now = cut(pairs.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(small(low, 16), F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = cut(large.distinct())
+        low = cut(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
+        pairs = large.join(small(low, 16), F.col("u") == F.col("c"))
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        now = cut(pairs.select(ends.alias("e")).select("e.*").where("u <> v").distinct())
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -87,9 +90,38 @@ def local_forest(n: int, chunks) -> "numpy.ndarray":  # noqa: F821
                 break
             i, j, a, b = i[keep], j[keep], a[keep], b[keep]
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
+            label = _flat(label)
     return label
+
+
+def _flat(label):
+    while True:
+        up = label[label]
+        if (up == label).all():
+            return label
+        label = up
+
+
+def spanning_pairs(n: int, chunks):
+    """Of the ``(i, j, cost)`` index pairs of ``chunks`` those of a spanning forest, cheap pairs of a chunk first.
+
+    Returns ``(i, j)`` arrays. Every pair returned is one of the pairs given, and every pair given joins two nodes that
+    the returned ones connect.
+    """
+    import numpy as np
+
+    label, taken = np.arange(n), []
+    for i, j, cost in chunks:
+        while True:
+            a, b = label[i], label[j]
+            keep = a != b
+            if not keep.any():
+                break
+            i, j, cost, a, b = i[keep], j[keep], cost[keep], a[keep], b[keep]
+            high = np.maximum(a, b)
+            order = np.lexsort((cost, high))
+            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]  # each root is hung up once
+            taken.append((i[first], j[first]))
+            label[high[first]] = np.minimum(a, b)[first]
+            label = _flat(label)
+    return tuple(np.concatenate(x) for x in zip(*taken, strict=True)) if taken else (np.zeros(0, np.int64),) * 2

@@ -1,4 +1,4 @@
-"""Operator 1: fuzzy line dedup by MinHash bands, SimHash, edit similarity and connected groups."""
+"""Operator 1: fuzzy line dedup by blocks of words, SimHash, edit similarity and connected groups."""
 
 from __future__ import annotations
 
@@ -7,109 +7,201 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bands import band_keys, banded_groups
-from .common import cut, small, table
+from .bands import banded_groups, bucket_keys, minima, mixed
+from .common import BROADCAST_BYTES, cut, small, table
 
 #: Normalisation: A-Z (and what ``str.lower`` lowers) in lower case, digits as 0, other ASCII punctuation as space.
 NORMAL = bytes(48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
-MIN_WORDS = 5
-MAX_BITS = 18
+KEEP_BREAKS = NORMAL[:10] + b"\n" + NORMAL[11:]
+MIN_WORDS = 1
 SIMILARITY = 0.8
-#: Bands of so many minima over a line's words, and 64-bit words of its bag. At 0.8 by replaced words alone, the least
-#: overlap, two lines share a band with probability 0.985.
-BANDS, BAND_ROWS, BAGS = 12, 3, 4
+#: Lines of up to ``SHORT`` words meet in all their blocks of two words, lines of ``LONG`` or more in so many MinHashes of
+#: their blocks of three. At the default similarity lines of 13 words or more only go with lines of 11 or more.
+SHORT, LONG, HASHES = 12, 11, 10
+#: Longer lines than ``BAG_ONLY`` words must also be within ``MAX_BITS`` bits of SimHash; shorter ones have a second bag.
+BAG_ONLY, MAX_BITS = 16, 22
+#: Weight in the SimHash of words of so many bytes or more, others count once: unlike lines share mostly short words.
+HEAVY, HEAVY_BYTES = 4, 4
+#: Bytes of text that a worker hashes at once.
+PART_BYTES = 1 << 19
 
 
 def normal_words(line: str) -> list[bytes]:
     return line.lower().encode("utf-8", "replace").translate(NORMAL).split()
 
 
-def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line, kind, sim, words, sketch)`` for each line with ``min_words`` or more normal words.
+_powers: list = []
+
+
+def powers(n: int):
+    """The first ``n`` powers (or more) of a fixed odd number and of its inverse, modulo 2 ** 64."""
+    import numpy as np
+
+    if not _powers or len(_powers[0]) <= n:
+        base = 0x9E3779B97F4A7C15
+        size = max(1 << 16, 1 << n.bit_length())
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64))]
+    return _powers
+
+
+def run_hashes(values, starts, ends):
+    """A 64-bit hash of each run ``values[start:end]`` of uint64 numbers: a polynomial, cut out of one running sum."""
+    import numpy as np
+
+    up, down = powers(len(values))
+    sums = np.r_[np.uint64(0), np.cumsum(values * up[: len(values)])]
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
-    ``kind`` hashes the normal line, ``sim`` is the SimHash of its words, ``sketch`` has its band keys and a bag with a bit
-    for each word. Lines are numbered from 0.
+
+def hashed_lines(texts: list[bytes]):
+    """``(words, heavy, sizes, kinds, doc, line)`` of lower-cased texts, for their lines that have words.
+
+    words: hashes of the normal words, line after line; heavy: whether a word is long; sizes: words of each line;
+    kinds: hash of its words; doc, line: index of the text and number of the line in it.
     """
     import numpy as np
-    import pyarrow as pa
-    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = xxhash.xxh3_64_intdigest
-        for b in batches:
-            for s in range(0, b.num_rows, 512):
-                ids, lines, norms, sizes, hashes = [], [], [], [], []
-                for ident, text in zip(b.column(0)[s : s + 512].to_pylist(), b.column(1)[s : s + 512].to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    for k, line in enumerate(text.lower().encode("utf-8", "replace").translate(KEEP_BREAKS).split(b"\n")):
-                        words = line.split()
-                        if len(words) >= min_words:
-                            ids.append(ident)
-                            lines.append(k)
-                            norms.append(hash_of(b" ".join(words)))
-                            sizes.append(len(words))
-                            hashes += map(hash_of, words)
-                hashes, sizes = np.array(hashes, dtype="<u8"), np.array(sizes, dtype=np.int64)
-                sims = simhashes(hashes, sizes)
-                sketches = line_sketches(hashes, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(np.array(norms, dtype=np.uint64).view(np.int64)), pa.array(sims.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=[id_col, "line", "kind", "sim", "words", "sketch"])
-
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, line int, kind long, sim long, words int, sketch binary")
+    normal = [t.translate(KEEP_BREAKS) for t in texts]
+    raw = np.frombuffer(b"\n".join(normal) + b"\n", np.uint8)
+    word = (raw != 32) & (raw != 10)
+    starts = np.flatnonzero(word & ~np.r_[False, word[:-1]])
+    ends = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
+    words, heavy = run_hashes(raw.astype(np.uint64) + np.uint64(1), starts, ends), ends - starts >= HEAVY_BYTES
+    breaks = np.flatnonzero(raw == 10)
+    sizes = np.diff(np.r_[0, np.searchsorted(starts, breaks)])
+    per = np.fromiter((t.count(b"\n") + 1 for t in normal), np.int64, len(normal))
+    doc = np.repeat(np.arange(len(normal)), per)
+    line = np.arange(len(breaks)) - np.repeat(np.cumsum(per) - per, per)
+    some = sizes > 0
+    sizes, doc, line = sizes[some], doc[some], line[some]
+    ends = np.cumsum(sizes)
+    return words, heavy, sizes, run_hashes(words, ends - sizes, ends), doc, line
 
 
-KEEP_BREAKS = NORMAL[:10] + b"\n" + NORMAL[11:]
+#: Of a byte, its eight bits in eight lanes of a uint64.
+LANES = [sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)]
 
 
-def line_sketches(hashes, sizes) -> list[bytes]:
-    """Band keys and bags of each run of ``sizes`` word hashes; a word's second place in a line counts as another word."""
+def simhashes(hashes, sizes, weights):
+    """SimHash of each run of ``sizes`` word hashes; a bit is 1 if set in over half the weight, at most ``HEAVY`` a word."""
     import numpy as np
 
     if not len(sizes):
-        return []
-    start = np.cumsum(sizes) - sizes
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, run))
-    h, r = hashes[order], run[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]
-    first = np.flatnonzero(new)
-    place = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-    h = (h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    keys = band_keys(h, sizes, BAND_ROWS, BANDS)
-    slot, bit = (h >> np.uint64(16)) % np.uint64(BAGS), np.left_shift(np.uint64(1), h & np.uint64(63))
-    bags = np.stack([np.bitwise_or.reduceat(np.where(slot == k, bit, np.uint64(0)), start) for k in range(BAGS)], axis=1)
-    rows = np.concatenate([keys.view(np.uint8).reshape(len(sizes), -1), np.ascontiguousarray(bags).view(np.uint8)], axis=1)
-    return [x.tobytes() for x in rows]
-
-
-def simhashes(hashes, sizes):
-    """SimHash of each run of ``sizes`` word hashes; a bit is 1 if set in over half the words. Works in slices of words."""
+        return np.zeros(0, np.uint64)
+    lanes, step = np.array(LANES, dtype=np.uint64), 255 // HEAVY  # lanes of eight bits hold the sums of so many words
+    parts = -(-sizes // step)
+    starts = np.cumsum(sizes) - sizes
+    cuts = np.repeat(starts, parts) + step * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    raw = np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.empty((len(sizes), 8, 8), np.int64)
+    for k in range(8):
+        counts = np.add.reduceat(lanes[raw[:, k]] * weights, cuts).view(np.uint8).reshape(-1, 8)
+        ones[:, k] = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+    set_bits = (2 * ones.reshape(-1, 64) > np.add.reduceat(weights.astype(np.int64), starts)[:, None]).astype(np.uint8)
+    return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def sketches(words, sizes, heavy):
+    """``(w0, w1)`` of each line: a bag with a bit for each word, and for short lines another bag, for others the SimHash."""
+    import numpy as np
+
+    starts = np.cumsum(sizes) - sizes
+    if not len(sizes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    bag = lambda shift: np.bitwise_or.reduceat(np.uint64(1) << ((words >> np.uint64(shift)) & np.uint64(63)), starts)
+    return bag(0), np.where(sizes <= BAG_ONLY, bag(20), simhashes(words, sizes, np.where(heavy, np.uint64(HEAVY), np.uint64(1))))
+
+
+def bucket_rows(words, sizes, kinds):
+    """``(key, row)``: the buckets of each line and its index."""
     import numpy as np
 
-    out = np.zeros(len(sizes), dtype=np.uint64)
     ends = np.cumsum(sizes)
-    at = 0
-    while at < len(sizes):
-        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), side="right")), at + 1)
-        first = ends[at - 1] if at else 0
-        bits = np.unpackbits(hashes[first : ends[to - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, ends[at:to] - sizes[at:to] - first, axis=0, dtype=np.int32)
-        set_bits = (2 * ones > sizes[at:to, None]).astype(np.uint8)
-        out[at:to] = np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
-        at = to
-    return out
+    starts = ends - sizes
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(words))  # words from here to the line's end
+    two = mixed(words * np.uint64(3) + np.r_[words[1:], np.zeros(min(1, len(words)), np.uint64)])
+    at = np.flatnonzero((left >= 2) & (sizes[run] >= 4) & (sizes[run] <= SHORT))
+    keys, rows = [bucket_keys(mixed(two[at]), sizes[run[at]])], [run[at]]
+    long = np.flatnonzero(sizes >= LONG)
+    if len(long):
+        three = mixed(two * np.uint64(5) + np.r_[words[2:], np.zeros(min(2, len(words)), np.uint64)])
+        inside = left >= 3
+        inside &= (sizes >= LONG)[run]
+        first = np.cumsum(sizes[long] - 2) - (sizes[long] - 2)
+        low = minima(three[inside], first, HASHES)
+        for k in range(HASHES):
+            keys.append(bucket_keys(mixed(low[:, k] + np.uint64(k + 1)), sizes[long]))
+            rows.append(long)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def parts_of(batch, most: int = PART_BYTES):
+    """``(row numbers, lower-cased bytes)`` of the non-empty texts of an Arrow column, some megabytes at a time."""
+    rows, texts, size = [], [], 0
+    for k, t in enumerate(batch.to_pylist()):
+        if not t:
+            continue
+        rows.append(k)
+        texts.append(t.lower().encode("utf-8", "replace"))
+        size += len(texts[-1])
+        if size >= most:
+            yield rows, texts
+            rows, texts, size = [], [], 0
+    if texts:
+        yield rows, texts
+
+
+def line_buckets(texts: DataFrame, min_words: int) -> DataFrame:
+    """``(key, rep, w0, w1)`` for the buckets of every line of the single column of ``texts``.
+
+    ``rep`` is the hash of the normal line. A worker leaves out a line that it has just seen, so that a frequent line
+    costs a few rows of each task.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, np.uint64)
+        for b in batches:
+            for _, part in parts_of(b.column(0)):
+                words, heavy, sizes, kinds, _, _ = hashed_lines(part)
+                slot = (kinds & np.uint64(0xFFFF)).astype(np.int64)
+                fresh = (sizes >= max(min_words, 4)) & (seen[slot] != kinds)
+                seen[slot] = kinds
+                first = np.zeros(len(kinds), bool)
+                first[np.unique(kinds, return_index=True)[1]] = True
+                fresh &= first
+                here = np.repeat(fresh, sizes)
+                words, heavy, sizes, kinds = words[here], heavy[here], sizes[fresh], kinds[fresh]
+                key, row = bucket_rows(words, sizes, kinds)
+                w0, w1 = sketches(words, sizes, heavy)
+                for s in range(0, len(key), 1 << 16):
+                    r = row[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s : s + (1 << 16)]), *(pa.array(c[r].view(np.int64)) for c in (kinds, w0, w1))], names=["key", "rep", "w0", "w1"])
+
+    return texts.mapInArrow(run, "key long, rep long, w0 long, w1 long")
+
+
+def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, line, kind)`` for each line with ``min_words`` or more normal words; lines are numbered from 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for rows, part in parts_of(b.column(1)):
+                _, _, sizes, kinds, doc, line = hashed_lines(part)
+                some = sizes >= min_words
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(rows)][doc[some]]), pa.array(line[some], pa.int32()), pa.array(kinds[some].view(np.int64))], names=["id", "line", "kind"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, line int, kind long")
 
 
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two word lists, bit-parallel over one of them after their common ends are cut."""
-    s = 0
-    while s < len(a) and s < len(b) and a[s] == b[s]:
-        s += 1
-    e = 0
-    while e < len(a) - s and e < len(b) - s and a[-1 - e] == b[-1 - e]:
-        e += 1
-    a, b = a[s : len(a) - e], b[s : len(b) - e]
+    a, b = trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     at: dict = {}
@@ -127,75 +219,158 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
-def similar(a: list, b: list, least: float) -> bool:
-    longest = max(len(a), len(b))
-    return not longest or edit_distance(a, b) <= (1 - least) * longest + 1e-9
+def trimmed(a: list, b: list) -> tuple[list, list]:
+    """Two lists without what they begin and end with alike."""
+    s = e = 0
+    while s < len(a) and s < len(b) and a[s] == b[s]:
+        s += 1
+    while e < len(a) - s and e < len(b) - s and a[-1 - e] == b[-1 - e]:
+        e += 1
+    return a[s : len(a) - e], b[s : len(b) - e]
 
 
-def verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``(a, b, same)`` for pairs of kinds: whether the edit similarity over words of their first lines reaches ``similarity``."""
+def similar(a: list, b: list, least: float) -> bool:
+    """Whether the edit distance of two word lists is at most ``1 - least`` of the longer one's length."""
+    longest = max(len(a), len(b))
+    most = int((1 - least) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    if max(len(a), len(b)) <= most:
+        return True
+    only = set(a) - set(b)
+    if len(only) > most or sum(w in only for w in a) > most:
+        return False
+    return edit_distance(a, b) <= most
+
+
+def line_texts(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(kind, line)``: the normal line of every kind of ``pairs``, from its first place; written."""
     import pyarrow as pa
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct().join(kinds.select("kind", "fid", "fline"), "kind")
     asked = cut(asked.groupBy(F.col("fid").alias("__fid")).agg(F.collect_list(F.struct("fline", "kind")).alias("asked")))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t")).join(small(asked, 64), F.col("__id") == F.col("__fid"))
-    line = lambda q: F.struct(q["kind"].alias("kind"), F.try_element_at("ls", (q["fline"] + 1).cast("int")).alias("line"))
-    texts = texts.select(F.split("t", "\n").alias("ls"), "asked").select(F.explode(F.transform("asked", line)).alias("q")).select("q.kind", "q.line")
-    texts = cut(texts.where("line is not null").groupBy("kind").agg(F.min("line").alias("line")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, found = [], []
+            for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                split = (t or "").lower().encode("utf-8", "replace").translate(KEEP_BREAKS).split(b"\n")
+                for q in want:
+                    if q["fline"] < len(split):
+                        names.append(q["kind"])
+                        found.append(b" ".join(split[q["fline"]].split()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["kind", "line"])
+
+    return cut(texts.select("t", "asked").mapInArrow(run, "kind long, line binary").groupBy("kind").agg(F.min("line").alias("line")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, same)`` for pairs of kinds: whether the edit similarity over words of their lines reaches ``similarity``."""
+    import pyarrow as pa
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            same = [similar(normal_words(p), normal_words(q), similarity) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            same = [similar(p.split(), q.split(), similarity) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*x.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     left, right = (texts.select(F.col("kind").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(verify, "a long, b long, same boolean"))
 
 
+def likely_lines(similarity: float, max_bits: int):
+    """The cost of pairs of lines by their sketches, -1 where they cannot be (or, by SimHash, hardly are) similar.
+
+    One edit changes at most two members of a line's set of words, so bags may differ in two bits for each allowed edit.
+    """
+    import numpy as np
+
+    def near(short, long, a, b):
+        most = 2 * np.floor((1 - similarity) * long + 1e-6)
+        bag = np.bitwise_count(a[0] ^ b[0]).astype(np.int64)
+        other = np.bitwise_count(a[1] ^ b[1]).astype(np.int64)
+        second = np.where(long <= BAG_ONLY, other <= most, (short <= BAG_ONLY) | (other <= max_bits))
+        return np.where((bag <= most) & second, np.where(long <= BAG_ONLY, bag, other), -1)
+
+    return near
+
+
+def groups_of_lines(docs: DataFrame, kinds: DataFrame, min_words: int, max_bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``(node, component)`` of the kinds that verified pairs unite."""
+    held: dict[str, DataFrame] = {}
+
+    def rows(nodes: DataFrame | None) -> DataFrame:
+        if nodes is None:
+            return line_buckets(docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")), min_words)
+        again = line_buckets(held["texts"].join(small(nodes, 16), F.col("kind") == F.col("node"), "left_semi").select(F.decode("line", "UTF-8")), min_words)
+        return again.join(small(nodes, 16), F.col("rep") == F.col("node"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if "texts" not in held:
+            held["texts"] = line_texts(pairs, kinds, docs, id_col, text_col)
+        return verified(pairs, held["texts"], similarity)
+
+    budget = lambda size: 2 * int((1 - similarity) * size + 1e-6) if size <= SHORT else 64
+    return banded_groups(rows, verify, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(lines, gone)``: all lines looked at, and ``(id, line)`` of those that an earlier line of their group stands for.
 
     1. Equal normal lines meet in one kind with their first place (smallest id, then line).
-    2. Kinds meet in MinHash bands of their words; those at ``max_bits`` or fewer differing bits of their SimHashes whose
-       lengths and bags of words allow the similarity are linked, and a spanning forest of the links is returned, not
-       all pairs of a group.
-    3. The forest's texts are fetched and their edit similarity over words is verified.
+    2. Kinds meet in blocks of words. With few edits one of the blocks between them stands unedited, which is the
+       pigeonhole argument; blocks of SimHash bits cannot serve, as lines at a similarity of 0.8 differ in about 13 of 64
+       bits. Short lines meet in all blocks of two words, others in ten MinHashes of their blocks of three. Those whose
+       lengths, bags of words and SimHashes allow the similarity are linked; a spanning forest of links is returned.
+    3. The forest's lines are fetched and their edit similarity over words is verified.
     4. A link that fails leaves its two sides apart, though another pair between them may pass. So in clusters
-       with a failed link, all linked pairs whose sides are still apart are verified too. Then every verified pair
-       lies inside one group, as if all linked pairs had been compared.
+       with a failed link, all likely pairs whose sides are still apart are verified too.
     5. The group's first place keeps its line.
     """
-    lines = cut(lines_of(docs.where(F.col(id_col).isNotNull()), min_words, id_col, text_col))
-    kinds = cut(lines.groupBy("kind").agg(F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("sketch").alias("sketch"), F.count("*").alias("places"), F.min(F.struct(id_col, "line")).alias("first")).select("kind", "sim", "words", "sketch", "places", F.col(f"first.{id_col}").alias("fid"), F.col("first.line").alias("fline")))
-    reps = kinds.select(F.col("kind").alias("rep"), "sim", F.col("words").alias("size"), "sketch")
-    groups = banded_groups(reps, lambda pairs: verified(pairs, kinds, docs, similarity, id_col, text_col), BANDS, BAGS, max_bits, similarity)
-    grouped = kinds.join(groups, kinds["kind"] == groups["node"], "left").withColumn("g", F.coalesce("component", "kind"))
-    firsts = grouped.where("component is not null").groupBy("g").agg(F.min(F.struct("fid", "fline")).alias("keep"))
-    grouped = grouped.join(firsts, "g", "left").withColumn("keep", F.coalesce("keep", F.struct("fid", "fline"))).where("places > 1 OR keep.fid <> fid OR keep.fline <> fline")
+    named = docs.where(F.col(id_col).isNotNull())
+    lines = cut(lines_of(named, min_words, id_col, text_col))
+    kinds = cut(lines.groupBy("kind").agg(F.count("*").alias("places"), F.min(F.struct("id", "line")).alias("first")).select("kind", "places", F.col("first.id").alias("fid"), F.col("first.line").alias("fline")))
+    groups = groups_of_lines(named, kinds, min_words, max_bits, similarity, id_col, text_col)
+    grouped = kinds.join(small(groups, 16), kinds["kind"] == groups["node"], "left").withColumn("g", F.coalesce("component", "kind"))
+    firsts = grouped.where("component is not null").groupBy(F.col("g").alias("keep_g")).agg(F.min(F.struct("fid", "fline")).alias("keep"))
+    grouped = grouped.join(firsts, F.col("g") == F.col("keep_g"), "left").withColumn("keep", F.coalesce("keep", F.struct("fid", "fline"))).where("places > 1 OR keep.fid <> fid OR keep.fline <> fline")
     grouped = cut(grouped.select(F.col("kind").alias("__kind"), F.col("keep.fid").alias("kid"), F.col("keep.fline").alias("kline")))
-    gone = lines.select(id_col, "line", "kind").join(small(grouped, 32), F.col("kind") == F.col("__kind")).where((F.col(id_col) != F.col("kid")) | (F.col("line") != F.col("kline"))).select(id_col, "line")
+    gone = lines.join(small(grouped, 32), F.col("kind") == F.col("__kind")).where("id <> kid OR line <> kline").select(F.col("id").alias(id_col), "line")
     return lines, cut(gone.distinct())
 
 
+def fresh_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` with as many underscores before them as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **how) -> DataFrame:
-    """``docs`` with repeated lines taken out of the texts; all rows and columns stay.
+    """``docs`` with repeated lines taken out of the texts; all rows and columns stay, whatever the columns' names.
 
-    A line of ``MIN_WORDS`` or more words goes if another of its group comes first, by id and place; shorter
-    lines, null and empty texts and rows with a null id stay as they are. A text may end up empty. Rows that
+    A line goes if another of its group comes first, by id and place; lines without words (and with fewer than
+    ``min_words``), null and empty texts and rows with a null id stay as they are. A text may end up empty. Rows that
     repeat an id are one document and lose the same line numbers. ``counts`` adds ``n_lines`` and ``n_removed``.
     """
-    _, gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **how)
-    gone = cut(gone.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone")))
-    size = (gone.agg(F.sum(F.size("__gone"))).first()[0] or 0) * 4
-    n = gone.count()
-    joined = docs.join(small(gone, 32 + size // max(n, 1)), docs[id_col].cast("long") == gone["__id"], "left")
-    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> NOT array_contains(__gone, i)), '\\n')")
-    out = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
-    if counts:
-        out = out.withColumn("__n", F.coalesce(F.regexp_count(text_col, F.lit("\n")) + 1, F.lit(0))).withColumn("__m", F.coalesce(F.size("__gone"), F.lit(0)))
+    _, gone = repeated_lines(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), **how)
+    ident, lost, text, parts = fresh_names(docs, "gone_id", "gone_lines", "kept_text", "text_parts")
+    gone = cut(gone.groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_list("line")).alias(lost)))
+    n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(lost)), F.lit(0))).first()
+    joined = docs.join(F.broadcast(gone) if 32 * n + 4 * size <= BROADCAST_BYTES else gone, F.col(f"`{id_col}`").cast("long") == F.col(ident), "left")
+    joined = joined.withColumn(parts, F.when(F.col(lost).isNotNull(), F.split(f"`{text_col}`", "\n", -1)))
+    left = F.expr(f"array_join(transform(array_except(sequence(0, size({parts}) - 1), {lost}), i -> {parts}[i]), '\\n')")
+    out = joined.withColumn(text, F.when(F.col(parts).isNull(), F.col(f"`{text_col}`")).otherwise(left))
     kinds = dict(docs.dtypes)
-    cols = [F.col("__kept").alias(text_col) if c == text_col else F.char_length("__kept").cast(kinds[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*cols, *([F.col("__n").alias("n_lines"), F.col("__m").alias("n_removed")] if counts else []))
+    cols = [F.col(text).alias(c) if c == text_col else F.char_length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    added = [F.coalesce(F.regexp_count(f"`{text_col}`", F.lit("\n")) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_removed")]
+    return out.select(*cols, *(added if counts else []))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

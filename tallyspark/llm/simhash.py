@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bands import band_keys, banded_groups
+from .bands import banded_groups, bucket_keys, minima, mixed
 from .common import components, cut, local_forest, small, table
 
 CHUNK = 1 << 16
@@ -219,7 +219,10 @@ def shingle_hashes(text: str | None, shingle_words: int):
 
 
 def shingle_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``(id, kind, sim, size, sketch)`` for every row: texts of equal words share a kind, ``size`` counts distinct shingles."""
+    """``(id, kind, sim, size, keys)`` for every row: texts of equal words share a kind, ``size`` counts distinct shingles.
+
+    ``keys`` are the row's buckets, one for each band of ``BAND_ROWS`` MinHashes.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -232,11 +235,17 @@ def shingle_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words:
                 sims = np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
                 kinds = np.array([k for k, _ in parts], dtype=np.uint64).view(np.int64)
                 sizes = np.array([len(h) for _, h in parts], dtype=np.int64)
-                runs = [h if len(h) else np.zeros(1, "<u8") for _, h in parts]
-                keys = band_keys(np.concatenate(runs) if runs else np.array([], "<u8"), np.maximum(sizes, 1), BAND_ROWS, BANDS)
-                yield pa.RecordBatch.from_arrays([y.column(0), pa.array(kinds), pa.array(sims), pa.array(sizes, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "kind", "sim", "size", "sketch"])
+                runs = np.concatenate([h if len(h) else np.zeros(1, "<u8") for _, h in parts])
+                count = np.maximum(sizes, 1)
+                low = minima(runs, np.cumsum(count) - count, BANDS * BAND_ROWS).reshape(-1, BANDS, BAND_ROWS)
+                key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
+                for r in range(BAND_ROWS):
+                    key = mixed(key ^ low[:, :, r])
+                keys = bucket_keys(key, np.repeat(sizes[:, None], BANDS, axis=1))
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([y.column(0), pa.array(kinds), pa.array(sims), pa.array(sizes, pa.int32()), lists], names=["id", "kind", "sim", "size", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, kind long, sim long, size int, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, kind long, sim long, size int, keys array<long>")
 
 
 def jaccard_verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, shingle_words: int, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -267,10 +276,22 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS,
     are copies of one another. Rows that repeat an id share its fate, which the smallest of its components decides;
     rows without an id stay.
     """
+    import numpy as np
+
     rows = cut(shingle_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle_words))
-    kinds = cut(rows.groupBy("kind").agg(F.min("id").alias("rep_id"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
-    reps = kinds.where("size > 0").select(F.col("kind").alias("rep"), "sim", "size", "sketch")
-    groups = banded_groups(reps, lambda pairs: jaccard_verified(pairs, docs, kinds, shingle_words, least, id_col, text_col), BANDS, 0, budget, least)
+    kinds = cut(rows.groupBy("kind").agg(F.min("id").alias("rep_id"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.min("keys").alias("keys")))
+
+    def buckets(nodes: DataFrame | None) -> DataFrame:
+        some = kinds.where("size > 0")
+        if nodes is not None:
+            some = some.join(small(nodes, 16), F.col("kind") == F.col("node"))
+        return some.select(F.explode("keys").alias("key"), F.col("kind").alias("rep"), F.col("sim").alias("w0"), *(["g"] if nodes is not None else []))
+
+    def near(short, long, a, b):
+        bits = np.bitwise_count(a[0] ^ b[0]).astype(np.int64)
+        return np.where(bits <= budget, bits, -1)
+
+    groups = banded_groups(buckets, lambda pairs: jaccard_verified(pairs, docs, kinds, shingle_words, least, id_col, text_col), near=near, least=least, sketches=1)
     linked = cut(kinds.select("kind", "rep_id").join(groups, F.col("kind") == F.col("node"), "left").select("kind", "rep_id", F.coalesce("component", "kind").alias("group")))
     firsts = linked.groupBy("group").agg(F.min("rep_id").alias("first"))
     of_kind = linked.join(firsts, "group").select("kind", "first")

@@ -39,7 +39,7 @@ def test_edit_distance():
 
 
 def brute_lines(rows):
-    """Kept lines by comparing all pairs of distinct normal lines."""
+    """Kept lines by the edit similarity of all pairs of distinct normal lines, without any filter before it."""
     seen, at = {}, {}
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
@@ -48,10 +48,7 @@ def brute_lines(rows):
                 seen[w] = min(seen.get(w, (i, k)), (i, k))
                 at[i, k] = w
     kinds = list(seen)
-    import xxhash
-
-    sims = lines.simhashes(np.array([xxhash.xxh3_64_intdigest(x) for w in kinds for x in w], dtype="<u8"), np.array([len(w) for w in kinds]))
-    near = [(i, j) for i in range(len(kinds)) for j in range(i) if (int(sims[i]) ^ int(sims[j])).bit_count() <= 3 and lines.similar(list(kinds[i]), list(kinds[j]), 0.8)]
+    near = [(i, j) for i in range(len(kinds)) for j in range(i) if lines.similar(list(kinds[i]), list(kinds[j]), 0.8)]
     group = brute_components(range(len(kinds)), near)
     first = {}
     for k, w in enumerate(kinds):

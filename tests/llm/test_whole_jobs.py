@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from tallyspark.llm import lines, simhash, toxicity
 
@@ -67,6 +68,81 @@ def test_lines_at_the_similarity_are_grouped(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_is_the_edit_distance():
+    draw = random.Random(3)
+    for _ in range(3000):
+        a, b = ([draw.choice("abc") for _ in range(draw.randrange(14))] for _ in "ab")
+        assert lines.edit_distance(a, b) == plain_distance(a, b)
+        assert lines.similar(a, b, 0.8) == (5 * plain_distance(a, b) <= max(len(a), len(b)))
+
+
+def edited(words, edits, draw, fresh):
+    """``words`` with so many of them replaced, taken out or put in before, at random places."""
+    out = list(words)
+    for at in sorted(draw.sample(range(len(words)), edits), reverse=True):
+        kind = draw.randrange(3) if edits == 1 or len(words) >= 10 else 0
+        out[at : at + 1] = [[fresh()], [], [fresh(), out[at]]][kind]
+    return out
+
+
+def test_recall_of_similar_lines(spark):
+    """Planted pairs at one edit and at a fifth of the words, among lines of the same words: at least 0.97 are found."""
+    draw = random.Random(11)
+    vocabulary = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) + "x" * (k % 7) for k in range(3000)]
+    fresh = lambda: draw.choice(vocabulary)
+    rows, pairs = [], {}
+    for n in (5, 10, 20, 80):
+        for edits in sorted({1, n // 5}):
+            for k in range(150):
+                words = [fresh() for _ in range(n)]
+                other = edited(words, edits, draw, fresh)
+                if lines.similar(words, other, 0.8):
+                    pairs.setdefault((n, edits), []).append(len(rows) + 1)
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    _, gone = lines.repeated_lines(spark.createDataFrame(rows, DOCS).repartition(8))
+    got = {r.doc_id for r in gone.collect()}
+    for (n, edits), ids in pairs.items():
+        found = sum(i in got for i in ids) / len(ids)
+        print(f"{n} words, {edits} edits: {found:.3f} of {len(ids)}")
+        assert len(ids) >= 100 and found >= 0.97
+    planted = {i for ids in pairs.values() for i in ids}
+    assert not got - planted
+
+
+def test_many_lines_with_one_simhash_and_few_shared_words(spark):
+    """Rows of a number table: 20,000 lines that share six of eight words and so a bucket; short lines count too."""
+    draw = random.Random(5)
+    names = [f"name{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(4000)]
+    rows = [(k, f"{k % 90 + 10} {k % 80 + 10} 17 4 99 {k % 70 + 10} {names[draw.randrange(4000)]} {names[draw.randrange(4000)]}") for k in range(20_000)]
+    kinds = sorted({tuple(lines.normal_words(t)) for _, t in rows})
+    left, right = {}, {}
+    for k, w in enumerate(kinds):
+        left.setdefault(w[:7], []).append(k)
+        right.setdefault(w[:6] + w[7:], []).append(k)
+    links = [(g[0], k) for d in (left, right) for g in d.values() for k in g[1:]]
+    group = brute_components(range(len(kinds)), links)
+    few = [(30_000 + k, t) for k, t in enumerate(["All rights reserved", "chapter one", "All rights: reserved!", "", "*", "chapter one\nchapter 1"])]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows + few, DOCS)).collect()}
+    assert sum(out[k] != "" for k, _ in rows) == len(set(group.values()))
+    assert [out[30_000 + k] for k in range(6)] == ["All rights reserved", "chapter one", "", "", "*", "chapter 1"]
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\nx", 1, 2, "q", 3), (2, "a b c d e", 4, 5, "r", 6), (None, "a b c d e", 7, 8, None, 9)], "doc_id long, text string, gone_id int, GONE_LINES int, kept_text string, text_parts int")
+    got = lines.dedup_lines(docs, counts=True)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {tuple(r) for r in got.collect()} == {(1, "a b c d e\nx", 1, 2, "q", 3, 2, 0), (2, "", 4, 5, "r", 6, 1, 1), (None, "a b c d e", 7, 8, None, 9, 1, 0)}
+
+
 def test_restore_decodes_digits_and_signs_at_the_edges(spark):
     docs = spark.createDataFrame([(1, " ".join(["idiot moron pathetic worthless stupid disgusting loser trash obscene the and of that"] * 50))], DOCS)
     d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))
