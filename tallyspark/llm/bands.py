@@ -45,12 +45,13 @@ def minima(hashes, starts, count: int):
     return np.stack([np.minimum.reduceat(mixed(hashes * o), starts) for o in odd], axis=1) if len(starts) else np.zeros((0, count), np.uint64)
 
 
-def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False) -> DataFrame:
+def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False, test: Callable | None = None) -> DataFrame:
     """``(a, b)``: per task a spanning forest of the likely pairs of ``rows(key, rep, w0, w1, ...)`` that share a bucket.
 
     A pair is likely if its sizes allow the similarity ``least`` and ``near(size_i, size_j, w_i, w_j)`` gives it a cost
     that is not negative; cheap pairs are taken first. With ``grouped`` all likely pairs whose column ``g`` differs are
-    returned, not a forest. A row may stand in a bucket more than once.
+    returned, not a forest; with ``test`` too, those of them that it passes by the rows' ``content`` and that unite two
+    groups not yet united in the task. A row may stand in a bucket more than once.
 
     A task holds the rows of one bucket and looks at pairs by the step. ``budget(size)`` tells how many bits ``w0`` of a
     likely pair may differ in where the longer side has that size. Where a large bucket's budget is small, the trie of
@@ -62,7 +63,8 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
     from .simhash import trie_links
 
     words = [f"w{k}" for k in range(sketches)]
-    names = ["key", "rep", *words, *(["g"] if grouped else [])]
+    names = ["key", "rep", *words, *(["g"] if grouped else []), *(["content"] if test else [])]
+    part = PART // 8 if test else PART
 
     def runs(size, first, last):
         """Index pairs of each bucket in steps; rows are sorted by bucket, then size."""
@@ -112,6 +114,31 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
             some = cost >= 0
             yield i[some], j[some], cost[some]
 
+    def settled(x, size) -> list[tuple[int, int]]:
+        rep, content, g = x["rep"].tolist(), x["content"], x["g"].tolist()
+        up: dict[int, int] = {}
+        refused: set[tuple[int, int]] = set()
+        out = []
+
+        def root(v: int) -> int:
+            while v in up:
+                v = up[v]
+            return v
+
+        for i, j, cost in likely(x, size):
+            order = np.argsort(cost, kind="stable")
+            for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                a, b = root(g[p]), root(g[q])
+                pair = (min(rep[p], rep[q]), max(rep[p], rep[q]))
+                if a == b or pair in refused:
+                    continue
+                if test(content[p], content[q]):
+                    up[max(a, b)] = min(a, b)
+                    out.append(pair)
+                else:
+                    refused.add(pair)
+        return out
+
     def walk(x) -> pa.RecordBatch:
         order = np.lexsort((x["rep"], x["key"]))
         x = {c: v[order] for c, v in x.items()}
@@ -119,6 +146,9 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
         x = {c: v[new] for c, v in x.items()}
         rep, node = np.unique(x["rep"], return_inverse=True)
         size = x["key"] & MOST_SIZE
+        if test:
+            found = settled(x, size)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         if grouped:
             parts = [(node[i], node[j]) for i, j, _ in likely(x, size)]
             i, j = (np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in (0, 1))
@@ -135,7 +165,7 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
                 continue
             held.append({c: y.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)})
             n += y.num_rows
-            if n >= PART and held[0]["key"][0] >> SIZE_BITS != held[-1]["key"][-1] >> SIZE_BITS:
+            if n >= part and held[0]["key"][0] >> SIZE_BITS != held[-1]["key"][-1] >> SIZE_BITS:
                 x = {c: np.concatenate([h[c] for h in held]) for c in names}
                 stop = int(np.searchsorted(x["key"] >> SIZE_BITS, x["key"][-1] >> SIZE_BITS))  # the last bucket may go on
                 yield walk({c: v[:stop] for c, v in x.items()})
@@ -147,13 +177,13 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def banded_groups(rows: Callable[[DataFrame | None], DataFrame], verified: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+def banded_groups(rows: Callable[[DataFrame | None], DataFrame], verified: Callable[[DataFrame], DataFrame], test: Callable | None = None, **how) -> DataFrame:
     """``(node, component)`` of the rows that verified pairs unite.
 
     ``rows(None)`` gives all bucket rows, ``rows(nodes)`` those of the written ``nodes(node, g)`` with their column ``g``.
     ``verified`` turns ``(a, b)`` into a written ``(a, b, same)``. A link of the forest that fails leaves its two sides
     apart, though another pair between them may pass. So in clusters with a failed link all likely pairs whose sides are
-    still apart are verified too.
+    still apart are verified too: where they are found if ``test`` compares the ``content`` of rows, else by ``verified``.
     """
     forest = cut(bucket_links(rows(None), **how))
     found = verified(forest)
@@ -165,6 +195,8 @@ def banded_groups(rows: Callable[[DataFrame | None], DataFrame], verified: Calla
     torn = failed.join(clusters, failed["a"] == clusters["node"]).select(F.col("component").alias("cluster")).distinct()
     apart = clusters.join(torn, clusters["component"] == torn["cluster"], "left_semi").select("node")
     apart = cut(apart.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g")), F.col("node") == F.col("g_node"), "left").select("node", F.coalesce("g", "node").alias("g")))
-    done = cut(bucket_links(rows(apart), grouped=True, **how).join(failed, ["a", "b"], "left_anti"))
-    again = verified(done).where("same").select("a", "b")
+    if test:
+        again = cut(bucket_links(rows(apart), grouped=True, test=test, **how))
+    else:
+        again = verified(cut(bucket_links(rows(apart), grouped=True, **how).join(failed, ["a", "b"], "left_anti"))).where("same").select("a", "b")
     return cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)))

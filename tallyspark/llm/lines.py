@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bands import banded_groups, bucket_keys, minima, mixed
@@ -18,8 +18,9 @@ SIMILARITY = 0.8
 #: Lines of up to ``SHORT`` words meet in all their blocks of two words, lines of ``LONG`` or more in so many MinHashes of
 #: their blocks of three. At the default similarity lines of 13 words or more only go with lines of 11 or more.
 SHORT, LONG, HASHES = 12, 11, 10
-#: Longer lines than ``BAG_ONLY`` words must also be within ``MAX_BITS`` bits of SimHash; shorter ones have a second bag.
-BAG_ONLY, MAX_BITS = 16, 22
+#: Sketches of two words of 64 bits: two bags up to ``BAG_ONLY`` words, a bag and a SimHash up to ``BAG_TOO``, two SimHashes
+#: of longer lines, whose bags would be full. Bits that one SimHash of similar lines may differ in, and two.
+BAG_ONLY, BAG_TOO, MAX_BITS, MAX_BITS_2 = 16, 32, 22, 40
 #: Weight in the SimHash of words of so many bytes or more, others count once: unlike lines share mostly short words.
 HEAVY, HEAVY_BYTES = 4, 4
 #: Bytes of text that a worker hashes at once.
@@ -102,14 +103,18 @@ def simhashes(hashes, sizes, weights):
 
 
 def sketches(words, sizes, heavy):
-    """``(w0, w1)`` of each line: a bag with a bit for each word, and for short lines another bag, for others the SimHash."""
+    """``(w0, w1)`` of each line: bags with a bit for each word or SimHashes, by the line's length."""
     import numpy as np
 
     starts = np.cumsum(sizes) - sizes
     if not len(sizes):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    weights = np.where(heavy, np.uint64(HEAVY), np.uint64(1))
     bag = lambda shift: np.bitwise_or.reduceat(np.uint64(1) << ((words >> np.uint64(shift)) & np.uint64(63)), starts)
-    return bag(0), np.where(sizes <= BAG_ONLY, bag(20), simhashes(words, sizes, np.where(heavy, np.uint64(HEAVY), np.uint64(1))))
+    w0, w1, long = bag(0), np.where(sizes <= BAG_ONLY, bag(20), simhashes(words, sizes, weights)), sizes > BAG_TOO
+    here = np.repeat(long, sizes)
+    w0[long] = simhashes(mixed(words[here]), sizes[long], weights[here])
+    return w0, w1
 
 
 def bucket_rows(words, sizes, kinds):
@@ -288,10 +293,10 @@ def likely_lines(similarity: float, max_bits: int):
 
     def near(short, long, a, b):
         most = 2 * np.floor((1 - similarity) * long + 1e-6)
-        bag = np.bitwise_count(a[0] ^ b[0]).astype(np.int64)
-        other = np.bitwise_count(a[1] ^ b[1]).astype(np.int64)
-        second = np.where(long <= BAG_ONLY, other <= most, (short <= BAG_ONLY) | (other <= max_bits))
-        return np.where((bag <= most) & second, np.where(long <= BAG_ONLY, bag, other), -1)
+        first, second = (np.bitwise_count(a[k] ^ b[k]).astype(np.int64) for k in (0, 1))
+        bags = (first <= most) & np.where(long <= BAG_ONLY, second <= most, (short <= BAG_ONLY) | (second <= max_bits))
+        hashes = np.where(short <= BAG_TOO, second <= max_bits, first + second <= MAX_BITS_2)
+        return np.where(np.where(long <= BAG_TOO, bags, hashes), np.where(long <= BAG_ONLY, first, second), -1)
 
     return near
 
@@ -303,8 +308,9 @@ def groups_of_lines(docs: DataFrame, kinds: DataFrame, min_words: int, max_bits:
     def rows(nodes: DataFrame | None) -> DataFrame:
         if nodes is None:
             return line_buckets(docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")), min_words)
-        again = line_buckets(held["texts"].join(small(nodes, 16), F.col("kind") == F.col("node"), "left_semi").select(F.decode("line", "UTF-8")), min_words)
-        return again.join(small(nodes, 16), F.col("rep") == F.col("node"))
+        texts = held["texts"].join(small(nodes, 16), F.col("kind") == F.col("node")).select("kind", "line", "g")
+        again = line_buckets(texts.select(F.decode("line", "UTF-8")), min_words)
+        return again.join(small(cut(texts), 400), F.col("rep") == F.col("kind")).select("key", "rep", "w0", "w1", "g", F.col("line").alias("content"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         if "texts" not in held:
@@ -312,7 +318,18 @@ def groups_of_lines(docs: DataFrame, kinds: DataFrame, min_words: int, max_bits:
         return verified(pairs, held["texts"], similarity)
 
     budget = lambda size: 2 * int((1 - similarity) * size + 1e-6) if size <= SHORT else 64
-    return banded_groups(rows, verify, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
+    test = lambda a, b: similar(a.split(), b.split(), similarity)
+    return banded_groups(rows, verify, test, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
+
+
+def place(ident: str, line: str) -> Column:
+    """Id and line as one number in their order, so that its minimum is found by hash aggregation."""
+    return F.expr(f"cast({ident} AS decimal(19, 0)) * 2147483648BD + {line}")
+
+
+def id_and_line(column: str, ident: str, line: str) -> tuple[Column, Column]:
+    at = f"pmod({column}, 2147483648BD)"
+    return F.expr(f"({column} - {at}) div 2147483648BD").alias(ident), F.expr(f"cast({at} AS int)").alias(line)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -330,12 +347,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int =
     """
     named = docs.where(F.col(id_col).isNotNull())
     lines = cut(lines_of(named, min_words, id_col, text_col))
-    kinds = cut(lines.groupBy("kind").agg(F.count("*").alias("places"), F.min(F.struct("id", "line")).alias("first")).select("kind", "places", F.col("first.id").alias("fid"), F.col("first.line").alias("fline")))
+    kinds = cut(lines.groupBy("kind").agg(F.count("*").alias("places"), F.min(place("id", "line")).alias("first")).select("kind", "places", *id_and_line("first", "fid", "fline")))
     groups = groups_of_lines(named, kinds, min_words, max_bits, similarity, id_col, text_col)
     grouped = kinds.join(small(groups, 16), kinds["kind"] == groups["node"], "left").withColumn("g", F.coalesce("component", "kind"))
-    firsts = grouped.where("component is not null").groupBy(F.col("g").alias("keep_g")).agg(F.min(F.struct("fid", "fline")).alias("keep"))
-    grouped = grouped.join(firsts, F.col("g") == F.col("keep_g"), "left").withColumn("keep", F.coalesce("keep", F.struct("fid", "fline"))).where("places > 1 OR keep.fid <> fid OR keep.fline <> fline")
-    grouped = cut(grouped.select(F.col("kind").alias("__kind"), F.col("keep.fid").alias("kid"), F.col("keep.fline").alias("kline")))
+    firsts = grouped.where("component is not null").groupBy(F.col("g").alias("keep_g")).agg(F.min(place("fid", "fline")).alias("keep")).select("keep_g", *id_and_line("keep", "gid", "gline"))
+    grouped = grouped.join(firsts, F.col("g") == F.col("keep_g"), "left").select(F.col("kind").alias("__kind"), "places", "fid", "fline", F.coalesce("gid", "fid").alias("kid"), F.coalesce("gline", "fline").alias("kline"))
+    grouped = cut(grouped.where("places > 1 OR kid <> fid OR kline <> fline").select("__kind", "kid", "kline"))
     gone = lines.join(small(grouped, 32), F.col("kind") == F.col("__kind")).where("id <> kid OR line <> kline").select(F.col("id").alias(id_col), "line")
     return lines, cut(gone.distinct())
 
