@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, spanning_pairs
+from .common import components, cut, small, spanning_pairs
 
-#: Rows gathered before their buckets are walked, and pairs looked at in one step.
-PART, STEP = 1 << 18, 1 << 19
+#: Bucket rows dealt to a task on average (a fraction of them if they carry content), rows whose buckets are walked at a
+#: time, and pairs looked at in one step.
+TASK_ROWS, CONTENT_ROWS, PART, STEP = 1 << 20, 1 << 17, 1 << 18, 1 << 19
+#: Pairs that a task remembers to have refused.
+REFUSED = 1 << 20
 #: A bucket key holds 48 bits of hash, then a row's size, 65,535 standing for all that are as large or larger.
 SIZE_BITS = 16
 MOST_SIZE = (1 << SIZE_BITS) - 1
@@ -35,25 +38,26 @@ def bucket_keys(hashes, sizes):
 
 
 def minima(hashes, starts, count: int):
-    """``(len(starts), count)`` minima of runs of feature hashes under as many hash functions.
+    """``(len(starts), count)`` minima of runs of well mixed feature hashes under as many hash functions.
 
     Two sets of Jaccard similarity s share one with probability ``1 - (1 - s) ** count``. No run is empty.
     """
     import numpy as np
 
     odd = np.random.default_rng(5).integers(0, 1 << 64, count, dtype=np.uint64) | np.uint64(1)
-    return np.stack([np.minimum.reduceat(mixed(hashes * o), starts) for o in odd], axis=1) if len(starts) else np.zeros((0, count), np.uint64)
+    return np.stack([np.minimum.reduceat(hashes * o, starts) for o in odd], axis=1) if len(starts) else np.zeros((0, count), np.uint64)
 
 
-def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False, test: Callable | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False, test: Callable | None = None) -> DataFrame:
     """``(a, b)``: per task a spanning forest of the likely pairs of ``rows(key, rep, w0, w1, ...)`` that share a bucket.
 
     A pair is likely if its sizes allow the similarity ``least`` and ``near(size_i, size_j, w_i, w_j)`` gives it a cost
     that is not negative; cheap pairs are taken first. With ``grouped`` all likely pairs whose column ``g`` differs are
-    returned, not a forest; with ``test`` too, those of them that it passes by the rows' ``content`` and that unite two
-    groups not yet united in the task. A row may stand in a bucket more than once.
+    returned, not a forest; with ``test`` too, those of them that it passes by the words of their ``content`` and that unite
+    two groups not yet united in the task. A row may stand in a bucket more than once.
 
-    A task holds the rows of one bucket and looks at pairs by the step. ``budget(size)`` tells how many bits ``w0`` of a
+    ``count`` is about the number of rows; it sets the number of tasks, so that a task holds a bounded share of them, or
+    one bucket if that has more, sorts it in place and looks at pairs by the step. ``budget(size)`` tells how many bits ``w0`` of a
     likely pair may differ in where the longer side has that size. Where a large bucket's budget is small, the trie of
     ``w0`` is walked against itself, so that rows that differ by more are never paired.
     """
@@ -64,7 +68,7 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
 
     words = [f"w{k}" for k in range(sketches)]
     names = ["key", "rep", *words, *(["g"] if grouped else []), *(["content"] if test else [])]
-    part = PART // 8 if test else PART
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // (CONTENT_ROWS if test else TASK_ROWS)))
 
     def runs(size, first, last):
         """Index pairs of each bucket in steps; rows are sorted by bucket, then size."""
@@ -114,10 +118,9 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
             some = cost >= 0
             yield i[some], j[some], cost[some]
 
-    def settled(x, size) -> list[tuple[int, int]]:
-        rep, content, g = x["rep"].tolist(), x["content"], x["g"].tolist()
-        up: dict[int, int] = {}
-        refused: set[tuple[int, int]] = set()
+    def settled(x, size, up: dict[int, int], refused: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        rep, g = x["rep"].tolist(), x["g"].tolist()
+        words: dict[int, list] = {}
         out = []
 
         def root(v: int) -> int:
@@ -125,6 +128,11 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
                 v = up[v]
             return v
 
+        def words_of(k: int) -> list:
+            if rep[k] not in words:
+                words[rep[k]] = x["content"][k].split()
+            return words[rep[k]]
+
         for i, j, cost in likely(x, size):
             order = np.argsort(cost, kind="stable")
             for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
@@ -132,22 +140,18 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
                 pair = (min(rep[p], rep[q]), max(rep[p], rep[q]))
                 if a == b or pair in refused:
                     continue
-                if test(content[p], content[q]):
+                if test(words_of(p), words_of(q)):
                     up[max(a, b)] = min(a, b)
                     out.append(pair)
-                else:
+                elif len(refused) < REFUSED:
                     refused.add(pair)
         return out
 
-    def walk(x) -> pa.RecordBatch:
-        order = np.lexsort((x["rep"], x["key"]))
-        x = {c: v[order] for c, v in x.items()}
-        new = np.r_[True, (x["key"][1:] != x["key"][:-1]) | (x["rep"][1:] != x["rep"][:-1])]
-        x = {c: v[new] for c, v in x.items()}
+    def walk(x, up, refused) -> pa.RecordBatch:
         rep, node = np.unique(x["rep"], return_inverse=True)
         size = x["key"] & MOST_SIZE
         if test:
-            found = settled(x, size)
+            found = settled(x, size, up, refused)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         if grouped:
             parts = [(node[i], node[j]) for i, j, _ in likely(x, size)]
@@ -158,45 +162,59 @@ def bucket_links(rows: DataFrame, near: Callable, least: float, sketches: int, b
         return pa.RecordBatch.from_arrays([pa.array(rep[pairs[0]]), pa.array(rep[pairs[1]])], names=["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        n = 0
-        for y in batches:
-            if not y.num_rows:
-                continue
-            held.append({c: y.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)})
-            n += y.num_rows
-            if n >= part and held[0]["key"][0] >> SIZE_BITS != held[-1]["key"][-1] >> SIZE_BITS:
-                x = {c: np.concatenate([h[c] for h in held]) for c in names}
-                stop = int(np.searchsorted(x["key"] >> SIZE_BITS, x["key"][-1] >> SIZE_BITS))  # the last bucket may go on
-                yield walk({c: v[:stop] for c, v in x.items()})
-                held, n = [{c: v[stop:] for c, v in x.items()}], len(x["key"]) - stop
-        if held:
-            yield walk({c: np.concatenate([h[c] for h in held]) for c in names})
-
-    dealt = rows.select(*names).repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
+        held = [[y.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))] for y in batches if y.num_rows]
+        if not held:
+            return
+        x = {c: np.concatenate([h[k] for h in held]) for k, c in enumerate(names)}
+        held.clear()
+        order = np.lexsort((x["rep"], x["key"]))
+        key, rep = x["key"][order], x["rep"][order]
+        order = order[np.r_[True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])]]
+        bucket = x["key"][order] >> SIZE_BITS
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        many = np.diff(np.r_[first, len(bucket)]) > 1
+        order = order[np.repeat(many, np.diff(np.r_[first, len(bucket)]))]  # rows alone in their bucket link with nothing
+        bucket = x["key"][order] >> SIZE_BITS
+        up: dict[int, int] = {}
+        refused: set[tuple[int, int]] = set()
+        at = 0
+        while at < len(order):
+            to = min(at + PART, len(order))
+            to = int(np.searchsorted(bucket, bucket[to - 1], side="left")) if to < len(order) else to
+            if to <= at:  # one bucket is larger than a part
+                to = int(np.searchsorted(bucket, bucket[at], side="right"))
+            yield walk({c: v[order[at:to]] for c, v in x.items()}, up, refused)
+            at = to
+
+    dealt = rows.select(*names).repartition(tasks, F.shiftright("key", SIZE_BITS))
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def banded_groups(rows: Callable[[DataFrame | None], DataFrame], verified: Callable[[DataFrame], DataFrame], test: Callable | None = None, **how) -> DataFrame:
+def banded_groups(rows: Callable[[DataFrame | None], DataFrame], count: int, each: int, verified: Callable[[DataFrame], DataFrame], test: Callable | None = None, **how) -> DataFrame:
     """``(node, component)`` of the rows that verified pairs unite.
 
-    ``rows(None)`` gives all bucket rows, ``rows(nodes)`` those of the written ``nodes(node, g)`` with their column ``g``.
+    ``rows(None)`` gives the bucket rows of all ``count`` rows, about ``each`` of one; ``rows(nodes)`` those of the written
+    ``nodes(node, g)`` with their column ``g``.
     ``verified`` turns ``(a, b)`` into a written ``(a, b, same)``. A link of the forest that fails leaves its two sides
     apart, though another pair between them may pass. So in clusters with a failed link all likely pairs whose sides are
     still apart are verified too: where they are found if ``test`` compares the ``content`` of rows, else by ``verified``.
     """
-    forest = cut(bucket_links(rows(None), **how))
+    forest = cut(bucket_links(rows(None), count * each, **how))
     found = verified(forest)
     groups = cut(components(found.where("same").select("a", "b")))
     failed = cut(found.where("NOT same").select("a", "b"))
     if not failed.count():
         return groups
-    clusters = components(forest)
-    torn = failed.join(clusters, failed["a"] == clusters["node"]).select(F.col("component").alias("cluster")).distinct()
-    apart = clusters.join(torn, clusters["component"] == torn["cluster"], "left_semi").select("node")
-    apart = cut(apart.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g")), F.col("node") == F.col("g_node"), "left").select("node", F.coalesce("g", "node").alias("g")))
+    ends = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sides = cut(ends.join(small(groups.select(F.col("node").alias("g_node"), "component"), 16), F.col("node") == F.col("g_node"), "left").select("node", F.coalesce("component", "node").alias("g")))
+    torn = failed.select(F.explode(F.array("a", "b")).alias("end")).distinct().join(sides, F.col("end") == F.col("node")).select(F.col("g").alias("torn")).distinct()
+    apart = cut(sides.join(small(cut(torn), 8), F.col("g") == F.col("torn"), "left_semi"))
+    again = bucket_links(rows(apart), apart.count() * each, grouped=True, test=test, **how)
     if test:
-        again = cut(bucket_links(rows(apart), grouped=True, test=test, **how))
+        again = cut(again)
     else:
-        again = verified(cut(bucket_links(rows(apart), grouped=True, **how).join(failed, ["a", "b"], "left_anti"))).where("same").select("a", "b")
-    return cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)))
+        again = verified(cut(again.join(failed, ["a", "b"], "left_anti"))).where("same").select("a", "b")
+    side = lambda c: apart.select(F.col("node").alias(c), F.col("g").alias(f"g_{c}"))
+    joined = cut(components(again.join(side("a"), "a").join(side("b"), "b").select(F.col("g_a").alias("a"), F.col("g_b").alias("b"))))
+    moved = sides.join(small(joined.select(F.col("node").alias("old"), F.col("component").alias("new")), 16), F.col("g") == F.col("old"), "left")
+    return cut(moved.select("node", F.coalesce("new", "g").alias("component")))

@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 SHORT, LONG, HASHES = 12, 11, 10
 #: Sketches of two words of 64 bits: two bags up to ``BAG_ONLY`` words, a bag and a SimHash up to ``BAG_TOO``, two SimHashes
 #: of longer lines, whose bags would be full. Bits that one SimHash of similar lines may differ in, and two.
-BAG_ONLY, BAG_TOO, MAX_BITS, MAX_BITS_2 = 16, 32, 22, 40
+BAG_ONLY, BAG_TOO, MAX_BITS, MAX_BITS_2 = 16, 32, 22, 38
 #: Weight in the SimHash of words of so many bytes or more, others count once: unlike lines share mostly short words.
 HEAVY, HEAVY_BYTES = 4, 4
 #: Bytes of text that a worker hashes at once.
@@ -54,6 +54,25 @@ def run_hashes(values, starts, ends):
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(raw: bytes, starts, sizes):
+    """A 64-bit hash of each word ``raw[start:start + size]``, eight bytes at a time; ``raw`` ends in eight spare bytes."""
+    import numpy as np
+    import xxhash
+
+    windows = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = windows[starts] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(sizes, 8)).astype(np.uint64)))
+    at = np.flatnonzero(sizes > 8)
+    k = 8
+    while len(at) and k < 64:
+        left = np.minimum(sizes[at] - k, 8).astype(np.uint64)
+        out[at] = mixed(out[at]) ^ (windows[starts[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)))
+        k += 8
+        at = at[sizes[at] > k]
+    for j in at.tolist():
+        out[j] = xxhash.xxh3_64_intdigest(raw[starts[j] : starts[j] + sizes[j]])
+    return mixed(out + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def hashed_lines(texts: list[bytes]):
     """``(words, heavy, sizes, kinds, doc, line)`` of lower-cased texts, for their lines that have words.
 
@@ -63,16 +82,17 @@ def hashed_lines(texts: list[bytes]):
     import numpy as np
 
     normal = [t.translate(KEEP_BREAKS) for t in texts]
-    raw = np.frombuffer(b"\n".join(normal) + b"\n", np.uint8)
-    word = (raw != 32) & (raw != 10)
-    starts = np.flatnonzero(word & ~np.r_[False, word[:-1]])
-    ends = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
-    words, heavy = run_hashes(raw.astype(np.uint64) + np.uint64(1), starts, ends), ends - starts >= HEAVY_BYTES
-    breaks = np.flatnonzero(raw == 10)
-    sizes = np.diff(np.r_[0, np.searchsorted(starts, breaks)])
+    raw = b"\n" + b"\n".join(normal) + b"\n"
+    seen = np.frombuffer(raw, np.uint8)
+    word = (seen != 32) & (seen != 10)
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    words, heavy = word_hashes(raw + b"\0" * 8, starts, lengths), lengths >= HEAVY_BYTES
+    breaks = np.flatnonzero(seen == 10)
+    sizes = np.diff(np.searchsorted(starts, breaks))
     per = np.fromiter((t.count(b"\n") + 1 for t in normal), np.int64, len(normal))
     doc = np.repeat(np.arange(len(normal)), per)
-    line = np.arange(len(breaks)) - np.repeat(np.cumsum(per) - per, per)
+    line = np.arange(len(sizes)) - np.repeat(np.cumsum(per) - per, per)
     some = sizes > 0
     sizes, doc, line = sizes[some], doc[some], line[some]
     ends = np.cumsum(sizes)
@@ -204,8 +224,11 @@ def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, line int, kind long")
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two word lists, bit-parallel over one of them after their common ends are cut."""
+def edit_distance(a: list, b: list, most: int | None = None) -> int:
+    """Levenshtein distance of two word lists, bit-parallel over one of them after their common ends are cut.
+
+    With ``most``, any number above it as soon as the distance is known to be larger.
+    """
     a, b = trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
@@ -213,12 +236,14 @@ def edit_distance(a: list, b: list) -> int:
     for k, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << k
     full, high, up, down, score = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
-    for w in b:
+    for left, w in zip(range(len(b) - 1, -1, -1), b, strict=True):
         eq = at.get(w, 0)
         x = eq | down
         d = ((((x & up) + up) ^ up) | x) & full
         plus, minus = (down | ~(up | d)) & full, up & d
         score += bool(plus & high) - bool(minus & high)
+        if most is not None and score - left > most:
+            return most + 1
         plus = (plus << 1 | 1) & full
         up, down = (minus << 1 | ~(plus | d)) & full, plus & d
     return score
@@ -238,15 +263,10 @@ def similar(a: list, b: list, least: float) -> bool:
     """Whether the edit distance of two word lists is at most ``1 - least`` of the longer one's length."""
     longest = max(len(a), len(b))
     most = int((1 - least) * longest + 1e-9)
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or len(set(a).difference(b)) > most:
         return False
     a, b = trimmed(a, b)
-    if max(len(a), len(b)) <= most:
-        return True
-    only = set(a) - set(b)
-    if len(only) > most or sum(w in only for w in a) > most:
-        return False
-    return edit_distance(a, b) <= most
+    return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
 
 
 def line_texts(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -301,7 +321,7 @@ def likely_lines(similarity: float, max_bits: int):
     return near
 
 
-def groups_of_lines(docs: DataFrame, kinds: DataFrame, min_words: int, max_bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def groups_of_lines(docs: DataFrame, kinds: DataFrame, count: int, min_words: int, max_bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """``(node, component)`` of the kinds that verified pairs unite."""
     held: dict[str, DataFrame] = {}
 
@@ -318,8 +338,8 @@ def groups_of_lines(docs: DataFrame, kinds: DataFrame, min_words: int, max_bits:
         return verified(pairs, held["texts"], similarity)
 
     budget = lambda size: 2 * int((1 - similarity) * size + 1e-6) if size <= SHORT else 64
-    test = lambda a, b: similar(a.split(), b.split(), similarity)
-    return banded_groups(rows, verify, test, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
+    test = lambda a, b: similar(a, b, similarity)
+    return banded_groups(rows, count, HASHES, verify, test, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
 
 
 def place(ident: str, line: str) -> Column:
@@ -348,7 +368,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int =
     named = docs.where(F.col(id_col).isNotNull())
     lines = cut(lines_of(named, min_words, id_col, text_col))
     kinds = cut(lines.groupBy("kind").agg(F.count("*").alias("places"), F.min(place("id", "line")).alias("first")).select("kind", "places", *id_and_line("first", "fid", "fline")))
-    groups = groups_of_lines(named, kinds, min_words, max_bits, similarity, id_col, text_col)
+    groups = groups_of_lines(named, kinds, lines.count(), min_words, max_bits, similarity, id_col, text_col)
     grouped = kinds.join(small(groups, 16), kinds["kind"] == groups["node"], "left").withColumn("g", F.coalesce("component", "kind"))
     firsts = grouped.where("component is not null").groupBy(F.col("g").alias("keep_g")).agg(F.min(place("fid", "fline")).alias("keep")).select("keep_g", *id_and_line("keep", "gid", "gline"))
     grouped = grouped.join(firsts, F.col("g") == F.col("keep_g"), "left").select(F.col("kind").alias("__kind"), "places", "fid", "fline", F.coalesce("gid", "fid").alias("kid"), F.coalesce("gline", "fline").alias("kline"))

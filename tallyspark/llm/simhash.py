@@ -291,7 +291,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS,
         bits = np.bitwise_count(a[0] ^ b[0]).astype(np.int64)
         return np.where(bits <= budget, bits, -1)
 
-    groups = banded_groups(buckets, lambda pairs: jaccard_verified(pairs, docs, kinds, shingle_words, least, id_col, text_col), near=near, least=least, sketches=1)
+    groups = banded_groups(buckets, kinds.count(), BANDS, lambda pairs: jaccard_verified(pairs, docs, kinds, shingle_words, least, id_col, text_col), near=near, least=least, sketches=1)
     linked = cut(kinds.select("kind", "rep_id").join(groups, F.col("kind") == F.col("node"), "left").select("kind", "rep_id", F.coalesce("component", "kind").alias("group")))
     firsts = linked.groupBy("group").agg(F.min("rep_id").alias("first"))
     of_kind = linked.join(firsts, "group").select("kind", "first")
