@@ -111,25 +111,67 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: floa
     return joined.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def stream_edges(sizes: DataFrame, per: DataFrame, limit: float, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Where the mix ends in each source's stream: ``(edges, buckets)``, both written.
+
+    edges: skey, round, left, edge. In a round a source gives the first ``left`` words of its stream, as far as the
+    schedule has slots for its blocks. Documents stand in the stream by bucket of their hash, so all buckets below
+    ``edge`` are taken whole and none above; null: all are. buckets: skey, bucket, before (words before it), n.
+    """
+    slots = schedule(per, block_words).groupBy("skey").agg(((F.max("rank") + 1) * block_words).alias("room"))
+    reach = per.join(slots, "skey").select("skey", "source_size", F.least("words", "room").alias("reach"))
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(max(int(-(-limit // 1)) - 1, 0))))
+    reach = cut(reach.select("skey", rounds.alias("round"), "reach", "source_size").select("skey", "round", (F.col("reach") - F.col("round") * F.col("source_size")).alias("left")).where("left > 0"))
+    sums = bucketed(sizes).groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
+    sums = cut(sums.select("skey", "bucket", "n", (F.sum("n").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("n")).alias("before")))
+    edge = F.min(F.when(F.col("before") + F.col("n") > F.col("left"), F.col("bucket"))).alias("edge")
+    return cut(sums.join(small(reach, 64), "skey").groupBy("skey", "round", "left").agg(edge)), sums
+
+
+def bucketed(sizes: DataFrame) -> DataFrame:
+    id_col = sizes.columns[0]
+    return sizes.withColumn("h", F.xxhash64(F.lit("mix"), id_col)).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+
+
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of ``docs``: each document once per round in which its source takes it.
 
     A document at the end of a source's target keeps the words taken, joined by spaces; all others keep their
-    text as it stands. Documents that are not taken go. Rows that agree in id, source and size share their turns.
+    text as it stands. Documents that are not taken go, and so do those without a word. Repeated rows are documents of
+    their own; null ids and sources take part like any other. All columns come back, whatever their names.
+
+    Whether a document is taken whole follows from its bucket and a few numbers of its source, so texts are not joined
+    with rows of documents. Only those of the bucket in which a source's target ends, one in 4,096, are placed one by one.
     """
-    placed, taken = spans(docs, weights, share, limit, block_words, id_col, text_col, source_col)
-    turns = taken.groupBy("skey", "at", "round").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    turns = turns.join(placed.where("size > 0").select("skey", "at", id_col, "size"), ["skey", "at"])
-    turns = cut(turns.groupBy(F.col(id_col).alias("__id"), F.col("skey").alias("__skey"), "round").agg(F.min("first").alias("__first"), F.max("last").alias("__last"), F.max("size").alias("__size")))
-    key = F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    joined = docs.withColumn("__skey2", key).join(small(turns, 64), (F.col(id_col).cast("long").eqNullSafe(F.col("__id"))) & (F.col("__skey2") == F.col("__skey")))
-    whole = (F.col("__first") == 0) & (F.col("__last") == F.col("__size"))
-    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(0)), (F.col("__first") + 1).cast("int"), (F.col("__last") - F.col("__first")).cast("int")), " ")
-    text = F.when(whole, F.col(text_col)).otherwise(part)
-    out = joined.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    sizes = cut(sized(docs, id_col, text_col, source_col).toDF("id", "skey", "size"))
+    per = cut(targets(sizes, weights, share, limit))
+    edges, sums = stream_edges(sizes, per, limit, block_words)
+    ends = cut(edges.groupBy("skey").agg(F.collect_list(F.struct("round", "left", "edge")).alias("ends")))
+    key = F.when(F.col(f"`{source_col}`").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(f"`{source_col}`").cast("string")))
+    text = F.col(f"`{text_col}`").cast("string")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), key.alias("skey"), text.alias("t"))
+    bucket = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "id"), 64 - BUCKET_BITS)
+    named = named.withColumn("bucket", bucket).join(small(ends, 256), "skey")
+    rounds = F.size(F.filter("ends", lambda e: e["edge"].isNull() | (F.col("bucket") < e["edge"])))
+    whole = named.withColumn("rounds", rounds).where((F.col("rounds") > 0) & F.col("t").rlike(WORD))
+    whole = whole.select("row", "t", F.explode(F.sequence(F.lit(1), F.col("rounds"))).alias("round")).select("row", "t")
+    # the bucket where a source's target ends: words from the stream's place
+    last = edges.where("edge is not null").select("skey", "round", "left", F.col("edge").alias("bucket"))
+    inside = Window.partitionBy("skey", "bucket", "round").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    turns = bucketed(sizes).where("size > 0").join(small(last, 64), ["skey", "bucket"]).join(small(sums, 48), ["skey", "bucket"])
+    turns = turns.withColumn("at", F.col("before") + F.sum("size").over(inside) - F.col("size"))
+    turns = turns.withColumn("nr", F.row_number().over(Window.partitionBy("skey", "id", "size", "round").orderBy("at")))
+    turns = turns.withColumn("words", F.least("size", F.col("left") - F.col("at"))).where("words > 0").select(F.col("id").alias("t_id"), F.col("skey").alias("t_skey"), F.col("size").alias("t_size"), F.col("nr").alias("t_nr"), "words")
+    listed = F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(0))
+    cutting = named.where(F.exists("ends", lambda e: e["edge"].eqNullSafe(F.col("bucket")))).select("row", "t", "id", "skey", listed.alias("listed")).withColumn("size", F.size("listed"))
+    cutting = cutting.withColumn("nr", F.row_number().over(Window.partitionBy("id", "skey", "size").orderBy(F.xxhash64("t"))))
+    on = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("skey") == F.col("t_skey")) & (F.col("size") == F.col("t_size")) & (F.col("nr") == F.col("t_nr"))
+    part = F.when(F.col("words") == F.col("size"), F.col("t")).otherwise(F.array_join(F.slice("listed", F.lit(1), F.col("words").cast("int")), " "))
+    both = whole.unionByName(cutting.join(small(cut(turns), 64), on).select("row", part.alias("t")))
+    kinds = dict(docs.dtypes)
+    back = lambda c: F.col("t").cast(kinds[c]) if c == text_col else F.char_length("t").cast(kinds[c]) if c == "n_chars" else F.col("row").getField(c)
+    return both.select(*(back(c).alias(c) for c in docs.columns))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
