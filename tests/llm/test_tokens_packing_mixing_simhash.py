@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -124,6 +125,27 @@ def test_prefix_counts_are_exact():
     assert dp.truncate("the quick brown fox", 2) == "the quick"
 
 
+def test_prefix_rows_of_long_pieces_and_stored_counts(spark):
+    lib, dp = tokens.library(), tokens.PrefixTable()
+    rng = random.Random(9)
+    for t in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "é" * 3000, "字引" * 2000, " " * 20_000, "'re're 'res 'r", "!!<|endoftext|>!", "a \n <|endoftext|>  b<|endo"):
+        began = time.perf_counter()
+        counts = dp.prefixes(t)
+        assert time.perf_counter() - began < 5 and len(counts) == len(t) + 1
+        for i in {0, 1, len(t), *(rng.randrange(len(t)) for _ in range(20))}:
+            assert counts[i] == len(lib.encode(t[:i], add_special_tokens=False).ids)
+        dp.encode_piece = None  # the stored counts answer any budget
+        for budget in (0, 1, counts[-1] // 2, counts[-1]):
+            cut = dp.truncate(t, budget, counts)
+            assert len(lib.encode(cut, add_special_tokens=False).ids) <= budget and all(n > budget for n in counts[len(cut) + 1 :])
+        dp = tokens.PrefixTable()
+    rows = [(1, "the quick brown fox"), (2, ""), (3, None), (4, "日本 it's")]
+    counted = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), prefixes=True)
+    texts_too = counted.join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    got = {r.doc_id: r.text for r in tokens.truncated(texts_too, 2).collect()}
+    assert got == {i: t and dp.truncate(t, 2) for i, t in rows}
+
+
 def packed(rows, source):
     lib = tokens.library()
     ids = {}
