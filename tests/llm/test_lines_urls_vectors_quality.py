@@ -93,7 +93,7 @@ def plain_judge(url, rules):
 
 
 def test_urls(spark, sf):
-    cases = [None, "", "no scheme", "http://EXAMPLE.com/en/71?x#y", "https://m.example.com/en/8", "x://example.net#/de/", "x://example.net/de/8/../", "ftp://a.b.org/es/", "a://b://c/d", "http://notcom/en/", "http://com/en/", "http://Éx.COM/en/?q=://", "http://s.io/casino/x", "http://s.io/Casino", "http://casino.com/en/7", "http://s.io/a\nb/xxx", "http://s.io?xxx"]
+    cases = [None, "", "no scheme", "http://EXAMPLE.com/en/71?x#y", "https://m.example.com/en/8", "x://example.net#/de/", "x://example.net/de/8/../", "ftp://a.b.org/es/", "a://b://c/d", "http://notcom/en/", "http://com/en/", "http://Éx.COM/en/?q=://", "http://s.io/casino/x", "http://s.io/Casino", "http://casino.com/en/7", "http://s.io/a\nb/xxx", "http://s.io?xxx", "http://a\nb.com/en/x", "http://a\n.example.com/en/7", "http://\n/de/", "http://x.net/\n/de/", "http://s.io/PoKer", "http://s.io/pokers"]
     table = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(cases)] + [(1, "http://com/en/", None, None), (None, None, None, None)], "page_id long, url string, host string, rule string")
     got = {}
     for r in urls.judge(table).collect():
@@ -109,6 +109,15 @@ def test_urls(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_hundred_thousand_rules(spark, sf):
+    """A long list comes as a table; the verdicts are those of a look-up of every parent domain."""
+    rules = tuple(urls.Rule("block", f"site{k}.com") for k in range(100_000)) + urls.HOST_RULES
+    pages = spark.createDataFrame([(k, f"http://www.site{k * 37}.com/a/{k}") for k in range(5000)] + [(9000, "http://m.example.com/en/9")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in urls.judge(pages, urls.rule_table(spark, rules)).collect()}
+    want = {k: ("block", f"site{k * 37}.com") if k * 37 < 100_000 else ("allow", None) for k in range(5000)} | {9000: ("block", "com/en/")}
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
