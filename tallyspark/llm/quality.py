@@ -52,13 +52,18 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, *FIELDS])
 
     found = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{id_col} long, " + ", ".join(f"{f} long" for f in FIELDS))
-    bits = " | ".join(f"CASE WHEN {rule} THEN {BITS[name]}L ELSE 0L END" for name, rule in RULES)
-    return found.withColumn("failures", F.expr(bits))
+    return found.withColumn("failures", failure_bits())
 
 
-def rejected(policy: str | int) -> Column:
+def failure_bits(prefix: str = "") -> Column:
+    """The bits of the rules that a row of measurements fails; its columns' names may have a prefix."""
+    named = {name: re.sub(r"\b(" + "|".join(FIELDS) + r")\b", rf"{prefix}\1", rule) for name, rule in RULES}
+    return F.expr(" | ".join(f"CASE WHEN {rule} THEN {BITS[name]}L ELSE 0L END" for name, rule in named.items()))
+
+
+def rejected(policy: str | int, failures: str = "failures") -> Column:
     """Whether a ledger row fails a rule of the policy (a version's name or a mask)."""
-    return F.col("failures").bitwiseAND(F.lit(POLICIES[policy] if isinstance(policy, str) else policy)) != 0
+    return F.col(failures).bitwiseAND(F.lit(POLICIES[policy] if isinstance(policy, str) else policy)) != 0
 
 
 def ablation(entries: DataFrame, policy: str = POLICY) -> DataFrame:
@@ -75,9 +80,10 @@ def ablation(entries: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = POLICY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that no rule of the policy rejects, with all their columns.
+    """The rows that no rule of the policy rejects, with all their columns, whatever their names.
 
-    Rules and texts travel together, so rows need no id: repeated rows are judged one by one.
+    Each row gets the ledger's bits of all rules, and the policy's mask decides. The bits travel with the texts, so rows
+    need no id: repeated rows are judged one by one. Null and empty texts have few words and go under both policies.
     """
     import pyarrow as pa
 
@@ -92,9 +98,7 @@ def keep_good(docs: DataFrame, policy: str = POLICY, id_col: str = "doc_id", tex
     kinds = dict(docs.dtypes)
     schema = ", ".join(["__text string", *(f"__r{k} {kinds[c]}" for k, c in enumerate(rest)), *(f"__m_{f} long" for f in FIELDS)])
     found = docs.select(F.col(text_col).cast("string").alias("__text"), F.struct(*(F.col(f"`{c}`").alias(f"__r{k}") for k, c in enumerate(rest))).alias("r")).mapInArrow(run, schema)
-    rule = " OR ".join(f"({r})" for n, r in RULES if BITS[n] & POLICIES[policy])
-    rule = re.sub(r"\b(" + "|".join(FIELDS) + r")\b", r"__m_\1", rule)
-    good = found.where(F.expr(f"NOT coalesce({rule}, false)"))
+    good = found.withColumn("__failures", failure_bits("__m_")).where(~rejected(policy, "__failures"))
     back = {c: F.col(f"__r{k}").alias(c) for k, c in enumerate(rest)} | {text_col: F.col("__text").alias(text_col)}
     return good.select(*(back[c] for c in docs.columns))
 
