@@ -53,11 +53,35 @@ def flagged(tx: DataFrame) -> DataFrame:
     return tx.select("*", *((f() & (F.col("side9") == s)).alias(k) for k, (f, s) in DETECTORS.items()))
 
 
+#: Texts that the report groups by.
+TEXTS = {
+    "returned": lambda: has(R.RETURNED_CHEQUE), "cash": lambda: has(R.CASH_DEPOSIT), "tax": lambda: has(R.LHDN), "hrdf": lambda: has(R.HRDF),
+    "epf": lambda: has(R.EPF), "socso": lambda: has(R.SOCSO), "salary": salary_text, "fx": fx_text, "cheque": lambda: has(R.CHEQUE_LIKE),
+    "loan": lambda: has(R.LOAN_SHAPED) & ~has(R.LOAN_NOISE) & (F.greatest("credit", "debit") > 0),
+    "round": lambda: (F.col("credit") >= R.ROUND_STEP) & (F.pmod(F.round(F.col("credit") * 100).cast("bigint"), F.lit(R.ROUND_STEP * 100)) == 0),
+    "large": lambda: F.col("credit") >= R.LARGE_CREDIT,
+}
+
+
+def text_groups(tx: DataFrame, *texts: str, by: tuple[str, ...] = ("month",)) -> DataFrame:
+    """Rows and exact sums by month, side and which of ``TEXTS`` a row shows: every pattern is run once a row.
+
+    All that reports say of sides, texts and months is a second aggregate of these groups, of which there are as many as
+    months times combinations that occur.
+    """
+    keys = [*by, "side9", "pays", *(f"is_{t}" for t in texts)]
+    seen = tx.withColumn("side9", row_side(F.col("credit"), F.col("debit"))).withColumn("pays", F.col("debit") > 0)
+    seen = seen.select(*by, "side9", "pays", "credit", "debit", *(TEXTS[t]().alias(f"is_{t}") for t in texts))
+    return seen.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("credit").alias("credit"), F.sum("debit").alias("debit"))
+
+
 def totals(tx: DataFrame, *by: str) -> DataFrame:
     """Count and amount of every detector, one aggregate over one scan; ``(detector, n, amount)`` per group."""
     amount = lambda s: F.col("credit" if s == "CR" else "debit")
-    cols = [c for k, (_, s) in DETECTORS.items() for c in (F.count_if(k).alias(f"n_{k}"), F.coalesce(F.sum(F.when(F.col(k), amount(s))), F.lit(0)).cast("double").alias(f"a_{k}"))]
-    wide = flagged(tx).groupBy(*by).agg(*cols)
+    sums = F.count("*").alias("n"), F.sum("credit").alias("credit"), F.sum("debit").alias("debit")
+    groups = flagged(tx).groupBy(*by, *DETECTORS).agg(*sums)  # each pattern once a row; few combinations occur
+    cols = [c for k, (_, s) in DETECTORS.items() for c in (F.coalesce(F.sum(F.when(F.col(k), F.col("n"))), F.lit(0)).alias(f"n_{k}"), F.coalesce(F.sum(F.when(F.col(k), amount(s))), F.lit(0)).cast("double").alias(f"a_{k}"))]
+    wide = groups.groupBy(*by).agg(*cols)
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("detector"), F.col(f"n_{k}").alias("n"), F.col(f"a_{k}").alias("amount")) for k in DETECTORS))).alias("r")
     return wide.select(*by, rows).select(*by, "r.*")
 

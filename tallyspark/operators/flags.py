@@ -7,38 +7,53 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.scalar import money
-from .detect import flagged, high_value_credits, unbooked_loans
-from .monthly import completeness, compliance, monthly
+from .detect import TEXTS, high_value_credits, text_groups
+from .monthly import completeness, judged, monthly, statutory_sums, statutory_totals
 
 
 def dbl(c):
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+#: The summary's sums over the whole statement.
+SUMS = (
+    "gross_credits", "gross_debits", "returned_in_count", "returned_in_amount", "returned_out_count", "returned_out_amount", "cash_count", "cash_amount",
+    "tax_count", "tax_amount", "hrdf_count", "hrdf_amount", "round_count", "round_amount", "large_count", "large_amount", "own_credits", "own_debits",
+    "related_credits", "related_debits", "loans_in", "loans_out", "fx_credits", "fx_debits", "review_count",
+)
+
+
 def summary(classified: DataFrame) -> DataFrame:
-    """One row with all that the flags read; each side is itself one row."""
-    f = flagged(classified)
-    both = lambda n, k, side: (F.count_if(k).alias(f"{n}_count"), F.coalesce(dbl(F.sum(F.when(F.col(k), F.col(side)))), F.lit(0.0)).alias(f"{n}_amount"))
-    of = lambda n, c, side: F.coalesce(dbl(F.sum(F.when(F.col("primary") == c, F.col(side)))), F.lit(0.0)).alias(n)
-    step = F.pmod(F.round(F.col("credit") * 100).cast("bigint"), F.lit(R.ROUND_STEP * 100)) == 0
-    rounds = (F.col("credit") >= R.ROUND_STEP) & step
-    large = F.col("credit") >= R.LARGE_CREDIT
-    one = f.agg(
-        dbl(F.sum("credit")).alias("gross_credits"), dbl(F.sum("debit")).alias("gross_debits"),
-        *both("returned_in", "D04_returned_cheque_inward", "debit"), *both("returned_out", "D04_returned_cheque_outward", "credit"),
-        *both("cash", "D12_cash_deposit", "credit"), *both("tax", "D07_lhdn", "debit"), *both("hrdf", "D08_hrdf", "debit"),
-        F.count_if(rounds).alias("round_count"), F.coalesce(dbl(F.sum(F.when(rounds, F.col("credit")))), F.lit(0.0)).alias("round_amount"),
-        F.count_if(large).alias("large_count"), F.coalesce(dbl(F.sum(F.when(large, F.col("credit")))), F.lit(0.0)).alias("large_amount"),
+    """One row with all that the flags read.
+
+    One pass gives groups by month, side, category and text; months are summed from them, and the row from the months.
+    High-value credits, gaps and low closings are one-row sides of their own.
+    """
+    groups = text_groups(classified, *TEXTS, by=("month", "primary"))
+    col, zero = F.col, F.lit(0)
+    cr, dr = col("side9") == "CR", col("side9") == "DR"
+    rows = lambda k: F.coalesce(F.sum(F.when(k, col("n"))), zero)
+    paid = lambda k, side: F.coalesce(F.sum(F.when(k, col(side))), zero)
+    both = lambda n, k, side: (rows(k).alias(f"{n}_count"), paid(k, side).alias(f"{n}_amount"))
+    of = lambda n, c, side: paid(col("primary") == c, side).alias(n)
+    sums = (
+        F.sum("credit").alias("gross_credits"), F.sum("debit").alias("gross_debits"),
+        *both("returned_in", col("is_returned") & dr, "debit"), *both("returned_out", col("is_returned") & cr, "credit"),
+        *both("cash", col("is_cash") & cr, "credit"), *both("tax", col("is_tax") & dr, "debit"), *both("hrdf", col("is_hrdf") & dr, "debit"),
+        *both("round", col("is_round"), "credit"), *both("large", col("is_large"), "credit"),
         of("own_credits", "C01", "credit"), of("own_debits", "C02", "debit"), of("related_credits", "C03", "credit"), of("related_debits", "C04", "debit"),
         of("loans_in", "C10", "credit"), of("loans_out", "C11", "debit"),
-        F.coalesce(dbl(F.sum(F.when(F.col("D18_fx_credit"), F.col("credit")))), F.lit(0.0)).alias("fx_credits"), F.coalesce(dbl(F.sum(F.when(F.col("D18_fx_debit"), F.col("debit")))), F.lit(0.0)).alias("fx_debits"),
+        paid(col("is_fx") & cr, "credit").alias("fx_credits"), paid(col("is_fx") & dr, "debit").alias("fx_debits"),
+        rows(col("primary").isNull() & col("is_loan")).alias("review_count"),
     )
+    months = groups.groupBy("month").agg(*sums, *statutory_sums())
+    total = lambda n: (F.coalesce(F.sum(n), zero) if n.endswith("_count") else dbl(F.sum(n)) if n.startswith("gross") else F.coalesce(dbl(F.sum(n)), F.lit(0.0))).alias(n)
+    one = judged(months.agg(*map(total, SUMS), *statutory_totals()))
     high = high_value_credits(classified).agg(F.count("*").alias("high_count"), F.coalesce(dbl(F.sum("credit")), F.lit(0.0)).alias("high_amount"))
-    review = unbooked_loans(classified).agg(F.count("*").alias("review_count"))
     gaps = completeness(classified).agg(F.sum("gaps").alias("gap_months"), F.count_if(F.col("gaps") > 0).alias("gap_accounts"))
     low = monthly(classified).where(F.col("closing") < R.LOW_CLOSING).agg(F.count("*").alias("low_months"), F.min("closing").alias("lowest_closing"))
     out = one
-    for part in (high, review, gaps, low, compliance(classified)):
+    for part in (high, gaps, low):
         out = out.crossJoin(part)
     return out
 

@@ -40,24 +40,48 @@ def monthly(tx: DataFrame) -> DataFrame:
     return out.withColumn("swing", F.col("highest") - F.col("lowest")).drop("first_opening")
 
 
+def by_category(classified: DataFrame) -> DataFrame:
+    """Rows and exact sums of each account-month and category: the ladder is evaluated once a row, as a grouping key.
+
+    What A03 to A05 ask of it is computed from these few rows, in a second aggregate that the optimiser cannot merge
+    with the ladder. ``NULL`` stands for rows without a category.
+    """
+    amount = F.when(F.col("credit") > 0, F.col("credit")).otherwise(F.col("debit"))
+    return classified.groupBy("account_no", "month", "primary").agg(F.count("*").alias("n"), F.sum("credit").alias("credit"), F.sum("debit").alias("debit"), F.sum(amount).alias("amount"))
+
+
 def buckets(classified: DataFrame) -> DataFrame:
     """Amount and rows of every category per account-month; balance rows are left out."""
-    amount = F.when(F.col("credit") > 0, F.col("credit")).otherwise(F.col("debit"))
-    return classified.where("primary IS NOT NULL AND primary <> 'C25'").groupBy("account_no", "month", "primary").agg(F.count("*").alias("n"), dbl(F.sum(amount)).alias("amount"))
+    # the condition names a sum, so it stays above the aggregate
+    listed = F.when(F.col("n") > 0, F.col("primary") != "C25")
+    return by_category(classified).where(listed).select("account_no", "month", "primary", "n", dbl("amount").alias("amount"))
+
+
+#: Categories that are no net credits, and no net debits.
+OUT_CREDITS, OUT_DEBITS = ("C01", "C03", "C10", "C12", "C13", "C16"), ("C02",)
 
 
 def net_totals(classified: DataFrame) -> DataFrame:
     """Net credits without own-party, related, loan, interest, reversal and returned ones; net debits without own-party."""
-    part = lambda side, cats: F.coalesce(dbl(F.sum(F.when(F.col("primary").isin(*cats), F.col(side)))), F.lit(0.0))
-    flows = classified.where("primary IS NULL OR primary <> 'C25'")
-    agg = flows.groupBy("account_no", "month").agg(dbl(F.sum("credit")).alias("gross_credits"), dbl(F.sum("debit")).alias("gross_debits"), part("credit", ("C01", "C03", "C10", "C12", "C13", "C16")).alias("out_credits"), part("debit", ("C02",)).alias("out_debits"))
-    return agg.select("account_no", "month", "gross_credits", "gross_debits", (F.col("gross_credits") - F.col("out_credits")).alias("net_credits"), (F.col("gross_debits") - F.col("out_debits")).alias("net_debits"))
+    flow = F.coalesce(F.col("primary") != "C25", F.lit(True))
+    total = lambda side, cond: F.coalesce(dbl(F.sum(F.when(cond, F.col(side)))), F.lit(0.0))
+    agg = by_category(classified).groupBy("account_no", "month").agg(
+        dbl(F.sum(F.when(flow, F.col("credit")))).alias("gross_credits"), dbl(F.sum(F.when(flow, F.col("debit")))).alias("gross_debits"),
+        total("credit", F.col("primary").isin(*OUT_CREDITS)).alias("out_credits"), total("debit", F.col("primary").isin(*OUT_DEBITS)).alias("out_debits"),
+        F.sum(F.when(flow, F.col("n"))).alias("flows"),
+    )
+    return agg.where("flows > 0").select("account_no", "month", "gross_credits", "gross_debits", (F.col("gross_credits") - F.col("out_credits")).alias("net_credits"), (F.col("gross_debits") - F.col("out_debits")).alias("net_debits"))
+
+
+def balanced(months: DataFrame, tolerance: float = R.TOLERANCE) -> DataFrame:
+    """``months`` of A02 with A06's ``delta`` and ``status``."""
+    delta = F.round(F.col("closing") - (F.col("opening") + F.col("gross_credits") - F.col("gross_debits")), 2) + F.lit(0.0)
+    return months.withColumn("delta", delta).withColumn("status", F.when(F.abs("delta") > tolerance, "FAIL").when(F.col("delta").isNotNull(), "PASS"))
 
 
 def reconciled(tx: DataFrame, tolerance: float = R.TOLERANCE) -> DataFrame:
     """Closing against opening and flows, FAIL beyond the tolerance, NULL where a balance is not known."""
-    delta = F.round(F.col("closing") - (F.col("opening") + F.col("gross_credits") - F.col("gross_debits")), 2) + F.lit(0.0)
-    return monthly(tx).withColumn("delta", delta).select("account_no", "month", "opening", "closing", "delta", F.when(F.abs("delta") > tolerance, "FAIL").when(F.col("delta").isNotNull(), "PASS").alias("status"))
+    return balanced(monthly(tx), tolerance).select("account_no", "month", "opening", "closing", "delta", "status")
 
 
 def overdraft_convention(tx: DataFrame) -> DataFrame:
@@ -106,19 +130,46 @@ def coverage(months: DataFrame) -> DataFrame:
     return agg.withColumn("coverage_pct", F.when(F.col("salary_months") > 0, F.round(F.col("covered") / F.col("salary_months") * 100, 2)).otherwise(100.0))
 
 
-def compliance(tx: DataFrame) -> DataFrame:
-    """One row with coverage, presence and the overall status."""
-    from .detect import channel_blind, small_payroll
-
-    months = statutory_months(tx)
-    c = coverage(months)
-    pick = lambda f, col: F.max(F.when(F.col("fund") == f, F.col(col)))
-    one = c.agg(pick("EPF", "salary_months").alias("salary_months"), pick("EPF", "coverage_pct").alias("epf_pct"), pick("SOCSO", "coverage_pct").alias("socso_pct"), pick("EPF", "missing").alias("epf_missing"), pick("SOCSO", "missing").alias("socso_missing"))
-    taxes = months.agg(F.count_if(F.col("tax") > 0).alias("tax_months"), F.count_if(F.col("hrdf") > 0).alias("hrdf_months"))
-    out = one.crossJoin(taxes).crossJoin(small_payroll(tx).select("small")).crossJoin(channel_blind(tx).select("blind"))  # four one-row sides
+def statutory_sums() -> tuple:
+    """Aggregates of ``text_groups`` rows to a month's payroll: paid on the debit side, and what A09's special cases ask."""
+    of = lambda k: F.coalesce(F.sum(F.when(F.col(k) & (F.col("side9") == "DR"), F.col("debit"))), F.lit(0))
+    spent = lambda k: F.coalesce(F.sum(F.when(F.col(k) & F.col("pays"), F.col("debit"))), F.lit(0))
+    names = {"salary": "is_salary", "epf": "is_epf", "socso": "is_socso", "tax": "is_tax", "hrdf": "is_hrdf"}
+    return (*(of(k).alias(n) for n, k in names.items()), spent("is_salary").alias("salaries"), spent("is_cheque").alias("cheque_debits"), F.coalesce(F.sum(F.when(F.col("pays"), F.col("debit"))), F.lit(0)).alias("paid"))
+
+
+def statutory_totals() -> tuple:
+    """Aggregates of months to A09's one row."""
+    due = F.col("salary") > 0
+    covered = lambda f: F.round(F.count_if(due & (F.col(f) > 0)) / F.nullif(F.count_if(due), F.lit(0)) * 100, 2)
+    missing = lambda f: F.array_join(F.sort_array(F.collect_list(F.when(due & ~(F.col(f) > 0), F.col("month")))), ",")
+    return (
+        F.count_if(due).alias("salary_months"), F.coalesce(covered("epf"), F.lit(100.0)).alias("epf_pct"), F.coalesce(covered("socso"), F.lit(100.0)).alias("socso_pct"),
+        missing("epf").alias("epf_missing"), missing("socso").alias("socso_missing"), F.count_if(F.col("tax") > 0).alias("tax_months"), F.count_if(F.col("hrdf") > 0).alias("hrdf_months"),
+        F.coalesce(dbl(F.sum("salaries")), F.lit(0.0)).alias("salaries"), F.coalesce(dbl(F.sum("cheque_debits")), F.lit(0.0)).alias("cheque_debits"), F.coalesce(dbl(F.sum("paid")), F.lit(0.0)).alias("paid"),
+    )
+
+
+def judged(one: DataFrame) -> DataFrame:
+    """The row of ``statutory_totals`` with the overall and the exported status."""
+    share = F.when(F.col("paid") > 0, F.col("cheque_debits") / F.col("paid")).otherwise(0.0)
+    small = (F.col("salaries") > 0) & (F.col("salaries") <= R.SMALL_PAYROLL)
+    out = one.withColumn("small", small).withColumn("blind", (F.col("cheque_debits") >= R.BLIND_AMOUNT) & (share >= R.BLIND_SHARE))
     none = (F.col("salary_months") > 0) & ((F.col("epf_pct") == 0) | (F.col("socso_pct") == 0))
     status = F.when(none & F.col("small"), "SUB_THRESHOLD").when(none & F.col("blind"), "CHANNEL_BLIND").when(none, "CRITICAL").when((F.col("epf_pct") >= 100) & (F.col("socso_pct") >= 100), "COMPLIANT").otherwise("GAPS_DETECTED")
-    return out.withColumn("overall_status", status).withColumn("exported_status", F.when(status == "SUB_THRESHOLD", "COMPLIANT").when(status == "CHANNEL_BLIND", "GAPS_DETECTED").otherwise(status))
+    out = out.withColumn("overall_status", status).withColumn("exported_status", F.when(status == "SUB_THRESHOLD", "COMPLIANT").when(status == "CHANNEL_BLIND", "GAPS_DETECTED").otherwise(status))
+    return out.drop("salaries", "cheque_debits", "paid")
+
+
+def compliance(tx: DataFrame) -> DataFrame:
+    """One row with coverage, presence and the overall status, from one pass over the transactions.
+
+    Without a salary month coverage is 100.
+    """
+    from .detect import text_groups
+
+    months = text_groups(tx, "salary", "epf", "socso", "tax", "hrdf", "cheque").groupBy("month").agg(*statutory_sums())
+    return judged(months.agg(*statutory_totals()))
 
 
 def account_months(classified: DataFrame) -> DataFrame:
@@ -126,12 +177,14 @@ def account_months(classified: DataFrame) -> DataFrame:
     from .detect import high_value_credits
 
     keys = ["account_no", "month"]
-    fx = classified.withColumn("is_fx", fx_text()).groupBy(*keys).agg(F.coalesce(dbl(F.sum(F.when(F.col("is_fx"), F.col("credit")))), F.lit(0.0)).alias("fx_credits"), F.coalesce(dbl(F.sum(F.when(F.col("is_fx"), F.col("debit")))), F.lit(0.0)).alias("fx_debits"))
     step = F.pmod(F.round(F.col("credit") * 100).cast("bigint"), F.lit(R.ROUND_STEP * 100)) == 0
-    rounds = classified.groupBy(*keys).agg(F.count_if((F.col("credit") >= R.ROUND_STEP) & step).alias("round_count"), F.coalesce(dbl(F.sum(F.when((F.col("credit") >= R.ROUND_STEP) & step, F.col("credit")))), F.lit(0.0)).alias("round_credits"))
+    marked = classified.select(*keys, "credit", "debit", fx_text().alias("is_fx"), ((F.col("credit") >= R.ROUND_STEP) & step).alias("is_round"))
+    marked = marked.groupBy(*keys, "is_fx", "is_round").agg(F.count("*").alias("n"), F.sum("credit").alias("credit"), F.sum("debit").alias("debit"))
+    total = lambda mark, side: F.coalesce(dbl(F.sum(F.when(F.col(mark), F.col(side)))), F.lit(0.0))
+    marks = marked.groupBy(*keys).agg(total("is_fx", "credit").alias("fx_credits"), total("is_fx", "debit").alias("fx_debits"), F.coalesce(F.sum(F.when(F.col("is_round"), F.col("n"))), F.lit(0)).alias("round_count"), total("is_round", "credit").alias("round_credits"))
     high = high_value_credits(classified).groupBy(*keys).agg(F.count("*").alias("high_count"), dbl(F.sum("credit")).alias("high_credits"))
-    out = monthly(classified)
-    for part in (monthly_eod(classified), net_totals(classified).select(*keys, "net_credits", "net_debits"), fx, rounds, high, reconciled(classified).select(*keys, "delta", "status")):
+    out = balanced(monthly(classified))
+    for part in (monthly_eod(classified), net_totals(classified).select(*keys, "net_credits", "net_debits"), marks, high):
         out = out.join(part, keys, "left")
     return out.fillna(0, ["high_count"]).fillna(0.0, ["high_credits"])
 
