@@ -20,17 +20,21 @@ LEAST_TOXIC, LEAST_ODDS, LEXICON = 4, 3.0, 50_000
 #: Channel: what a written character may stand for besides itself, with the log-probability of writing it so.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiouh"}
 NOISE = ".-_*'~^"
-LOG_LEET, LOG_DROP, LOG_REPEAT = math.log(0.2), math.log(0.15), math.log(0.3)
+LOG_LEET, LOG_DROP, LOG_REPEAT, LOG_BREAK = math.log(0.2), math.log(0.15), math.log(0.3), math.log(0.8)
+#: Longer words and runs are decoded in stretches of so many characters, each from the best path of the one before.
+STRETCH = 256
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Classes of the character model: 0 word edge, 1 to 26 letters, 27 any other letter.
 CLASSES = 28
 LUT = bytes((c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if c >= 0xC0 else 0) for c in range(256))
 
-TOKEN = re.compile(r"\S+")
-#: Within a word cut free of punctuation: padding, digits or signs beside letters.
-ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(*#.\-_~^]|[0-9@$!|+(*#.\-_~^].*[^\W\d_]")
+#: Within a word cut free of punctuation: letters, and padding, digits or signs beside them.
+LETTER, SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(*#.\-_~^]")
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~^"
-SPACED = re.compile(r"(?<![^\W_])(?:[a-zA-Z0-9@$!|*][ .\-_]){2,}[a-zA-Z0-9@$|*](?![^\W_])")
+#: Three or more single characters that stand apart.
+GAPS = " .-_"
+SPACED = re.compile(r"(?<![^\W_])(?:[a-zA-Z0-9@$!|*][ .\-_]{1,3}){2,}[a-zA-Z0-9@$|*](?![^\W_])")
+GAP = re.compile(r"[ .\-_]+")
 #: Punctuation at the edges of a word that stands for no letter, and signs there that may.
 PUNCTUATION, SIGNS = ".,;:?\"')[]{}<>%&-_~^", "$!|*#("
 #: Left as written: addresses, assignments, and numbers with or without a unit.
@@ -74,38 +78,75 @@ def language_model(counts):
 
 
 class Decoder:
-    """Viterbi decoding of a written word into letters: the lattice holds each character's readings (itself, what it
-    stands for in leetspeak, nothing for padding, nothing for a repetition) and the character model scores the path."""
+    """Viterbi decoding of a written word, or of characters that stand apart, into letters.
+
+    The lattice holds each character's readings: itself, what it stands for in leetspeak, nothing for padding, nothing for
+    a repetition, and for a gap nothing or the break between two words. The character model scores the path.
+    """
 
     def __init__(self, model):
         self.model = model.tolist()
-        self.decode = lru_cache(50_000)(self._decode)
+        self.short = lru_cache(50_000)(self._decode)
+
+    def decode(self, word: str) -> str:
+        return self.short(word) if len(word) <= 64 else self._decode(word)
+
+    @staticmethod
+    def readings(c: str) -> list[tuple[str, float]]:
+        """Letters that a character may stand for, and a break for a gap."""
+        if c.isalpha():
+            return [(c, 0.0)]
+        letters = [(x, LOG_LEET - math.log(len(LEET[c]))) for x in LEET.get(c, "")]
+        return letters + [(" ", LOG_BREAK)] if c in GAPS else letters
+
+    @staticmethod
+    def dropped(c: str, before: str, last: str) -> float | None:
+        """The cost of reading nothing: padding, what has no reading, or the repetition of a character or letter."""
+        if c in NOISE or c in GAPS or not Decoder.readings(c):
+            return LOG_DROP
+        return LOG_REPEAT if last and c in (before, last) else None
+
+    @staticmethod
+    def state(x: str) -> int:
+        return 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
 
     def _decode(self, word: str) -> str:
-        lm = self.model
-        paths = {(0, 0): (0.0, "")}  # last two classes -> best score and text
-        for i, c in enumerate(word):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            readings = [(c, 0.0)] if c.isalpha() else [(x, LOG_LEET - math.log(len(LEET[c]))) for x in LEET.get(c, "")]
-            for (a, b), (score, text) in paths.items():
-                options = [(x, p) for x, p in readings]
-                for x, p in options:
-                    k = ord(x) - 96 if "a" <= x <= "z" else 27
-                    s = score + p + lm[a][b][k]
-                    if (b, k) not in new or s > new[b, k][0]:
-                        new[b, k] = (s, text + x)
-                drop = LOG_DROP if c in NOISE or not readings else LOG_REPEAT if i and text and (c == word[i - 1] or c == text[-1]) else None
-                if drop is not None and ((a, b) not in new or score + drop > new[a, b][0]):
-                    new[a, b] = (score + drop, text)
-            paths = new or paths
-        return max(((s + lm[a][b][0], t) for (a, b), (s, t) in paths.items()))[1]
+        lm, done, start, score = self.model, [], (0, 0), 0.0
+        for s in range(0, len(word), STRETCH):
+            # last two classes -> best score, and the letters read as a chain from the last one back
+            paths = {start: (score, None)}
+            for i in range(s, min(s + STRETCH, len(word))):
+                c = word[i]
+                new: dict[tuple[int, int], tuple] = {}
+                readings = [(x, p, self.state(x)) for x, p in self.readings(c)]
+                before = word[i - 1] if i else ""
+                for (a, b), (score, text) in paths.items():
+                    row = lm[a][b]
+                    for x, p, k in readings:
+                        t = score + p + row[k]
+                        if (b, k) not in new or t > new[b, k][0]:
+                            new[b, k] = (t, (text, x))
+                    drop = self.dropped(c, before, text[1] if text else done[-1] if done else "")
+                    if drop is not None and ((a, b) not in new or score + drop > new[a, b][0]):
+                        new[a, b] = (score + drop, text)
+                paths = new or paths
+            last = s + STRETCH >= len(word)
+            start, (score, text) = max(paths.items(), key=lambda kv: kv[1][0] + (lm[kv[0][0]][kv[0][1]][0] if last else 0.0))
+            part = []
+            while text:
+                text, x = text
+                part.append(x)
+            done += reversed(part)
+        return "".join(done)
 
     def restore(self, text: str) -> list[str]:
-        """Lower-case words of the restored text: letters that stand apart are drawn together, odd words decoded."""
+        """Lower-case words of the restored text: plain words, decoded odd ones, and characters that stand apart, both with
+        the breaks that the model reads into their gaps and drawn together."""
         extra = []
         for m in SPACED.finditer(text):
-            extra.append(self.decode(re.sub(r"[ .\-_]", "", m[0])))
-        words = text.lower().split()
+            run = m[0].lower()
+            extra += self.decode(run).split()
+            extra.append(self.decode(GAP.sub("", run)))
         repeats = REPEATED.search(text) is not None
         for w in text.lower().split():
             if w.isalpha():
@@ -125,8 +166,8 @@ class Decoder:
                 continue
             # signs at either edge may be letters or punctuation
             for x in {core, wide, wide.lstrip(SIGNS).lstrip(EDGES), wide.rstrip(SIGNS).rstrip(EDGES)}:
-                if ODD.search(x):
-                    extra.append(self.decode(x))
+                if LETTER.search(x) and SIGN.search(x):
+                    extra += self.decode(x).split()
         return extra
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from tallyspark.llm import lines, simhash, toxicity
 
@@ -148,7 +149,74 @@ def test_restore_decodes_digits_and_signs_at_the_edges(spark):
     d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))
     for written, word in (("1d10t", "idiot"), ("5tupid", "stupid"), ("0bscene", "obscene"), ("$tupid", "stupid"), ("$tup1d!", "stupid"), ("id.i.ot", "idiot"), ("!diot", "idiot"), ("m0r0n.", "moron"), ("(1d10t)", "idiot"), ("tr4sh!!", "trash"), ("l000ser", "loser"), ("l0000ser", "loser")):
         assert word in d.restore(f"you are a {written} and that"), written
+    for written in ("i d i o t", "s  t  u  p  i  d", "1 d 1 0 t", "S.T.U.P.1.D", "m - o - r - o - n"):
+        for word in ("idiot", "stupid", "moron"):
+            assert (word in d.restore(f"you are {written} !")) == (word[0] in written.lower()[0].replace("1", "i")), written
     for written in ("http://1d10t.com/x", "www.1d10t.org", "me@1d10t.com", "x=1d10t"):
         assert "idiot" not in d.restore(written), written
     for written in ("2024-01-02", "+49-30-1234", "3rd", "5kg", "1,000.5"):
         assert set(d.restore(written)) <= {"rd", "kg"}, written
+
+
+def best_reading(d, word):
+    """The best path's score over all readings, tried one by one."""
+    best = {}
+
+    def go(i, a, b, last, score, read):
+        if i == len(word):
+            score += d.model[a][b][0]
+            if not best or score > best["score"]:
+                best.update(score=score, text=read)
+            return
+        c = word[i]
+        for x, p in d.readings(c):
+            k = d.state(x)
+            go(i + 1, b, k, x, score + p + d.model[a][b][k], read + x)
+        drop = d.dropped(c, word[i - 1] if i else "", last)
+        if drop is not None:
+            go(i + 1, a, b, last, score + drop, read)
+
+    go(0, 0, 0, "", 0.0, "")
+    return best["score"], best["text"]
+
+
+def test_viterbi_finds_the_best_of_all_readings(spark):
+    docs = spark.createDataFrame([(1, "idiot moron stupid loser trash the and of that a an is it so")] * 20, DOCS)
+    d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abdeiostr013$@!. -*rr") for _ in range(draw.randrange(1, 8))) for _ in range(400)]
+    for word in [*words, "i d i o t", "st00pid", "tr@ssh", "m.o r-on"]:
+        score, text = best_reading(d, word)
+        got = d.decode(word)
+        assert got == text or abs(reading_score(d, word, got) - score) < 1e-9, word
+
+
+def reading_score(d, word, want):
+    """The best score of the readings that give ``want``."""
+    best = [float("-inf")]
+
+    def go(i, at, a, b, last, score):
+        if i == len(word):
+            if at == len(want):
+                best[0] = max(best[0], score + d.model[a][b][0])
+            return
+        c = word[i]
+        for x, p in d.readings(c):
+            if want[at : at + 1] == x:
+                k = d.state(x)
+                go(i + 1, at + 1, b, k, x, score + p + d.model[a][b][k])
+        drop = d.dropped(c, word[i - 1] if i else "", last)
+        if drop is not None:
+            go(i + 1, at, a, b, last, score + drop)
+
+    go(0, 0, 0, 0, "", 0.0)
+    return best[0]
+
+
+def test_very_long_words_are_restored_in_linear_time(spark):
+    docs = spark.createDataFrame([(1, "the idiot and the moron of that")] * 5, DOCS)
+    d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))
+    for text, most in (("a'" * 500_000, 20), ("a1b2" * 20_000, 60), ("a " * 100_000, 60), ("x" * 1_000_000, 60)):
+        began = time.perf_counter()
+        assert d.restore(text)
+        assert time.perf_counter() - began < most
