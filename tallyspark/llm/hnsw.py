@@ -16,7 +16,7 @@ LINKS, GROUND_LINKS, BUILD_BEAM, ASK_BEAM = 12, 24, 48, 48
 BATCH = 256
 #: Further links of a ground node to what would be cut off.
 BRIDGES = 4
-#: Queries of an audit, against every vector of the shard, and the share of true links they must find.
+#: Queries of an audit, half of them planted, against every vector of the shard, and the share of true links they must find.
 AUDIT, RECALL = 128, 0.99
 #: Pairs of shards are dealt to so many tasks at most.
 MOST_TASKS = 20_000
@@ -209,17 +209,20 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def ask(self, q, width: int, least: float):
-        """``(query, vector)`` pairs found at similarity ``least`` or more. A query whose beam ends above it asks again, wider."""
+    def ask(self, q, width: int, least: float, whole: bool = False):
+        """``(query, vector)`` pairs found at similarity ``least`` or more. A query whose beam ends above it asks again, wider.
+
+        With ``whole`` every vector is looked at instead, which is the last step of an audit that no beam passes.
+        """
         import numpy as np
 
         n = len(self.v)
         out: list[tuple] = []
-        if 4 * width >= n:  # a beam this wide sees most of the shard: look at all of it
+        if whole:
             for s in range(0, len(q), BATCH):
                 r, c = np.nonzero(q[s : s + BATCH] @ self.v.T >= least)
                 out.append((r + s, self.order[c]))
-        for s in range(0, len(q) if 4 * width < n else 0, BATCH):
+        for s in range(0, 0 if whole else len(q), BATCH):
             rows, beam = np.arange(s, min(s + BATCH, len(q))), min(width, n)
             while len(rows):
                 entry = np.zeros((len(rows), 1), np.int64)
@@ -255,38 +258,76 @@ class Graph:
         return g
 
 
-def audited(graph: Graph, vectors, queries, least: float):
-    """Pairs found by asking the graph with ``queries`` (both double), the beam widened until the audit passes.
+def planted(vectors, count: int, least: float, seed: int = 11):
+    """Unit queries that each have a link: vectors of the shard, turned in a random direction to a cosine from ``least`` up."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    base = vectors[rng.integers(0, len(vectors), count)]
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    size = np.sqrt((away * away).sum(1, keepdims=True))
+    away = np.divide(away, size, out=np.zeros_like(away), where=size > 0)
+    cos = least + (1 - least) * rng.random((count, 1)) ** 2  # most of them near the threshold, where links are hardest to find
+    out = cos * base + np.sqrt(1 - cos * cos) * away
+    return out / np.sqrt((out * out).sum(1, keepdims=True))
+
 
-    The audit compares queries spread evenly over the block with every vector of the shard. At a beam of a quarter
-    of the shard the search looks at every vector, so it ends.
+def widened(graph: Graph, vectors, queries, least: float, same: bool) -> tuple[int, bool, float]:
+    """``(beam, whole, recall)``: the first beam at which an audit passes, its recall, and whether all vectors must be looked at.
+
+    The audit compares queries spread evenly over the block, and as many planted ones, with every vector of the shard. So
+    every audit has true links, whatever the data hold; a query's own vector is none (``same``: queries and vectors are
+    the same rows). A beam of a quarter of the shard that still misses links gives way to looking at every vector.
     """
     import numpy as np
 
-    q32 = queries.astype(np.float32)
-    probe = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[probe] @ vectors.T >= least
+    count = AUDIT // 2
+    probe = np.unique(np.linspace(0, len(queries) - 1, min(count, len(queries))).astype(int))
+    asked = np.concatenate([queries[probe], planted(vectors, count, least)])
+    truth = asked @ vectors.T >= least
+    if same:
+        truth[np.arange(len(probe)), probe] = False
     width = ASK_BEAM
     while True:
-        r, c = graph.ask(q32[probe], width, least - 1e-5)
+        r, c = graph.ask(asked.astype(np.float32), width, least - 1e-5)
         hit = np.zeros_like(truth)
         hit[r, c] = True
-        if truth.sum() == 0 or (hit & truth).sum() >= RECALL * truth.sum() or 4 * width >= len(vectors):
-            break
+        recall = (hit & truth).sum() / max(truth.sum(), 1)
+        if recall >= RECALL or not truth.any():
+            return width, False, float(recall)
+        if 4 * width >= len(vectors):
+            return width, True, 1.0
         width *= 2
-    i, j = graph.ask(q32, width, least - 1e-5)
+
+
+def audited(graph: Graph, vectors, queries, least: float, same: bool = False):
+    """Pairs found by asking the graph with ``queries`` (both double) at the beam that its audit asks for."""
+    import numpy as np
+
+    width, whole, _ = widened(graph, vectors, queries, least, same)
+    i, j = graph.ask(queries.astype(np.float32), width, least - 1e-5, whole)
     for s in range(0, len(i), 1 << 18):
         x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
         keep = np.einsum("ij,ij->i", queries[x], vectors[y]) >= least
         yield x[keep], y[keep]
 
 
+def both_ways(g, h, v, w, least: float):
+    """Pairs ``(row of v, row of w)`` that either shard's graph finds when asked about the other's vectors, each once."""
+    import numpy as np
+
+    found = [np.stack([x, y]) for x, y in audited(h, w, v, least)] + [np.stack([x, y]) for y, x in audited(g, v, w, least)]
+    return np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), int)
+
+
 def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row.
 
     Equal vectors meet first and count as one node with its copies. Nodes are dealt to shards by hash, a graph
-    is built per shard, and every shard is asked about every node (each pair of shards once, a link being
-    mutual). Found pairs are verified in double precision; a task returns links per node and a spanning forest.
+    is built per shard, and every shard is asked about every node: a pair of shards meets in one task, which asks each
+    one's graph about the other's nodes. Found pairs are verified in double precision; a task returns links per node and
+    a spanning forest.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: ``n_links`` 0,
     own component, kept. Vectors of different lengths never link. Copies link with each other and with whatever
@@ -319,8 +360,8 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
 
     built = cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, nodes binary, copies binary, vectors binary, graph binary"))
     most = max(shards.values())
-    asks = built.select("dim", F.col("shard").alias("i"), "nodes", "copies", "vectors", F.explode(F.expr(f"sequence(shard, {most - 1})")).alias("shard"))
-    told = built.select("dim", "shard", F.col("nodes").alias("o_nodes"), F.col("copies").alias("o_copies"), F.col("vectors").alias("o_vectors"), "graph")
+    asks = built.select("dim", F.col("shard").alias("i"), "nodes", "copies", "vectors", "graph", F.explode(F.expr(f"sequence(shard, {most - 1})")).alias("shard"))
+    told = built.select("dim", "shard", F.col("nodes").alias("o_nodes"), F.col("copies").alias("o_copies"), F.col("vectors").alias("o_vectors"), F.col("graph").alias("o_graph"))
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -330,25 +371,18 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
                 ca, cb = np.frombuffer(r.copies, np.int64), np.frombuffer(r.o_copies, np.int64)
                 same, n, m = r.i == r.shard, np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
 
-                def found(v=v, o=o, same=same, n=n, m=m, ca=ca, cb=cb, base=len(a), blob=r.graph):
-                    for x, y in audited(Graph.load(blob, o), o, v, least):
-                        if same:  # a pair that either end found
-                            x, y = np.minimum(x, y), np.maximum(x, y)
-                            keep = x < y
-                            yield x[keep], y[keep]
-                        else:
-                            np.add.at(n, x, cb[y])
-                            np.add.at(m, y, ca[x])
-                            yield x, y + base
-
-                if same:
-                    pairs = [np.stack(p) for p in found()]
+                if same:  # a pair that either end found
+                    pairs = [np.sort(np.stack(p), axis=0) for p in audited(Graph.load(r.graph, v), v, v, least, True)]
                     x, y = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), int)
+                    x, y = x[x < y], y[x < y]
                     np.add.at(n, x, ca[y])
                     np.add.at(n, y, ca[x])
                     label, names, links = local_forest(len(a), [(x, y)]), a, n
                 else:
-                    label, names, links = local_forest(len(a) + len(b), found()), np.concatenate([a, b]), np.concatenate([n, m])
+                    x, y = both_ways(Graph.load(r.graph, v), Graph.load(r.o_graph, o), v, o, least)
+                    np.add.at(n, x, cb[y])
+                    np.add.at(m, y, ca[x])
+                    label, names, links = local_forest(len(a) + len(b), [(x, y + len(a))]), np.concatenate([a, b]), np.concatenate([n, m])
                 own = label != np.arange(len(names))
                 keep = own | (links > 0)
                 yield pd.DataFrame({"a": names[keep], "b": names[label[keep]], "n": links[keep]})

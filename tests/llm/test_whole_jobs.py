@@ -2,7 +2,9 @@ import itertools
 import random
 import time
 
-from tallyspark.llm import lines, simhash, toxicity
+import numpy as np
+
+from tallyspark.llm import hnsw, lines, simhash, toxicity
 
 from .test_tokens_packing_mixing_simhash import brute_components
 
@@ -220,3 +222,30 @@ def test_very_long_words_are_restored_in_linear_time(spark):
         began = time.perf_counter()
         assert d.restore(text)
         assert time.perf_counter() - began < most
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_graphs_find_the_links_of_large_shards(spark):
+    """Three shards of over 2,000 vectors, planted links at cosines from 0.90 to 0.99, one hot group; the graph is asked, not all vectors."""
+    rng = np.random.default_rng(8)
+    base = unit(rng.normal(size=(6000, 48)))
+    away = rng.normal(size=(600, 48))
+    away = unit(away - (away * base[:600]).sum(1, keepdims=True) * base[:600])
+    cos = np.linspace(0.9005, 0.99, 600)[:, None]
+    hot = unit(base[5999] + 0.02 * rng.normal(size=(150, 48)))
+    vectors = np.concatenate([base, cos * base[:600] + np.sqrt(1 - cos * cos) * away, hot])
+    graph = hnsw.Graph(vectors[:2500]).build()
+    width, whole, recall = hnsw.widened(graph, vectors[:2500], vectors[2500:], 0.9, False)
+    assert not whole and recall >= 0.99 and 4 * width < 2500
+    sims = unit(vectors) @ unit(vectors).T >= 0.9
+    np.fill_diagonal(sims, False)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    got = {r.vec_id: r for r in hnsw.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=3).collect()}
+    found = sum(r.n_links for r in got.values())
+    print(f"{found} of {sims.sum()} links, beam {width}, audit {recall:.3f}")
+    assert 0.99 * sims.sum() <= found <= sims.sum()
+    comp = brute_components(range(len(rows)), [tuple(p) for p in np.argwhere(sims) if p[0] < p[1]])
+    assert sum(got[k].component_id == comp[k] for k in comp) >= 0.99 * len(comp)
