@@ -15,12 +15,23 @@ PURPOSE_WORDS = (
     "CASH", "INWARD", "OUTWARD",
 )
 BILL_WORDS = ("JOMPAY", "BILL", "PAYMENT", "PAYMENTS", "AT", "DIO", "DEBIT", "CREDIT", "TRANSFER", "TRANSFERS", "TXN", "REF", "FR")
-#: Where a bank's footer begins inside a description (a part of the list; pass your own for more banks).
+#: Where a bank's footer begins inside a description, in any case of letters.
 FOOTERS = (
+    "可應用存餘", "截止結餘", "未過賬", "本欄内誌DR者爲結欠", "若银行在21天内未获得书面通知", "余额将被视为正确", "請通知本行在何地址更换", "進支項說明",
     "BALANCE DITANDAKAN DENGAN DR", "PERHATIAN / NOTE", "SEMUA MAKLUMAT DAN BAKI", "OVERDRAWN BALANCES ARE", "DENOTED BY DR", "PROTECTED BY PIDM",
-    "SILA HANTAR PERMINTAAN", "IF THE PROPERTY OR ASSET", "LOCAL CHEQUES", "WITH EFFECT FROM", "BASE LENDING RATE", "SEGALA BILANGAN DAN BAKI",
-    "ALL ITEMS AND BALANCES", "CHANGE OF ADDRESS", "ANY CHEQUES DEPOSITED", "TOTAL ENDING BALANCE", "ONLINE PORTAL", "THIS IS A COMPUTER GENERATED STATEMENT",
-    "FOR ENQUIRIES, PLEASE CONTACT", "THIS STATEMENT WAS GENERATED BY", "THIS IS A SYSTEM GENERATED STATEMENT",
+    "PLEASE NOTIFY US OF ANY CHANGE OF ADDRESS IN WRITING", "APPLICABLE FOR PA-I MINOR AND IN-TRUST", "START SUBMITTING YOUR AUDIT CONFIRMATION REPORT",
+    "AUDIT CONFIRMATION REPORT REQUEST", "REQUESTS, PLEASE VISIT OUR WEBSITE", "TRANSFER FUNDS OVERSEAS QUICKLY AND EASILY",
+    "BUSINESS MOBILE APP.ENJOY", "BUSINESS MOBILE APP. ENJOY", "OCBC FLASH", "THROUGH OCBC VELOCITY", "OUR SMES, FOR MORE INFORMATION",
+    "BUILD YOUR BUSINESS STARTING WITH THE OCBC EBIZ ACCOUNT", "THE SHARIAH-COMPL", "ECONFIRM PORTAL",
+    "HTTPS://WWW.OCBC.COM.MY/BUSINESS-BANKING/HELP-AND-SUPPORT#FORMS", "HTTPS://WWW.OCBC.COM.MY/EBIZ-I", "HTTPS://ECONFIRM.MY",
+    "SILA HANTAR PERMINTAAN", "UNTUK BORANG DAN SOALAN LAZIM", "YOUR BANKING QUESTIONS ANSWERED", "A MEMBER OF OCBC GROUP", "IF THE PROPERTY OR ASSET",
+    "LOCAL CHEQUES", "CEK-CEK TEMPATAN", "WITH EFFECT FROM", "BASE LENDING RATE", "INSURANCE KADAR PINJAMAN", "EFFECTIVE 30 SEPTEMBER",
+    "PROPRIETORSHIP WILL NO LONGER", "HTTPS:WWW.I-MUAMALAT.COM.MY", "HTTPS://WWW.I-MUAMALAT.COM.MY", "WWW.I-MUAMALAT.COM.MY",
+    "SEGALA BILANGAN DAN BAKI", "ALL ITEMS AND BALANCES", 'TANDA "-" PADA BAKI', 'THE SIGN "-" AGAINST', "SILA MAKLUMKAN KEPADA", "CHANGE OF ADDRESS",
+    "SEBARANG CEK DEPOSIT", "ANY CHEQUES DEPOSITED", "TOTAL ENDING BALANCE", "CURRENT I-MUAMALAT ONLINE", "ONLINE PORTAL",
+    "THIS IS A COMPUTER GENERATED STATEMENT", "FOR ENQUIRIES, PLEASE CONTACT", "IF YOU HAVE ANY QUESTIONS ABOUT THIS STATEMENT",
+    "PLEASE CONTACT OUR CUSTOMER SERVICE", "THIS STATEMENT WAS GENERATED BY", "FOR MORE INFORMATION ABOUT YOUR ACCOUNT",
+    "THIS IS A SYSTEM GENERATED STATEMENT", "IF YOU HAVE ANY QUESTIONS REGARDING THIS STATEMENT", "FOR ANY INQUIRIES ABOUT THIS STATEMENT",
 )
 SPACE = r"(?U)\s+"
 
@@ -41,13 +52,27 @@ def to_amount(c: Column) -> Column:
     return F.when(bracket | minus, -F.abs(value)).when(plus, F.abs(value)).otherwise(value)
 
 
-DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd MMM yyyy", "dd-MMM-yyyy", "yyyy/MM/dd")
+#: Notations beyond the day-first ones, tried last.
+DATE_FORMATS = ("dd.MM.yyyy", "yyyy/MM/dd")
 
 
-def to_date(c: Column) -> Column:
-    """ISO dates as they stand, then day-first notations; null where none fits."""
-    s = F.trim(c)
-    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), *(F.try_to_date(s, f) for f in DATE_FORMATS))
+def to_date(c: Column, default_year: Column | int | None = None) -> Column:
+    """ISO dates as they stand, then day-first ones with ``/``, ``-`` or a month's first three letters; else null.
+
+    Two-digit years from 69 up are of the last century. A date without a year takes ``default_year``, null without one.
+    """
+    s = normalize_text(c)
+    year = F.lit(None).cast("string") if default_year is None else (default_year if isinstance(default_year, Column) else F.lit(default_year)).cast("string")
+    numeric, named = r"^(\d{1,2})([/-])(\d{1,2})(?:\2(\d{4}|\d{2}))?$", r"^(\d{1,2})[ -]([A-Za-z]{3})(?:[ -](\d{4}|\d{2}))?$"
+
+    def full(y: Column) -> Column:
+        return F.when(y == "", year).when(F.length(y) == 2, F.concat(F.when(y >= "69", "19").otherwise("20"), y)).otherwise(y)
+
+    def tried(pattern: str, month: int, at: int, form: str) -> Column:
+        part = lambda k: F.regexp_extract(s, pattern, k)
+        return F.when(s.rlike(pattern), F.try_to_date(F.concat_ws(" ", part(1), F.initcap(part(month)), F.coalesce(full(part(at)), F.lit("-"))), form))
+
+    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), tried(numeric, 3, 4, "d M yyyy"), tried(named, 2, 3, "d MMM yyyy"), *(F.try_to_date(s, f) for f in DATE_FORMATS))
 
 
 def strip_footer(c: Column, footers: tuple[str, ...] = FOOTERS) -> Column:

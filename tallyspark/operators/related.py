@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import has_corporate_suffix, is_person, unknown_label
+from ..functions.scalar import has_corporate_suffix, is_person, normalize_text, unknown_label
 from .detect import has
 from .ledger import first_of, related_signals, with_party
 from .names import equivalent, names_in_text, person_in_text
 
 #: Texts that are parts of a statement's print, not of a transaction.
 ARTIFACTS = (
-    r"[㐀-䶿一-鿿豈-﫿]", r"\bENDING\s+BALANCE\b", r"\bLEDGER\s+BALANCE\b", r"\bBAKI\s+AKHIR\b", r"\bBAKI\s+LEGAR\b", r"\bNOT\s+PROTECTED\s+BY\s+PIDM\b",
-    r"\bPROTECTED\s+BY\s+PIDM\b", r"\bOVERDRAWN\s+BALANCES\b", r"\bPERHATIAN\s*/\s*NOTE\b", r"\bPLEASE\s+NOTIFY\b", r"\bSEMUA\s+MAKLUMAT\b",
-    r"\bSILA\s+HANTAR\s+PERMINTAAN\b", r"\bIF\s+THE\s+PROPERTY\s+OR\s+ASSET\b", r"\bLOCAL\s+CHEQUES\b", r"\bCEK-CEK\s+TEMPATAN\b", r"\bWITH\s+EFFECT\s+FROM\b",
-    r"\bBASE\s+LENDING\s+RATE\b", r"\bSEGALA\s+BILANGAN\s+DAN\s+BAKI\b", r"\bALL\s+ITEMS\s+AND\s+BALANCES\b", r"\bTOTAL\s+ENDING\s+BALANCE\b", r"\bANY\s+CHEQUES\s+DEPOSITED\b",
+    r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]", r"\bENDING\s+BALANCE\b", r"\bLEDGER\s+BALANCE\b", r"\bBAKI\s+AKHIR\b", r"\bBAKI\s+LEGAR\b",
+    r"\bNOT\s+PROTECTED\s+BY\s+PIDM\b", r"\bPROTECTED\s+BY\s+PIDM\b", r"\bOVERDRAWN\s+BALANCES\b", r"\bPERHATIAN\s*/\s*NOTE\b", r"\bPLEASE\s+NOTIFY\b",
+    r"\bSEMUA\s+MAKLUMAT\b", r"\bSTART\s+SUBMITTING\s+YOUR\s+AUDIT\s+CONFIRMATION\s+REPORT\b", r"\bAUDIT\s+CONFIRMATION\s+REPORT\s+REQUEST\b",
+    r"\bREQUESTS,\s+PLEASE\s+VISIT\s+OUR\s+WEBSITE\b", r"\bTRANSFER\s+FUNDS\s+OVERSEAS\s+QUICKLY\s+AND\s+EASILY\b", r"\bBUSINESS\s+MOBILE\s+APP\.?\s*ENJOY\b",
+    r"\bOCBC\s+FLASH\b", r"\bTHROUGH\s+OCBC\s+VELOCITY\b", r"\bOUR\s+SMES,\s+FOR\s+MORE\s+INFORMATION\b",
+    r"\bBUILD\s+YOUR\s+BUSINESS\s+STARTING\s+WITH\s+THE\s+OCBC\s+EBIZ\s+ACCOUNT\b", r"\bECONFIRM\s+PORTAL\b", r"\bSILA\s+HANTAR\s+PERMINTAAN\b",
+    r"\bUNTUK\s+BORANG\s+DAN\s+SOALAN\s+LAZIM\b", r"\bYOUR\s+BANKING\s+QUESTIONS\s+ANSWERED\b", r"\bA\s+MEMBER\s+OF\s+OCBC\s+GROUP\b",
+    r"\bIF\s+THE\s+PROPERTY\s+OR\s+ASSET\b", r"\bLOCAL\s+CHEQUES\b", r"\bCEK-CEK\s+TEMPATAN\b", r"\bWITH\s+EFFECT\s+FROM\b", r"\bBASE\s+LENDING\s+RATE\b",
+    r"\bINSURANCE\s+KADAR\s+PINJAMAN\b", r"\bEFFECTIVE\s+30\s+SEPTEMBER\b", r"\bPROPRIETORSHIP\s+WILL\s+NO\s+LONGER\b", r"\bI-MUAMALAT\.COM\.MY\b",
+    r"\bSEGALA\s+BILANGAN\s+DAN\s+BAKI\b", r"\bALL\s+ITEMS\s+AND\s+BALANCES\b", r"\bTOTAL\s+ENDING\s+BALANCE\b", r"\bCURRENT\s+I-MUAMALAT\s+ONLINE\b",
+    r"\bANY\s+CHEQUES\s+DEPOSITED\b",
 )
+#: Fixed value: what a report says of such a text.
+ARTIFACT_REASON = "Footer/header text leaked into transaction description"
 #: The wider statutory words of the pattern view, which count on either side.
 WIDE = {
     "epf": r"\bEPF\b|\bKWSP\b|\bKUMPULAN\s+WANG\s+SIMPANAN\s+PEKERJA\b",
@@ -36,6 +45,11 @@ def artifact(c: Column) -> Column:
     return F.coalesce(c.rlike("(?i)" + "|".join(ARTIFACTS)), F.lit(False))
 
 
+def artifact_reason(c: Column) -> Column:
+    """the reason for a description that is print, empty for any other."""
+    return F.when(artifact(normalize_text(c)), ARTIFACT_REASON).otherwise("")
+
+
 def expand_suffix(c: Column) -> Column:
     """F16: a trailing SDN, SDN B, SDN BH or SB written out."""
     return F.regexp_replace(c, r"(?i)(?<=[A-Za-z)])\s+(?:SDN\.?(?:\s+BH?\.?)?|SB)\s*$", " SDN BHD")

@@ -113,11 +113,11 @@ add("S04_top_known", lambda s, d: L.top_known(statement(s, d)), sql(f"SELECT * F
 
 def j01(s, d):
     tx = statement(s, d)
-    names = L.with_party(tx).where("row_order % 2 = 0").select("account_no", "dt", "description", "amount", "side", "row_order", F.concat("party", F.lit("#"), c("row_order").cast("string")).alias("party"))
+    names = L.with_party(tx).where("side = 'DR'").select("account_no", "dt", "description", "amount", "side", "row_order", F.concat("party", F.lit("#"), c("row_order").cast("string")).alias("party"))
     return L.attach_party(tx, names).select("row_order", "party")
 
 
-add("J01_attach_party", j01, sql("SELECT a.row_order, n.party FROM st a LEFT JOIN (SELECT account_no, dt, description, amount, side, arg_max(party || '#' || CAST(row_order AS VARCHAR), row_order) AS party FROM pt WHERE row_order % 2 = 0 GROUP BY ALL) n USING (account_no, dt, description, amount, side)", more=T.LEDGER))
+add("J01_attach_party", j01, sql("SELECT a.row_order, n.party FROM st a LEFT JOIN (SELECT account_no, dt, description, amount, side, arg_max(party || '#' || CAST(row_order AS VARCHAR), row_order) AS party FROM pt WHERE side = 'DR' GROUP BY ALL) n USING (account_no, dt, description, amount, side)", more=T.LEDGER))
 add("J08_named_only", lambda s, d: L.named_only(L.ledger(statement(s, d)), L.ledger(statement(s, d)).where("n % 2 = 0").select("party")), sql(f"SELECT * FROM lg WHERE NOT {UNK} AND n % 2 <> 0", more=_lg))
 
 

@@ -15,6 +15,7 @@ b AS (
    WHEN 4 THEN 'IBG TRANSFER OUT'      WHEN 5 THEN 'IBG INWARD RETURN'     WHEN 6 THEN 'CDM CASH DEPOSIT' WHEN 7 THEN 'HSE CHQ DEPOSIT'
    WHEN 8 THEN 'RETURN CHQ'            WHEN 9 THEN 'LOAN REPAYMENT'        WHEN 10 THEN 'SERVICE TAX 8%'  WHEN 11 THEN 'OPENING BALANCE'
    WHEN 12 THEN 'FOREX USD 1,000'
+   WHEN 15 THEN CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN 'HRDF LEVY' WHEN 1 THEN 'CREDIT REVERSAL' WHEN 2 THEN 'CASH CHQ DR' WHEN 3 THEN 'CLRG CHQ DR' ELSE 'LOAN DISB' END
    ELSE CONCAT('PAYMENT TO SUPPLIER ', CAST(o_custkey % 37 AS VARCHAR(10)), ' SDN BHD') END AS description
  FROM {orders}),
 c AS (SELECT *, CASE WHEN side='CR' THEN amount ELSE CAST(0 AS DECIMAL(18,2)) END AS credit,

@@ -32,7 +32,7 @@ def people(s, d):
 
 wide = lambda k: T.has(R.WIDE[k]) + (f" AND NOT {T.has(R.NOT_EPF)}" if k == "epf" else "")
 _cl = f"{T.LEDGER}, {T.classified(COMPANIES, RELATED)}"
-add("F06_artifacts", lambda s, d: statement(s, d).select("row_order", R.artifact(F.when(c("row_order") % 4 == 0, F.concat("description", F.lit(" Baki  Legar"))).when(c("row_order") % 4 == 1, "未過賬").otherwise(c("description"))).alias("artifact")), sql("SELECT row_order, row_order % 4 < 2 AS artifact FROM st"))
+add("F06_artifacts", lambda s, d: statement(s, d).select("row_order", R.artifact(F.when(c("row_order") % 4 == 0, F.concat("description", F.lit(" Baki  Legar"))).when(c("row_order") % 4 == 1, "未過賬").otherwise(c("description"))).alias("artifact"), R.artifact_reason(F.when(c("row_order") % 3 == 0, F.concat("description", F.lit(" Silahantar  x Base  lending\trate"))).otherwise(c("description"))).alias("reason")), sql("SELECT row_order, row_order % 4 < 2 AS artifact, CASE WHEN row_order % 3 = 0 THEN 'Footer/header text leaked into transaction description' ELSE '' END AS reason FROM st"))
 add("F16_expand_suffix", lambda s, d: statement(s, d).select("row_order", R.expand_suffix(F.when(c("row_order") % 3 == 0, "ABC SDN B").when(c("row_order") % 3 == 1, "Abc (M) SB").otherwise("ABC BHD")).alias("name")), sql("SELECT row_order, CASE row_order % 3 WHEN 0 THEN 'ABC SDN BHD' WHEN 1 THEN 'Abc (M) SDN BHD' ELSE 'ABC BHD' END AS name FROM st"))
 add("D24_statutory_patterns", lambda s, d: R.statutory_patterns(statement(s, d)), sql(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER ({wide(k)}) AS n, CAST(coalesce(sum(CASE WHEN debit > 0 THEN debit ELSE credit END) FILTER ({wide(k)}), 0) AS DOUBLE) AS amount FROM st" for k in R.WIDE)))
 add("A32_gross_debits", lambda s, d: R.gross_debits(statement(s, d)), sql("SELECT CAST(coalesce(sum(debit), 0) AS DOUBLE) AS gross_debits FROM st"))

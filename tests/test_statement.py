@@ -61,6 +61,14 @@ def test_literal_amounts_and_names(spark):
     assert days == 1
 
 
+def test_dates_with_and_without_a_year(spark):
+    cases = [("2024-02-29", "2024-02-29"), ("5/3/2024", "2024-03-05"), ("05-03-24", "2024-03-05"), ("1/1/69", "1969-01-01"), ("1/1/68", "2068-01-01"), ("7 mar 2023", "2023-03-07"), ("7 MAR 23", "2023-03-07"), ("7-Mar-23", "2023-03-07"), ("31/2/2024", None), ("n/a", None), (None, None), ("5/3", None), ("5 Mar", None), ("5-3", None)]
+    df = spark.createDataFrame(cases, "x string, y string")
+    assert [(r.a, r.y) for r in df.select(S.to_date(F.col("x")).cast("string").alias("a"), "y").collect() if r.a != r.y] == []
+    short = spark.createDataFrame([("5/3",), ("5 Mar",), ("05-3",), ("5/13",)], "x string")
+    assert [str(r.a) for r in short.select(S.to_date(F.col("x"), 2021).alias("a")).collect()] == ["2021-03-05"] * 3 + ["None"]
+
+
 CASES = [
     ("OPENING BALANCE", "DR", "C25"), ("STAFF SALARY JAN", "DR", "C05"), ("STAFF SALARY JAN", "CR", None), ("SALARY COMMISSION", "DR", None), ("INTERNET PAYMENT", "DR", None),
     ("KWSP/123", "DR", "C06"), ("KWSPX", "DR", None), ("RETURN CHQ", "DR", "C14"), ("RETURN CHQ", "CR", "C15"), ("LOAN REPAYMENT SERVICE TAX 8%", "DR", "C24"), ("FACTORING ACME", "CR", "C10"),
