@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import company_suffix
 
-#: Words that a cleaned name drops, and person markers.
+#: Words that a cleaned name drops, person markers, and below the thresholds 0.92, 0.96, 0.67, 0.86 and 0.84.
 NOISE_WORDS = frozenset("PAYMENT TRANSFER TRF FUND DUITNOW IBG GIRO INSTANT FPX REF INV INVOICE TO FROM FR A/C CR DR ONLINE BANKING".split())
 BANK_WORDS = frozenset("MAYBANK CIMB RHB AMBANK AFFIN ALLIANCE OCBC UOB HSBC BSN AGROBANK".split())
 MARKERS = frozenset({"BIN", "BINTI", "BT", "A/L", "A/P"})
@@ -121,10 +121,87 @@ def similar_person(a: str, b: str) -> bool:
     return n == len(t) == len(u) or n / max(len(t), len(u)) >= 0.67
 
 
+#: Words that carry no name, and words that may follow a name without making it another one.
+LEGAL_WORDS = frozenset("SDN BHD BERHAD LTD LIMITED M MALAYSIA MALAYAN PLC".split())
+BANK_CODES = frozenset("ABMB AFFIN AGROBANK AMBANK AMFB BIMB BSN CIMB CITIBANK HLB HLBB HSBC MAYBANK MBB OCBC PBB RHB UOB BANK BANKING".split())
+PERSON_MARKERS = frozenset("BIN BINT BINTE BINTI B BT BTE ANAK A/L A/P".split())
+NAMELESS = LEGAL_WORDS | BANK_CODES | NOISE_WORDS | PERSON_MARKERS | {"UNKNOWN", "UNIDENTIFIED", "UNCATEGORIZED"}
+FOLLOWING = LEGAL_WORDS | BANK_CODES | PERSON_MARKERS | frozenset("CAP CAPITAL CARD CASH CC CCARD CEO CREDIT MTSB PAYMENT PETTY SHARE OPENING LOAN TO DSSB MSSB CA".split())
+
+
+def anchored(name: str, size: int) -> tuple[list[str], list[str]] | None:
+    """The first ``size`` words that carry the name, and what follows the last of them; none if it has fewer."""
+    words = name.split()
+    at = [k for k, w in enumerate(words) if w not in NAMELESS and not w.isdigit()][:size]
+    return ([words[k] for k in at], words[at[-1] + 1 :]) if len(at) == size else None
+
+
+def may_follow(words: list[str]) -> bool:
+    """M4: nothing, numbers and words that make no other name, or a person's parentage of up to four words."""
+    if all(w in FOLLOWING or w.isdigit() for w in words):
+        return True
+    rest = [w for w in words if w not in FOLLOWING and w not in NAMELESS and not w.isdigit()]
+    return any(w in PERSON_MARKERS for w in words) and 1 <= len(rest) <= 4 and all(w.isalpha() and len(w) >= 2 for w in rest)
+
+
 def contained(a: str, b: str) -> bool:
-    """The shorter of two names of two words or more begins the longer one, which goes on with a person or place word."""
-    short, long = sorted((a.split(), b.split()), key=len)
-    return 2 <= len(short) < len(long) and long[: len(short)] == short and (short[-1] != "BHD")
+    """The first two words agree, or one begins the other, and only words that may follow come after them."""
+    x, y = anchored(a, 2), anchored(b, 2)
+    if not x or not y or not may_follow(x[1]) or not may_follow(y[1]):
+        return False
+    return all(p.startswith(q) or q.startswith(p) for p, q in zip(x[0], y[0], strict=True))
+
+
+def shared_three(a: str, b: str) -> bool:
+    """M6: the first three words that carry the name are equal and only words that may follow come after them."""
+    x, y = anchored(a, 3), anchored(b, 3)
+    return bool(x and y and x[0] == y[0] and may_follow(x[1]) and may_follow(y[1]))
+
+
+def legal_entity(name: str) -> str:
+    """M7: the name up to its legal form, written out; empty without one."""
+    words = name.split()
+    if "SDN" in words[1:]:
+        return " ".join([*words[: words.index("SDN") + 1], "BHD"])
+    for form in ("BHD", "BERHAD", "PLT", "LLP"):
+        if form in words[1:]:
+            return " ".join([*words[: words.index(form)], "BHD" if form == "BERHAD" else form])
+    return ""
+
+
+def canonical(names: list[str], anchor: list[str]) -> str:
+    """M7: of a merged group the shortest legal entity, else the shortest name that begins with the anchor, else the anchor."""
+    order = lambda v: (len(v.split()), len(v), v)
+    legal = {legal_entity(n) for n in names} - {""}
+    begin = {" ".join(anchor), *(n for n in names if n.split()[: len(anchor)] == anchor)}
+    return min(legal or begin, key=order)
+
+
+def suspicious_short(c: Column) -> Column:
+    """M9: no name, a bare parentage marker, one number, or one word of up to three letters."""
+    s = F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    return s.isin("", "UNKNOWN", "A L", "A/L", "A P", "A/P") | s.rlike(r"^(?:\d+|[A-Z]{1,3})$")
+
+
+def canonical_party(c: Column) -> Column:
+    """M9: numbers off, cut behind the legal form, suffix written out, parentage as A/L and A/P; UNKNOWN if nothing is left."""
+    s = F.upper(F.coalesce(c, F.lit("")))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?<!\S)\d+(?!\S)", " "), r"\s+", " "))
+    s = F.regexp_replace(company_suffix(F.trim(F.regexp_replace(s, r"^[ \-/,.]+|[ \-/,.]+$", ""))), r"( SDN BHD)\b.*$", "$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"\bA L\b", "A/L"), r"\bA P\b", "A/P")
+    return F.when((s == "") | s.rlike(r"^\d+$"), "UNKNOWN").when(s.rlike(r"^(?:TM )?UNIFI$"), "UNIFI").otherwise(s)
+
+
+def own_display_name(rows: DataFrame, target: str, text: str = "description") -> DataFrame:
+    """One row ``(display)``: the own party's name with the legal form that a text gives it, as it stands if none does."""
+    base = re.sub(r"\s+(?:SDN\.?\s*(?:BHD|BH|B)\.?|BHD|BERHAD)\.?$", "", re.sub(r"\s+", " ", target).strip(), flags=re.I)
+    words = re.findall(r"[A-Z0-9]+", base.upper())
+    if not words or base != re.sub(r"\s+", " ", target).strip():
+        return rows.sparkSession.range(1).select(F.lit(target).alias("display"))
+    form = F.upper(F.regexp_extract(F.col(text), rf"(?i)\b{r'\s+'.join(words)}\s+(SDN\.?\s*(?:BHD|BH|B)\b\.?|BHD\b|BERHAD\b)", 1))
+    form = F.when(form.startswith("SDN"), "SDN BHD").when(form != "", form)
+    found = rows.select(F.concat(F.lit(f"{base} "), form).alias("name")).where("name IS NOT NULL")
+    return found.agg(F.max(F.struct(F.col("name").endswith("SDN BHD").alias("sdn"), F.length("name").alias("n"), "name")).alias("best")).select(F.coalesce("best.name", F.lit(target)).alias("display"))
 
 
 def shared_run(a: str, b: str) -> int:
@@ -137,7 +214,7 @@ def shared_run(a: str, b: str) -> int:
     return best
 
 
-RULES: tuple[Callable[[str, str], bool], ...] = (similar, similar_person, contained)
+RULES: tuple[Callable[[str, str], bool], ...] = (similar, similar_person, contained, shared_three)
 
 
 def alias_map(counts: dict[str, int], rules: tuple[Callable[[str, str], bool], ...] = (similar,)) -> dict[str, str]:

@@ -73,9 +73,58 @@ def integrity_rows(roll_up: DataFrame) -> DataFrame:
     return roll_up.select("file_id", F.create_map(F.lit("LOW"), F.lit("CLEAN"), F.lit("MEDIUM"), F.lit("REVIEW"), F.lit("HIGH"), F.lit("SUSPICIOUS"))[F.col("risk")].alias("integrity"), "findings")
 
 
-def risk_sheet(flags: DataFrame) -> DataFrame:
-    """The flags as a sheet of YES and NO."""
-    return flags.select("id", "name", F.when(F.col("detected"), "YES").otherwise("NO").alias("signal"), "remarks")
+#: Names of the sheet's signals.
+SIGNALS = (
+    "Returned Cheques (Inward)", "Returned Cheques (Outward)", "Round Figure Transactions (AML)", "High Value Credits (>3x EOD)", "Cash Deposits (AML)", "EPF Compliance",
+    "SOCSO Compliance", "LHDN Tax Payments", "Large Transactions", "Own Party Transactions", "Related Party Transactions", "Loan Activity", "Data Quality", "FX Transactions",
+    "Low Closing Balance", "HRDF Payments",
+)
+
+
+def low_months(months: DataFrame, least: float = 1000.0) -> DataFrame:
+    """One row: the account-months that close below ``least``, in order, as text."""
+    return months.agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("closing") < least, F.col("month")))), ", ").alias("low_list"))
+
+
+def risk_sheet(s: DataFrame, low: DataFrame, threshold: float = 10000.0) -> DataFrame:
+    """Sixteen signals derived anew from the one-row summary: ``(id, name, signal, remarks)``.
+
+    Unlike R01's flags, credits above the end-of-day balance, tax and training levy are never detected here, a fund is
+    covered from 99.5 %, and the low months are listed. ``threshold`` is what the report calls a large transaction.
+    """
+    col = F.col
+    rm = lambda c: F.format_string("RM %,.2f", (col(c) if isinstance(c, str) else c).cast("double"))
+    pct = lambda a, b: F.format_string("%.1f%%", F.coalesce(col(a) / F.nullif(col(b), F.lit(0.0)) * 100, F.lit(0.0)))
+    say = lambda *p: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in p))
+    n = lambda c: col(c).cast("string")
+    no = F.lit(False)
+    counted = lambda k, what, none: (col(f"{k}_count") > 0, say(n(f"{k}_count"), f" {what} totalling ", rm(f"{k}_amount"), "."), none)
+    fund = lambda name, p: ((col("salary_months") > 0) & (col(p) < 99.5), F.when(col("salary_months") > 0, say(f"{name} coverage ", F.format_string("%.1f%%", col(p)), " across salary months.")).otherwise("No salary months detected."))
+    flow = lambda k, what, tail: ((col(f"{k}_credits") > 0) | (col(f"{k}_debits") > 0), say(f"{what} CR ", rm(f"{k}_credits"), " (", pct(f"{k}_credits", "gross_credits"), " of gross credits); DR ", rm(f"{k}_debits"), " (", pct(f"{k}_debits", "gross_debits"), f" of gross debits).{tail}"))
+    paid = lambda k, what, tail, none: F.when(col(f"{k}_months") > 0, say(f"{what} payments detected: ", n(f"{k}_months"), " tx totalling ", rm(f"{k}_amount"), f" ({tail}).")).otherwise(none)
+    large = f"RM{threshold:,.0f}"
+    either = lambda d, yes, none: (d, F.when(d, yes).otherwise(none))
+    rows = [
+        either(*counted("returned_in", "inward returned cheques", "No inward returned cheques in the period.")),
+        either(*counted("returned_out", "outward returned cheques", "No outward returned cheques in the period.")),
+        either(*counted("round", "round-figure transactions", "No round-figure transactions flagged.")),
+        (no, F.lit("No credits exceeded 3x daily EOD.")),
+        either(col("cash_amount") > 0, say(n("cash_count"), " cash deposits totalling ", rm("cash_amount"), " (", pct("cash_amount", "gross_credits"), " of gross credits)."), "No cash deposits in the period."),
+        fund("EPF", "epf_pct"),
+        fund("SOCSO", "socso_pct"),
+        (no, paid("tax", "LHDN", "PCB/CP204/SST — schedules differ; informational only", "No LHDN tax payments detected.")),
+        either(*counted("large", f"large transactions (>={large})", f"No transactions at or above {large}.")),
+        either(*flow("own", "Own-party", ""), "No own-party transactions detected."),
+        either(*flow("related", "Related-party", " Parties: (no canonical names provided)."), "No related-party transactions detected."),
+        either((col("loans_in") > 0) | (col("loans_out") > 0), say("Loan disbursements ", rm("loans_in"), "; loan repayments ", rm("loans_out"), "."), "No loan disbursements or repayments detected."),
+        either(col("gap_months") > 0, say("Statement data INCOMPLETE: ", n("gap_months"), " months missing"), "Statement data complete across the period."),
+        either((col("fx_credits") > 0) | (col("fx_debits") > 0), say("FX credits ", rm("fx_credits"), "; FX debits ", rm("fx_debits"), "."), "No FX (foreign-currency) activity detected."),
+        either(col("low_list") != "", say("Closing balance below RM 1,000.00 in: ", col("low_list"), "."), "Closing balance stayed at or above RM 1,000.00 every month."),
+        (no, paid("hrdf", "HRDF", "informational; no coverage ratio computed", "No HRDF payments detected.")),
+    ]
+    names = [f"{name} (>={large})" if name == "Large Transactions" else name for name in SIGNALS]
+    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("id"), F.lit(name).alias("name"), F.when(d, "YES").otherwise("NO").alias("signal"), r.alias("remarks")) for k, (name, (d, r)) in enumerate(zip(names, rows, strict=True), 1)))).alias("r")
+    return s.crossJoin(low).select(listed).select("r.*")  # two one-row sides
 
 
 def correct_months(report: DataFrame, summary: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ add("O01_O02_F28_F33_sections", lambda s, d: P.documents(statement(s, d), "month
 add("O06_round_trip", lambda s, d: P.import_sections(P.documents(statement(s, d), "monthly")), sql("SELECT account_no, 'monthly' AS section, month, count(*) AS n, CAST(sum(credit) AS DOUBLE) AS credits, CAST(sum(debit) AS DOUBLE) AS debits FROM st GROUP BY ALL"))
 add("N15_changed", lambda s, d: P.changed(P.documents(statement(s, d), "monthly"), P.documents(statement(s, d).where("account_no <> 2 OR row_order % 97 <> 1"), "monthly")), sql("SELECT DISTINCT account_no, 'monthly' AS section, CASE WHEN account_no = 2 AND EXISTS (SELECT 1 FROM st WHERE account_no = 2 AND row_order % 97 = 1) THEN 'EDITED' ELSE 'UNCHANGED' END AS status FROM st"))
 add("O05_N14_aliases", lambda s, d: P.import_aliases(P.export_aliases(statement(s, d).select(F.lower("description").alias("alias"), S.party_name(c("description")).alias("canonical")))), sql("SELECT DISTINCT lower(description) AS alias, party AS canonical FROM pt", more=T.LEDGER))
-add("R13_risk_sheet", lambda s, d: P.risk_sheet(flags(summary(classified(s, d)))))
+add("R13_risk_sheet", lambda s, d: P.risk_sheet(summary(classified(s, d)), P.low_months(M.monthly(statement(s, d)))))
 add("R14_correct_months", lambda s, d: P.correct_months(M.monthly(statement(s, d)).select("account_no", "month", F.when(c("account_no") == 4, c("closing") + 5).otherwise(c("closing")).alias("closing")), M.monthly(statement(s, d))), sql("SELECT account_no, month, closing, account_no = 4 AND closing IS NOT NULL AS corrected FROM mo", more=T.MONTHLY))
 
 # --- names ------------------------------------------------------------------------------------------------------
@@ -135,6 +136,24 @@ add("E05_overrides", lambda s, d: N.with_overrides(L.with_party(statement(s, d))
 add("E06_resolve", lambda s, d: N.resolve(statement(s, d).withColumn("p1", F.when(c("row_order") % 3 == 0, "acme ")).withColumn("p2", F.when(c("row_order") % 2 == 0, "Unknown").otherwise(F.when(c("row_order") % 5 == 0, "beta"))), ("p1", "p2")).select("row_order", "party", "matched"), sql("SELECT row_order, CASE WHEN row_order % 3 = 0 THEN 'ACME' WHEN row_order % 2 <> 0 AND row_order % 5 = 0 THEN 'BETA' ELSE party END AS party, row_order % 3 = 0 OR (row_order % 2 <> 0 AND row_order % 5 = 0) AS matched FROM pt", more=T.LEDGER))
 add("N1_N3_person_in_text", lambda s, d: statement(s, d).withColumn("t", F.concat(F.lit("ADVANCE ALI BIN ABU "), c("description"))).select("row_order", N.person_in_text(F.concat(F.lit("1 ALI BIN ABU 2 "), c("description"))).alias("person"), N.names_in_text(F.lit("ABU ALI"), c("t")).alias("named")), sql("SELECT row_order, 'ALI BIN ABU' AS person, true AS named FROM st"))
 
+add("M9_party_names", lambda s, d: statement(s, d).select("row_order", c("description").alias("d"), F.element_at(F.array(*map(F.lit, ("", "A/L", "123", "Ali", "Ali Abu", "55 Acme SDN B 9", "tm unifi"))), (c("row_order") % 7 + 1).cast("int")).alias("x")).select("row_order", N.suspicious_short(c("x")).alias("short"), N.canonical_party(c("x")).alias("party")), sql("SELECT row_order, row_order % 7 < 4 AS short, CASE row_order % 7 WHEN 1 THEN 'A/L' WHEN 3 THEN 'ALI' WHEN 4 THEN 'ALI ABU' WHEN 5 THEN 'ACME SDN BHD' WHEN 6 THEN 'UNIFI' ELSE 'UNKNOWN' END AS party FROM st"))
+add("N8_own_display_name", lambda s, d: N.own_display_name(statement(s, d), "Supplier 11"), sql("SELECT CASE WHEN count(*) FILTER (contains(description, 'SUPPLIER 11 SDN BHD')) > 0 THEN 'Supplier 11 SDN BHD' ELSE 'Supplier 11' END AS display FROM st"))
+PAIRS = [("ALPHA HARDWARE SDN BHD", "ALPHA HARDWAR SDN BHD", 1, 1, 0, 1), ("ALI BIN ABU", "ALI ABU", 0, 1, 0, 1), ("AHMAD BIN ABDULLAH", "AHMAD BIN ABDULLA", 1, 1, 1, 1), ("ALPHA WORKS", "ALPHA WORKS CASH", 0, 1, 0, 1), ("ALPHA WORKS", "ALPHA WORKS NORTH GATE", 0, 1, 0, 0), ("ONE TWO THREE", "ONE TWO THREE LOAN", 0, 1, 0, 0)]
+
+
+def name_pairs(s, d):
+    """Every pair of a list, judged by the rules, once for each row of the statement's days."""
+    @F.pandas_udf("similar int, equivalent int, person int, follows int")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(int(N.similar(x, y)), int(N.equivalent(x, y)), int(N.similar_person(x, y)), int(N.contained(x, y))) for x, y in zip(a, b)], columns=["similar", "equivalent", "person", "follows"])
+
+    k = (c("row_order") % len(PAIRS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in PAIRS)), k)
+    return statement(s, d).select("row_order", run(pick(0), pick(1)).alias("r")).select("row_order", "r.*")
+
+
+add("F26_F30_M3_M4_name_pairs", name_pairs, sql("SELECT row_order, " + ", ".join(f"CAST(CASE row_order % {len(PAIRS)} " + " ".join(f"WHEN {k} THEN {p[i]}" for k, p in enumerate(PAIRS)) + f" END AS INTEGER) AS {n}" for i, n in ((2, "similar"), (3, "equivalent"), (4, "person"), (5, "follows"))) + " FROM st"))
+
 # --- sources ----------------------------------------------------------------------------------------------------
 
 

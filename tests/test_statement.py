@@ -69,6 +69,29 @@ def test_dates_with_and_without_a_year(spark):
     assert [str(r.a) for r in short.select(S.to_date(F.col("x"), 2021).alias("a")).collect()] == ["2021-03-05"] * 3 + ["None"]
 
 
+def test_name_rules():
+    assert N.shared_three("ONE TWO THREE SDN BHD", "ONE TWO THREE CASH") and not N.shared_three("ONE TWO THREE", "ONE TWO FOUR") and not N.shared_three("ONE TWO", "ONE TWO")
+    assert N.contained("ALI AHMAD", "ALI AHMAD BIN ABU") and not N.contained("ALPHA WORKS", "ALPHA WORKS NORTH GATE") and not N.contained("ALPHA", "ALPHA CASH")
+    assert N.legal_entity("ALPHA WORKS SDN B 12") == "ALPHA WORKS SDN BHD" and N.legal_entity("ALPHA BERHAD X") == "ALPHA BHD" and N.legal_entity("SDN X") == "" and N.legal_entity("ALPHA") == ""
+    assert N.canonical(["ALPHA WORKS CASH", "ALPHA WORKS SDN BHD X", "ALPHA WORKS"], ["ALPHA", "WORKS"]) == "ALPHA WORKS SDN BHD"
+    assert N.canonical(["ALPHA WORKS CASH", "B ALPHA WORKS"], ["ALPHA", "WORKS"]) == "ALPHA WORKS"
+
+
+def test_risk_sheet_of_one_row(spark):
+    from tallyspark.operators import flags as G
+
+    row = {n: 0.0 for n in G.SUMS} | {"gross_credits": 200.0, "gross_debits": 100.0, "own_credits": 50.0, "cash_amount": 20.0, "salary_months": 2, "epf_pct": 99.6, "socso_pct": 50.0, "tax_months": 3, "hrdf_months": 0, "gap_months": 0}
+    row |= {n: 0 for n in G.SUMS if n.endswith("_count")} | {"cash_count": 4, "tax_amount": 1234.5}
+    low = spark.createDataFrame([("2024-01, 2024-02",)], "low_list string")
+    got = {r.id: (r.signal, r.remarks) for r in P.risk_sheet(spark.createDataFrame([row]), low).collect()}
+    assert len(got) == 16 and sum(s == "YES" for s, _ in got.values()) == 4
+    assert got[5] == ("YES", "4 cash deposits totalling RM 20.00 (10.0% of gross credits).")
+    assert got[6] == ("NO", "EPF coverage 99.6% across salary months.") and got[7][0] == "YES"
+    assert got[8] == ("NO", "LHDN payments detected: 3 tx totalling RM 1,234.50 (PCB/CP204/SST — schedules differ; informational only).")
+    assert got[10] == ("YES", "Own-party CR RM 50.00 (25.0% of gross credits); DR RM 0.00 (0.0% of gross debits).")
+    assert got[15] == ("YES", "Closing balance below RM 1,000.00 in: 2024-01, 2024-02.")
+
+
 CASES = [
     ("OPENING BALANCE", "DR", "C25"), ("STAFF SALARY JAN", "DR", "C05"), ("STAFF SALARY JAN", "CR", None), ("SALARY COMMISSION", "DR", None), ("INTERNET PAYMENT", "DR", None),
     ("KWSP/123", "DR", "C06"), ("KWSPX", "DR", None), ("RETURN CHQ", "DR", "C14"), ("RETURN CHQ", "CR", "C15"), ("LOAN REPAYMENT SERVICE TAX 8%", "DR", "C24"), ("FACTORING ACME", "CR", "C10"),
