@@ -1,12 +1,13 @@
 """Party names: cleaning, similarity and alias maps.
 
-Everything here works on distinct names, never on rows. Names that may be aliases agree in their first word, so
-that word is the block: a block is what one task sees, and its greedy grouping follows the sorted names.
+Everything here works on distinct names, never on rows. Names that a rule may merge share one of a few keys; pairs under
+a key are tried, and the greedy grouping runs over the connected names alone, which gives what it gives over all of them.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -248,17 +249,97 @@ def clean_map(names: DataFrame, name: str = "name") -> DataFrame:
     return names.select(name).distinct().withColumn("cleaned", cleaned(F.col(name)))
 
 
+#: Letters of the pieces by which names of one word are found.
+PIECE = 5
+
+
+def merge_keys(name: str) -> list[tuple[str, bool, bool]]:
+    """Keys ``(key, full, full too)`` under which every name that a rule may merge with this one stands too.
+
+    Two names under a key are tried if one of them is ``full`` and one (the same or the other) is ``full too``.
+    ``similar``: the first word and another one, or all but the last and three letters of it; a name of one word shares
+    one of so many disjoint pieces as a ratio of 0.96 can break, and one more. ``similar_person``: what stands before the
+    marker. ``contained`` and ``shared_three``: the first two carrying words, each whole in one of the names.
+    """
+    words = name.split()
+    out = {(f"P {words[0]} {w}", True, True) for w in words[1:]} if words else set()
+    if len(words) > 1:
+        out.add((f"L {' '.join(words[:-1])} {words[-1][:3]}", True, True))
+    at = next((k for k, w in enumerate(words) if w in MARKERS), 0)
+    if at:
+        out.add((f"G {' '.join(words[:at])}", True, True))
+    out |= {(f"O {name[k : k + PIECE]}", False, True) for k in range(len(name) - PIECE + 1)}
+    if len(words) == 1:
+        out |= {(f"O {name[k * PIECE : k * PIECE + PIECE]}", True, True) for k in range(min(int(0.04 * len(name) * (1 + 1 / 0.92) + 1e-9) + 1, len(name) // PIECE))}
+    carrying = anchored(name, 2)
+    if carrying and may_follow(carrying[1]) or anchored(name, 3):
+        (p, q), _ = carrying
+        out |= {(f"C {p[:i]} {q[:j]}", i == len(p), j == len(q)) for i in range(1, len(p) + 1) for j in range(1, len(q) + 1)}
+    best: dict[str, tuple[bool, bool]] = {}
+    for key, full, too in out:
+        f, t = best.get(key, (False, False))
+        best[key] = (f or full, t or too)
+    return [(k, f, t) for k, (f, t) in best.items()]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that the cluster shares; one of our own only where none is named."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-names-"))
+    return df.checkpoint()
+
+
+def merged_pairs(names: DataFrame, rules: tuple[Callable[[str, str], bool], ...]) -> DataFrame:
+    """``(a, b)``: pairs of the distinct ``name`` that a rule merges, from the names that share a key."""
+    @F.pandas_udf("array<struct<key: string, f: boolean, t: boolean>>")
+    def keyed(v: pd.Series) -> pd.Series:
+        return v.map(lambda n: [{"key": k, "f": f, "t": t} for k, f, t in merge_keys(n)])
+
+    def tried(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["name"], pdf["f"], pdf["t"], strict=True))
+        whole = [n for n, f, t in rows if f and t]
+        other = [n for n, f, t in rows if not (f and t)]
+        pairs = [(a, b) for k, a in enumerate(whole) for b in (*whole[k + 1 :], *other)]
+        pairs += [(a, b) for a, f, t in rows if f and not t for b, g, u in rows if u and not g]
+        found = {tuple(sorted(p)) for p in pairs if any(r(*p) for r in rules)}
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    rows = names.select("name", F.explode(keyed(F.col("name"))).alias("k")).select("name", "k.*")
+    # a key with no whole name on either side, or with one name, pairs nothing
+    able = rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("f").alias("some_f"), F.bool_or("t").alias("some_t")).where("n > 1 AND some_f AND some_t").select("key")
+    return rows.join(able, "key").groupBy("key").applyInPandas(tried, "a string, b string").distinct()
+
+
+def connected(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(name, root)``: the first name that each name is connected with, by passing smaller names on until nothing moves."""
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = written(names.select("name", F.col("name").alias("root")))
+    while True:
+        heard = both.join(now, both["b"] == now["name"]).groupBy("a").agg(F.min("root").alias("heard"))
+        step = now.join(heard, now["name"] == heard["a"], "left").select("name", F.least("root", F.coalesce("heard", "root")).alias("to"), "root")
+        # a name also takes what its root has heard
+        roots = step.select(F.col("name").alias("r_name"), F.col("to").alias("r_to"))
+        after = written(step.join(roots, step["to"] == roots["r_name"], "left").select("name", F.least("to", F.coalesce("r_to", "to")).alias("root"), (F.least("to", F.coalesce("r_to", "to")) != F.col("root")).alias("moved")))
+        if not after.where("moved").limit(1).count():
+            return after.select("name", "root")
+        now = after.select("name", "root")
+
+
 def aliases(names: DataFrame, name: str = "name", rules: tuple[Callable[[str, str], bool], ...] = (similar,)) -> DataFrame:
-    """``(name, alias)`` for the distinct names with their counts, block by block of the first word.
+    """``(name, alias)`` for the distinct names with their counts, as ``alias_map`` gives over all of them.
 
-    ``rules`` of names with different first words never hold, so blocks lose nothing. Null names are left out.
+    Pairs are found by keys that no rule's pair can do without; names not connected by pairs cannot meet in a group, so
+    the greedy grouping runs per connected group. Null names are left out, empty ones stand for themselves.
     """
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         made = alias_map(dict(zip(pdf["name"], pdf["n"], strict=True)), rules)
         return pd.DataFrame({"name": list(made), "alias": list(made.values())})
 
-    counted = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
-    return counted.withColumn("block", F.split("name", " ")[0]).groupBy("block").applyInPandas(group, "name string, alias string")
+    counted = written(names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")))
+    pairs = merged_pairs(counted.select("name"), rules)
+    roots = connected(counted.select("name"), pairs)
+    return counted.join(roots, "name").groupBy("root").applyInPandas(group, "name string, alias string")
 
 
 def merge_rounds(names: DataFrame, name: str = "name", rounds: int = 5) -> DataFrame:
@@ -267,7 +348,7 @@ def merge_rounds(names: DataFrame, name: str = "name", rounds: int = 5) -> DataF
     for _ in range(rounds):
         step = aliases(now.select("alias"), "alias", RULES).select(F.col("name").alias("old"), F.col("alias").alias("new"))
         after = now.join(step, now["alias"] == step["old"]).select("name", F.col("new").alias("alias"), (F.col("alias") != F.col("new")).alias("moved"))
-        after = after.checkpoint() if names.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after.cache()
+        after = written(after)
         moved = after.where("moved").limit(1).count()
         now = after.select("name", "alias")
         if not moved:

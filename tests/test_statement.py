@@ -77,6 +77,27 @@ def test_name_rules():
     assert N.canonical(["ALPHA WORKS CASH", "B ALPHA WORKS"], ["ALPHA", "WORKS"]) == "ALPHA WORKS"
 
 
+def test_aliases_equal_the_unblocked_map(spark):
+    """Names of one word that begin differently, cut last words, parentage, shared words, prefixes: as over all names at once."""
+    import random
+
+    draw = random.Random(4)
+    stems = ["ALPHA HARDWARE TRADING SDN BHD", "ALPHAHARDWARETRADINGCOMPANY", "BETA WORKS", "AHMAD BIN ABDULLAH", "SITI BINTI OMAR ZAKI", "GREEN FIELD SUPPLIES", "ONE TWO THREE", "UNITEDSUPPLIERSENTERPRISE"]
+    listed = ["BLPHAHARDWARETRADINGCOMPANY", "ALPHA HARDWARETRADINGCOMPANY", "UNITEDSUPPLIERSENTERPRISES", "AL WORKS", "ALPHA WORKS CASH", "", "X", "ONE TWO THREE LOAN", "BE WORKS SDN BHD"]
+    for _ in range(160):
+        t = list(draw.choice(stems))
+        for _ in range(draw.randrange(3)):
+            k = draw.randrange(len(t))
+            t[k : k + 1] = draw.choice([[], [t[k], "S"], ["E"], [" "]])
+        listed.append(" ".join("".join(t).split()))
+    counts = {n: listed.count(n) for n in listed}
+    df = spark.createDataFrame([(n,) for n in listed], "name string")
+    for rules in ((N.similar,), N.RULES):
+        got = {r.name: r.alias for r in N.aliases(df, rules=rules).collect()}
+        assert got == N.alias_map(counts, rules)
+    assert N.similar("ALPHAHARDWARETRADINGCOMPANY", "BLPHAHARDWARETRADINGCOMPANY")
+
+
 def test_risk_sheet_of_one_row(spark):
     from tallyspark.operators import flags as G
 
