@@ -48,13 +48,14 @@ def minima(hashes, starts, count: int):
     return np.stack([np.minimum.reduceat(hashes * o, starts) for o in odd], axis=1) if len(starts) else np.zeros((0, count), np.uint64)
 
 
-def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False, test: Callable | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sketches: int, budget: Callable | None = None, grouped: bool = False, test: Callable | None = None, buckets_of: Callable | None = None) -> DataFrame:
     """``(a, b)``: per task a spanning forest of the likely pairs of ``rows(key, rep, w0, w1, ...)`` that share a bucket.
 
     A pair is likely if its sizes allow the similarity ``least`` and ``near(size_i, size_j, w_i, w_j)`` gives it a cost
     that is not negative; cheap pairs are taken first. With ``grouped`` all likely pairs whose column ``g`` differs are
     returned, not a forest; with ``test`` too, those of them that it passes by the words of their ``content`` and that unite
-    two groups not yet united in the task. A row may stand in a bucket more than once.
+    two groups not yet united in the task. ``buckets_of`` tells the buckets of a list of contents: a pair is tested in the
+    first bucket that it shares, and in no other. A row may stand in a bucket more than once.
 
     ``count`` is about the number of rows; it sets the number of tasks, so that a task holds a bounded share of them, or
     one bucket if that has more, sorts it in place and looks at pairs by the step. ``budget(size)`` tells how many bits ``w0`` of a
@@ -128,6 +129,10 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
                 v = up[v]
             return v
 
+        place = {r: k for k, r in enumerate(rep)}
+        own = dict(zip(place, buckets_of([x["content"][k] for k in place.values()]), strict=True))
+        bucket = (x["key"] >> SIZE_BITS).tolist()
+
         def words_of(k: int) -> list:
             if rep[k] not in words:
                 words[rep[k]] = x["content"][k].split()
@@ -138,7 +143,7 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
             for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
                 a, b = root(g[p]), root(g[q])
                 pair = (min(rep[p], rep[q]), max(rep[p], rep[q]))
-                if a == b or pair in refused:
+                if a == b or pair in refused or min(own[rep[p]] & own[rep[q]], default=bucket[p]) != bucket[p]:
                     continue
                 if test(words_of(p), words_of(q)):
                     up[max(a, b)] = min(a, b)
@@ -190,7 +195,7 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def banded_groups(rows: Callable[[DataFrame | None], DataFrame], count: int, each: int, verified: Callable[[DataFrame], DataFrame], test: Callable | None = None, **how) -> DataFrame:
+def banded_groups(rows: Callable[[DataFrame | None], DataFrame], count: int, each: int, verified: Callable[[DataFrame], DataFrame], test: Callable | None = None, buckets_of: Callable | None = None, **how) -> DataFrame:
     """``(node, component)`` of the rows that verified pairs unite.
 
     ``rows(None)`` gives the bucket rows of all ``count`` rows, about ``each`` of one; ``rows(nodes)`` those of the written
@@ -209,7 +214,7 @@ def banded_groups(rows: Callable[[DataFrame | None], DataFrame], count: int, eac
     sides = cut(ends.join(small(groups.select(F.col("node").alias("g_node"), "component"), 16), F.col("node") == F.col("g_node"), "left").select("node", F.coalesce("component", "node").alias("g")))
     torn = failed.select(F.explode(F.array("a", "b")).alias("end")).distinct().join(sides, F.col("end") == F.col("node")).select(F.col("g").alias("torn")).distinct()
     apart = cut(sides.join(small(cut(torn), 8), F.col("g") == F.col("torn"), "left_semi"))
-    again = bucket_links(rows(apart), apart.count() * each, grouped=True, test=test, **how)
+    again = bucket_links(rows(apart), apart.count() * each, grouped=True, test=test, buckets_of=buckets_of, **how)
     if test:
         again = cut(again)
     else:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bands import banded_groups, bucket_keys, minima, mixed
+from .bands import SIZE_BITS, banded_groups, bucket_keys, minima, mixed
 from .common import BROADCAST_BYTES, cut, small, table
 
 #: Normalisation: A-Z (and what ``str.lower`` lowers) in lower case, digits as 0, other ASCII punctuation as space.
@@ -208,6 +208,17 @@ def line_buckets(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, rep long, w0 long, w1 long")
 
 
+def buckets_of(normal: list[bytes]) -> list[set[int]]:
+    """The buckets of each normal line, without the sizes that their keys carry."""
+    out: list[set[int]] = [set() for _ in normal]
+    for s in range(0, len(normal), 4096):
+        words, _, sizes, kinds, doc, _ = hashed_lines(normal[s : s + 4096])
+        key, row = bucket_rows(words, sizes, kinds)
+        for k, r in zip((key >> SIZE_BITS).tolist(), (doc[row] + s).tolist(), strict=True):
+            out[r].add(k)
+    return out
+
+
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, line, kind)`` for each line with ``min_words`` or more normal words; lines are numbered from 0."""
     import numpy as np
@@ -339,7 +350,7 @@ def groups_of_lines(docs: DataFrame, kinds: DataFrame, count: int, min_words: in
 
     budget = lambda size: 2 * int((1 - similarity) * size + 1e-6) if size <= SHORT else 64
     test = lambda a, b: similar(a, b, similarity)
-    return banded_groups(rows, count, HASHES, verify, test, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
+    return banded_groups(rows, count, HASHES, verify, test, buckets_of, near=likely_lines(similarity, max_bits), least=similarity, sketches=2, budget=budget)
 
 
 def place(ident: str, line: str) -> Column:
