@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import has_corporate_suffix, is_person, normalize_text, unknown_label
+from ..functions.scalar import has_corporate_suffix, is_person, no_counterparty, normalize_text, unknown_label
 from .detect import has
-from .ledger import first_of, related_signals, with_party
+from .ledger import first_of, ledger, related_signals, with_party
 from .names import equivalent, names_in_text, person_in_text
 
 #: Texts that are parts of a statement's print, not of a transaction.
@@ -85,6 +85,17 @@ def align_to_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return best.groupBy(F.coalesce("target", "party").alias("party")).agg(F.sum("n").alias("n"), F.round(F.sum("credits"), 2).alias("credits"), F.round(F.sum("debits"), 2).alias("debits"))
 
 
+def top_party_view(tx: DataFrame, targets: DataFrame, k: int = 10) -> DataFrame:
+    """``(side, rank, party, amount)``: the ledger's parties under their targets, without labels that name nobody, by
+    the sum of each side, ties by name. The first ``k`` of a side are taken by partial sorts before they are ranked.
+    """
+    rows = align_to_targets(ledger(tx).select("party", "n", "credits", "debits"), targets)
+    named = rows.where(~unknown_label(F.col("party")) & ~no_counterparty(F.col("party")) & ~has(r"\bBILL\b|\bCHARGE", "party"))
+    side = lambda s, c: named.where(F.col(c) > 0).orderBy(F.desc(c), "party").limit(k).select(F.lit(s).alias("side"), "party", F.col(c).alias("amount"))
+    both = side("payer", "credits").unionByName(side("payee", "debits"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("amount"), "party")).cast("bigint"))
+
+
 def candidates(tx: DataFrame, excluded: DataFrame) -> DataFrame:
     """Signalled parties without companies, labels and listed names, strongest first."""
     s = related_signals(tx).where((F.col("score") > 0) & ~unknown_label(F.col("party")) & (~has_corporate_suffix(F.col("party")) | is_person(F.col("party"))))

@@ -8,10 +8,12 @@ from .detectors import QUERIES as _D
 from .detectors import SQL as _DS
 from .extras import QUERIES as _X
 from .extras import SQL as _XS
+from .layouts import QUERIES as _Y
+from .layouts import SQL as _YS
 from .parties import QUERIES as _P
 from .parties import SQL as _PS
 from .scalars import QUERIES as _F
 from .scalars import SQL as _FS
 
-QUERIES: dict = _F | _D | _A | _X | _P
-ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS
+QUERIES: dict = _F | _D | _A | _X | _P | _Y
+ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS

@@ -1,0 +1,3 @@
+"""Readers of statements; the layouts register their banks."""
+
+from . import layouts as layouts

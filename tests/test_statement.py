@@ -214,3 +214,28 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 16
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_parties_of_banks_and_layouts_take_nulls_and_empty_tables(spark):
+    from tallyspark.sources import bankparties as B
+    from tallyspark.sources import layouts as Y
+
+    none = spark.createDataFrame([("Maybank", None), ("Maybank", ""), ("OCBC", ""), (None, "x"), ("CIMB Bank", "x")], "bank string, t string")
+    assert [r.p for r in none.select(B.bank_party(F.col("bank"), F.col("t")).alias("p")).collect()] == ["UNKNOWN"] * 3 + [None] * 2
+    held = spark.createDataFrame([("INWARD IBG CREDIT | RPP | ACME SDN BHD",), ("X MBISMYKL",), ("INWARD IBG CREDIT | ACME SDN | BETA",)], "t string")
+    assert [r.p for r in held.select(B.agro(F.col("t"), F.lit("Acme Sdn Bhd")).alias("p")).collect()] == ["ACME SDN BHD", "ACME SDN BHD", "BETA"]
+    tx = spark.createDataFrame([(None, "Maybank", None, "mine"), ("a", "Maybank", "TRANSFER FR A/C ALPHA WORKS", None)], "file string, bank string, description string, party string")
+    assert sorted((r.file or "", r.party_raw, r.party) for r in B.annotate(tx).collect()) == [("", "UNKNOWN", "UNKNOWN"), ("a", "ALPHA WORKS", "ALPHA WORKS")]
+    empty = spark.createDataFrame([], "file string, page int, line int, text string")
+    blank = spark.createDataFrame([("f", 1, 1, None), ("f", 1, 2, "no row 1.00")], "file string, page int, line int, text string")
+    for layout in (Y.alliance, Y.public_bank, Y.ocbc):
+        assert tuple(layout(empty).columns) == Y.ROWS and layout(empty).count() == 0 and layout(blank).count() == 0
+
+
+def test_layouts_read_files_by_bank(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("01 JAN 2024 PAY ALPHA 20.00 120.00\nREF: a b c d e\n\fBalance B/F 1.00\n02 JAN 2024 CASH DR 5.00 115.00\nREF: a b REF: c d\nx\n")
+    rows = Z.read(spark, str(tmp_path), "OCBC").orderBy("seq").collect()
+    assert [(r.page, str(r.dt), r.description, r.debit, r.credit) for r in rows] == [(1, "2024-01-01", "PAY ALPHA REF: a b c d", 0.0, 0.0), (2, "2024-01-02", "CASH DR REF: a b REF: c d x", 5.0, 0.0)]
+    (tmp_path / "a.txt").write_text("01/03 DEP ALPHA 5.00 15.00\nBalance C/F 15.00\n\f\n\fBalance B/F 15.00\nnot carried over an empty page\n02/03 FEE 1.00 14.00\n")
+    rows = Z.read(spark, str(tmp_path), "Public Bank (PBB)").orderBy("seq").collect()
+    assert [(r.page, r.dt, r.description, r.debit, r.credit) for r in rows] == [(1, None, "DEP ALPHA", 0.0, 5.0), (3, None, "FEE", 1.0, 0.0)]
