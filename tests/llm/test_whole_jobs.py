@@ -249,3 +249,48 @@ def test_graphs_find_the_links_of_large_shards(spark):
     assert 0.99 * sims.sum() <= found <= sims.sum()
     comp = brute_components(range(len(rows)), [tuple(p) for p in np.argwhere(sims) if p[0] < p[1]])
     assert sum(got[k].component_id == comp[k] for k in comp) >= 0.99 * len(comp)
+
+
+def test_outgrown_buckets_are_split_without_losing_a_pair(spark, monkeypatch):
+    """One bucket with most rows, far above a task's share, between small ones: all likely pairs, or a forest of them."""
+    from tallyspark.llm import bands
+
+    monkeypatch.setattr(bands, "HOT_SHARE", bands.TASK_ROWS // 16)
+    monkeypatch.setattr(bands, "HOLD", 100)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(8, 40, 300)
+    base = rng.integers(0, 1 << 62, 40)
+    sketch = base[rng.integers(0, 40, 300)] ^ (1 << rng.integers(0, 60, 300)) ^ (1 << rng.integers(0, 60, 300))
+    buckets = [[7 << 20] + ([int(rng.integers(1, 30)) << 22] if k % 3 == 0 else []) for k in range(300)]
+    rows = [((b << bands.SIZE_BITS) | int(sizes[k]), k, int(sketch[k]), k % 5) for k in range(300) for b in buckets[k]]
+    table = spark.createDataFrame(rows * 2 + rows[:50], "key long, rep long, w0 long, g long").repartition(7)
+
+    def near(short, long, a, b):
+        bits = np.bitwise_count(a[0] ^ b[0]).astype(np.int64)
+        return np.where(bits <= 4, bits, -1)
+
+    def alike(i, j):
+        return set(buckets[i]) & set(buckets[j]) and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) - 1e-6 and int(sketch[i] ^ sketch[j]).bit_count() <= 4
+
+    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if alike(i, j)}
+    assert len(want) > 300
+    for budget in (None, lambda size: 4):
+        how = {"near": near, "least": 0.8, "sketches": 1, "budget": budget}
+        forest = {tuple(r) for r in bands.bucket_links(table, len(rows), **how).collect()}
+        assert forest <= want and brute_components(range(300), forest) == brute_components(range(300), want)
+        monkeypatch.setattr(bands, "LARGE", 4)
+        all_pairs = {tuple(r) for r in bands.bucket_links(table, len(rows), grouped=True, **how).collect()}
+        assert all_pairs == {(i, j) for i, j in want if i % 5 != j % 5}
+
+
+def test_line_dedup_is_the_same_with_split_buckets(spark, monkeypatch):
+    from tallyspark.llm import bands
+
+    rng = random.Random(9)
+    texts = [" ".join(["alpha", "beta", "gamma", *(rng.choice("red blue green grey pink".split()) + str(rng.randrange(4)) for _ in range(rng.randrange(2, 30)))]) for _ in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], DOCS)
+    whole = sorted(map(tuple, lines.dedup_lines(docs, counts=True).collect()))
+    monkeypatch.setattr(bands, "HOT_SHARE", bands.TASK_ROWS // 32)
+    monkeypatch.setattr(bands, "HOLD", 500)
+    assert sorted(map(tuple, lines.dedup_lines(docs, counts=True).collect())) == whole
+    assert sum(n for *_, n in whole) > 20
