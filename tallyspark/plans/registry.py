@@ -14,6 +14,8 @@ from .parties import QUERIES as _P
 from .parties import SQL as _PS
 from .scalars import QUERIES as _F
 from .scalars import SQL as _FS
+from .wordlayouts import QUERIES as _W
+from .wordlayouts import SQL as _WS
 
-QUERIES: dict = _F | _D | _A | _X | _P | _Y
-ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS
+QUERIES: dict = _F | _D | _A | _X | _P | _Y | _W
+ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS | _WS
