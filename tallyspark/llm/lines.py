@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .bands import SIZE_BITS, banded_groups, bucket_keys, minima, mixed
 from .common import BROADCAST_BYTES, cut, small, table
 
-#: Normalisation: A-Z (and what ``str.lower`` lowers) in lower case, digits as 0, other ASCII punctuation as space.
-NORMAL = bytes(48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
+#: Normalisation: A-Z (and what ``str.lower`` lowers) in lower case, digits as they stand, other ASCII punctuation as space.
+NORMAL = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
 KEEP_BREAKS = NORMAL[:10] + b"\n" + NORMAL[11:]
 MIN_WORDS = 1
 SIMILARITY = 0.8
@@ -220,19 +220,21 @@ def buckets_of(normal: list[bytes]) -> list[set[int]]:
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line, kind)`` for each line with ``min_words`` or more normal words; lines are numbered from 0."""
+    """``(id, text_hash, line, kind)`` for each line with ``min_words`` or more normal words; lines are numbered from 0."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for rows, part in parts_of(b.column(1)):
+            ids, hashes = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for rows, part in parts_of(b.column(2)):
                 _, _, sizes, kinds, doc, line = hashed_lines(part)
                 some = sizes >= min_words
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(rows)][doc[some]]), pa.array(line[some], pa.int32()), pa.array(kinds[some].view(np.int64))], names=["id", "line", "kind"])
+                at = np.array(rows)[doc[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(hashes[at]), pa.array(line[some], pa.int32()), pa.array(kinds[some].view(np.int64))], names=["id", "text_hash", "line", "kind"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, line int, kind long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text), text.alias("t")).mapInArrow(run, "id long, text_hash long, line int, kind long")
 
 
 def edit_distance(a: list, b: list, most: int | None = None) -> int:
@@ -281,7 +283,11 @@ def similar(a: list, b: list, least: float) -> bool:
 
 
 def line_texts(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(kind, line)``: the normal line of every kind of ``pairs``, from its first place; written."""
+    """``(kind, line)``: the normal line of every kind of ``pairs``, from its first place; written.
+
+    Where rows share an id, the line is taken from the one whose line is of the kind.
+    """
+    import numpy as np
     import pyarrow as pa
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct().join(kinds.select("kind", "fid", "fline"), "kind")
@@ -297,7 +303,10 @@ def line_texts(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, id_col: str,
                     if q["fline"] < len(split):
                         names.append(q["kind"])
                         found.append(b" ".join(split[q["fline"]].split()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["kind", "line"])
+            _, _, _, kinds, at, _ = hashed_lines(found) if found else (None,) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
+            asked_of = np.array(names, np.int64)[at]
+            right = at[kinds.view(np.int64) == asked_of]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[right]), pa.array([found[k] for k in right.tolist()], pa.binary())], names=["kind", "line"])
 
     return cut(texts.select("t", "asked").mapInArrow(run, "kind long, line binary").groupBy("kind").agg(F.min("line").alias("line")))
 
@@ -363,8 +372,8 @@ def id_and_line(column: str, ident: str, line: str) -> tuple[Column, Column]:
     return F.expr(f"({column} - {at}) div 2147483648BD").alias(ident), F.expr(f"cast({at} AS int)").alias(line)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(lines, gone)``: all lines looked at, and ``(id, line)`` of those that an earlier line of their group stands for.
+def lines_and_gone(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(lines, gone)``: all lines looked at, and ``(id, text_hash, line)`` of those that an earlier line of their group stands for.
 
     1. Equal normal lines meet in one kind with their first place (smallest id, then line).
     2. Kinds meet in blocks of words. With few edits one of the blocks between them stands unedited, which is the
@@ -384,10 +393,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_bits: int =
     firsts = grouped.where("component is not null").groupBy(F.col("g").alias("keep_g")).agg(F.min(place("fid", "fline")).alias("keep")).select("keep_g", *id_and_line("keep", "gid", "gline"))
     grouped = grouped.join(firsts, F.col("g") == F.col("keep_g"), "left").select(F.col("kind").alias("__kind"), "places", "fid", "fline", F.coalesce("gid", "fid").alias("kid"), F.coalesce("gline", "fline").alias("kline"))
     grouped = cut(grouped.where("places > 1 OR kid <> fid OR kline <> fline").select("__kind", "kid", "kline"))
-    gone = lines.join(small(grouped, 32), F.col("kind") == F.col("__kind")).where("id <> kid OR line <> kline").select(F.col("id").alias(id_col), "line")
+    gone = lines.join(small(grouped, 32), F.col("kind") == F.col("__kind")).where("id <> kid OR line <> kline").select(F.col("id").alias(id_col), "text_hash", "line")
     return lines, cut(gone.distinct())
 
 
+def repeated_lines(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """``lines_and_gone`` with ``(id, line)`` of the lines that go, whatever text of the id they stand in."""
+    lines, gone = lines_and_gone(docs, **how)
+    return lines, gone.drop("text_hash").distinct()
+
+
 def fresh_names(docs: DataFrame, *wanted: str) -> list[str]:
     """``wanted`` with as many underscores before them as no column of ``docs`` has."""
     taken = {c.lower() for c in docs.columns}
@@ -404,14 +419,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated lines taken out of the texts; all rows and columns stay, whatever the columns' names.
 
     A line goes if another of its group comes first, by id and place; lines without words (and with fewer than
-    ``min_words``), null and empty texts and rows with a null id stay as they are. A text may end up empty. Rows that
-    repeat an id are one document and lose the same line numbers. ``counts`` adds ``n_lines`` and ``n_removed``.
+    ``min_words``), null and empty texts and rows with a null id stay as they are. A text may end up empty. Rows equal in
+    id and text lose the same lines; rows of one id with other texts lose their own, and a line that stands at one
+    number in two of them is one place. ``counts`` adds ``n_lines`` and ``n_removed``.
     """
-    _, gone = repeated_lines(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), **how)
-    ident, lost, text, parts = fresh_names(docs, "gone_id", "gone_lines", "kept_text", "text_parts")
-    gone = cut(gone.groupBy(F.col("doc_id").alias(ident)).agg(F.sort_array(F.collect_list("line")).alias(lost)))
+    _, gone = lines_and_gone(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), **how)
+    ident, of, lost, text, parts = fresh_names(docs, "gone_id", "gone_text", "gone_lines", "kept_text", "text_parts")
+    gone = cut(gone.groupBy(F.col("doc_id").alias(ident), F.col("text_hash").alias(of)).agg(F.sort_array(F.collect_list("line")).alias(lost)))
     n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(lost)), F.lit(0))).first()
-    joined = docs.join(F.broadcast(gone) if 32 * n + 4 * size <= BROADCAST_BYTES else gone, F.col(f"`{id_col}`").cast("long") == F.col(ident), "left")
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(ident)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(of))
+    joined = docs.join(F.broadcast(gone) if 40 * n + 4 * size <= BROADCAST_BYTES else gone, same, "left")
     joined = joined.withColumn(parts, F.when(F.col(lost).isNotNull(), F.split(f"`{text_col}`", "\n", -1)))
     left = F.expr(f"array_join(transform(array_except(sequence(0, size({parts}) - 1), {lost}), i -> {parts}[i]), '\\n')")
     out = joined.withColumn(text, F.when(F.col(parts).isNull(), F.col(f"`{text_col}`")).otherwise(left))

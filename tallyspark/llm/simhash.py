@@ -219,7 +219,7 @@ def shingle_hashes(text: str | None, shingle_words: int):
 
 
 def shingle_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``(id, kind, sim, size, keys)`` for every row: texts of equal words share a kind, ``size`` counts distinct shingles.
+    """``(id, text_hash, kind, sim, size, keys)`` for every row: texts of equal words share a kind, ``size`` counts distinct shingles.
 
     ``keys`` are the row's buckets, one for each band of ``BAND_ROWS`` MinHashes.
     """
@@ -230,7 +230,7 @@ def shingle_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 y = b.slice(s, 256)
-                texts = y.column(1).to_pylist()
+                texts = y.column(2).to_pylist()
                 parts = [shingle_hashes(t, shingle_words) for t in texts]
                 sims = np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
                 kinds = np.array([k for k, _ in parts], dtype=np.uint64).view(np.int64)
@@ -243,9 +243,10 @@ def shingle_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words:
                     key = mixed(key ^ low[:, :, r])
                 keys = bucket_keys(key, np.repeat(sizes[:, None], BANDS, axis=1))
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([y.column(0), pa.array(kinds), pa.array(sims), pa.array(sizes, pa.int32()), lists], names=["id", "kind", "sim", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([y.column(0), y.column(1), pa.array(kinds), pa.array(sims), pa.array(sizes, pa.int32()), lists], names=["id", "text_hash", "kind", "sim", "size", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, kind long, sim long, size int, keys array<long>")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("t")).mapInArrow(run, "id long, text_hash long, kind long, sim long, size int, keys array<long>")
 
 
 def jaccard_verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, shingle_words: int, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -273,8 +274,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS,
 
     Components are of texts with a Jaccard similarity of ``least`` or more over word shingles. Candidates share a MinHash
     band and differ in at most ``budget`` bits of their SimHashes; the similarity is verified on the texts. Blank texts
-    are copies of one another. Rows that repeat an id share its fate, which the smallest of its components decides;
-    rows without an id stay.
+    are copies of one another. Each row is judged by its own text: of rows with one id and different texts those go whose
+    component has a smaller id, and the others stay. Rows without an id stay.
     """
     import numpy as np
 
@@ -295,10 +296,10 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS,
     linked = cut(kinds.select("kind", "rep_id").join(groups, F.col("kind") == F.col("node"), "left").select("kind", "rep_id", F.coalesce("component", "kind").alias("group")))
     firsts = linked.groupBy("group").agg(F.min("rep_id").alias("first"))
     of_kind = linked.join(firsts, "group").select("kind", "first")
-    gone = rows.select("id", "kind").distinct().join(of_kind, "kind").select("id", "first")
-    gone = gone.groupBy("id").agg(F.min("first").alias("first")).where("first <> id")
-    gone = cut(gone.select(F.col("id").alias("__gone")))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = rows.select("id", "text_hash", "kind").distinct().join(of_kind, "kind").where("first <> id")
+    gone = cut(gone.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__text")).distinct())
+    same = (docs[id_col].cast("long") == gone["__gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__text"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
