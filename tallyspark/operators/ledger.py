@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.scalar import business_days, fingerprint, merchant_key, no_counterparty, normalize_text, party_name, round_debit, unknown_label
+from .anchors import names_in
 from .detect import has, salary_text
 
 
@@ -109,13 +110,14 @@ def named_only(l: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def substring_parties(tx: DataFrame, names: DataFrame) -> DataFrame:
-    """The longest listed name that stands in each description.
+    """Rows with the longest listed name that stands in their description; rows without one are left out.
 
-    ``names`` is a short analyst list; it is sent to every task and tried by ``contains``, a theta condition.
+    The list may be of any size (``names_in``).
     """
-    hit = tx.join(F.broadcast(names), F.upper("description").contains(F.upper("name")))
-    w = Window.partitionBy("row_order").orderBy(F.desc(F.length("name")), "name")
-    return hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    hits = names_in(tx, names, "row_order", F.col("description"))
+    best = hits.groupBy(F.col("row_order").alias("__row")).agg(F.min(F.struct((-F.length("name")).alias("n"), "name"))["name"].alias("__name"))
+    listed = names.withColumn("__upper", F.upper("name")).groupBy("__upper").agg(F.min("name").alias("name"))
+    return tx.join(best, F.col("row_order") == F.col("__row")).join(listed, F.col("__name") == F.col("__upper")).drop("__row", "__name", "__upper")
 
 
 def report_order(tx: DataFrame) -> DataFrame:
@@ -123,17 +125,36 @@ def report_order(tx: DataFrame) -> DataFrame:
     return tx.orderBy(F.col("dt").asc_nulls_last(), "row_order")
 
 
-def return_candidates(tx: DataFrame) -> DataFrame:
+def calendar(first: Column, last: Column, days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """``(day, number)`` of every day from the first to the last of ``days``: business days up to it, without holidays.
+
+    A business-day distance is then the difference of two numbers. The table has a row a day, so it is small whatever the rows.
+    """
+    span = days.agg(first.alias("a"), last.alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day"))
+    free = holidays.select(F.col("day").cast("date").alias("__free")).where("__free IS NOT NULL").distinct()
+    works = (F.weekday("day") < 5) & F.col("__free").isNull()
+    return span.join(F.broadcast(free.where(F.weekday("__free") < 5)), F.col("day") == F.col("__free"), "left").withColumn("number", F.sum(works.cast("int")).over(Window.orderBy("day"))).select("day", "number")
+
+
+def return_candidates(tx: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """Outward transfers and later credits of the same account and amount within five business days.
 
-    Equal amounts to the cent are an equality join on cents; neighbours of a cent are met by three keys per
-    transfer. The day limit of a week and a half bounds each key's range.
+    Equal amounts to the cent are an equality join on cents; neighbours of a cent are met by three keys per transfer. Without
+    ``holidays(day)`` a week and a half bounds each key's range; with them business days are counted by ``calendar``.
     """
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     out = tx.where((F.col("debit") > 0) & has(R.OUTWARD_TRANSFER) & ~has(R.RETURN_WORDS)).select(F.col("row_order").alias("dr"), "account_no", F.col("dt").alias("dr_dt"), F.col("debit").alias("dr_amount"), F.explode(F.array(*(cents("debit") + k for k in (-1, 0, 1)))).alias("cents"))
     back = tx.where("credit > 0").select(F.col("row_order").alias("cr"), "account_no", F.col("dt").alias("cr_dt"), F.col("credit").alias("cr_amount"), F.col("description").alias("cr_text"), cents("credit").alias("cents"))
-    pairs = out.join(back, ["account_no", "cents"]).where((F.col("cr_dt") >= F.col("dr_dt")) & (F.col("cr_dt") <= F.date_add("dr_dt", 9)))
-    return pairs.withColumn("days", business_days(F.col("dr_dt"), F.col("cr_dt"))).where(F.col("days") <= R.PAIR_DAYS)
+    if holidays is None:
+        pairs = out.join(back, ["account_no", "cents"]).where((F.col("cr_dt") >= F.col("dr_dt")) & (F.col("cr_dt") <= F.date_add("dr_dt", 9)))
+        return pairs.withColumn("days", business_days(F.col("dr_dt"), F.col("cr_dt"))).where(F.col("days") <= R.PAIR_DAYS)
+    days = calendar(F.min("dt"), F.max("dt"), tx, holidays)
+    at = lambda n: F.broadcast(days.select(F.col("day").alias(f"__{n}"), F.col("number").alias(f"__{n}_no")))
+    out = out.join(at("dr"), F.col("dr_dt") == F.col("__dr"))
+    back = back.join(at("cr"), F.col("cr_dt") == F.col("__cr"))
+    apart = F.col("__cr_no") - F.col("__dr_no")
+    pairs = out.join(back, ["account_no", "cents"]).where((F.col("cr_dt") >= F.col("dr_dt")) & (apart <= R.PAIR_DAYS))
+    return pairs.withColumn("days", apart.cast("bigint")).drop("__dr", "__cr", "__dr_no", "__cr_no")
 
 
 def pair_returns(tx: DataFrame) -> DataFrame:

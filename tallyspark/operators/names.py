@@ -127,6 +127,7 @@ LEGAL_WORDS = frozenset("SDN BHD BERHAD LTD LIMITED M MALAYSIA MALAYAN PLC".spli
 BANK_CODES = frozenset("ABMB AFFIN AGROBANK AMBANK AMFB BIMB BSN CIMB CITIBANK HLB HLBB HSBC MAYBANK MBB OCBC PBB RHB UOB BANK BANKING".split())
 PERSON_MARKERS = frozenset("BIN BINT BINTE BINTI B BT BTE ANAK A/L A/P".split())
 NAMELESS = LEGAL_WORDS | BANK_CODES | NOISE_WORDS | PERSON_MARKERS | {"UNKNOWN", "UNIDENTIFIED", "UNCATEGORIZED"}
+MARKER_RANK = ("BIN", "BINTI", "A/L", "A/P", "BT")
 FOLLOWING = LEGAL_WORDS | BANK_CODES | PERSON_MARKERS | frozenset("CAP CAPITAL CARD CASH CC CCARD CEO CREDIT MTSB PAYMENT PETTY SHARE OPENING LOAN TO DSSB MSSB CA".split())
 
 
@@ -178,6 +179,23 @@ def canonical(names: list[str], anchor: list[str]) -> str:
     return min(legal or begin, key=order)
 
 
+def most_frequent(counts: dict[str, int]) -> str:
+    """A group's most frequent, then longest, then wordiest, then first name."""
+    return min(counts, key=lambda v: (-counts[v], -len(v), -len(v.split()), v))
+
+
+def by_rank(counts: dict[str, int]) -> str:
+    """M7: a group's shortest legal entity; of persons the one with the clearest marker, then the longest; else the shortest
+    name that begins with the two words that carry the name, or those words, or the most frequent name."""
+    if any(legal_entity(n) for n in counts):
+        return canonical(list(counts), [])
+    persons = [n for n in counts if MARKERS & set(n.split()[1:])]
+    if persons:
+        return min(persons, key=lambda n: (min(MARKER_RANK.index(w) for w in n.split()[1:] if w in MARKERS), -len(n), n))
+    fronts = {tuple(a[0]) for a in (anchored(n, 2) for n in counts) if a}
+    return canonical(list(counts), list(fronts.pop())) if len(fronts) == 1 else most_frequent(counts)
+
+
 def suspicious_short(c: Column) -> Column:
     """M9: no name, a bare parentage marker, one number, or one word of up to three letters."""
     s = F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
@@ -218,9 +236,8 @@ def shared_run(a: str, b: str) -> int:
 RULES: tuple[Callable[[str, str], bool], ...] = (similar, similar_person, contained, shared_three)
 
 
-def alias_map(counts: dict[str, int], rules: tuple[Callable[[str, str], bool], ...] = (similar,)) -> dict[str, str]:
-    """Names by words, length and letters go to the first group that holds a similar one; the group takes its most
-    frequent, then longest, then wordiest, then first name."""
+def alias_map(counts: dict[str, int], rules: tuple[Callable[[str, str], bool], ...] = (similar,), choose: Callable[[dict[str, int]], str] = most_frequent) -> dict[str, str]:
+    """Names by words, length and letters go to the first group that holds a similar one; ``choose`` names the group."""
     groups: list[list[str]] = []
     for name in sorted(counts, key=lambda v: (len(v.split()), len(v), v)):
         home = next((g for g in groups if any(r(name, x) for x in g for r in rules)), None)
@@ -230,8 +247,7 @@ def alias_map(counts: dict[str, int], rules: tuple[Callable[[str, str], bool], .
             home.append(name)
     out = {}
     for g in groups:
-        head = min(g, key=lambda v: (-counts[v], -len(v), -len(v.split()), v))
-        out.update(dict.fromkeys(g, head))
+        out.update(dict.fromkeys(g, choose({v: counts[v] for v in g}) if len(g) > 1 else g[0]))
     return out
 
 
@@ -326,14 +342,14 @@ def connected(names: DataFrame, pairs: DataFrame) -> DataFrame:
         now = after.select("name", "root")
 
 
-def aliases(names: DataFrame, name: str = "name", rules: tuple[Callable[[str, str], bool], ...] = (similar,)) -> DataFrame:
+def aliases(names: DataFrame, name: str = "name", rules: tuple[Callable[[str, str], bool], ...] = (similar,), choose: Callable[[dict[str, int]], str] = most_frequent) -> DataFrame:
     """``(name, alias)`` for the distinct names with their counts, as ``alias_map`` gives over all of them.
 
     Pairs are found by keys that no rule's pair can do without; names not connected by pairs cannot meet in a group, so
     the greedy grouping runs per connected group. Null names are left out, empty ones stand for themselves.
     """
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = alias_map(dict(zip(pdf["name"], pdf["n"], strict=True)), rules)
+        made = alias_map(dict(zip(pdf["name"], pdf["n"], strict=True)), rules, choose)
         return pd.DataFrame({"name": list(made), "alias": list(made.values())})
 
     counted = written(names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")))
@@ -342,11 +358,14 @@ def aliases(names: DataFrame, name: str = "name", rules: tuple[Callable[[str, st
     return counted.join(roots, "name").groupBy("root").applyInPandas(group, "name string, alias string")
 
 
-def merge_rounds(names: DataFrame, name: str = "name", rounds: int = 5) -> DataFrame:
-    """Aliases of aliases under all rules until nothing changes, five rounds at most; counts follow the survivors."""
+def merge_rounds(names: DataFrame, name: str = "name", rounds: int = 5, choose: Callable[[dict[str, int]], str] = most_frequent) -> DataFrame:
+    """Aliases of aliases under all rules until nothing changes, five rounds at most; counts follow the survivors.
+
+    ``choose=by_rank`` names each merged group by M7 instead of by its most frequent name.
+    """
     now = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).withColumn("alias", F.col("name"))
     for _ in range(rounds):
-        step = aliases(now.select("alias"), "alias", RULES).select(F.col("name").alias("old"), F.col("alias").alias("new"))
+        step = aliases(now.select("alias"), "alias", RULES, choose).select(F.col("name").alias("old"), F.col("alias").alias("new"))
         after = now.join(step, now["alias"] == step["old"]).select("name", F.col("new").alias("alias"), (F.col("alias") != F.col("new")).alias("moved"))
         after = written(after)
         moved = after.where("moved").limit(1).count()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import has_corporate_suffix, is_person, no_counterparty, normalize_text, unknown_label
+from .anchors import names_in
 from .detect import has
 from .ledger import first_of, ledger, related_signals, with_party
 from .names import equivalent, names_in_text, person_in_text
@@ -69,10 +70,11 @@ def gross_debits(tx: DataFrame) -> DataFrame:
 
 
 def party_groups(tx: DataFrame, own: DataFrame, related: DataFrame) -> DataFrame:
-    """Sums of own, related and other parties; the lists are short, ``name`` stands in text or party."""
+    """Sums of own, related and other parties; ``name`` stands in party or text, the lists may be of any size (``names_in``)."""
     listed = own.select(F.upper("name").alias("name"), F.lit("own").alias("kind"), F.lit(1).alias("rank")).unionByName(related.select(F.upper("name").alias("name"), F.lit("related").alias("kind"), F.lit(2).alias("rank")))
     rows = with_party(tx)
-    hits = rows.select("row_order", F.concat_ws(" ", F.upper("party"), F.upper("description")).alias("t")).join(F.broadcast(listed), F.col("t").contains(F.col("name")))
+    found = names_in(rows, listed, "row_order", F.concat_ws(" ", "party", "description"))
+    hits = found.join(listed, "name")
     kind = hits.groupBy("row_order").agg(F.min_by("kind", F.struct("rank", -F.length("name"), "name")).alias("kind"), F.min_by("name", F.struct("rank", -F.length("name"), "name")).alias("listed"))
     return rows.join(kind, "row_order", "left").groupBy(F.coalesce("kind", F.lit("other")).alias("kind"), F.coalesce("listed", F.lit("")).alias("listed")).agg(F.count("*").alias("n"), dbl(F.sum("credit")).alias("credits"), dbl(F.sum("debit")).alias("debits"))
 

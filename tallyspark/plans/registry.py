@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .accounts import QUERIES as _A
 from .accounts import SQL as _AS
+from .anchorqueries import QUERIES as _N
+from .anchorqueries import SQL as _NS
 from .cascadelayouts import QUERIES as _C
 from .cascadelayouts import SQL as _CS
 from .detectors import QUERIES as _D
@@ -19,5 +21,5 @@ from .scalars import SQL as _FS
 from .wordlayouts import QUERIES as _W
 from .wordlayouts import SQL as _WS
 
-QUERIES: dict = _F | _D | _A | _X | _P | _Y | _W | _C
-ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS | _WS | _CS
+QUERIES: dict = _F | _D | _A | _X | _P | _Y | _W | _C | _N
+ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS | _WS | _CS | _NS
