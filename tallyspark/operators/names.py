@@ -12,12 +12,14 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import company_suffix
 
-#: Words that a cleaned name drops, person markers, and below the thresholds 0.92, 0.96, 0.67, 0.86 and 0.84.
+#: Least ratios of names, of names of one word, of words in common, of what follows a marker, and of its words.
+SIMILAR, ONE_WORD, OVERLAP, PARENTAGE, PARENTAGE_WORD = 0.92, 0.96, 0.67, 0.86, 0.84
+#: Words that a cleaned name drops, person markers.
 NOISE_WORDS = frozenset("PAYMENT TRANSFER TRF FUND DUITNOW IBG GIRO INSTANT FPX REF INV INVOICE TO FROM FR A/C CR DR ONLINE BANKING".split())
 BANK_WORDS = frozenset("MAYBANK CIMB RHB AMBANK AFFIN ALLIANCE OCBC UOB HSBC BSN AGROBANK".split())
 MARKERS = frozenset({"BIN", "BINTI", "BT", "A/L", "A/P"})
@@ -83,7 +85,7 @@ def equivalent(a: str, b: str) -> bool:
     return a.upper() == b.upper() or ordered_match(x, y) or ordered_match(y, x)
 
 
-def similar(a: str, b: str, threshold: float = 0.92) -> bool:
+def similar(a: str, b: str, threshold: float = SIMILAR) -> bool:
     """a last word cut short, or a high sequence ratio behind an overlap of words."""
     if a == b:
         return True
@@ -96,11 +98,11 @@ def similar(a: str, b: str, threshold: float = 0.92) -> bool:
             return True
     ratio = SequenceMatcher(None, a, b).ratio
     if len(x) == 1 or len(y) == 1:
-        return ratio() >= 0.96
+        return ratio() >= ONE_WORD
     if x[0] != y[0]:
         return False
     share = len(set(x) & set(y)) / max(len(set(x)), len(set(y)))
-    return (share >= 0.67 or x[:2] == y[:2]) and ratio() >= threshold
+    return (share >= OVERLAP or x[:2] == y[:2]) and ratio() >= threshold
 
 
 def similar_person(a: str, b: str) -> bool:
@@ -115,11 +117,11 @@ def similar_person(a: str, b: str) -> bool:
     (g, t), (h, u) = parts
     if g != h:
         return False
-    if SequenceMatcher(None, " ".join(t), " ".join(u)).ratio() >= 0.86:
+    if SequenceMatcher(None, " ".join(t), " ".join(u)).ratio() >= PARENTAGE:
         return True
-    alike = lambda p, q: p == q or (len(min(p, q, key=len)) >= 3 and max(p, q, key=len).startswith(min(p, q, key=len))) or (min(len(p), len(q)) >= 4 and SequenceMatcher(None, p, q).ratio() >= 0.84)
+    alike = lambda p, q: p == q or (len(min(p, q, key=len)) >= 3 and max(p, q, key=len).startswith(min(p, q, key=len))) or (min(len(p), len(q)) >= 4 and SequenceMatcher(None, p, q).ratio() >= PARENTAGE_WORD)
     n = sum(alike(p, q) for p, q in zip(t, u, strict=False))
-    return n == len(t) == len(u) or n / max(len(t), len(u)) >= 0.67
+    return n == len(t) == len(u) or n / max(len(t), len(u)) >= OVERLAP
 
 
 #: Words that carry no name, and words that may follow a name without making it another one.
@@ -299,13 +301,21 @@ def merge_keys(name: str) -> list[tuple[str, bool, bool]]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster shares; one of our own only where none is named."""
+    """``df`` checkpointed in the folder that the cluster shares."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-names-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only in a local session, where driver and executors are one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="tallyspark-")
+
+
 def merged_pairs(names: DataFrame, rules: tuple[Callable[[str, str], bool], ...]) -> DataFrame:
     """``(a, b)``: pairs of the distinct ``name`` that a rule merges, from the names that share a key."""
     @F.pandas_udf("array<struct<key: string, f: boolean, t: boolean>>")

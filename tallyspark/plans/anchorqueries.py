@@ -71,7 +71,8 @@ def listed(s, d) -> DataFrame:
     return made.unionByName(s.createDataFrame([("EPF",), ("ALA",), ("X",), ("CHQ D",)], "name string")).distinct()
 
 
-add("J10_many_names", lambda s, d: A.names_in(statement(s, d), listed(s, d), "row_order", c("description")).select("row_order", "name"), sql("SELECT row_order, name FROM st, (SELECT DISTINCT upper(name) AS name FROM (SELECT 'supplier ' || c_custkey % 60 || CASE WHEN c_custkey % 3 = 0 THEN ' sdn' ELSE '' END AS name FROM customer UNION ALL VALUES ('EPF'), ('ALA'), ('X'), ('CHQ D'))) WHERE contains(upper(description), name)"))add("E03_M7_merge_by_rank", lambda s, d: N.merge_rounds(names(s, d), choose=N.by_rank))
+add("J10_many_names", lambda s, d: A.names_in(statement(s, d), listed(s, d), "row_order", c("description")).select("row_order", "name"), sql("SELECT row_order, name FROM st, (SELECT DISTINCT upper(name) AS name FROM (SELECT 'supplier ' || c_custkey % 60 || CASE WHEN c_custkey % 3 = 0 THEN ' sdn' ELSE '' END AS name FROM customer UNION ALL VALUES ('EPF'), ('ALA'), ('X'), ('CHQ D'))) WHERE contains(upper(description), name)"))
+add("E03_M7_merge_by_rank", lambda s, d: N.merge_rounds(names(s, d), choose=N.by_rank))
 
 #: Every day of a month that three divides, and the first of May, are holidays of the fixture.
 _free = "dt IS NOT NULL AND (day(dt) % 3 = 0 OR (day(dt) = 1 AND month(dt) = 5))"

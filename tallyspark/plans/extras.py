@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -175,7 +174,7 @@ add("Q_data_quality", lambda s, d: Z.quality_counts(statement(s, d).withColumn("
 
 def run_stream(spark: SparkSession, d: str, build) -> DataFrame:
     """Drain the events through a stream into a written table and read it back."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-stream-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = N.shared_folder(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{d}/events.parquet")
     events.write.parquet(f"{base}/in")  # a stream reads a folder that files land in
     live = spark.readStream.schema(events.schema).parquet(f"{base}/in")

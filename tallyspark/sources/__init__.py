@@ -1,3 +1,5 @@
-"""Readers of statements; the layouts register their banks."""
+"""Readers of statements; all banks are registered here, by one call."""
 
-from . import layouts as layouts
+from .banks import register_all
+
+register_all()

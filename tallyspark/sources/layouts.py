@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bankparties import bound, off, spaced
-from .statements import register
 
 ROWS = ("file", "seq", "page", "dt", "description", "debit", "credit", "balance", "marker")
 
@@ -197,6 +196,3 @@ def ocbc(lines: DataFrame) -> DataFrame:
     made = made.withColumn("description", F.when(F.col("marker"), "NO TRANSACTIONS (BALANCE B/F)").otherwise(F.col("description"))).withColumn("balance", F.when(F.col("marker"), F.col("o.opening")).otherwise(F.col("balance")))
     return _out(made)
 
-
-for _bank, _layout in (("Alliance Bank", alliance), ("Public Bank (PBB)", public_bank), ("OCBC", ocbc)):
-    register(_bank, lambda files, layout=_layout: layout(text_lines(files)))

@@ -47,8 +47,6 @@ def text_layout(files: DataFrame) -> DataFrame:
     return lines.select("file", "line", day.alias("dt"), F.trim(part(2)).alias("description"), number(3).alias("amount"), side.alias("side"), number(5).alias("balance"))
 
 
-register("text", text_layout)
-
 
 def canonical(rows: DataFrame) -> DataFrame:
     """Printed sides as they stand, others from the balance step; the first row of a file keeps CR."""

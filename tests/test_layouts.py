@@ -212,3 +212,14 @@ def test_layout_queries_against_sql(spark, sf, name):
     tidy = lambda rows: sorted(tuple(round(v, 2) if isinstance(v, float) else str(v) for v in r) for r in rows)
     rows = df.select(*(F.col(n).cast("double") if t == "DOUBLE" else F.col(n) for n, t in zip(want.columns, map(str, want.types), strict=True))).collect()
     assert len(rows) > 900 and tidy(rows) == tidy([[float(v) if str(t).startswith("DEC") else v for v, t in zip(r, want.types, strict=True)] for r in want.fetchall()])
+
+
+def test_banks_read_files_of_words_and_lines(spark, tmp_path):
+    from tallyspark.sources import statements as Z
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.tsv").write_text("1\t15\t10\t25\t01/02/24\t380\n1\t40\t10\t45\tA\t380\n1\t200\t10\t220\t5.00\t380\nbad line\n1\tx\t1\t1\tno place\n")
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "b.txt").write_text("BAL B/F 100.00\n1/2/24 PAY 90.00\n")
+    assert got(Z.read(spark, str(tmp_path / "w"), "Bank Muamalat")) == [("2024-02-01", "A", 0.0, 5.0, 0.0)]
+    assert got(Z.read(spark, str(tmp_path / "l"), "Bank Islam"), "layout") == [("2024-02-01", "PAY", 10.0, 0.0, 90.0, "format2")]
