@@ -267,8 +267,8 @@ def clean_map(names: DataFrame, name: str = "name") -> DataFrame:
     return names.select(name).distinct().withColumn("cleaned", cleaned(F.col(name)))
 
 
-#: Letters of the pieces by which names of one word are found.
-PIECE = 5
+#: Letters of the pieces by which names of one word are found; names of a key that a task compares with as many others.
+PIECE, BLOCK = 5, 512
 
 
 def merge_keys(name: str) -> list[tuple[str, bool, bool]]:
@@ -317,24 +317,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def merged_pairs(names: DataFrame, rules: tuple[Callable[[str, str], bool], ...]) -> DataFrame:
-    """``(a, b)``: pairs of the distinct ``name`` that a rule merges, from the names that share a key."""
+    """``(a, b)``: pairs of the distinct ``name`` that a rule merges, from the names that share a key.
+
+    The names of a key are dealt in blocks of about ``BLOCK`` by hash; a task compares two blocks of a key, or one with
+    itself, so that a key of any size is spread and no task holds more than two blocks.
+    """
+    block = BLOCK
     @F.pandas_udf("array<struct<key: string, f: boolean, t: boolean>>")
     def keyed(v: pd.Series) -> pd.Series:
         return v.map(lambda n: [{"key": k, "f": f, "t": t} for k, f, t in merge_keys(n)])
 
     def tried(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["name"], pdf["f"], pdf["t"], strict=True))
-        whole = [n for n, f, t in rows if f and t]
-        other = [n for n, f, t in rows if not (f and t)]
-        pairs = [(a, b) for k, a in enumerate(whole) for b in (*whole[k + 1 :], *other)]
-        pairs += [(a, b) for a, f, t in rows if f and not t for b, g, u in rows if u and not g]
-        found = {tuple(sorted(p)) for p in pairs if any(r(*p) for r in rules)}
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
+        rows = sorted(zip(pdf["name"], pdf["f"], pdf["t"], pdf["own"], strict=True))
+        one = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        pairs = ((a, b) for k, (a, f, t, p) in enumerate(rows) for b, g, u, q in rows[k + 1 :] if (one or p != q) and (f or g) and (t or u))
+        return pd.DataFrame([p for p in pairs if any(r(*p) for r in rules)], columns=["a", "b"])
 
     rows = names.select("name", F.explode(keyed(F.col("name"))).alias("k")).select("name", "k.*")
     # a key with no whole name on either side, or with one name, pairs nothing
-    able = rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("f").alias("some_f"), F.bool_or("t").alias("some_t")).where("n > 1 AND some_f AND some_t").select("key")
-    return rows.join(able, "key").groupBy("key").applyInPandas(tried, "a string, b string").distinct()
+    able = rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("f").alias("some_f"), F.bool_or("t").alias("some_t")).where("n > 1 AND some_f AND some_t").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = rows.join(able, "key").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("name", "f", "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(tried, "a string, b string").distinct()
 
 
 def connected(names: DataFrame, pairs: DataFrame) -> DataFrame:

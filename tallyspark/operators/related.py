@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import has_corporate_suffix, is_person, no_counterparty, normalize_text, unknown_label
-from .anchors import names_in
+from .anchors import BROADCAST_BYTES, names_in
 from .detect import has
 from .ledger import first_of, ledger, related_signals, with_party
 from .names import equivalent, names_in_text, person_in_text
@@ -81,7 +81,8 @@ def party_groups(tx: DataFrame, own: DataFrame, related: DataFrame) -> DataFrame
 
 def align_to_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Parties under the longest target whose words, three letters or more, all stand in them; sums per target."""
-    hit = rows.join(F.broadcast(targets), names_in_text(F.col("target"), F.col("party")), "left")
+    small = targets.count() * 128 <= BROADCAST_BYTES  # beyond that size Spark chooses the join
+    hit = rows.join(F.broadcast(targets) if small else targets, names_in_text(F.col("target"), F.col("party")), "left")
     w = Window.partitionBy("party").orderBy(F.desc(F.size(F.split(F.coalesce("target", F.lit("")), " "))), F.desc(F.length("target")), "target")
     best = hit.withColumn("__n", F.row_number().over(w)).where("__n = 1")
     return best.groupBy(F.coalesce("target", "party").alias("party")).agg(F.sum("n").alias("n"), F.round(F.sum("credits"), 2).alias("credits"), F.round(F.sum("debits"), 2).alias("debits"))

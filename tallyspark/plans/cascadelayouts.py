@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import cascades as X
 from .fixtures import sql
 from .layouts import RUN, money, numbered, pages
-from .wordlayouts import DEC, LAST, PAGE, REF, SLASHED, WITH_REF, placed, plain
+from .wordlayouts import DEC, PAGE, WITH_REF, last_row, placed, plain, reference, slashed
 
 c = F.col
 QUERIES: dict = {}
@@ -24,30 +24,39 @@ def cells_of(rows: DataFrame, cells: Column, at: Column) -> DataFrame:
     return rows.select("file", (c("p") + 1).alias("page"), at.alias("row"), cells.alias("cells"))
 
 
-KIND = c("account_no") % 4
-BEFORE = money(c("bal") - c("credit") + c("debit"))
-#: One account's files are scanned: every fifth line is lost in the text, and recognised lines tell each day's last balance.
-SCANNED = c("account_no") == 9
+def kind() -> Column:
+    return c("account_no") % 4
+
+
+def before() -> Column:
+    return money(c("bal") - c("credit") + c("debit"))
+
+
+def scanned() -> Column:
+    """One account's files are scanned: every fifth line is lost in the text, and recognised lines tell each day's last balance."""
+    return c("account_no") == 9
+
+
 
 
 def islam_inputs(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = numbered(s, d).withColumn("bal", c("bal") + F.lit("1234.56").cast("decimal(18,2)")).withColumn("file", F.when(SCANNED, F.concat("file", F.lit("-scan"))).otherwise(c("file")))
-    day = F.when(KIND == 3, F.concat(F.date_format("dt", "dd/MM/"), F.substring(F.date_format("dt", "yyyy"), 2, 3))).otherwise(SLASHED)
+    r = numbered(s, d).withColumn("bal", c("bal") + F.lit("1234.56").cast("decimal(18,2)")).withColumn("file", F.when(scanned(), F.concat("file", F.lit("-scan"))).otherwise(c("file")))
+    day = F.when(kind() == 3, F.concat(F.date_format("dt", "dd/MM/"), F.substring(F.date_format("dt", "yyyy"), 2, 3))).otherwise(slashed())
     lines = pages(
         r,
-        F.when(c("k") == 1, F.concat(F.when(KIND == 2, "BAL B/IF ").otherwise("BAL B/F "), BEFORE)),
+        F.when(c("k") == 1, F.concat(F.when(kind() == 2, "BAL B/IF ").otherwise("BAL B/F "), before())),
         F.when(c("k") % 3 == 0, "ORDINARY LINE 1.00"),
-        F.when(~SCANNED | (c("k") % 5 != 0), F.concat_ws(" ", day, "description", money("amount"), money("bal"))),
+        F.when(~scanned() | (c("k") % 5 != 0), F.concat_ws(" ", day, "description", money("amount"), money("bal"))),
     )
-    even = r.where(KIND == 0)
+    even = r.where(kind() == 0)
     head = cells_of(even.where("k % 9 = 1"), F.array(*map(F.lit, ("TARIKH\nDATE", "BUTIR", "DEBIT", "KREDIT", "BAKI"))), F.lit(0))
-    body = cells_of(even, F.array(SLASHED, F.concat_ws("\n", "description", REF), F.when(c("debit") > 0, money("debit")), F.when(c("credit") > 0, money("credit")), money("bal")), c("k"))
-    days = r.where(SCANNED).groupBy("file", "dt").agg(F.max(F.struct("k", "bal")).alias("x"), F.min(F.struct("k", (c("bal") - c("credit") + c("debit")).alias("o"))).alias("o")).select("file", "dt", c("x.k").alias("k"), c("x.bal").alias("bal"), c("o.o").alias("o"))
+    body = cells_of(even, F.array(slashed(), F.concat_ws("\n", "description", reference()), F.when(c("debit") > 0, money("debit")), F.when(c("credit") > 0, money("credit")), money("bal")), c("k"))
+    days = r.where(scanned()).groupBy("file", "dt").agg(F.max(F.struct("k", "bal")).alias("x"), F.min(F.struct("k", (c("bal") - c("credit") + c("debit")).alias("o"))).alias("o")).select("file", "dt", c("x.k").alias("k"), c("x.bal").alias("bal"), c("o.o").alias("o"))
     step = c("bal") - c("o")
     sums = days.groupBy("file").agg(F.min(F.struct("k", "o"))["o"].alias("o"), F.sum(F.greatest(step, F.lit(0))).alias("cr"), F.sum(F.greatest(-step, F.lit(0))).alias("dr"))
     top = sums.select("file", F.lit(1).alias("page"), F.explode(F.array(F.struct(F.lit(1).alias("line"), F.concat(F.lit("Bal B/F "), money("o")).alias("text")), F.struct(F.lit(2).alias("line"), F.concat(F.lit("Total Debit 5 "), money("dr"), F.lit(" Total Credit "), money("cr")).alias("text")))).alias("x")).select("file", "page", "x.*")
     told = days.select("file", F.lit(2).alias("page"), F.explode(F.array(F.struct((c("k") * 2).alias("line"), money("bal").alias("b")), F.struct((c("k") * 2 + 1).alias("line"), money(c("bal") + 7000000).alias("b")))).alias("x"), "dt")
-    told = told.select("file", "page", c("x.line").alias("line"), F.concat_ws(" ", SLASHED, F.lit("READ"), c("x.b")).alias("text"))
+    told = told.select("file", "page", c("x.line").alias("line"), F.concat_ws(" ", slashed(), F.lit("READ"), c("x.b")).alias("text"))
     return lines, head.unionByName(body), top.unionByName(told)
 
 
@@ -76,20 +85,20 @@ def rhb_inputs(s, d) -> tuple[DataFrame, DataFrame]:
     period = F.concat(F.lit("Statement Period : 1 Jan 99 - 31 Dec "), F.date_format("dt", "yyyy"))
     dashed = F.date_format("dt", "dd-MM-yyyy")
     either = lambda x: F.when(c(x) > 0, money(x)).otherwise("-")
-    row = F.when(KIND == 0, F.concat_ws(" ", dashed, F.lit("123"), "description", F.lit("12345678"), either("debit"), either("credit"), F.concat(money("bal"), F.lit("+"))))
-    row = row.when(KIND == 3, F.concat_ws(" ", F.date_format("dt", "ddMMM"), "description", money("bal"))).otherwise(F.concat_ws(" ", F.date_format("dt", "dd MMM"), "description", money("bal")))
+    row = F.when(kind() == 0, F.concat_ws(" ", dashed, F.lit("123"), "description", F.lit("12345678"), either("debit"), either("credit"), F.concat(money("bal"), F.lit("+"))))
+    row = row.when(kind() == 3, F.concat_ws(" ", F.date_format("dt", "ddMMM"), "description", money("bal"))).otherwise(F.concat_ws(" ", F.date_format("dt", "dd MMM"), "description", money("bal")))
     lines = pages(
         r,
-        F.when(top, F.when(KIND == 0, "REFLEX CASH MANAGEMENT").when(KIND == 1, "ACCOUNT STATEMENT").when(KIND == 2, "RHB ISLAMIC").otherwise("RHB")),
+        F.when(top, F.when(kind() == 0, "REFLEX CASH MANAGEMENT").when(kind() == 1, "ACCOUNT STATEMENT").when(kind() == 2, "RHB ISLAMIC").otherwise("RHB")),
         F.when(top, period),
-        F.when(top & (KIND != 0), F.concat_ws(" ", F.when(KIND == 3, F.date_format("dt", "ddMMM")).otherwise(F.date_format("dt", "dd MMM")), F.when(KIND == 3, "START").otherwise("B/F"), BEFORE)),
+        F.when(top & (kind() != 0), F.concat_ws(" ", F.when(kind() == 3, F.date_format("dt", "ddMMM")).otherwise(F.date_format("dt", "dd MMM")), F.when(kind() == 3, "START").otherwise("B/F"), before())),
         row,
-        F.when((KIND == 1) & (c("k") % 4 == 0), REF),
-        F.when(LAST & (KIND == 1), "PAGE NO. 7"),
-        F.when(LAST & (KIND == 1), "lost after noise"),
+        F.when((kind() == 1) & (c("k") % 4 == 0), reference()),
+        F.when(last_row() & (kind() == 1), "PAGE NO. 7"),
+        F.when(last_row() & (kind() == 1), "lost after noise"),
     )
     w = r.where("account_no = 8")
-    words = placed(w, (30, 0, dashed), (90, 2, F.substring_index("description", " ", 1)), (142, 3, F.lit("Party")), (200, 4, F.lit("PARTY")), (365, 0, either("debit")), (440, 0, either("credit")), (517, 0, money("bal")), (90, 17, F.when(LAST, "www.rhbgroup.com")), (90, 18, F.when(LAST, "lost")))
+    words = placed(w, (30, 0, dashed), (90, 2, F.substring_index("description", " ", 1)), (142, 3, F.lit("Party")), (200, 4, F.lit("PARTY")), (365, 0, either("debit")), (440, 0, either("credit")), (517, 0, money("bal")), (90, 17, F.when(last_row(), "www.rhbgroup.com")), (90, 18, F.when(last_row(), "lost")))
     return lines, words
 
 
@@ -112,21 +121,21 @@ def cimb_inputs(s, d, forward: Column) -> tuple[DataFrame, DataFrame]:
     r = numbered(s, d).withColumn("q", F.when(forward, c("k")).otherwise(c("n") - c("k") + 1)).withColumn("p", F.floor((c("q") - 1) / 9).cast("int"))
     r = r.withColumnsRenamed({"k": "time", "q": "k"}).withColumn("description", F.replace("description", F.lit("BALANCE"), F.lit("FEE")))
     last, first = c("time") == c("n"), c("time") == 1
-    text = KIND == 1
+    text = kind() == 1
     lines = pages(
         r,
         F.when(c("k") == 1, F.concat(F.lit("TARIKH PENYATA : 05/01/"), F.date_format("dt", "yyyy"))),
-        F.when(text & first, F.concat(F.lit("OPENING BALANCE "), BEFORE)),
-        F.when(text, F.concat_ws(" ", SLASHED, F.replace("description", F.lit("1,000"), F.lit("1000")), F.when(c("k") % 2 == 0, F.concat_ws(" ", money("amount"), money("bal"))))),
-        F.when(text & (c("k") % 2 == 1), F.concat_ws(" ", REF, F.lit("TAIL"), money("amount"), money("bal"))),
+        F.when(text & first, F.concat(F.lit("OPENING BALANCE "), before())),
+        F.when(text, F.concat_ws(" ", slashed(), F.replace("description", F.lit("1,000"), F.lit("1000")), F.when(c("k") % 2 == 0, F.concat_ws(" ", money("amount"), money("bal"))))),
+        F.when(text & (c("k") % 2 == 1), F.concat_ws(" ", reference(), F.lit("TAIL"), money("amount"), money("bal"))),
         F.when(last, F.concat(F.lit("CLOSING BALANCE / BAKI PENUTUP "), money("bal"))),
     )
     body = r.where(~text)
-    day = F.when(c("k") % 3 == 0, F.date_format("dt", "dd/MM")).otherwise(SLASHED)
+    day = F.when(c("k") % 3 == 0, F.date_format("dt", "dd/MM")).otherwise(slashed())
     rows = cells_of(body, F.array(day, "description", F.lit("R"), F.when(c("debit") > 0, money("debit")), F.when(c("credit") > 0, money("credit")), money("bal")), c("k") * 10 + 5)
     extra = cells_of(body.where("k % 9 = 1"), F.array(*map(F.lit, ("Date / Tarikh", "Desc", "Ref", "W", "D", "B"))), c("k") * 10)
-    twice = cells_of(body.where("time % 10 = 0"), F.array(SLASHED, F.lit("PRINTED AGAIN"), F.lit("R"), F.when(c("debit") > 0, money("debit")), F.when(c("credit") > 0, money("credit")), money("bal")), c("k") * 10 + 6)
-    opened = cells_of(body.where("time = 1"), F.array(F.lit(None), F.lit("Opening Balance"), F.lit(None), F.lit(None), F.lit(None), BEFORE), c("k") * 10 + 8)
+    twice = cells_of(body.where("time % 10 = 0"), F.array(slashed(), F.lit("PRINTED AGAIN"), F.lit("R"), F.when(c("debit") > 0, money("debit")), F.when(c("credit") > 0, money("credit")), money("bal")), c("k") * 10 + 6)
+    opened = cells_of(body.where("time = 1"), F.array(F.lit(None), F.lit("Opening Balance"), F.lit(None), F.lit(None), F.lit(None), before()), c("k") * 10 + 8)
     return lines, rows.unionByName(extra).unionByName(twice).unionByName(opened)
 
 
@@ -144,7 +153,7 @@ def cimb_sql(forward: str) -> str:
 
 
 add("P12_cimb", lambda s, d: plain(X.cimb(*cimb_inputs(s, d, F.lit(False)))), cimb_sql("false"))
-add("P12_cimb_direction", lambda s, d: plain(X.cimb(*cimb_inputs(s, d, KIND == 2), found=True)), cimb_sql("account_no % 4 = 2"))
+add("P12_cimb_direction", lambda s, d: plain(X.cimb(*cimb_inputs(s, d, kind() == 2), found=True)), cimb_sql("account_no % 4 = 2"))
 
 
 def uob_words(s, d) -> DataFrame:
@@ -152,8 +161,8 @@ def uob_words(s, d) -> DataFrame:
         numbered(s, d),
         (20, -40, F.when(c("k") % 9 == 1, "Account Activities")),
         (190, -7, F.lit("JomPAY")), (200, -3.5, F.when(c("k") % 3 == 0, "Date of export")),
-        (20, 0, SLASHED), (100, 0, SLASHED), (190, 0, F.replace(F.replace("description", F.lit("CASH"), F.lit("COIN")), F.lit("DR"), F.lit("D"))), (330, 1, money("credit")), (400, 1, money("debit")), (480, 1, money("bal")),
-        (190, 5, REF), (20, 9, F.when(LAST, "Total Deposits 3.00")),
+        (20, 0, slashed()), (100, 0, slashed()), (190, 0, F.replace(F.replace("description", F.lit("CASH"), F.lit("COIN")), F.lit("DR"), F.lit("D"))), (330, 1, money("credit")), (400, 1, money("debit")), (480, 1, money("bal")),
+        (190, 5, reference()), (20, 9, F.when(last_row(), "Total Deposits 3.00")),
     )
 
 

@@ -38,21 +38,35 @@ def at(col: str, x: float, step: int = 5) -> Column:
     return x + c(col) % 3 * step
 
 
-FIRST, LAST = c("k") % 9 == 1, (c("k") % 9 == 0) | (c("k") == c("n"))
-REF = F.when(c("k") % 4 == 0, F.concat(F.lit("REF "), c("k").cast("string")))
-SLASHED = F.date_format("dt", "dd/MM/yyyy")
+def first_row() -> Column:
+    """Whether a row is the first of its page."""
+    return c("k") % 9 == 1
+
+
+def last_row() -> Column:
+    return (c("k") % 9 == 0) | (c("k") == c("n"))
+
+
+def reference() -> Column:
+    return F.when(c("k") % 4 == 0, F.concat(F.lit("REF "), c("k").cast("string")))
+
+
+def slashed() -> Column:
+    return F.date_format("dt", "dd/MM/yyyy")
+
+
 PAGE = "CAST(floor((k - 1) / 9) + 1 AS BIGINT) AS page"
 WITH_REF = "description || CASE WHEN k % 4 = 0 THEN ' REF ' || k ELSE '' END"
 DEC = "CAST(amount AS DOUBLE) AS amount, CAST(credit AS DOUBLE) AS credit, CAST(debit AS DOUBLE) AS debit, CAST(bal AS DOUBLE) AS bal"
 
 
 def affin_words(s, d) -> DataFrame:
-    headed = FIRST & (c("p") % 4 != 3)
+    headed = first_row() & (c("p") % 4 != 3)
     return placed(
         numbered(s, d),
         (30, -30, F.when(headed, "DATE")), (100, -30, F.when(headed, "PARTICULARS")), (300, -30, F.when(headed, "DEBIT")), (400, -30, F.when(headed, "CREDIT")), (500, -30, F.when(headed, "BALANCE")),
-        (30, 0, SLASHED), (100, 0.5, c("description")), (at("k", 300), 1.5, F.when(c("debit") > 0, money("debit"))), (at("k", 400), 1.5, F.when(c("credit") > 0, money("credit"))), (at("k", 500), 1.5, money("bal")),
-        (200, 9, F.when(c("k") % 10 == 0, "9.99")), (100, 9, REF), (300, 13, F.when(c("k") % 6 == 0, "(1.OO)")),
+        (30, 0, slashed()), (100, 0.5, c("description")), (at("k", 300), 1.5, F.when(c("debit") > 0, money("debit"))), (at("k", 400), 1.5, F.when(c("credit") > 0, money("credit"))), (at("k", 500), 1.5, money("bal")),
+        (200, 9, F.when(c("k") % 10 == 0, "9.99")), (100, 9, reference()), (300, 13, F.when(c("k") % 6 == 0, "(1.OO)")),
     )
 
 
@@ -68,13 +82,13 @@ add(
 
 
 def muamalat_words(s, d) -> DataFrame:
-    day = F.when(F.year("dt") >= 2000, F.date_format("dt", "dd/MM/yy")).otherwise(SLASHED)
+    day = F.when(F.year("dt") >= 2000, F.date_format("dt", "dd/MM/yy")).otherwise(slashed())
     return placed(
         numbered(s, d),
-        (30, -20, F.when(FIRST, "Tarikh / Date")),
+        (30, -20, F.when(first_row(), "Tarikh / Date")),
         (30, 0, day), (80, 0, c("description")), (190, 1, F.concat(F.lit("R"), c("k").cast("string"))), (at("k", 300), 1, F.when(c("debit") > 0, money("debit"))), (at("k", 405), 1, F.when(c("credit") > 0, money("credit"))), (at("k", 510), 1, money("bal")),
         (620, 8, F.when(c("k") % 4 == 0, F.concat(F.lit("D "), c("k").cast("string")))),
-        (80, 12, F.when(LAST, "All items and balances")), (80, 16, F.when(LAST, "LOST 1.00")),
+        (80, 12, F.when(last_row(), "All items and balances")), (80, 16, F.when(last_row(), "LOST 1.00")),
         scale=F.when(c("p") % 2 == 0, 1.0).otherwise(0.5),
     )
 
@@ -99,9 +113,9 @@ def maybank_words(s, d) -> DataFrame:
     return placed(
         numbered(s, d),
         (20, -50, F.when(c("k") == 1, F.concat(F.lit("STATEMENT DATE : 31/12/"), F.date_format("dt", "yyyy")))),
-        (20, -30, F.when(FIRST, "ENTRY DATE")),
+        (20, -30, F.when(first_row(), "ENTRY DATE")),
         (20, -6, F.when(c("k") % 3 == 2, day)), (20, 0, F.when(c("k") % 3 == 1, day)), (90, 0, c("description")), (400, 2, F.concat(money("amount"), sign)), (500, 2, F.when(c("k") % 5 == 0, cents).otherwise(money("bal"))),
-        (95, 8, REF), (20, 14, F.when(LAST, "ENDING BALANCE 1.00")), (95, 18, F.when(LAST, "LOST WORDS")),
+        (95, 8, reference()), (20, 14, F.when(last_row(), "ENDING BALANCE 1.00")), (95, 18, F.when(last_row(), "LOST WORDS")),
     )
 
 
@@ -124,10 +138,10 @@ def rakyat_words(s, d) -> DataFrame:
     totals = F.concat_ws(" ", money(F.lit(77.5)), money(F.lit(1.0)), money(F.lit(2.0)), money(c("bal")))
     return placed(
         numbered(s, d),
-        (20, -40, F.when(FIRST, "TARIKH DATE")),
-        (20, 0, F.when(c("k") % 5 != 0, SLASHED)), (20, 9, F.when(c("k") % 5 == 0, SLASHED)), (100, 0, F.when(c("k") % 3 != 0, "4321")), (150, 0, F.replace("description", F.lit("BALANCE"), F.lit("FEE"))),
+        (20, -40, F.when(first_row(), "TARIKH DATE")),
+        (20, 0, F.when(c("k") % 5 != 0, slashed())), (20, 9, F.when(c("k") % 5 == 0, slashed())), (100, 0, F.when(c("k") % 3 != 0, "4321")), (150, 0, F.replace("description", F.lit("BALANCE"), F.lit("FEE"))),
         (at("k", 300), 1, F.when((c("debit") > 0) & ~silent, money("debit"))), (at("k", 400), 1, F.when((c("credit") > 0) & ~silent, money("credit"))), (at("k", 500), 1, money("bal")),
-        (150, 9, REF), (20, 18, F.when(c("k") == c("n"), "OPENING BALANCE")), (20, 26, F.when(c("k") == c("n"), totals)),
+        (150, 9, reference()), (20, 18, F.when(c("k") == c("n"), "OPENING BALANCE")), (20, 26, F.when(c("k") == c("n"), totals)),
     )
 
 
@@ -151,10 +165,10 @@ def hong_leong_words(s, d) -> DataFrame:
     return placed(
         numbered(s, d),
         (20, -80, F.when((c("k") == 1) & (c("account_no") % 4 == 1), "THE OD FACILITY")), (20, -60, F.when(c("k") == 1, "Balance from previous statement 1,000.00")),
-        (20, -40, F.when(FIRST & (c("p") % 3 != 2), "Date")), (300, -40, F.when(FIRST & (c("p") % 3 != 2), "Deposit")), (400, -40, F.when(FIRST & (c("p") % 3 != 2), "Withdrawal")), (500, -40, F.when(FIRST & (c("p") % 3 != 2), "Balance")),
+        (20, -40, F.when(first_row() & (c("p") % 3 != 2), "Date")), (300, -40, F.when(first_row() & (c("p") % 3 != 2), "Deposit")), (400, -40, F.when(first_row() & (c("p") % 3 != 2), "Withdrawal")), (500, -40, F.when(first_row() & (c("p") % 3 != 2), "Balance")),
         (20, -20, F.when(even, day)), (90, -20, F.when(even, "Statement Period")), (505, -20, F.when(even, "700.00")),
         (20, 0, day), (90, 1, c("description")), (305, 2, F.when(c("credit") > 0, money("credit"))), (405, 2, F.when(c("debit") > 0, F.concat(money("debit"), F.lit("-")))), (515, 2, printed),
-        (90, 8, REF), (20, 13, F.when(LAST, "Total Withdrawals 5.00")), (405, 17, F.when(LAST, "6.00")),
+        (90, 8, reference()), (20, 13, F.when(last_row(), "Total Withdrawals 5.00")), (405, 17, F.when(last_row(), "6.00")),
     )
 
 

@@ -123,3 +123,12 @@ def test_groups_are_named_by_rank(spark):
     values = ["ALPHA HARDWARE SDN B", "ALPHA HARDWARE SDN B", "ALPHA HARDWARE SDN BHD", "ALPHA HARDWAR SDN BHD", "BRAVO"]
     got = {r.name: r.alias for r in N.merge_rounds(table(spark, values), choose=N.by_rank).collect()}
     assert got == dict.fromkeys(values[:4], "ALPHA HARDWAR SDN BHD") | {"BRAVO": "BRAVO"}
+
+
+def test_a_key_of_many_names_is_dealt_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    values = sorted({f"PAYMENT TO {rng.choice('ABCDE')}{rng.choice('LMN')} {'X' * rng.randint(1, 6)} {rng.choice(['WORKS', 'WORK', 'FOODS', 'FOOD'])}" for _ in range(90)})
+    whole = sorted(map(tuple, N.merged_pairs(table(spark, values), N.RULES).collect()))
+    assert whole == sorted((a, b) for k, a in enumerate(values) for b in values[k + 1 :] if any(r(a, b) for r in N.RULES)) and len(whole) > 20
+    monkeypatch.setattr(N, "BLOCK", 7)
+    assert sorted(map(tuple, N.merged_pairs(table(spark, values), N.RULES).collect())) == whole
