@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cascades, layouts, words
+from . import cascades, layouts, markers, words
 from .statements import register, text_layout
 
 #: What reads the text lines ``(file, page, line, text)`` of a bank's statements.
 BY_LINES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "Alliance Bank": layouts.alliance, "Bank Islam": cascades.bank_islam, "CIMB Bank": cascades.cimb, "OCBC": layouts.ocbc, "Public Bank (PBB)": layouts.public_bank, "RHB Bank": cascades.rhb,
+    "Alliance Bank": layouts.alliance, "Ambank": markers.ambank, "Bank Islam": cascades.bank_islam, "CIMB Bank": cascades.cimb, "OCBC": layouts.ocbc, "Public Bank (PBB)": layouts.public_bank, "RHB Bank": cascades.rhb,
 }
 #: What reads the words ``(file, page, x0, y0, x1, text, width)`` of a bank's statements.
 BY_WORDS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "Affin Bank": words.affin, "Bank Muamalat": words.muamalat, "Bank Rakyat": words.rakyat, "Hong Leong": words.hong_leong, "Maybank": words.maybank, "UOB Bank": cascades.uob,
+    "Affin Bank": words.affin, "Agro Bank": markers.agro, "Bank Muamalat": words.muamalat, "Bank Rakyat": words.rakyat, "Hong Leong": words.hong_leong, "Maybank": words.maybank, "UOB Bank": cascades.uob,
 }
 
 

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from tallyspark.sources import cascades as X
+from tallyspark.sources import markers as K
 from tallyspark.sources import words as W
 
 WORDS = "file string, page int, x0 double, y0 double, x1 double, text string, width double, line int, tid string, m string"
@@ -33,7 +34,7 @@ def test_visual_lines_follow_the_mean_or_the_first_word(spark):
     assert text(W.visual_lines(bad, 3.0)) == ["ok"]
 
 
-@pytest.mark.parametrize("layout", [W.affin, W.muamalat, W.maybank, W.rakyat, W.hong_leong, X.uob])
+@pytest.mark.parametrize("layout", [W.affin, W.muamalat, W.maybank, W.rakyat, W.hong_leong, X.uob, K.agro])
 def test_empty_and_null_words(spark, layout):
     empty = spark.createDataFrame([], WORDS)
     nulls = spark.createDataFrame([(None,) * 10, ("f", None, None, None, None, None, None, None, None, None), ("f", 1, 1.0, 1.0, 2.0, "nothing", None, 1, "", "")], WORDS)
@@ -208,3 +209,23 @@ def test_banks_read_files_of_words_and_lines(spark, tmp_path):
     (tmp_path / "l" / "b.txt").write_text("BAL B/F 100.00\n1/2/24 PAY 90.00\n")
     assert got(Z.read(spark, str(tmp_path / "w"), "Bank Muamalat")) == [("2024-02-01", "A", 0.0, 5.0, 0.0)]
     assert got(Z.read(spark, str(tmp_path / "l"), "Bank Islam"), "layout") == [("2024-02-01", "PAY", 10.0, 0.0, 90.0, "format2")]
+
+
+def test_agro(spark):
+    one = [(5, 20, "Aktiviti Akaun Anda"), (8, 200, "before any row"), (20, 20, "01/02/24"), (20, 90, "BEGINNING BALANCE"), (21, 400, "100.00"), (40, 20, "2/02/24"), (40, 60, "123456"), (40, 130, "FPX PAYMENT 0"), (41, 300, "10.00-"), (41, 400, "90.00"), (50, 90, "ALI 5.00"), (60, 90, "Semua catatan"), (70, 90, "lost"), (80, 20, "31/02/24"), (80, 400, "7.00"), (90, 20, "03/02/24"), (90, 90, "no amount")]
+    two = [(5, 200, "early"), (10, 20, "DATE REFERENCE NO. DETAILS"), (20, 100, "left"), (22, 30, "x"), (30, 200, "BIN ABU"), (40, 20, "4/02/24"), (40, 90, "CLOSING BALANCE"), (40, 400, ".50-"), (50, 200, "lost too"), (60, 20, "TOTAL DEBIT 10.00"), (70, 20, "TOTAL CREDIT 0.00")]
+    both = words(spark, *one).unionByName(words(spark, *two, page=2))
+    rows = got(K.agro(both), "marker", "category", "check")
+    assert rows == [("2024-02-01", "BEGINNING BALANCE", 0.0, 0.0, 100.0, True, "Balance Marker", "#"), ("2024-02-02", "123456 FPX PAYMENT | ALI | BIN ABU", 10.0, 0.0, 90.0, False, "Online Payment", "#"), ("2024-02-04", "CLOSING BALANCE", 90.5, 0.0, -0.5, True, "Balance Marker", "#")]
+    fits = words(spark, *one).unionByName(words(spark, *[(y, x, t.replace("10.00", "100.50")) for y, x, t in two], page=2))
+    assert {r[-1] for r in got(K.agro(fits), "check")} == {""}
+
+
+def test_ambank(spark):
+    texts = ["Statement Date / Tarikh Penyata : 31/01/2024", "Baki Pembukaan", "100.00", "01-Jan SERVICE FEE 5.00", "95.00 DR", "2 Jan MISC", "CREDIT 7.00 102.00", "Total / Jumlah 1.00 2.00", "lost", "03Jan PLAIN 9.00 93.00", "31-Feb NEVER 1.00 1.00", "lost", "04-Jan X 90.00", "Privacy Notice", "05-Jan lost 1.00"]
+    rows = got(K.ambank(lines(spark, *texts)), "marker")
+    assert rows == [("2024-01-01", "SERVICE FEE", 5.0, 0.0, 95.0, False), ("2024-01-02", "MISC CREDIT", 0.0, 7.0, 102.0, False), ("2024-01-03", "PLAIN", 9.0, 0.0, 93.0, False), ("2024-01-04", "X", 3.0, 0.0, 90.0, False)]
+    brought = lines(spark, "05 Jan TRF 4.00 46.00", "Balance Brought Fwd 50.00", "06 Jan 1.00")
+    assert got(K.ambank(brought, 2024), "marker") == [("2024-01-01", K.AMBANK_MARKER, 0.0, 0.0, 50.0, True), ("2024-01-05", "TRF", 4.0, 0.0, 46.0, False), ("2024-01-06", K.AMBANK_NOTHING, 49.0, 0.0, 1.0, False)]
+    assert got(K.ambank(brought)) == [] or all(r[0] is None for r in got(K.ambank(brought)))
+    assert K.ambank(lines(spark, None, "", "x")).collect() == [] and K.ambank(lines(spark, "x").limit(0)).collect() == []
