@@ -16,6 +16,8 @@ from .layouts import QUERIES as _Y
 from .layouts import SQL as _YS
 from .markerlayouts import QUERIES as _M
 from .markerlayouts import SQL as _MS
+from .noteparties import QUERIES as _Q
+from .noteparties import SQL as _QS
 from .parties import QUERIES as _P
 from .parties import SQL as _PS
 from .scalars import QUERIES as _F
@@ -23,5 +25,5 @@ from .scalars import SQL as _FS
 from .wordlayouts import QUERIES as _W
 from .wordlayouts import SQL as _WS
 
-QUERIES: dict = _F | _D | _A | _X | _P | _Y | _W | _C | _N | _M
-ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS | _WS | _CS | _NS | _MS
+QUERIES: dict = _F | _D | _A | _X | _P | _Y | _W | _C | _N | _M | _Q
+ORACLE_SQL: dict[str, str] = _FS | _DS | _AS | _XS | _PS | _YS | _WS | _CS | _NS | _MS | _QS

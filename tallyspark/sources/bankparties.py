@@ -423,7 +423,7 @@ MAYBANK = Rules(
     upper=True,
 )
 
-#: The banks with rules, by the names that ``statements.BANKS`` gives them.
+#: The banks with rules, by the names that ``statements.BANKS`` gives them; ``banks.register_all`` adds those of ``partybanks``.
 BANK_RULES: dict[str, Callable[[Column], Column]] = {
     "Agro Bank": agro,
     "Ambank": AMBANK.party,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cascades, layouts, markers, words
+from . import bankparties, cascades, layouts, markers, partybanks, words
 from .statements import register, text_layout
 
 #: What reads the text lines ``(file, page, line, text)`` of a bank's statements.
@@ -31,7 +31,8 @@ def printed_words(files: DataFrame) -> DataFrame:
 
 
 def register_all() -> None:
-    """Every bank's parser under its name, and the plain text layout under ``text``; a second call changes nothing."""
+    """Every bank's parser and party rules under its name, and the plain text layout under ``text``; a second call changes nothing."""
+    bankparties.BANK_RULES.update(partybanks.RULES)
     register("text", text_layout)
     for bank, layout in BY_LINES.items():
         register(bank, lambda files, layout=layout: layout(layouts.text_lines(files)))
