@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -15,14 +15,14 @@ from .common import cut, table
 #: Labelled rows that the lexicon and the calibration are fit on, those with the smallest hash of their id.
 TRAIN_ROWS = 16_000
 #: A feature enters the lexicon if so many toxic training texts hold it and it is so much likelier in them.
-LEAST_TOXIC, LEAST_ODDS, LEXICON = 4, 3.0, 50_000
+LEAST_TOXIC, LEAST_ODDS = 4, 3.0
+#: The sum of a text's evidence counts in full while it is small and never for more than this.
+SATURATION = 60.0
 
 #: Channel: what a written character may stand for besides itself, with the log-probability of writing it so.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiouh"}
 NOISE = ".-_*'~^"
 LOG_LEET, LOG_DROP, LOG_REPEAT, LOG_BREAK = math.log(0.2), math.log(0.15), math.log(0.3), math.log(0.8)
-#: Longer words and runs are decoded in stretches of so many characters, each from the best path of the one before.
-STRETCH = 256
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Classes of the character model: 0 word edge, 1 to 26 letters, 27 any other letter.
 CLASSES = 28
@@ -111,33 +111,29 @@ class Decoder:
         return 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
 
     def _decode(self, word: str) -> str:
-        lm, done, start, score = self.model, [], (0, 0), 0.0
-        for s in range(0, len(word), STRETCH):
-            # last two classes -> best score, and the letters read as a chain from the last one back
-            paths = {start: (score, None)}
-            for i in range(s, min(s + STRETCH, len(word))):
-                c = word[i]
-                new: dict[tuple[int, int], tuple] = {}
-                readings = [(x, p, self.state(x)) for x, p in self.readings(c)]
-                before = word[i - 1] if i else ""
-                for (a, b), (score, text) in paths.items():
-                    row = lm[a][b]
-                    for x, p, k in readings:
-                        t = score + p + row[k]
-                        if (b, k) not in new or t > new[b, k][0]:
-                            new[b, k] = (t, (text, x))
-                    drop = self.dropped(c, before, text[1] if text else done[-1] if done else "")
-                    if drop is not None and ((a, b) not in new or score + drop > new[a, b][0]):
-                        new[a, b] = (score + drop, text)
-                paths = new or paths
-            last = s + STRETCH >= len(word)
-            start, (score, text) = max(paths.items(), key=lambda kv: kv[1][0] + (lm[kv[0][0]][kv[0][1]][0] if last else 0.0))
-            part = []
-            while text:
-                text, x = text
-                part.append(x)
-            done += reversed(part)
-        return "".join(done)
+        lm = self.model
+        # last two classes -> best score, and the letters read as a chain from the last one back
+        paths: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+        before = ""
+        for c in word:
+            new: dict[tuple[int, int], tuple] = {}
+            readings = [(x, p, self.state(x)) for x, p in self.readings(c)]
+            for (a, b), (score, text) in paths.items():
+                row = lm[a][b]
+                for x, p, k in readings:
+                    t = score + p + row[k]
+                    if (b, k) not in new or t > new[b, k][0]:
+                        new[b, k] = (t, (text, x))
+                drop = self.dropped(c, before, text[1] if text else "")
+                if drop is not None and ((a, b) not in new or score + drop > new[a, b][0]):
+                    new[a, b] = (score + drop, text)
+            paths, before = new or paths, c
+        text = max(paths.items(), key=lambda kv: kv[1][0] + lm[kv[0][0]][kv[0][1]][0])[1][1]
+        read = []
+        while text:
+            text, x = text
+            read.append(x)
+        return "".join(reversed(read))
 
     def restore(self, text: str) -> list[str]:
         """Lower-case words of the restored text: plain words, decoded odd ones, and characters that stand apart, both with
@@ -174,14 +170,15 @@ class Decoder:
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
-def features(words: list[str]) -> set[str]:
-    """Words of three or more letters and the beginnings of longer ones, which inflected forms share."""
-    found = {w for w in set(words) if len(w) > 2}
-    return found | {f"{w[:4]}-" for w in found if len(w) > 5} | {f"{w[:5]}-" for w in found if len(w) > 6}
+def features(words: Column) -> Column:
+    """Of distinct words of three or more letters themselves and the beginnings of longer ones, which inflected forms share."""
+    begins = lambda n: F.transform(F.filter(words, lambda w: F.char_length(w) > n + 1), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+    return F.array_distinct(F.concat(words, begins(4), begins(5)))
 
 
-def evidence(words: list[str], lexicon: dict[str, float]) -> tuple[float, float, float]:
-    """The strongest features' weights in the restored words: their sum over distinct words, the largest, how many."""
+def evidence(words: Iterable[str], lexicon: dict[str, float]) -> tuple[float, float, float]:
+    """The strongest features' weights in the restored words: their sum over distinct words, bent towards ``SATURATION`` so that
+    long texts stay comparable, the largest, and how many (as a logarithm)."""
     best: list[float] = []
     get = lexicon.get
     for w in set(words):
@@ -189,7 +186,7 @@ def evidence(words: list[str], lexicon: dict[str, float]) -> tuple[float, float,
             x = max(get(w, 0.0), get(f"{w[:4]}-", 0.0) if len(w) > 5 else 0.0, get(f"{w[:5]}-", 0.0) if len(w) > 6 else 0.0)
             if x > 0:
                 best.append(x)
-    return min(sum(best), 60.0), max(best, default=0.0), math.log1p(len(best))
+    return SATURATION * -math.expm1(-math.fsum(best) / SATURATION), max(best, default=0.0), math.log1p(len(best))
 
 
 def fit_logistic(x, y, ridge: float = 1e-2, rounds: int = 50):
@@ -218,8 +215,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     """``(id, held_out, score, predicted)`` for every row of ``docs``.
 
     1. A character model is counted over all texts.
-    2. Of the labels outside the held-out fold at most ``train_rows``, by hash of the id, are joined to their texts.
-    3. The restored texts of the toxic ones propose features; those that are rare in the others enter the lexicon.
+    2. Of the labels outside the held-out fold at most ``train_rows``, by hash of the id, are joined to their texts; the texts'
+       restored words are written once.
+    3. Features of these words that enough toxic texts hold and others rarely do are the lexicon. It grows with the texts
+       of these rows only, never with the corpus, and no feature that qualifies is left out.
     4. A logistic model of the lexicon's evidence is fit on the same rows, every score comes from it.
 
     Null and empty texts hold no evidence and get the score of none. Null labels are not learned from; if an id
@@ -235,30 +234,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     model = decoder.model
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     known = known.where(fold("__id", folds) != held).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    sample = cut(docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "t", "y"))
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), text).join(F.broadcast(known), F.col("id") == F.col("__id")).select("y", "t")
 
-    def counting(which: int, only: frozenset[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            d, n = Decoder(np.array(model)), {}
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    for f in features(d.restore(t or "")):
-                        if only is None or f in only:
-                            n[f] = n.get(f, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
-
-        return sample.where(F.col("y") == which).select("t").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = Decoder(np.array(model))
+        for b in batches:
+            words = [sorted({w for w in d.restore(t or "") if len(w) > 2}) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["y", "words"])
 
+    sample = cut(sample.mapInArrow(restored, "y int, words array<string>"))
     totals = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     lexicon: dict[str, float] = {}
     if bad and good:
-        proposed = {r[0]: r[1] for r in counting(1, None).where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "f").limit(LEXICON).collect()}
-        others = {r[0]: r[1] for r in counting(0, frozenset(proposed)).collect()}
-        for f, n in proposed.items():
-            odds = math.log((n + 0.5) / (bad + 1)) - math.log((others.get(f, 0) + 0.5) / (good + 1))
-            if odds >= LEAST_ODDS:
-                lexicon[f] = odds
+        found = sample.select("y", F.explode(features(F.col("words"))).alias("f")).groupBy("f").agg(F.count_if(F.col("y") == 1).alias("b"), F.count_if(F.col("y") == 0).alias("g"))
+        odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
+        lexicon = {r.f: r.odds for r in found.where(F.col("b") >= LEAST_TOXIC).select("f", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS).collect()}
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = [evidence(words, lexicon) for words in b.column(1).to_pylist()]
+            cols = list(zip(*e, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], names=["key", "a", "b", "c"])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Decoder(np.array(model))
@@ -268,7 +265,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in cols)], names=["key", "a", "b", "c"])
 
     if bad and good:
-        rows = np.array([tuple(r) for r in sample.select(F.col("y").cast("long"), "t").mapInArrow(seen, "key long, a double, b double, c double").collect()])
+        rows = np.array([tuple(r) for r in sample.mapInArrow(known_words, "key long, a double, b double, c double").collect()])
         w = fit_logistic(rows[:, 1:] / (10.0, 5.0, 1.0), rows[:, 0])
     else:
         w = np.array([0.0, 0.0, 0.0, math.log((bad + 1) / (good + 1))])

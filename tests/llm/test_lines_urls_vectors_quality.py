@@ -223,6 +223,12 @@ def test_toxicity(spark):
     assert np.mean([(s >= 0.5) == y for s, y in pairs]) >= 0.93
 
 
+def test_toxic_texts_are_found_and_others_left_alone(spark):
+    pairs = held_out(spark, "/root/testdata/sf0.1", toxicity.score_toxicity, "toxic")
+    toxic, others = [s >= 0.5 for s, y in pairs if y], [s >= 0.5 for s, y in pairs if not y]
+    assert np.mean(toxic) >= 0.85 and np.mean(others) <= 0.01
+
+
 def test_decoder_restores_words(spark):
     docs = spark.createDataFrame([(1, " ".join(["idiot moron pathetic worthless stupid disgusting loser trash the and of that"] * 50))], "doc_id long, text string")
     d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))

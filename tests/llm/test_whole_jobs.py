@@ -294,3 +294,12 @@ def test_line_dedup_is_the_same_with_split_buckets(spark, monkeypatch):
     monkeypatch.setattr(bands, "HOLD", 500)
     assert sorted(map(tuple, lines.dedup_lines(docs, counts=True).collect())) == whole
     assert sum(n for *_, n in whole) > 20
+
+
+def test_long_words_are_decoded_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, " ".join(["idiot moron pathetic worthless stupid disgusting loser trash the and of that"] * 50))], DOCS)
+    d = toxicity.Decoder(toxicity.language_model(toxicity.trigram_counts(docs)))
+    for front in (40, 249, 250, 252, 253, 254, 255, 256, 300):
+        word = "".join("abcdefgh"[k % 8] for k in range(front)) + "1d10t5" + "".join("mnop"[k % 4] for k in range(40))
+        assert d.decode(word) == best_reading(d, word)[1], front
+    assert d.decode("x" + "1" * 5000) and "stupid" in d.restore("." * 3000 + "st.up1d")
