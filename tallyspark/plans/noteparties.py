@@ -1,4 +1,4 @@
-"""Query of the parties that stand among notes: texts made of the rows' own numbers, names read back out of them."""
+"""Queries of parties among notes and of companies in headers: texts made of the rows' own numbers, names read back out of them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bankparties as B
+from ..sources.headers import company_name
 from .fixtures import sql, statement
 
 c = F.col
@@ -47,3 +48,28 @@ _name = "'W' || translate(CAST(row_order AS VARCHAR), '0123456789', 'ABCDEFGHIJ'
 _kind = " ".join(f"WHEN {k} THEN " + (f"{_name} || '{p[2][3:]}'" if p[2].startswith("{n}") else f"'{p[2]}'") for k, p in enumerate(PRINTED))
 QUERIES: dict = {"F34_names_among_notes": lambda s, d: printed(s, d).select("row_order", "bank", B.bank_party(c("bank"), c("description")).alias("party"))}
 SQL: dict[str, str] = {"F34_names_among_notes": sql(f"SELECT row_order, CASE row_order % {len(PRINTED)} " + " ".join(f"WHEN {k} THEN '{p[0]}'" for k, p in enumerate(PRINTED)) + f" END AS bank, CASE row_order % {len(PRINTED)} {_kind} END AS party FROM st")}
+
+
+#: Header lines by the account's number mod six, ``{n}`` is its name, and the company they name.
+HEADERS = (
+    (("Bank Statement", "Account Name : {n} WORKS SDNBHD  Page 1"), "{n} WORKS SDN BHD"),
+    (("Penyata Akaun", "{n} TRADING", "ACCOUNT NO 5123456789"), "{n} TRADING"),
+    (("Company / Account Account Balance", "Company Available Balance", "{n} CORPORATION SDN. BHD. MYR 55,744.04"), "{n} CORPORATION SDN BHD"),
+    (("TARIKH PENYATA", "{n} BIN ABU 結單日期: 1/2"), "{n} BIN ABU"),
+    (("Page 1", "{n} CLEAR WATER", "SDN. BHD."), "{n} CLEAR WATER SDN BHD"),
+    (("Page 1", "Balance 12.00"), None),
+)
+
+
+def headers(s, d) -> DataFrame:
+    """Lines of one header for each account."""
+    a = statement(s, d).select("account_no").distinct()
+    name = F.concat(F.lit("W"), F.translate(c("account_no").cast("string"), "0123456789", "ABCDEFGHIJ"))
+    kinds = F.array(*(F.array(*map(F.lit, texts)) for texts, _ in HEADERS))
+    lines = a.select(c("account_no").cast("string").alias("file"), F.lit(1).alias("page"), name.alias("n"), F.posexplode(F.element_at(kinds, (c("account_no") % len(HEADERS) + 1).cast("int"))).alias("line", "t"))
+    return lines.select("file", "page", "line", F.replace("t", F.lit("{n}"), c("n")).alias("text"))
+
+
+_holder = "'W' || translate(CAST(account_no AS VARCHAR), '0123456789', 'ABCDEFGHIJ')"
+QUERIES["P19_company_name"] = lambda s, d: company_name(headers(s, d))
+SQL["P19_company_name"] = sql(f"SELECT DISTINCT CAST(account_no AS VARCHAR) AS file, CASE account_no % {len(HEADERS)} " + " ".join(f"WHEN {k} THEN {_holder} || '{h[1][3:]}'" for k, h in enumerate(HEADERS) if h[1]) + " END AS company FROM st")

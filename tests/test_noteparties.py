@@ -1,9 +1,11 @@
 """Parties among notes (F34): texts of four banks with the names that their rules read, null and very long texts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.plans import registry
 from tallyspark.sources import bankparties as B
+from tallyspark.sources.headers import company_name
 
 CASES = (
     ("Bank Muamalat", "FPX DEBIT 1 2 3 ALPHA WORKS SDN. BHD. X", "ALPHA WORKS SDN BHD"),
@@ -42,13 +44,29 @@ def test_null_empty_and_long_texts(spark):
     assert len(rows.where("bank = 'Hong Leong'").select(B.bank_party(F.col("bank"), F.col("t")).alias("p")).collect()) == 3
 
 
-def test_query_matches_sql(spark, sf):
+@pytest.mark.parametrize(("name", "cols"), [("F34_names_among_notes", ["row_order", "bank", "party"]), ("P19_company_name", ["file", "company"])])
+def test_query_matches_sql(spark, sf, name, cols):
     import duckdb
 
-    name = "F34_names_among_notes"
     con = duckdb.connect()
     for t in ("orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = con.execute(registry.ORACLE_SQL[name]).df().sort_values("row_order")
-    got = registry.QUERIES[name](spark, sf).toPandas().sort_values("row_order")
-    assert len(got) > 0 and got[["row_order", "bank", "party"]].values.tolist() == want[["row_order", "bank", "party"]].values.tolist()
+    rows = lambda q: sorted([tuple(map(str, r)) for r in q])
+    want = rows(con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLE_SQL[name]})").fetchall())
+    assert rows(registry.QUERIES[name](spark, sf).select(*cols).collect()) == want and want
+
+
+def test_company_names_in_headers(spark):
+    files = {
+        "label": ["ACCOUNT NO 5123456789", "Nama Akaun:", "ACME(M) SDN. BHD. 12 Jalan X"],
+        "number": ["Account Name: 1234567890", "Pemegang Akaun - BETA STORES"],
+        "code": ["Statement", "AB123 GAMMA ENTERPRISE STATEMENT OF ACCOUNT"],
+        "date": ["01/02/2024 DELTA TRADING", "www.delta.com GROUP"],
+        "none": [None, "  ", "Balance 1.00"],
+        "tie": ["FIRST HOLDINGS", "SECOND HOLDINGS"],
+    }
+    rows = [(f, 1, k, t) for f, texts in files.items() for k, t in enumerate(texts)] + [("none", 3, 1, "LATE HOLDINGS"), (None, 1, 1, "NULL FILE GROUP"), ("tie", 1, 0, "FIRST HOLDINGS")]
+    lines = spark.createDataFrame(rows, "file string, page int, line int, text string")
+    got = {r.file: r.company for r in company_name(lines.withColumn("n", F.lit(1))).collect()}
+    assert got == {"label": "ACME (M) SDN BHD", "number": "BETA STORES", "code": "GAMMA ENTERPRISE", "date": None, "none": None, "tie": "FIRST HOLDINGS", None: "NULL FILE GROUP"}
+    assert company_name(lines.limit(0)).count() == 0
