@@ -56,6 +56,20 @@ def expand_suffix(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)(?<=[A-Za-z)])\s+(?:SDN\.?(?:\s+BH?\.?)?|SB)\s*$", " SDN BHD")
 
 
+#: Beginnings or whole names that stand for one party.
+CANONICAL = (
+    (r"^JANM\s+CAWANGAN\b", "JANM"),
+    (r"^PLANWORTH\s+GLOBAL(?:\s+(?:FAC|FACTORING))?\s*$", "PLANWORTH GLOBAL"),
+)
+
+
+def canonical_name(c: Column, rules: tuple[tuple[str, str], ...] = CANONICAL) -> Column:
+    """F16: the name of the first rule that fits, else the trimmed name with its legal form written out; null and empty stay."""
+    s = F.trim(c)
+    named = F.coalesce(*(F.when(s.rlike(f"(?i){p}"), name) for p, name in rules)) if rules else F.lit(None).cast("string")
+    return F.coalesce(named, expand_suffix(s))
+
+
 def statutory_patterns(tx: DataFrame) -> DataFrame:
     """Rows and amounts of the four wide detectors, the debit or else the credit; EPF without SOCSO words."""
     amount = F.when(F.col("debit") > 0, F.col("debit")).otherwise(F.col("credit"))

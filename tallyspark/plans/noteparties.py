@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import related as R
 from ..sources import bankparties as B
 from ..sources.headers import company_name
 from .fixtures import sql, statement
@@ -73,3 +74,18 @@ def headers(s, d) -> DataFrame:
 _holder = "'W' || translate(CAST(account_no AS VARCHAR), '0123456789', 'ABCDEFGHIJ')"
 QUERIES["P19_company_name"] = lambda s, d: company_name(headers(s, d))
 SQL["P19_company_name"] = sql(f"SELECT DISTINCT CAST(account_no AS VARCHAR) AS file, CASE account_no % {len(HEADERS)} " + " ".join(f"WHEN {k} THEN {_holder} || '{h[1][3:]}'" for k, h in enumerate(HEADERS) if h[1]) + " END AS company FROM st")
+
+
+#: Names by the row's number mod five, ``{n}`` is the row's own, and the one that each stands for.
+SPELT = (("JANM Cawangan {n}", "JANM"), (" Planworth Global fac ", "PLANWORTH GLOBAL"), ("{n} Works Sdn B", "{n} Works SDN BHD"), (" {n} BERHAD ", "{n} BERHAD"), ("{n} (M) SB", "{n} (M) SDN BHD"))
+
+
+def spelt(s, d) -> DataFrame:
+    name = F.concat(F.lit("W"), F.translate(c("row_order").cast("string"), "0123456789", "ABCDEFGHIJ"))
+    pick = F.element_at(F.array(*(F.lit(x) for x, _ in SPELT)), (c("row_order") % len(SPELT) + 1).cast("int"))
+    return statement(s, d).select(F.replace(pick, F.lit("{n}"), name).alias("name"), "credit", "debit")
+
+
+#: The sums of names that stand for one party come together.
+QUERIES["F16_canonical_parties"] = lambda s, d: spelt(s, d).groupBy(R.canonical_name(c("name")).alias("party")).agg(F.count("*").alias("n"), F.sum("credit").cast("double").alias("credits"), F.sum("debit").cast("double").alias("debits"))
+SQL["F16_canonical_parties"] = sql(f"SELECT CASE row_order % {len(SPELT)} " + " ".join(f"WHEN {k} THEN " + (f"{_name} || '{x[1][3:]}'" if x[1].startswith("{n}") else f"'{x[1]}'") for k, x in enumerate(SPELT)) + " END AS party, count(*) AS n, CAST(sum(credit) AS DOUBLE) AS credits, CAST(sum(debit) AS DOUBLE) AS debits FROM st GROUP BY 1")

@@ -44,7 +44,7 @@ def test_null_empty_and_long_texts(spark):
     assert len(rows.where("bank = 'Hong Leong'").select(B.bank_party(F.col("bank"), F.col("t")).alias("p")).collect()) == 3
 
 
-@pytest.mark.parametrize(("name", "cols"), [("F34_names_among_notes", ["row_order", "bank", "party"]), ("P19_company_name", ["file", "company"])])
+@pytest.mark.parametrize(("name", "cols"), [("F34_names_among_notes", ["row_order", "bank", "party"]), ("P19_company_name", ["file", "company"]), ("F16_canonical_parties", ["party", "n", "credits", "debits"])])
 def test_query_matches_sql(spark, sf, name, cols):
     import duckdb
 
@@ -70,3 +70,11 @@ def test_company_names_in_headers(spark):
     got = {r.file: r.company for r in company_name(lines.withColumn("n", F.lit(1))).collect()}
     assert got == {"label": "ACME (M) SDN BHD", "number": "BETA STORES", "code": "GAMMA ENTERPRISE", "date": None, "none": None, "tie": "FIRST HOLDINGS", None: "NULL FILE GROUP"}
     assert company_name(lines.limit(0)).count() == 0
+
+
+def test_canonical_names(spark):
+    from tallyspark.operators import related as R
+
+    rows = spark.createDataFrame([(None,), ("",), (" JANM CAWANGAN X",), ("XJANM CAWANGAN",), ("PLANWORTH GLOBAL FUND",), ("abc sdn",)], "t string")
+    assert [r.p for r in rows.select(R.canonical_name(F.col("t")).alias("p")).collect()] == [None, "", "JANM", "XJANM CAWANGAN", "PLANWORTH GLOBAL FUND", "abc SDN BHD"]
+    assert [r.p for r in rows.select(R.canonical_name(F.col("t"), ()).alias("p")).collect()][2] == "JANM CAWANGAN X"
