@@ -9,6 +9,7 @@ tables give no rows, columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bankparties import spaced
 from .layouts import ROWS, amount, contains_any
-from .words import MONTHS, day_of, first_of, folded, inside, joined, last_, middle, visual_lines
+from .words import MONTHS, cents, day_of, first_of, folded, inside, joined, last_, middle, visual_lines
 
 c = F.col
 
@@ -196,12 +197,12 @@ def islam_read(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     options = rows.withColumn("balance", amount(last_(c("m")))).withColumn("said", text).where("balance IS NOT NULL").groupBy("file", "dt", "balance").agg(F.min(F.struct("page", "line", "said")).alias("s"), F.first("opening").alias("opening"))
     days = options.groupBy("file", "dt").agg(F.sort_array(F.collect_list(F.struct("balance", "s.page", "s.line", "s.said"))).alias("o"), F.first("opening").alias("opening"))
 
-    def step(s: Column, r: Column) -> tuple[dict, dict]:
-        before = F.coalesce(s["balance"], r["opening"])
-        near = F.array_min(F.transform(r["o"], lambda o: F.struct(F.abs(F.round(o["balance"] - before, 2)).alias("off"), o["balance"].alias("balance"), o["said"].alias("said"), o["page"].alias("page"))))
-        return {"balance": near["balance"]}, {"balance": near["balance"], "description": near["said"], "page": near["page"], "step": F.round(near["balance"] - before, 2)}
+    def step(s: tuple, options: list[dict], opening: float) -> tuple[tuple, tuple]:
+        before = s[0] if s else opening
+        near = min(options, key=lambda o: (abs(cents(o["balance"] - before)), o["balance"]))
+        return (near["balance"],), (near["balance"], near["said"], near["page"], cents(near["balance"] - before))
 
-    made = folded(days, ("dt",), {"balance": ("double", None)}, {"balance": "double", "description": "string", "page": "int", "step": "double"}, step)
+    made = folded(days, ("dt",), ("o", "opening"), (), {"balance": "double", "description": "string", "page": "int", "step": "double"}, step)
     made = made.select("file", "page", F.row_number().over(Window.partitionBy("file").orderBy("dt")).alias("line"), "dt", "description", *_sides(c("step")), "balance")
     return made, head.select(c("h_file").alias("file"), "debits", "credits").where("debits IS NOT NULL AND credits IS NOT NULL")
 
@@ -462,6 +463,10 @@ def cimb(lines: DataFrame, cells: DataFrame | None = None, found: bool = False)
 
 UOB_START = "(?i)(?<![A-Z0-9])(?:" + "|".join(d.replace(" ", r"\s+") for d in sorted(UOB_DETAILS, key=len, reverse=True)) + r")\b"
 _MARK = "\u0001"
+#: The same for Python: letters of either case and blanks of ASCII alone, as Java takes them.
+_either = lambda words: "".join(f"[{x.upper()}{x.lower()}]" if x.isalpha() else r"[ \t\n\x0b\f\r]+" if x == " " else re.escape(x) for x in words)
+UOB_BEGIN = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(_either(d) for d in sorted(UOB_DETAILS, key=len, reverse=True)) + r")\b")
+UOB_CHEQUE = re.compile(rf"(?:{_either('CHEQUE')}|{_either('CHQ')})\b")
 
 
 def _cut_at_details(text: Column) -> Column:
@@ -473,6 +478,15 @@ def _begins(pieces: Column) -> Column:
     return (F.size(pieces) > 1) & (pieces[0] == "")
 
 
+def _pieces(text: str) -> list[str]:
+    """``_cut_at_details`` of one text."""
+    return UOB_BEGIN.sub(lambda m: _MARK + m.group(), text).split(_MARK)
+
+
+def _start(pieces: list[str]) -> bool:
+    return len(pieces) > 1 and pieces[0] == ""
+
+
 def _bars(text: Column) -> Column:
     return F.contains(text, F.lit("||"))
 
@@ -489,14 +503,15 @@ def repaired_tails(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("seq")
     rows = rows.withColumn("d", spaced(c("description"))).withColumn("next", F.lead("d").over(w))
 
-    def hand_down(s: Column, r: Column) -> tuple[dict, dict]:
-        d = F.trim(F.concat_ws(" ", s["lent"], r["d"]))
-        pieces, after = _cut_at_details(d), _cut_at_details(F.coalesce(r["next"], F.lit("")))
-        may = (d != "") & (F.coalesce(r["next"], F.lit("")) != "") & _begins(pieces) & ~_begins(after)
-        only = F.trim(F.regexp_replace(d, "^" + UOB_START, "")) == ""
-        kept, tail = F.trim(F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), "")), F.trim(last_(pieces))
-        moves = may & ~only & (F.size(pieces) > 2) & (kept != "") & (tail != "")
-        return {"lent": F.when(may & only, d).when(moves, tail)}, {"d": F.when(moves, kept).otherwise(d)}
+    def hand_down(s: tuple, own: str | None, following: str | None) -> tuple[tuple, tuple]:
+        d = " ".join(x for x in (*s, own) if x is not None).strip(" ")
+        pieces = _pieces(d)
+        if d == "" or not following or not _start(pieces) or _start(_pieces(following)):
+            return (None,), (d,)
+        if d[UOB_BEGIN.match(d).end() :].strip(" ") == "":
+            return (d,), (d,)
+        kept, tail = "".join(pieces[:-1]).strip(" "), pieces[-1].strip(" ")
+        return ((tail,), (kept,)) if len(pieces) > 2 and kept != "" and tail != "" else ((None,), (d,))
 
     def go_up(table: DataFrame, stays: bool) -> DataFrame:
         pieces = _cut_at_details(c("d"))
@@ -511,26 +526,21 @@ def repaired_tails(rows: DataFrame) -> DataFrame:
         table = table.withColumn("gives", F.when(up, spaced(front))).withColumn("left", F.when(up, spaced(rest)).otherwise(c("d")))
         return table.withColumn("d", spaced(F.concat_ws(" ", "left", F.lead("gives").over(w)))).drop("gives", "left")
 
-    def hand_tail(s: Column, r: Column) -> tuple[dict, dict]:
-        begun = F.startswith(F.upper(r["d"]), F.upper(s["lent"]))
-        d = F.when(s["lent"].isNull() | begun, r["d"]).otherwise(F.trim(F.concat_ws(" ", s["lent"], r["d"])))
-        pieces = _cut_at_details(d)
-        kept, tail = F.trim(F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), "")), F.trim(last_(pieces))
-        leaks = r["more"] & (F.size(pieces) > 2) & (kept != "") & ~(tail.rlike(r"(?i)^(?:CHEQUE|CHQ)\b") & ~_bars(kept))
-        return {"lent": F.when(leaks, tail)}, {"d": F.when(leaks, kept).otherwise(d)}
+    def hand_tail(s: tuple, own: str, more: bool) -> tuple[tuple, tuple]:
+        (lent,) = s
+        d = own if lent is None or own.upper().startswith(lent.upper()) else f"{lent} {own}".strip(" ")
+        pieces = _pieces(d)
+        kept, tail = "".join(pieces[:-1]).strip(" "), pieces[-1].strip(" ")
+        leaks = more and len(pieces) > 2 and kept != "" and ("||" in kept or not UOB_CHEQUE.match(tail))
+        return ((tail,), (kept,)) if leaks else ((None,), (d,))
 
-    lent = {"lent": ("string", None)}
     others = [n for n in rows.columns if n not in ("d", "next", "description")]
-    rows = folded(rows.withColumnRenamed("d", "own").select(*others, c("own").alias("d"), "next"), ("seq",), lent, {"done": "string"}, lambda s, r: _renamed(hand_down(s, r)))
+    rows = folded(rows.select(*others, "d", "next"), ("seq",), ("d", "next"), (None,), {"done": "string"}, hand_down)
     rows = go_up(rows.select(*others, c("done").alias("d")), True).withColumn("more", F.lead("seq").over(w).isNotNull())
-    rows = folded(rows.select(*others, "d", "more"), ("seq",), lent, {"done": "string"}, lambda s, r: _renamed(hand_tail(s, r)))
+    rows = folded(rows.select(*others, "d", "more"), ("seq",), ("d", "more"), (None,), {"done": "string"}, hand_tail)
     return go_up(rows.select(*others, c("done").alias("d")), False).withColumnRenamed("d", "description")
 
 
-def _renamed(step: tuple[dict, dict]) -> tuple[dict, dict]:
-    return step[0], {"done": step[1]["d"]}
-
-
 def uob(words: DataFrame) -> DataFrame:
     """A line with a day on the left and three amounts is a row: deposit, withdrawal and balance.
 

@@ -3,7 +3,7 @@ to transactions.
 
 Words are put into visual lines page by page, columns are found from header words, page width or gaps between positions,
 and a word goes to the column whose centre or box it meets. What is carried from line to line of a file is a window or, where
-the next value depends on the one made before, a fold over the file's lines (``folded``); a statement's length bounds both.
+the next value depends on the one made before, a fold over the file's sorted lines (``folded``) that holds no list of them.
 
 Words without a text or a position are left out; an empty table gives no rows; columns other than the named ones are
 ignored; repeated words are words printed twice. Days that do not exist are no dates.
@@ -11,10 +11,13 @@ ignored; repeated words are words printed twice. Days that do not exist are no d
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .bankparties import spaced
 from .layouts import ROWS, amount, contains_any
@@ -71,6 +74,8 @@ HONG_LEONG_TOTALS = r"(?i)Total Withdrawals|Total Deposits|Closing Balance|Impor
 HONG_LEONG_NOISE = r"(?i)Protected by PIDM|Dilindungi oleh PIDM|Hong Leong Islamic Bank|hlisb\.com\.my|Menara Hong Leong|CURRENT ACCOUNT"
 # End of the fixed values.
 
+CENT, DIGITS = Decimal("0.01"), Context(prec=400)
+
 
 def visual_lines(words: DataFrame, tolerance: float, anchored: bool = False) -> DataFrame:
     """P20: ``(file, page, line, y, words)``, a page's words in lines from top to bottom.
@@ -93,25 +98,40 @@ def visual_lines(words: DataFrame, tolerance: float, anchored: bool = False) ->
     return lined.groupBy("file", "page", "line").agg(F.min("w.y0").alias("y"), F.sort_array(F.collect_list(F.struct("w.x0", "w.y0", "w.x1", "w.text"))).alias("words"))
 
 
-def folded(rows: DataFrame, order: tuple[str, ...], state: dict[str, tuple[str, object]], made: dict[str, str], step: Callable) -> DataFrame:
-    """Every file's rows in order with what ``step`` makes of each; ``step(s, r)`` gives the next state and the row's new columns.
+def folded(rows: DataFrame, order: tuple[str, ...], reads: tuple[str, ...], zero: tuple, made: dict[str, str], step: Callable) -> DataFrame:
+    """Every file's rows with what ``step`` makes of each in order; ``step(state, *reads)`` gives the next state and the new values.
 
-    ``state`` names types and first values, ``made`` the types of the new columns. A file's rows are one list, so its length
-    bounds the task's memory.
+    ``zero`` is the state before a file's first row, ``made`` the types of the new columns. A task reads its files' sorted rows in
+    batches and keeps the state alone between them, so time grows with a file's length and memory does not.
     """
-    others = [n for n in rows.columns if n not in ("file", *order)]
-    per = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(*order, *others))).alias("r"))
-    kinds = ", ".join(f"{k}: {t}" for k, t in made.items())
-    shaped = lambda cols, kind: F.struct(*(cols[k].cast(t).alias(k) for k, t in kind.items()))
-    types = {k: t for k, (t, _) in state.items()}
-    zero = F.struct(shaped({k: F.lit(v) for k, (_, v) in state.items()}, types).alias("s"), F.expr(f"cast(array() as array<struct<{kinds}>>)").alias("m"))
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    names, file = rows.columns, rows.columns.index("file")
+    at, kinds = [names.index(n) for n in reads], [to_arrow_type(DataType.fromDDL(t)) for t in made.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), zero
+        for b in batches:
+            out = []
+            for f, *r in zip(*(b.column(k).to_pylist() for k in (file, *at)), strict=True):
+                if f != now:
+                    now, state = f, zero
+                state, new = step(state, *r)
+                out.append(new)
+            new = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, *made])
+
+    kept = StructType([*rows.schema.fields, *(StructField(k, DataType.fromDDL(t)) for k, t in made.items())])
+    return rows.repartition("file").sortWithinPartitions("file", *order).mapInArrow(run, kept)
 
-    def merge(a: Column, r: Column) -> Column:
-        now, new = step(a["s"], r)
-        return F.struct(shaped(now, types).alias("s"), F.concat(a["m"], F.array(shaped(new, made))).alias("m"))
 
-    done = per.withColumn("m", F.aggregate("r", zero, merge, lambda a: a["m"])).select("file", F.inline(F.arrays_zip("r", "m")))
-    return done.select("file", "r.*", *(c(f"m.{k}").alias(k) for k in made))
+def cents(x: float | None) -> float | None:
+    """A number to two places, halves away from zero in its shortest decimal form, as ``F.round`` does."""
+    if x is None or not math.isfinite(x):
+        return x
+    return float(Decimal(repr(x)).quantize(CENT, ROUND_HALF_UP, DIGITS)) + 0.0
 
 
 def first_of(array: Column, f: Callable[[Column], Column]) -> Column:
@@ -286,46 +306,52 @@ def maybank(words: DataFrame, default_year: int | None = None) -> DataFrame:
     before = F.slice("money", F.lit(1), F.greatest(c("n") - 1, F.lit(1)))
     signed = F.filter(before, lambda w: sign(w).isNotNull())
     chosen = F.coalesce(last_(signed), last_(before))
-    cents = last_(F.filter("words", lambda w: (w["x0"] > c("money_x")) & w["text"].rlike(MAYBANK_CENTS)))
+    lone = last_(F.filter("words", lambda w: (w["x0"] > c("money_x")) & w["text"].rlike(MAYBANK_CENTS)))
     lines = lines.withColumn("chosen", F.when(c("n") > 0, chosen)).withColumn("printed", F.when(c("n") > 1, value(last_(c("money")))))
-    lines = lines.withColumn("amt", value(c("chosen"))).withColumn("sign", sign(c("chosen"))).withColumn("cents", F.regexp_extract(cents["text"], MAYBANK_CENTS, 1).try_cast("double"))
+    lines = lines.withColumn("amt", value(c("chosen"))).withColumn("sign", sign(c("chosen"))).withColumn("cents", F.regexp_extract(lone["text"], MAYBANK_CENTS, 1).try_cast("double"))
     lines = lines.withColumn("late", F.when(word(0)["x0"] > MAYBANK_NO_DATE_X, c("carried")))
     # the section is on from its header until a footer or the page's end
     switch = F.when(c("section"), True).when(c("footer"), False)
     lines = lines.withColumn("on", F.coalesce(F.last(switch, ignorenulls=True).over(_page()), F.lit(False)))
 
-    def step(s: Column, r: Column) -> tuple[dict, dict]:
-        row = r["kind"] == "row"
-        dt = F.coalesce(r["date"], s["pending"], r["late"])
-        guess = F.round(F.when(r["sign"] == "+", s["balance"] + r["amt"]).when(r["sign"] == "-", s["balance"] - r["amt"]), 2)
-        guess = F.when(r["cents"].isNotNull(), F.round(F.when(guess < 0, F.ceil(guess)).otherwise(F.floor(guess)) + r["cents"] / 100, 2)).otherwise(guess)
-        balance = F.when(row & dt.isNotNull(), F.coalesce(r["printed"], guess))
-        emits = balance.isNotNull()
-        move = F.round(balance - s["balance"], 2)
-        credit = F.when(r["sign"] == "+", r["amt"]).when(r["sign"].isNull() & (move > 0), move).otherwise(0.0)
-        debit = F.when(r["sign"] == "-", r["amt"]).when(r["sign"].isNull(), F.when(move < 0, -move).when(move.isNull(), r["amt"])).otherwise(0.0)
-        parsed = F.when(credit > 0, credit).otherwise(F.coalesce(debit, F.lit(0.0)))
-        fixed = F.coalesce((move != 0) & (parsed > 0) & (F.abs(F.abs(move) - parsed) <= MAYBANK_CORRECTION), F.lit(False))
-        used = emits & r["date"].isNull()
-        pending = F.when(r["kind"] == "day", r["date"]).when((r["kind"] == "footer") | used, None).otherwise(s["pending"])
-        pending_x = F.when(r["kind"] == "day", r["date_x"]).otherwise(s["pending_x"])
-        x = F.coalesce(r["date_x"], F.when(r["date"].isNull() & s["pending"].isNotNull(), s["pending_x"]), F.lit(MAYBANK_DESCRIPTION_X))
-        now = {"pending": pending, "pending_x": pending_x, "balance": F.when(emits, balance).otherwise(s["balance"])}
-        return now, {
-            "dt": F.when(emits, dt), "left_x": x, "balance": balance,
-            "credit": F.when(fixed, F.greatest(move, F.lit(0.0))).otherwise(credit), "debit": F.when(fixed, F.greatest(-move, F.lit(0.0))).otherwise(F.coalesce(debit, F.lit(0.0))),
-        }
-
-    kept = lines.where("kind IS NOT NULL").select("file", "page", "line", "kind", "date", "date_x", "late", "n", "amt", "sign", "cents", "printed", "money_x", "words", "skip", "t", "u", "on")
-    state = {"pending": ("date", None), "pending_x": ("double", None), "balance": ("double", None)}
-    rows = folded(kept, ("page", "line"), state, {"dt": "date", "left_x": "double", "balance": "double", "credit": "double", "debit": "double"}, step)
-    starts = c("dt").isNotNull()
-    rows = rows.withColumn("tid", F.count("dt").over(_by_file())).withColumn("cut", F.count_if(starts | (c("kind") == "day")).over(_by_file()))
-    own = F.last(F.when(starts, F.struct("cut", "left_x", "money_x")), ignorenulls=True).over(_by_file())
-    rows = rows.withColumn("own", own)
-    detail = (c("kind") == "detail") & c("on") & (c("cut") == c("own.cut")) & ~c("t").rlike(MAYBANK_IDEOGRAPHS) & ~contains_any(c("u"), MAYBANK_NO_DETAIL)
-    between = F.filter("words", lambda w, i: ~w["text"].rlike(MAYBANK_MONEY) & (w["x0"] >= c("own.left_x")) & (w["x0"] < c("own.money_x")) & (i >= c("skip")))
-    rows = rows.where((c("tid") > 0) & (starts | detail)).withColumn("said", joined(between))
+    def step(s: tuple, kind: str, date, date_x, late, amt, sign, cent, printed, money_x) -> tuple[tuple, tuple]:
+        pending, pending_x, known, tid, cut, own = s
+        dt = next((d for d in (date, pending, late) if d is not None), None)
+        guess = None
+        if sign is not None and known is not None and amt is not None:
+            guess = cents(known + amt if sign == "+" else known - amt)
+            if cent is not None:
+                guess = cents((math.ceil(guess) if guess < 0 else math.floor(guess)) + cent / 100)
+        balance = (guess if printed is None else printed) if kind == "row" and dt is not None else None
+        emits = balance is not None
+        move = cents(balance - known) if emits and known is not None else None
+        credit = amt if sign == "+" else move if sign is None and move is not None and move > 0 else 0.0
+        debit = (amt if sign == "-" else 0.0) if sign is not None else amt if move is None else -move if move < 0 else None
+        parsed = credit if credit is not None and credit > 0 else debit or 0.0
+        if move and parsed > 0 and abs(abs(move) - parsed) <= MAYBANK_CORRECTION:
+            credit, debit = max(move, 0.0), max(-move, 0.0)
+        x = date_x if date_x is not None else pending_x if date is None and pending is not None else None
+        x = MAYBANK_DESCRIPTION_X if x is None else x
+        if kind == "day":
+            pending, pending_x = date, date_x
+        elif kind == "footer" or (emits and date is None):
+            pending = None
+        tid, cut = tid + emits, cut + (emits or kind == "day")
+        own = (cut, x, money_x) if emits else own
+        now = pending, pending_x, balance if emits else known, tid, cut, own
+        return now, (dt if emits else None, balance, credit, debit or 0.0, tid, own is not None and own[0] == cut, own and own[1], own and own[2])
+
+    # of a line's words those that may be said, of its text whether it may be a detail
+    words = F.filter("words", lambda w, i: ~w["text"].rlike(MAYBANK_MONEY) & (i >= c("skip")))
+    words = F.transform(words, lambda w: F.struct(w["x0"].alias("x0"), w["text"].alias("text")))
+    able = (c("kind") == "detail") & c("on") & ~c("t").rlike(MAYBANK_IDEOGRAPHS) & ~contains_any(c("u"), MAYBANK_NO_DETAIL)
+    kept = lines.where("kind IS NOT NULL").withColumn("able", able)
+    reads = ("kind", "date", "date_x", "late", "amt", "sign", "cents", "printed", "money_x")
+    kept = kept.select("file", "page", "line", *reads, "able", F.when(c("able") | (c("kind") == "row"), words).alias("words"))
+    made = {"dt": "date", "balance": "double", "credit": "double", "debit": "double", "tid": "int", "near": "boolean", "left_x": "double", "right_x": "double"}
+    rows = folded(kept, ("page", "line"), reads, (None, None, None, 0, 0, None), made, step)
+    between = F.filter("words", lambda w: (w["x0"] >= c("left_x")) & (w["x0"] < c("right_x")))
+    rows = rows.where((c("tid") > 0) & (c("dt").isNotNull() | (c("able") & c("near")))).withColumn("said", joined(between))
     part = F.struct("page", "line", "dt", "said", "debit", "credit", "balance")
     made = rows.groupBy("file", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"))
     money = lambda n: F.round(F.expr(f"p[0].{n}"), 2).alias(n)
@@ -432,13 +458,15 @@ def hong_leong(words: DataFrame) -> DataFrame:
     nothing = (c("credit") == 0) & (c("debit") == 0)
     made = made.withColumn("silent", nothing & c("description").rlike(HONG_LEONG_NO_ROWS)).where(~(nothing & c("printed").isNull()))
 
-    def step(s: Column, r: Column) -> tuple[dict, dict]:
-        od = F.coalesce(s["od"], r["od"]) | F.coalesce(r["printed"] < 0, F.lit(False))
-        sum_ = F.round(F.coalesce(s["balance"], r["opening"]) + r["credit"] - r["debit"], 2)
-        guarded = F.when(~od & (sum_ < 0), F.coalesce(s["anchor"], r["opening"])).otherwise(sum_)
-        balance = F.coalesce(r["printed"], guarded)
-        return {"balance": balance, "anchor": F.coalesce(r["printed"], s["anchor"], r["opening"]), "od": od}, {"balance": balance}
+    def step(s: tuple, credit: float, debit: float, printed: float | None, opening: float, overdraft: bool) -> tuple[tuple, tuple]:
+        balance, anchor, od = s if s else (opening, opening, overdraft)
+        od = od or (printed is not None and printed < 0)
+        if printed is not None:
+            return (printed, printed, od), (printed,)
+        balance = cents(balance + credit - debit)
+        balance = anchor if not od and balance < 0 else balance
+        return (balance, anchor, od), (balance,)
 
     kept = made.select("file", "page", "tid", "dt", "description", "debit", "credit", "printed", "silent", "opening", "od")
-    rows = folded(kept, ("page", "tid"), {"balance": ("double", None), "anchor": ("double", None), "od": ("boolean", None)}, {"balance": "double"}, step).where("NOT silent")
+    rows = folded(kept, ("page", "tid"), ("credit", "debit", "printed", "opening", "od"), (), {"balance": "double"}, step).where("NOT silent")
     return _numbered(rows.withColumn("balance", F.round("balance", 2)), "page", "tid").select(*ROWS)
