@@ -364,13 +364,32 @@ def latest_first(rows: DataFrame) -> DataFrame:
     return rows.select("file", down.alias("down"), up.alias("up")).groupBy("file").agg((F.coalesce(F.sum("up"), F.lit(0.0)) < F.coalesce(F.sum("down"), F.lit(0.0))).alias("reverse"))
 
 
-def _cimb_marked(rows: DataFrame, marks: DataFrame, found: bool) -> DataFrame:
-    """Rows in the order of time between an opening and a closing row, each ``(dt, debit, credit, balance)`` of a file once."""
-    w = Window.partitionBy("file")
+def _printed_once(rows: DataFrame, found: bool) -> DataFrame:
+    """Rows in printed order without those printed again, with the file's direction ``reverse``, latest first unless ``found``.
+
+    A row equal in day, amounts and balance to one before it is printed again unless its balance goes on from that of the last
+    row kept: then amounts between them cancel out, and both are rows.
+    """
+    same = Window.partitionBy("file", "dt", F.round("debit", 2), F.round("credit", 2), F.round("balance", 2)).orderBy("idx")
+    rows = rows.withColumn("nth", F.row_number().over(same))
     if found:
-        rows = rows.join(latest_first(rows).select(c("file").alias("r_file"), "reverse"), c("file").eqNullSafe(c("r_file")), "left").drop("r_file")
+        ways = latest_first(rows.where("nth = 1")).select(c("file").alias("r_file"), "reverse")
+        rows = rows.join(ways, c("file").eqNullSafe(c("r_file")), "left").drop("r_file")
     else:
         rows = rows.withColumn("reverse", F.lit(True))
+    whole = lambda x: F.round(x * 100).cast("long")
+    rows = rows.withColumn("b", whole(c("balance"))).withColumn("m", whole(c("credit") - c("debit")))
+
+    def step(s: tuple, nth: int, reverse: bool, b: int, m: int) -> tuple[tuple, tuple]:
+        kept = nth == 1 or (s[0] - s[1] == b if reverse else s[0] + m == b)
+        return ((b, m) if kept else s), (kept,)
+
+    return folded(rows, ("idx",), ("nth", "reverse", "b", "m"), (), {"kept": "boolean"}, step).where("kept").drop("nth", "b", "m", "kept")
+
+
+def _cimb_marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows in the order of time between an opening and a closing row; of rows without amounts each ``(dt, balance)`` once."""
+    w = Window.partitionBy("file")
     rows = rows.withColumn("at", F.when(c("reverse"), -c("idx")).otherwise(c("idx"))).withColumn("last", F.max("dt").over(w))
     rows = rows.withColumn("at", F.row_number().over(w.orderBy("dt", "at")))
     latest = rows.groupBy(c("file").alias("l_file")).agg(F.max("dt").alias("last"), F.count("*").alias("n"))
@@ -380,7 +399,7 @@ def _cimb_marked(rows: DataFrame, marks: DataFrame, found: bool) -> DataFrame:
     closing = marks.where("closing IS NOT NULL").select(c("m_file").alias("file"), F.lit(None).cast("int").alias("page"), c("last").alias("dt"), F.lit(CIMB_MARKERS[1]).alias("description"), none.alias("debit"), none.alias("credit"), c("closing").alias("balance"), (c("n") + 1).cast("int").alias("at"), F.lit(True).alias("marker"))
     every = rows.select("file", "page", "dt", "description", "debit", "credit", "balance", "at", F.lit(False).alias("marker")).unionByName(opening).unionByName(closing)
     same = Window.partitionBy("file", "dt", F.round("debit", 2), F.round("credit", 2), F.round("balance", 2)).orderBy("at")
-    return _seq(every.withColumn("nth", F.row_number().over(same)).where("nth = 1"), "at").select(*ROWS)
+    return _seq(every.withColumn("nth", F.row_number().over(same)).where("nth = 1 OR debit <> 0 OR credit <> 0"), "at").select(*ROWS)
 
 
 def _cimb_head(lines: DataFrame) -> DataFrame:
@@ -397,8 +416,8 @@ def cimb_table(cells: DataFrame, lines: DataFrame, found: bool = False) -> DataF
     """Rows of six cells day, text, reference, withdrawal, deposit and balance, printed latest first.
 
     Headings, rows without a balance, a day or an amount are none; the opening balance's row and the closing balance in the
-    lines give marker rows on the first day of the last month and on the last day. Rows equal in day, amounts and balance are
-    one, the first printed. ``found`` tells each file's direction from its balances instead.
+    lines give marker rows on the first day of the last month and on the last day. Rows printed again, equal in day, amounts
+    and balance, are one, the first printed. ``found`` tells each file's direction from its balances instead.
     """
     cell = lambda k: F.get("cells", F.lit(k))
     bare = lambda k: F.regexp_replace(cell(k), r"[\s,]", "")
@@ -415,9 +434,7 @@ def cimb_table(cells: DataFrame, lines: DataFrame, found: bool = False) -> DataF
     dt = F.coalesce(day_of(full, r"^(\d{2})/(\d{2})/(\d{4})$"), F.try_to_date(F.when(c("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), c("day")), "yyyy-MM-dd"))
     rows = rows.withColumn("dt", dt).where("dt IS NOT NULL AND (debit <> 0 OR credit <> 0)")
     rows = rows.withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy("page", "row")))
-    same = Window.partitionBy("file", "dt", F.round("debit", 2), F.round("credit", 2), F.round("balance", 2)).orderBy("idx")
-    rows = rows.withColumn("nth", F.row_number().over(same)).where("nth = 1")
-    return _cimb_marked(rows.select("file", "page", "dt", "description", "debit", "credit", "balance", "idx"), marks, found)
+    return _cimb_marked(_printed_once(rows.select("file", "page", "dt", "description", "debit", "credit", "balance", "idx"), found), marks)
 
 
 def cimb_text(lines: DataFrame) -> DataFrame:
@@ -448,7 +465,7 @@ def cimb_text(lines: DataFrame) -> DataFrame:
     made = made.join(marks.select(c("m_file").alias("b_file"), "opening"), c("file").eqNullSafe(c("b_file")), "left")
     step = F.round(c("balance") - F.coalesce(F.lag("balance").over(Window.partitionBy("file").orderBy("dt", F.desc("idx"))), c("opening")), 2)
     made = made.withColumn("step", F.coalesce(step, F.lit(0.0)))
-    return _cimb_marked(made.select("file", "page", "dt", "description", *_sides(c("step")), "balance", "idx"), marks, False)
+    return _cimb_marked(made.select("file", "page", "dt", "description", *_sides(c("step")), "balance", "idx").withColumn("reverse", F.lit(True)), marks)
 
 
 def cimb(lines: DataFrame, cells: DataFrame | None = None, found: bool = False) -> DataFrame:
