@@ -23,6 +23,7 @@ AGRO_FOOTERS = (
     "BANK PERTANIAN MALAYSIA BERHAD", "PETI SURAT", "SEMUA CATATAN", "SEKIRANYA TERDAPAT SEBARANG PERTANYAAN", "DEEMED TO BE CORRECT", "PLEASE CALL AT OUR NEAREST BRANCH", "AKTIVITI AKAUN ANDA",
     "DATE REFERENCE NO. DETAILS", "DEBIT(-)/CREDIT", "TARIKH PENYATA", "STATEMENT DATE", "A/C NO:", "PENYATA AKAUN", "ACCOUNT STATEMENT",
 )
+AGRO_FIGURE = r"([\d,]*\d?\.\d{2})"
 AGRO_ZONE = ("AKTIVITI AKAUN ANDA", "DATE REFERENCE NO.", "DEBIT(-)/CREDIT")
 AGRO_MARKERS = ("BEGINNING BALANCE", "CLOSING BALANCE")
 AGRO_CATEGORIES = [
@@ -54,41 +55,44 @@ def agro(words: DataFrame) -> DataFrame:
     common columns: ``category`` and ``check``, ``#`` on all rows of a file whose sums are more than a cent off its printed
     totals, of which the last page's count.
     """
-    lines = visual_lines(words, AGRO_TOLERANCE).withColumn("t", joined(c("words"))).withColumn("u", F.upper("t"))
-    token = c("words")[0]["text"]
+    lines = visual_lines(words, AGRO_TOLERANCE)
+    # an array or a text that is asked for several times is a column of its own, so that it is made once a line
+    lines = lines.withColumn("t", joined(c("words"))).withColumn("u", F.upper("t")).withColumn("token", c("words")[0]["text"]).withColumn("left", c("words")[0]["x0"])
     money = F.filter("words", lambda w: w["text"].rlike(AGRO_MONEY))
     plain = F.filter("words", lambda w: ~w["text"].rlike(AGRO_MONEY) & ~w["text"].rlike(AGRO_ZERO))
-    lines = lines.withColumn("dated", token.rlike(AGRO_DATE)).withColumn("balance", _value(last_(money)["text"])).withColumn("footer", contains_any(c("u"), AGRO_FOOTERS)).withColumn("said", joined(plain))
-    lines = lines.withColumn("day", F.when(c("dated"), day_of(token, r"^(\d{1,2})/(\d{2})/(\d{2})$"))).withColumn("starts", c("dated") & c("balance").isNotNull() & c("day").isNotNull())
-    page, file = Window.partitionBy("file", "page").orderBy("line"), Window.partitionBy("file").orderBy("page", "line")
+    lines = lines.withColumn("money", money).withColumn("printed", last_(c("money"))["text"]).withColumn("plain", plain).drop("words", "money")
+    lines = lines.withColumn("dated", c("token").rlike(AGRO_DATE)).withColumn("balance", _value(c("printed"))).withColumn("footer", contains_any(c("u"), AGRO_FOOTERS))
+    lines = lines.withColumn("day", F.when(c("dated"), day_of(c("token"), r"^(\d{1,2})/(\d{2})/(\d{2})$"))).withColumn("starts", c("dated") & c("balance").isNotNull() & c("day").isNotNull())
+    head = F.filter("plain", lambda w: ~w["text"].rlike(AGRO_DATE))
+    lines = lines.withColumn("said", joined(F.when(c("starts"), head).otherwise(c("plain"))))
+    figure = lambda word: F.when(F.contains("u", F.lit(word)) & c("t").rlike(AGRO_FIGURE), F.struct("line", amount(F.regexp_replace(F.regexp_extract("t", AGRO_FIGURE, 1), r"^\.", "0.")).alias("v")))
+    lines = lines.withColumn("debits", figure("TOTAL DEBIT")).withColumn("credits", figure("TOTAL CREDIT")).withColumn("zoned", contains_any(c("u"), AGRO_ZONE))
+    lines = lines.select("file", "page", "line", "dated", "footer", "starts", "day", "balance", "said", "left", "debits", "credits", "zoned")
+    page, file = Window.partitionBy("file", "page").orderBy("line"), Window.partitionBy("file").orderBy("page", "tid")
     lines = lines.withColumn("tid", F.count_if("starts").over(page)).withColumn("gid", F.count_if(c("dated") | c("footer")).over(page))
     lines = lines.withColumn("own", c("gid") == F.last(F.when(c("starts"), c("gid")), ignorenulls=True).over(page))
-    lines = lines.withColumn("own", F.when(c("starts"), True).otherwise(c("own") & ~c("footer")))
-    lines = lines.withColumn("zone", F.max(contains_any(c("u"), AGRO_ZONE)).over(page))
-    head = joined(F.filter(plain, lambda w: ~w["text"].rlike(AGRO_DATE)))
-    lines = lines.withColumn("said", F.when(c("starts"), head).otherwise(c("said")))
-    part = F.struct("line", "day", "balance", "said")
-    made = lines.where("tid > 0 AND own").groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"))
-    text = F.array_join(F.concat(F.array(F.expr("p[0].said")), F.filter(F.transform(F.slice("p", 2, 1 << 20), lambda x: x["said"]), lambda t: t != "")), " | ")
-    made = made.select("file", "page", "tid", F.expr("p[0].line").alias("line"), F.expr("p[0].day").alias("dt"), F.expr("p[0].balance").alias("balance"), text.alias("text"))
-    up = F.upper("text")
-    kind = F.when(F.contains(up, F.lit(AGRO_MARKERS[0])), AGRO_MARKERS[0]).when(F.contains(up, F.lit(AGRO_MARKERS[1])), AGRO_MARKERS[1])
-    made = made.withColumn("kind", kind).withColumn("step", c("balance") - F.lag("balance").over(file))
+    lines = lines.withColumn("own", F.when(c("starts"), True).otherwise(c("own") & ~c("footer"))).withColumn("zone", F.max("zoned").over(page))
+    # lines at the top of a later page go to the last row before them that is no marker
+    top = (c("tid") == 0) & c("zone") & ~c("dated") & ~c("footer") & (c("left") >= AGRO_TEXT_X) & (c("said") != "")
+    own, more = F.when((c("tid") > 0) & c("own"), F.struct("line", "day", "balance", "said")), F.when(top, F.struct("page", "line", "said"))
+    made = lines.groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(own)).alias("p"), F.sort_array(F.collect_list(more)).alias("tops"), F.max("debits").alias("debits"), F.max("credits").alias("credits"))
+    text = F.array_join(F.concat(F.array(F.get("p", F.lit(0))["said"]), F.filter(F.transform(F.slice("p", 2, 1 << 20), lambda x: x["said"]), lambda t: t != "")), " | ")
+    paged = lambda n: F.when(c(n).isNotNull(), F.struct("page", f"{n}.line", f"{n}.v")).alias(n)
+    made = made.select("file", "page", "tid", F.get("p", F.lit(0))["day"].alias("dt"), F.get("p", F.lit(0))["balance"].alias("balance"), F.when(c("tid") > 0, text).alias("text"), "tops", paged("debits"), paged("credits"))
+    made = made.where("tid > 0 OR size(tops) > 0 OR debits IS NOT NULL OR credits IS NOT NULL").withColumn("u", F.upper("text"))
+    kind = F.when(F.contains("u", F.lit(AGRO_MARKERS[0])), AGRO_MARKERS[0]).when(F.contains("u", F.lit(AGRO_MARKERS[1])), AGRO_MARKERS[1])
+    made = made.withColumn("kind", kind)
+    # a row that is no marker opens a run, in which the tops of later pages are its own
+    whole, run = Window.partitionBy("file"), Window.partitionBy("file", "run")
+    made = made.withColumn("before", F.last("balance", ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, -1))).withColumn("run", F.count_if((c("tid") > 0) & c("kind").isNull()).over(file))
+    for n in ("debits", "credits"):
+        made = made.withColumn(n, F.max(n).over(whole)["v"])
+    made = made.withColumn("tail", F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("tops").over(run))), lambda x: x["said"]), " | ")).where("tid > 0")
+    made = made.withColumn("step", c("balance") - c("before"))
     step = F.when(F.coalesce(c("kind") == AGRO_MARKERS[0], F.lit(False)) | (F.abs("step") <= AGRO_STEP), 0.0).otherwise(F.coalesce("step", F.lit(0.0)))
     made = made.withColumn("credit", F.round(F.greatest(step, F.lit(0.0)), 2)).withColumn("debit", F.round(F.greatest(-step, F.lit(0.0)), 2))
-    made = made.withColumn("until", F.lead(F.struct("page", "line")).over(file))
-    # lines at the top of a later page, to the last row before them that is no marker
-    tops = lines.where((c("tid") == 0) & c("zone") & ~c("dated") & ~c("footer") & (c("words")[0]["x0"] >= AGRO_TEXT_X) & (c("said") != "")).select("file", "page", "line", c("said").alias("more"), F.lit(None).cast("int").alias("tid"))
-    marks = made.where("kind IS NULL").select("file", "page", "line", F.lit(None).cast("string").alias("more"), "tid")
-    at = F.last(F.when(c("tid").isNotNull(), F.struct("page", "tid")), ignorenulls=True).over(file)
-    tails = marks.unionByName(tops).withColumn("at", at).where("more IS NOT NULL AND at IS NOT NULL")
-    tails = tails.groupBy(c("file").alias("f_file"), c("at.page").alias("f_page"), c("at.tid").alias("f_tid")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line", "more"))), lambda x: x["more"]), " | ").alias("tail"))
-    made = made.join(tails, c("file").eqNullSafe(c("f_file")) & (c("page") == c("f_page")) & (c("tid") == c("f_tid")), "left")
-    made = made.withColumn("category", F.when(c("kind").isNotNull(), "Balance Marker").otherwise(first_pattern(c("text"), AGRO_CATEGORIES))).withColumn("description", F.coalesce("kind", F.concat_ws(" | ", F.nullif("text", F.lit("")), "tail")))
-    total = lambda word: F.max(F.when(F.contains("u", F.lit(word)) & c("t").rlike(r"[\d,]*\d?\.\d{2}"), F.struct("page", "line", amount(F.regexp_replace(F.regexp_extract("t", r"([\d,]*\d?\.\d{2})", 1), r"^\.", "0.")).alias("v"))))["v"]
-    totals = lines.groupBy(c("file").alias("t_file")).agg(total("TOTAL DEBIT").alias("debits"), total("TOTAL CREDIT").alias("credits"))
-    made = made.join(totals, c("file").eqNullSafe(c("t_file")), "left")
-    off = lambda side, printed: F.coalesce(F.abs(F.round(F.sum(side).over(Window.partitionBy("file")), 2) - c(printed)) > CENT + 1e-9, F.lit(False))
+    made = made.withColumn("category", F.when(c("kind").isNotNull(), "Balance Marker").otherwise(first_pattern(c("text"), AGRO_CATEGORIES))).withColumn("description", F.coalesce("kind", F.concat_ws(" | ", F.nullif("text", F.lit("")), F.nullif("tail", F.lit("")))))
+    off = lambda side, printed: F.coalesce(F.abs(F.round(F.sum(side).over(whole), 2) - c(printed)) > CENT + 1e-9, F.lit(False))
     made = made.withColumn("check", F.when(off("debit", "debits") | off("credit", "credits"), "#").otherwise(""))
     made = made.withColumn("seq", F.row_number().over(file)).withColumn("marker", c("kind").isNotNull()).withColumn("balance", F.round("balance", 2))
     return made.select(*ROWS, "category", "check")

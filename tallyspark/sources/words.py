@@ -77,15 +77,19 @@ HONG_LEONG_NOISE = r"(?i)Protected by PIDM|Dilindungi oleh PIDM|Hong Leong Islam
 CENT, DIGITS = Decimal("0.01"), Context(prec=400)
 
 
-def visual_lines(words: DataFrame, tolerance: float, anchored: bool = False) -> DataFrame:
-    """P20: ``(file, page, line, y, words)``, a page's words in lines from top to bottom.
+def visual_lines(words: DataFrame, tolerance: float, anchored: bool = False, **of_page: Column) -> DataFrame:
+    """P20: ``(file, page, line, y, words)``, a page's words in lines from top to bottom, and the page's
+    greatest values ``of_page``.
 
     A word belongs to the line before it if it lies at most ``tolerance`` below the mean height of that line's words, or, if
     ``anchored``, below its first word; a line's words are ordered from left to right as ``(x0, y0, x1, text)``.
     """
     number = lambda n: c(n).cast("double")
-    tidy = words.select("file", c("page").cast("int").alias("page"), number("y0").alias("y0"), number("x0").alias("x0"), F.coalesce(number("x1"), number("x0")).alias("x1"), F.btrim("text", F.lit(" \t\r\n")).alias("text"))
-    per = tidy.where("text <> '' AND x0 IS NOT NULL AND y0 IS NOT NULL").groupBy("file", "page").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "x1", "text"))).alias("w"))
+    tidy = words.select("file", c("page").cast("int").alias("page"), number("y0").alias("y0"), number("x0").alias("x0"), F.coalesce(number("x1"), number("x0")).alias("x1"), F.btrim("text", F.lit(" \t\r\n")).alias("text"), *(v.alias(f"p_{k}") for k, v in of_page.items()))
+    word = F.when((c("text") != "") & c("x0").isNotNull() & c("y0").isNotNull(), F.struct("y0", "x0", "x1", "text"))
+    if not of_page:
+        tidy = tidy.where(word.isNotNull())
+    per = tidy.groupBy("file", "page").agg(F.sort_array(F.collect_list(word)).alias("w"), *(F.max(f"p_{k}").alias(k) for k in of_page))
     zero = F.struct(F.lit(0).alias("line"), F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("lines"))
 
     def step(a: Column, w: Column) -> Column:
@@ -94,8 +98,8 @@ def visual_lines(words: DataFrame, tolerance: float, anchored: bool = False) ->
         y = F.when(new, w["y0"]).otherwise(a["y"] if anchored else (a["y"] * a["n"] + w["y0"]) / (a["n"] + 1))
         return F.struct(line.alias("line"), y.alias("y"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["lines"], F.array(line)).alias("lines"))
 
-    lined = per.withColumn("line", F.aggregate("w", zero, step, lambda a: a["lines"])).select("file", "page", F.inline(F.arrays_zip("line", "w")))
-    return lined.groupBy("file", "page", "line").agg(F.min("w.y0").alias("y"), F.sort_array(F.collect_list(F.struct("w.x0", "w.y0", "w.x1", "w.text"))).alias("words"))
+    lined = per.withColumn("line", F.aggregate("w", zero, step, lambda a: a["lines"])).select("file", "page", *of_page, F.inline(F.arrays_zip("line", "w")))
+    return lined.groupBy("file", "page", "line").agg(*(F.first(k).alias(k) for k in of_page), F.min("w.y0").alias("y"), F.sort_array(F.collect_list(F.struct("w.x0", "w.y0", "w.x1", "w.text"))).alias("words"))
 
 
 def folded(rows: DataFrame, order: tuple[str, ...], reads: tuple[str, ...], zero: tuple, made: dict[str, str], step: Callable) -> DataFrame:
@@ -238,9 +242,8 @@ def muamalat(words: DataFrame) -> DataFrame:
     first line that holds a header word. Rows without a text, totals and ending balances are none.
     """
     wide = c("width").cast("double") if "width" in words.columns else F.lit(None).cast("double")
-    scales = words.groupBy(c("file").alias("s_file"), c("page").cast("int").alias("s_page")).agg(F.max(wide).alias("width")).select("s_file", "s_page", F.when(c("width") > 0, F.least(c("width") / MUAMALAT_WIDTH, F.lit(1.0))).otherwise(1.0).alias("scale"))
-    lines = visual_lines(words, MUAMALAT_TOLERANCE, anchored=True)
-    lines = lines.join(scales, c("file").eqNullSafe(c("s_file")) & c("page").eqNullSafe(c("s_page")))
+    lines = visual_lines(words, MUAMALAT_TOLERANCE, anchored=True, width=wide)
+    lines = lines.withColumn("scale", F.when(c("width") > 0, F.least(c("width") / MUAMALAT_WIDTH, F.lit(1.0))).otherwise(1.0)).drop("width")
     box = lambda name, w: inside(w, c("scale") * MUAMALAT_COLUMNS[name][0], c("scale") * MUAMALAT_COLUMNS[name][1], middle)
     tidy = lambda t: F.btrim(F.regexp_replace(t, " ", ""), F.lit(".,"))
     day = lambda t: F.when(tidy(t).rlike(MUAMALAT_DATE), tidy(t))
