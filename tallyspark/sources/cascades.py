@@ -183,7 +183,8 @@ def islam_lines(lines: DataFrame) -> DataFrame:
 def islam_read(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and totals of scanned pages' recognised lines: one balance a day, the nearest to the day's before, its step the amount.
 
-    The first page tells the opening balance, without which a file has no rows, the totals, and the month that days must lie in.
+    Where the nearest ones do not add up to the printed totals and each day's first ones do, or each day's last ones, those
+    are taken. The first page tells the opening balance, without which a file has no rows, the totals, and the month that days must lie in.
     """
     rows = _tidy(lines)
     first = rows.where("page = 1").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "t"))).alias("p")).select(c("file").alias("h_file"), F.upper(F.array_join(F.transform("p", lambda x: x["t"]), " ")).alias("u"))
@@ -194,16 +195,28 @@ def islam_read(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("raw", F.regexp_extract("t", ISLAM_DATE + r"\b", 1)).withColumn("dt", _islam_day(c("raw"))).withColumn("m", _all(c("t"), ISLAM_READ_MONEY)).where("dt IS NOT NULL AND size(m) > 0")
     rows = rows.join(head, c("file").eqNullSafe(c("h_file"))).where((c("month").isNull() | (F.date_format("dt", "yyyy-MM") == c("month"))) & c("opening").isNotNull())
     text = _without(F.substring("t", F.length("raw") + 1, F.length("t")), c("m"))
-    options = rows.withColumn("balance", amount(last_(c("m")))).withColumn("said", text).where("balance IS NOT NULL").groupBy("file", "dt", "balance").agg(F.min(F.struct("page", "line", "said")).alias("s"), F.first("opening").alias("opening"))
-    days = options.groupBy("file", "dt").agg(F.sort_array(F.collect_list(F.struct("balance", "s.page", "s.line", "s.said"))).alias("o"), F.first("opening").alias("opening"))
+    told = ("opening", "debits", "credits")
+    options = rows.withColumn("balance", amount(last_(c("m")))).withColumn("said", text).where("balance IS NOT NULL").groupBy("file", "dt", "balance").agg(F.min(F.struct("page", "line", "said")).alias("s"), F.max(F.struct("page", "line", "said")).alias("e"), *(F.first(n).alias(n) for n in told))
+    ends = F.min(F.struct("s.page", "s.line", "s.said", "balance")).alias("first"), F.max(F.struct("e.page", "e.line", "e.said", "balance")).alias("last")
+    days = options.groupBy("file", "dt").agg(F.sort_array(F.collect_list(F.struct("balance", "s.page", "s.line", "s.said"))).alias("o"), *ends, *(F.first(n).alias(n) for n in told))
 
     def step(s: tuple, options: list[dict], opening: float) -> tuple[tuple, tuple]:
         before = s[0] if s else opening
         near = min(options, key=lambda o: (abs(cents(o["balance"] - before)), o["balance"]))
-        return (near["balance"],), (near["balance"], near["said"], near["page"], cents(near["balance"] - before))
-
-    made = folded(days, ("dt",), ("o", "opening"), (), {"balance": "double", "description": "string", "page": "int", "step": "double"}, step)
-    made = made.select("file", "page", F.row_number().over(Window.partitionBy("file").orderBy("dt")).alias("line"), "dt", "description", *_sides(c("step")), "balance")
+        return (near["balance"],), (near["balance"], near["said"], near["page"])
+
+    made = folded(days, ("dt",), ("o", "opening"), (), {"balance": "double", "said": "string", "page": "int"}, step)
+    made = made.withColumn("near", F.struct("page", "said", "balance")).select("file", "dt", *told, "near", "first", "last")
+    whole = Window.partitionBy("file")
+    readings = ("near", "first", "last")
+    for r in readings:
+        before = F.coalesce(F.lag(f"{r}.balance").over(whole.orderBy("dt")), c("opening"))
+        made = made.withColumn(f"{r}_step", F.round(c(f"{r}.balance") - before, 2))
+    for r in readings:
+        off = lambda sign, printed: F.abs(F.round(F.sum(F.greatest(sign * c(f"{r}_step"), F.lit(0.0))).over(whole), 2) - c(printed)) > CENT + 1e-9  # noqa: B023, E731
+        made = made.withColumn(f"{r}_fits", ~off(-1, "debits") & ~off(1, "credits"))
+    pick = lambda of: reduce(lambda rest, r: F.when(c(f"{r}_fits"), c(of.format(r))).otherwise(rest), reversed(readings), c(of.format("near")))
+    made = made.select("file", pick("{}.page").alias("page"), F.row_number().over(whole.orderBy("dt")).alias("line"), "dt", pick("{}.said").alias("description"), *_sides(pick("{}_step")), pick("{}.balance").alias("balance"))
     return made, head.select(c("h_file").alias("file"), "debits", "credits").where("debits IS NOT NULL AND credits IS NOT NULL")
 
 
