@@ -12,8 +12,9 @@ from .common import components, cut, local_forest, small, table
 
 CHUNK = 1 << 16
 SQUARE = 512
-#: The pipeline's stage: similarity of five-word shingle sets, bits that candidates may differ in, and MinHash bands.
-STAGE_JACCARD, STAGE_BITS = 0.8, 22
+#: The pipeline's stage: bits within which SimHashes link, similarity of five-word shingle sets, bits that candidates of
+#: the MinHash bands may differ in, and these bands.
+STAGE_LINK, STAGE_JACCARD, STAGE_BITS = 2, 0.8, 22
 BANDS, BAND_ROWS = 20, 5
 
 
@@ -269,11 +270,12 @@ def jaccard_verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, shingl
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", (both >= least * (F.size("set_a") + F.size("set_b") - both) - 1e-9).alias("same")))
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS, least: float = STAGE_JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS, least: float = STAGE_JACCARD, id_col: str = "doc_id", text_col: str = "text", link: int = STAGE_LINK) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; all columns stay.
 
-    Components are of texts with a Jaccard similarity of ``least`` or more over word shingles. Candidates share a MinHash
-    band and differ in at most ``budget`` bits of their SimHashes; the similarity is verified on the texts. Blank texts
+    Texts whose SimHashes differ in at most ``link`` bits are linked by the tries of operator 3, all of them. Beside these,
+    texts with a Jaccard similarity of ``least`` or more over word shingles are linked: candidates share a MinHash band and
+    differ in at most ``budget`` bits of their SimHashes; the similarity is verified on the texts. Components are of both. Blank texts
     are copies of one another. Each row is judged by its own text: of rows with one id and different texts those go whose
     component has a smaller id, and the others stay. Rows without an id stay.
     """
@@ -293,6 +295,9 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, budget: int = STAGE_BITS,
         return np.where(bits <= budget, bits, -1)
 
     groups = banded_groups(buckets, kinds.count(), BANDS, lambda pairs: jaccard_verified(pairs, docs, kinds, shingle_words, least, id_col, text_col), near=near, least=least, sketches=1)
+    near_by = link_components(kinds.where("size > 0").select("kind", F.col("sim").alias("fp")), link).where("component_id IS NOT NULL")
+    tries = kinds.where("size > 0").join(near_by, F.col("sim") == F.col("fp")).select(F.col("kind").alias("a"), F.col("component_id").alias("b"))
+    groups = cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tries)))
     linked = cut(kinds.select("kind", "rep_id").join(groups, F.col("kind") == F.col("node"), "left").select("kind", "rep_id", F.coalesce("component", "kind").alias("group")))
     firsts = linked.groupBy("group").agg(F.min("rep_id").alias("first"))
     of_kind = linked.join(firsts, "group").select("kind", "first")
