@@ -90,16 +90,22 @@ def visual_lines(words: DataFrame, tolerance: float, anchored: bool = False, **o
     if not of_page:
         tidy = tidy.where(word.isNotNull())
     per = tidy.groupBy("file", "page").agg(F.sort_array(F.collect_list(word)).alias("w"), *(F.max(f"p_{k}").alias(k) for k in of_page))
-    zero = F.struct(F.lit(0).alias("line"), F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("lines"))
+    zero = F.struct(F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
 
     def step(a: Column, w: Column) -> Column:
         new = (a["n"] == 0) | (w["y0"] - a["y"] > tolerance)
-        line = F.when(new, a["line"] + 1).otherwise(a["line"])
         y = F.when(new, w["y0"]).otherwise(a["y"] if anchored else (a["y"] * a["n"] + w["y0"]) / (a["n"] + 1))
-        return F.struct(line.alias("line"), y.alias("y"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["lines"], F.array(line)).alias("lines"))
+        at = a["at"] + 1
+        return F.struct(y.alias("y"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), at.alias("at"), F.when(new, F.concat(a["starts"], F.array(at))).otherwise(a["starts"]).alias("starts"))
 
-    lined = per.withColumn("line", F.aggregate("w", zero, step, lambda a: a["lines"])).select("file", "page", *of_page, F.inline(F.arrays_zip("line", "w")))
-    return lined.groupBy("file", "page", "line").agg(*(F.first(k).alias(k) for k in of_page), F.min("w.y0").alias("y"), F.sort_array(F.collect_list(F.struct("w.x0", "w.y0", "w.x1", "w.text"))).alias("words"))
+    def line(s: Column, k: Column) -> Column:
+        """The line that begins at a word's number: the words, in order of height, up to the next line's first."""
+        own = F.slice("w", s, F.coalesce(F.get("starts", k + 1), F.size("w") + 1) - s)
+        flat = F.transform(own, lambda w: F.struct(w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["text"].alias("text")))
+        return F.struct((k + 1).alias("line"), F.get("w", s - 1)["y0"].alias("y"), F.sort_array(flat).alias("words"))
+
+    lined = per.withColumn("starts", F.aggregate("w", zero, step, lambda a: a["starts"]))
+    return lined.select("file", "page", *of_page, F.inline(F.transform("starts", line))).select("file", "page", "line", *of_page, "y", "words")
 
 
 def folded(rows: DataFrame, order: tuple[str, ...], reads: tuple[str, ...], zero: tuple, made: dict[str, str], step: Callable) -> DataFrame:
@@ -143,6 +149,11 @@ def first_of(array: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(F.transform(array, f), lambda x: x.isNotNull()), F.lit(0))
 
 
+def with_(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def last_(array: Column) -> Column:
     return F.try_element_at(array, F.lit(-1))
 
@@ -181,18 +192,27 @@ def _page(order: str | None = "line") -> object:
     return w.orderBy(order) if order else w
 
 
+def _whole_page() -> object:
+    """All of a page in the order of its lines, which the windows over parts of it share."""
+    return _page().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy(*order))).withColumn("marker", F.lit(False))
 
 
 def affin_money(text: Column) -> Column:
     """A printed amount with zeros that were read as letters put right; brackets or a minus behind it make it negative."""
-    t = F.regexp_replace(F.regexp_replace(text, "[Oo]", "0"), " ", "")
-    bare = F.btrim(t, F.lit(".,;:|"))
-    t = F.when(t.rlike(AFFIN_MONEY), t).when(bare.rlike(AFFIN_MONEY), bare)
-    value = F.try_to_number(F.regexp_replace(F.regexp_extract(t, AFFIN_MONEY, 1), ",", ""), F.lit("9999999999999999.99")).cast("double")
-    below = (F.startswith(t, F.lit("(")) & F.contains(t, F.lit(")"))) | (F.regexp_extract(t, AFFIN_MONEY, 2) == "-")
-    return F.when(below, -value).otherwise(value)
+    def value(t: Column) -> Column:
+        number = F.try_to_number(F.regexp_replace(F.regexp_extract(t, AFFIN_MONEY, 1), ",", ""), F.lit("9999999999999999.99")).cast("double")
+        below = (F.startswith(t, F.lit("(")) & F.contains(t, F.lit(")"))) | (F.regexp_extract(t, AFFIN_MONEY, 2) == "-")
+        return with_(number, lambda n: F.when(below, -n).otherwise(n))
+
+    def read(t: Column) -> Column:
+        bare = F.btrim(t, F.lit(".,;:|"))
+        return with_(F.when(t.rlike(AFFIN_MONEY), t).when(bare.rlike(AFFIN_MONEY), bare), lambda m: F.when(m.isNotNull(), value(m)))
+
+    return F.when(F.contains(text, F.lit(".")), with_(F.translate(text, "Oo ", "00"), read))
 
 
 def affin(words: DataFrame) -> DataFrame:
@@ -203,8 +223,8 @@ def affin(words: DataFrame) -> DataFrame:
     all. A page without such a line has balances only. Rows that bring a balance forward and rows without amounts are none.
     """
     lines = visual_lines(words, AFFIN_TOLERANCE)
-    date = lambda w: day_of(w["text"], AFFIN_DATE)
-    lines = lines.withColumn("u", F.upper(joined(c("words")))).withColumn("day", first_of(F.slice("words", 1, AFFIN_DATE_WORDS), date))
+    date = lambda t: F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("-")), day_of(t, AFFIN_DATE))
+    lines = lines.withColumn("u", F.upper(joined(c("words")))).withColumn("day", first_of(F.slice("words", 1, AFFIN_DATE_WORDS), lambda w: date(w["text"])))
     up = lambda w: F.upper(w["text"])
     lines = lines.withColumn("hint", contains_any(c("u"), AFFIN_HEADER))
     centre = lambda test: first_of(c("words"), lambda w: F.when(test(up(w)), middle(w)))
@@ -214,22 +234,24 @@ def affin(words: DataFrame) -> DataFrame:
     whole = F.forall(F.array(*centres), lambda x: x.isNotNull() & (x != 0))
     row = F.row_number().over(_page())
     lines = lines.withColumn("columns", F.when((row <= AFFIN_HEADER_LINES) & c("hint") & whole, F.struct("line", *centres)))
-    lines = lines.withColumn("columns", F.min("columns").over(_page(None))).withColumn("tid", F.count("day").over(_page()))
     ends = c("hint") & c("day").isNull()
-    lines = lines.withColumn("over", F.max(ends).over(Window.partitionBy("file", "page", "tid").orderBy("line"))).where("tid > 0 AND NOT over")
+    upto = lambda test: F.max(F.when(test, c("line"))).over(_page())
+    lines = lines.withColumn("columns", F.min("columns").over(_whole_page())).withColumn("tid", F.count("day").over(_page()))
+    lines = lines.where("tid > 0").withColumn("over", F.coalesce(upto(ends) > upto(c("day").isNotNull()), F.lit(False))).where("NOT over")
     part = F.struct("line", "day", "u", "words")
     made = lines.groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"), F.first("columns").alias("m"))
     ordered = F.sort_array(F.transform(F.flatten(F.transform("p", lambda x: x["words"])), lambda w: F.struct(w["y0"].alias("y0"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["text"].alias("text"))))
     made = made.select("file", "page", "tid", F.expr("p[0].day").alias("dt"), F.expr("p[0].u").alias("head"), "m", ordered.alias("w"))
-    values = F.filter(F.transform("w", lambda w, i: F.struct(middle(w).alias("x"), i.alias("i"), affin_money(w["text"]).alias("v"))), lambda v: v["v"].isNotNull())
-    made = made.withColumn("v", F.sort_array(values)).where((F.size("v") > 0) & ~contains_any(c("head"), AFFIN_FORWARD))
+    made = made.where(~contains_any(c("head"), AFFIN_FORWARD)).withColumn("w", F.transform("w", lambda w, i: F.struct(middle(w).alias("x"), i.alias("i"), affin_money(w["text"]).alias("v"), w["text"].alias("text"))))
+    made = made.withColumn("v", F.sort_array(F.transform(F.filter("w", lambda w: w["v"].isNotNull()), lambda w: F.struct(w["x"].alias("x"), w["i"].alias("i"), w["v"].alias("v"))))).where(F.size("v") > 0)
     made = made.withColumn("v", F.transform("v", lambda v: F.struct(v["v"].alias("v"), nearest(v["x"], [c("m.debit"), c("m.credit"), c("m.balance")], AFFIN_REACH).alias("k"))))
     of = lambda k: F.filter("v", lambda v: v["k"] == k)
     total = lambda k: F.round(F.aggregate(of(k), F.lit(0.0), lambda a, v: a + F.abs(v["v"])), 2)
     balance = F.round(F.coalesce(last_(F.transform(of(2), lambda v: v["v"])), last_(c("v"))["v"]), 2)
-    bare = lambda w: F.btrim(w["text"], F.lit("|"))
-    said = F.filter("w", lambda w: (bare(w) != "") & affin_money(bare(w)).isNull() & ~day_of(bare(w), AFFIN_DATE).eqNullSafe(c("dt")))
-    text = spaced(F.array_join(F.transform(said, bare), " "))
+    bare = F.transform("w", lambda w: F.struct(F.btrim(w["text"], F.lit("|")).alias("text"), w["text"].alias("whole"), w["v"].alias("v")))
+    no_money = lambda w: F.when(w["text"] == w["whole"], w["v"].isNull()).otherwise(affin_money(w["text"]).isNull())
+    said = F.filter(bare, lambda w: (w["text"] != "") & no_money(w) & ~date(w["text"]).eqNullSafe(c("dt")))
+    text = spaced(F.array_join(F.transform(said, lambda w: w["text"]), " "))
     made = made.select("file", "page", "tid", "dt", text.alias("description"), total(0).alias("debit"), total(1).alias("credit"), balance.alias("balance"))
     return _numbered(made, "dt", "page", "tid").select(*ROWS)
 
