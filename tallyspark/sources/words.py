@@ -397,47 +397,53 @@ def rakyat(words: DataFrame) -> DataFrame:
     opening. Besides the common columns: ``code`` and ``opening``, the file's opening balance.
     """
     lines = visual_lines(words, RAKYAT_TOLERANCE, anchored=True).withColumn("t", joined(c("words")))
-    page = _page(None)
-    lines = lines.withColumn("header", F.min(F.when(c("t").rlike(RAKYAT_HEADER), c("y"))).over(page))
+    page = _whole_page()
+    lines = lines.withColumn("header", F.min(F.when(c("t").rlike(RAKYAT_HEADER), c("y"))).over(page)).where("header IS NOT NULL")
     lines = lines.withColumn("summary", F.min(F.when((c("y") >= c("header")) & c("t").rlike(RAKYAT_SUMMARY), c("y"))).over(page))
+    lines = lines.withColumn("body", F.expr("coalesce(page IS NOT NULL AND y > header + 5 AND (summary IS NULL OR y < summary - 2), false)"))
     is_money = lambda t: t.rlike(RAKYAT_MONEY)
     sums = F.transform(F.filter("words", lambda w: is_money(w["text"])), lambda w: amount(w["text"]))
-    four = lines.where("y >= summary").withColumn("v", sums).where(F.size("v") >= 4).groupBy("file", "page").agg(F.min(F.struct("line", "v"))["v"].alias("v"))
-    last = four.groupBy(c("file").alias("f_file")).agg(F.max(F.struct("page", "v"))["v"].alias("v"))
-    openings = last.select("f_file", c("v")[0].alias("opening"))
-
-    body = lines.where("y > header + 5 AND (summary IS NULL OR y < summary - 2)")
-    w = body.select("file", "page", "line", F.inline("words")).withColumn("kind", F.when(is_money(c("text")), "money").when(c("text").rlike(RAKYAT_DATE), "date").when(c("text").rlike(RAKYAT_CODE), "code").when(F.length("text") > 1, "text"))
-    reading = Window.partitionBy("file", "page").orderBy("line", "x0", "text").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda kind: F.min(F.when(c("kind") == kind, c("x0"))).over(reading)
-    w = w.withColumn("described", (c("kind") == "text") & F.coalesce((c("x0") > seen("date") + 20) | (c("x0") > seen("code") + 20), F.lit(False)))
-    across = Window.partitionBy("file", "page", "kind").orderBy("x0")
-    w = w.withColumn("starts", (c("kind") == "money") & F.coalesce(c("x0") - F.lag("x0").over(across) > RAKYAT_GAP, F.lit(True)))
-    least = lambda test: F.min(F.when(test, c("x0")))
-    at = w.groupBy("file", "page").agg(least(c("kind") == "date").alias("date"), least(c("kind") == "code").alias("code"), least(c("described")).alias("desc"), F.sort_array(F.collect_list(F.when(c("starts"), c("x0")))).alias("m"))
+    lines = lines.withColumn("four", F.when(c("y") >= c("summary"), with_(sums, lambda v: F.when(F.size(v) >= 4, v))))
+
+    # what a line's words are; a described one stands 20 points right of a day or a code that is read before it
+    kind = lambda t: F.when(is_money(t), "money").when(t.rlike(RAKYAT_DATE), "date").when(t.rlike(RAKYAT_CODE), "code").when(F.length(t) > 1, "text")
+    lines = lines.withColumn("kinds", F.when(c("body"), F.transform("words", lambda w: F.struct(kind(w["text"]).alias("kind"), w["x0"].alias("x0")))))
+    xs = lambda k: F.transform(F.filter("kinds", lambda w: w["kind"] == k), lambda w: w["x0"])
+    lines = lines.withColumns({"date_x": F.array_min(xs("date")), "code_x": F.array_min(xs("code")), "money_x": xs("money"), "text_x": xs("text")})
+    left = F.least(*(F.min(k).over(_page()) for k in ("date_x", "code_x"))) + 20
+    lines = lines.withColumn("left", left).withColumn("desc_x", F.array_min(F.filter("text_x", lambda x: x > c("left"))))
+    money = F.sort_array(F.flatten(F.collect_list("money_x").over(page)))
+    four = F.min(F.when(c("four").isNotNull(), F.struct("line", "four"))).over(page)["four"]
+    at = lines.select("file", "page", "line", "body", "words", four.alias("four"), *(F.min(f"{k}_x").over(page).alias(k) for k in ("date", "code", "desc")), money.alias("m"))
+    # a page's first line, which is never in its body, goes on as the bearer of its four amounts
+    at = at.where("body OR (line = 1 AND four IS NOT NULL)").withColumn("m", F.filter("m", lambda x, i: (i == 0) | (x - F.get("m", i - 1) > RAKYAT_GAP)))
     n = F.size("m")
     debit = F.when(n >= 3, F.get("m", n - 3)).when(n == 2, F.get("m", F.lit(0))).otherwise(330.0)
     balance = F.when(n >= 2, F.get("m", n - 1)).otherwise(510.0)
     credit = F.when(n >= 3, F.get("m", n - 2)).when(n == 2, debit + (balance - debit) * 0.55).otherwise(330.0)
-    at = at.select(c("file").alias("a_file"), c("page").alias("a_page"), F.coalesce("date", F.lit(0.0)).alias("date"), "code", "desc", debit.alias("debit"), credit.alias("credit"), balance.alias("balance"), n.alias("n"))
+    at = at.select("file", "page", "line", "body", "words", F.when(~c("body"), c("four")).alias("four"), F.coalesce("date", F.lit(0.0)).alias("date"), "code", "desc", debit.alias("debit"), credit.alias("credit"), balance.alias("balance"), n.alias("n"))
     at = at.withColumn("code", F.coalesce("code", "desc", c("date") + 70)).withColumn("desc", F.coalesce("desc", c("code") + 40))
     edges = {"date": (c("date") - 8, c("code") - 2), "code": (c("code") - 2, c("desc") - 2), "desc": (c("desc") - 2, c("debit") - 5), "debit": (c("debit") - 5, c("credit") - 5), "credit": (c("credit") - 5, c("balance") - 5), "balance": (c("balance") - 5, F.lit(9999.0))}
     boxes = F.struct(*(F.struct(F.when(c("n") > 0, lo).otherwise(float(RAKYAT_COLUMNS[k][0])).alias("lo"), F.when(c("n") > 0, hi).otherwise(float(RAKYAT_COLUMNS[k][1])).alias("hi")).alias(k) for k, (lo, hi) in edges.items()))
-    body = body.join(at.select("a_file", "a_page", boxes.alias("box")), c("file").eqNullSafe(c("a_file")) & (c("page") == c("a_page")))
+    body = at.select("file", "page", "line", "body", "words", "four", boxes.alias("box"))
     said = lambda k: joined(inside(c("words"), c(f"box.{k}.lo"), c(f"box.{k}.hi"), lambda x: x["x0"]))
-    value = lambda k: F.when(is_money(said(k)), amount(said(k)))
-    word = lambda k: F.when(~is_money(said(k)), F.nullif(said(k), F.lit("")))
-    body = body.select("file", "page", "line", F.when(said("date").rlike(RAKYAT_DATE), day_of(said("date"), r"^(\d{2})/(\d{2})/(\d{4})$")).alias("day"), word("code").alias("code"), word("desc").alias("text"), value("debit").alias("debit"), value("credit").alias("credit"), value("balance").alias("balance"))
-    body = body.withColumn("tid", F.count("balance").over(_page())).where("tid > 0")
+    body = body.select("file", "page", "line", "body", "four", *(F.when(c("body"), said(k)).alias(k) for k in RAKYAT_COLUMNS))
+    value = lambda k: F.when(is_money(c(k)), amount(c(k)))
+    word = lambda k: F.when(~is_money(c(k)), F.nullif(c(k), F.lit("")))
+    body = body.select("file", "page", "line", "body", "four", F.when(c("date").rlike(RAKYAT_DATE), day_of(c("date"), r"^(\d{2})/(\d{2})/(\d{4})$")).alias("day"), word("code").alias("code"), word("desc").alias("text"), value("debit").alias("debit"), value("credit").alias("credit"), value("balance").alias("balance"))
+    body = body.withColumn("tid", F.count("balance").over(_page())).where("tid > 0 OR NOT body")
     part = F.struct("line", "day", "code", "text", "debit", "credit", "balance")
-    made = body.groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    made = body.groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"), F.first("four").alias("four"))
     some = lambda k: first_of(c("p"), lambda x: x[k])
     filled = lambda k: F.coalesce(first_of(c("p"), lambda x: F.nullif(x[k], F.lit(0.0))), F.lit(0.0))
-    made = made.select("file", "page", "tid", some("day").alias("dt"), F.coalesce(some("code"), F.lit("")).alias("code"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("description"), filled("debit").alias("debit"), filled("credit").alias("credit"), F.expr("p[0].balance").alias("balance")).where("dt IS NOT NULL")
+    made = made.select("file", "page", "tid", some("day").alias("dt"), F.coalesce(some("code"), F.lit("")).alias("code"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("description"), filled("debit").alias("debit"), filled("credit").alias("credit"), F.expr("p[0].balance").alias("balance"), "four").where("dt IS NOT NULL OR tid = 0")
+    # bearers have no day and so come first in their file, without a balance or a number
+    rows = Window.partitionBy("file").orderBy("dt", "page", "tid")
+    upto, whole = (rows.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, Window.unboundedFollowing))
+    made = made.select("*", F.count(F.when(c("tid") > 0, 1)).over(upto).cast("int").alias("seq"), F.lag("balance").over(rows).alias("before"), F.max(F.when(c("four").isNotNull(), F.struct("page", "four"))).over(whole)["four"].alias("v"))
     back = F.when(F.size("v") > 3, F.round(last_(c("v")) - c("v")[2] + c("v")[1], 2))
-    made = made.join(last.select("f_file", F.coalesce(c("v")[0], back).alias("opening")), c("file").eqNullSafe(c("f_file")), "left")
-    made = _numbered(made, "dt", "page", "tid")
-    move = F.round(c("balance") - F.coalesce(F.lag("balance").over(Window.partitionBy("file").orderBy("seq")), c("opening")), 2)
+    made = made.where("tid > 0").withColumn("opening", F.coalesce(c("v")[0], back)).withColumn("marker", F.lit(False))
+    move = F.round(c("balance") - F.coalesce("before", "opening"), 2)
     made = made.withColumn("move", F.when((c("debit") == 0) & (c("credit") == 0), move))
     made = made.withColumn("credit", F.greatest("credit", F.coalesce("move", F.lit(0.0)))).withColumn("debit", F.greatest("debit", F.coalesce(-c("move"), F.lit(0.0))))
     return made.select(*ROWS, "code", "opening")

@@ -28,3 +28,18 @@ def test_an_amount_is_read_once(spark):
     assert {r.t: r.v for r in got.collect()} == read
     assert plan(got).count("RLIKE") + plan(got).count("regexp_extract") <= 4
     assert plan(W.affin(spark.createDataFrame([("f", 1, 20.0, 100.0, 32.0, "a")], SCHEMA))).count("RLIKE") <= 8
+
+
+def test_rakyat_reads_words_once_and_joins_nothing(spark):
+    parsed = plan(W.rakyat(spark.createDataFrame([("f", 1, 20.0, 100.0, 32.0, "a")], SCHEMA)))
+    assert parsed.count("LogicalRDD") == 1 and "Join" not in parsed
+
+
+def test_rakyat_takes_an_opening_from_a_page_without_rows(spark):
+    page = lambda file, n, *lines: words(*(((file, n), x, y, t) for x, y, t in lines))
+    head, sums = (20, 10, "TARIKH DATE"), (20, 90, "OPENING BALANCE")
+    row = lambda y, day, text, balance: [(20, y, day), (100, y, "4321"), (150, y, text), (512, y, balance)]
+    made = page("a", 1, head, *row(40, "02/02/2024", "TWO", "80.00")) + page("a", 2, head, *row(40, "01/02/2024", "ONE", "90.00"), (300, 60, "7.00"), (400, 70, "8.00"))
+    made += page("a", 3, head, sums, (20, 100, "77.50 1.00 2.00 80.00")) + page("a", 4, (20, 90, "OPENING BALANCE"), (20, 100, "1.00 1.00 1.00 1.00")) + page("b", 1, head, *row(40, "01/02/2024", "ALONE", "5.00"))
+    rows = W.rakyat(spark.createDataFrame(made, SCHEMA)).orderBy("file", "seq").collect()
+    assert [(r.file, r.seq, r.page, r.description, r.debit, r.credit, r.balance, r.opening) for r in rows] == [("a", 1, 2, "ONE", 7.0, 8.0, 90.0, 77.5), ("a", 2, 1, "TWO", 10.0, 0.0, 80.0, 77.5), ("b", 1, 1, "ALONE", 0.0, 0.0, 5.0, None)]
