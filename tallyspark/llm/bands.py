@@ -178,9 +178,22 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
         pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
         return rep[pairs]
 
-    def tidy(held, columns):
-        """The held rows by group, size and row, each once."""
+    def shared(x, hot):
+        """The rows that do not stand alone in their group, or whose group was passed on before."""
+        group = group_of(x)
+        order = np.argsort(group)
+        same = group[order][1:] == group[order][:-1]
+        some = np.zeros(len(group), bool)
+        some[order] = np.r_[False, same] | np.r_[same, False]
+        if len(hot):
+            some |= np.isin(group, hot)
+        return {c: v[some] for c, v in x.items()}
+
+    def tidy(held, columns, hot=None):
+        """The held rows by group, size and row, each once; with ``hot``, groups passed on before, no others that stand alone."""
         x = {c: np.concatenate([h[c] for h in held]) for c in columns}
+        if hot is not None:
+            x = shared(x, hot)
         group = group_of(x)
         order = np.lexsort((x["rep"], x["key"], group))
         group, key, rep = group[order], x["key"][order], x["rep"][order]
@@ -240,7 +253,7 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
                     wait = max(hold, 2 * n)
             if not n:
                 return
-            x = tidy(held, columns)
+            x = tidy(held, columns, hot)
             held.clear()
             if splits:
                 over, hot = outgrown(x, hot)

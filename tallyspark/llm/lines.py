@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -248,18 +249,23 @@ def edit_distance(a: list, b: list, most: int | None = None) -> int:
     at: dict = {}
     for k, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << k
-    full, high, up, down, score = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
-    for left, w in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        eq = at.get(w, 0)
-        x = eq | down
-        d = ((((x & up) + up) ^ up) | x) & full
-        plus, minus = (down | ~(up | d)) & full, up & d
-        score += bool(plus & high) - bool(minus & high)
-        if most is not None and score - left > most:
-            return most + 1
-        plus = (plus << 1 | 1) & full
-        up, down = (minus << 1 | ~(plus | d)) & full, plus & d
-    return score
+    full, high, up, down, score, gap = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a), len(a) - len(b)
+    for k, w in enumerate(b, 1):
+        x = at.get(w, 0) | down
+        d = (((x & up) + up) ^ up) | x
+        plus, minus = down | ~(up | d), up & d
+        if plus & high:
+            score += 1
+        elif minus & high:
+            score -= 1
+        plus = plus << 1 | 1
+        up, down = (minus << 1 | ~(plus | d)) & full, plus & d & full
+        if most is not None and not k & 7 and k + gap > 0:
+            # distances never fall along the diagonal that ends in the last one; here is its one of ``k`` words of ``b``
+            upto = (1 << (k + gap)) - 1
+            if k + (up & upto).bit_count() - (down & upto).bit_count() > most:
+                return most + 1
+    return score if most is None else min(score, most + 1)
 
 
 def trimmed(a: list, b: list) -> tuple[list, list]:
@@ -279,7 +285,11 @@ def similar(a: list, b: list, least: float) -> bool:
     if abs(len(a) - len(b)) > most or len(set(a).difference(b)) > most:
         return False
     a, b = trimmed(a, b)
-    return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
+    if max(len(a), len(b)) <= most:
+        return True
+    here, there = Counter(a), Counter(b)
+    common = sum(min(n, there[w]) for w, n in here.items() if w in there)  # each word of the longer one beside these is an edit
+    return max(len(a), len(b)) - common <= most and edit_distance(a, b, most) <= most
 
 
 def line_texts(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -434,7 +444,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = joined.withColumn(text, F.when(F.col(parts).isNull(), F.col(f"`{text_col}`")).otherwise(left))
     kinds = dict(docs.dtypes)
     cols = [F.col(text).alias(c) if c == text_col else F.char_length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    added = [F.coalesce(F.regexp_count(f"`{text_col}`", F.lit("\n")) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_removed")]
+    added = [F.coalesce(F.octet_length(f"`{text_col}`") - F.octet_length(F.replace(F.col(f"`{text_col}`"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_removed")]
     return out.select(*cols, *(added if counts else []))
 
 
