@@ -197,7 +197,7 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
         group = group_of(x)
         order = np.lexsort((x["rep"], x["key"], group))
         group, key, rep = group[order], x["key"][order], x["rep"][order]
-        order = order[np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])]]
+        order = order[np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])][: len(order)]]
         return {c: v[order] for c, v in x.items()}
 
     def outgrown(x, before):
@@ -255,6 +255,8 @@ def bucket_links(rows: DataFrame, count: int, near: Callable, least: float, sket
                 return
             x = tidy(held, columns, hot)
             held.clear()
+            if not len(x["key"]):
+                return
             if splits:
                 over, hot = outgrown(x, hot)
                 yield from rows_out(x, over)
