@@ -1,4 +1,4 @@
-"""Operator 4: embedding near-duplicates by navigable small-world graphs, one per shard."""
+"""Operator 4: embedding near-duplicates by a navigable small-world graph that tells which vectors meet."""
 
 from __future__ import annotations
 
@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, local_forest, table
 
-#: Vectors of a shard at most (on average; shards are dealt by hash), and shards at least, for parallel builds.
-SHARD_ROWS, LEAST_SHARDS = 1 << 16, 6
+#: Vectors of a block at most (on average; blocks are dealt by hash), and tasks that vectors are dealt to at least.
+SHARD_ROWS, LEAST_SHARDS = 1 << 14, 6
+#: Vectors that one task asks the graph about, and bytes of a block's vectors at most.
+TASK_ROWS, BLOCK_BYTES = 4096, 16 << 20
+#: Rows of cells that are compared by one call, on average.
+BUCKET_ROWS = 1 << 15
+#: Routers of n vectors: so many times the square root of n.
+ROUTERS = 16
 #: Links of a node on upper layers and on the ground layer, beam width of building and first one of asking.
 LINKS, GROUND_LINKS, BUILD_BEAM, ASK_BEAM = 12, 24, 48, 48
 BATCH = 256
 #: Further links of a ground node to what would be cut off.
 BRIDGES = 4
-#: Queries of an audit, half of them planted, against every vector of the shard, and the share of true links they must find.
+#: Queries of a graph's audit, half of them planted, against every vector of it, and the share of true links they must find.
 AUDIT, RECALL = 128, 0.99
-#: Pairs of shards are dealt to so many tasks at most.
-MOST_TASKS = 20_000
+#: Vectors whose links all are looked for beside as many planted ones, and the share of either's links that must meet.
+PROBES, MEET = 512, 0.999
 
 
 class Graph:
@@ -235,6 +241,26 @@ class Graph:
                 rows, beam = rows[more], min(beam * 4, n)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
 
+    def nearest(self, q, width: int, whole: bool = False):
+        """Each query's ``width`` nearest vectors that a beam finds, nearest first, -1 where it finds no more."""
+        import numpy as np
+
+        n = len(self.v)
+        width, out = min(width, n), []
+        for s in range(0, len(q), BATCH):
+            part = np.ascontiguousarray(q[s : s + BATCH], dtype=np.float32)
+            if whole:
+                sims = part @ self.v.T
+                ids = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+                ids = np.take_along_axis(ids, np.argsort(-np.take_along_axis(sims, ids, 1), axis=1), 1)
+            else:
+                entry = np.zeros((len(part), 1), np.int64)
+                for k in range(len(self.sizes) - 1, 0, -1):
+                    entry = self.beam(k, part, entry, min(4, self.sizes[k]), self.sizes[k])[0]
+                ids = self.beam(0, part, entry, width, n)[0]
+            out.append(np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1).astype(np.int32))
+        return np.concatenate(out) if out else np.zeros((0, width), np.int32)
+
     def dump(self) -> bytes:
         import io
 
@@ -301,33 +327,62 @@ def widened(graph: Graph, vectors, queries, least: float, same: bool) -> tuple[i
         width *= 2
 
 
-def audited(graph: Graph, vectors, queries, least: float, same: bool = False):
-    """Pairs found by asking the graph with ``queries`` (both double) at the beam that its audit asks for."""
+def unit(rows):
+    """Lists of numbers as unit vectors in double precision."""
+    import numpy as np
+
+    v = np.array(rows.tolist(), dtype=np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def thinned(v, least: float):
+    """Vectors, in their order, of which none is linked to one before it that stays: a dense group keeps one of them."""
     import numpy as np
 
-    width, whole, _ = widened(graph, vectors, queries, least, same)
-    i, j = graph.ask(queries.astype(np.float32), width, least - 1e-5, whole)
-    for s in range(0, len(i), 1 << 18):
-        x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-        keep = np.einsum("ij,ij->i", queries[x], vectors[y]) >= least
-        yield x[keep], y[keep]
+    stays = np.zeros(len(v), bool)
+    for s in range(0, len(v), BATCH):
+        part = v[s : s + BATCH]
+        free = ~((part @ v[:s][stays[:s]].T) >= least).any(1)
+        own = np.tril(part @ part.T >= least, -1)
+        for k in np.flatnonzero(free):
+            stays[s + k] = not (own[k] & stays[s : s + len(part)]).any()
+    return v[stays]
 
 
-def both_ways(g, h, v, w, least: float):
-    """Pairs ``(row of v, row of w)`` that either shard's graph finds when asked about the other's vectors, each once."""
+def needed(a, b):
+    """How wide two beams must be to share a router, by row; above any width where they share none."""
     import numpy as np
 
-    found = [np.stack([x, y]) for x, y in audited(h, w, v, least)] + [np.stack([x, y]) for y, x in audited(g, v, w, least)]
-    return np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), int)
+    far = np.int64(1) << 30
+    both = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)
+    at = np.maximum(np.arange(a.shape[1])[:, None], np.arange(b.shape[1])[None, :]) + 1
+    return np.where(both, at, far).reshape(len(a), -1).min(1)
+
+
+def met(v, w, least: float, same: bool):
+    """Index pairs of rows of ``v`` and ``w`` at ``least`` or more, in chunks; with ``same`` each pair once."""
+    import numpy as np
+
+    for s in range(0, len(v), 512):
+        x, y = np.nonzero(v[s : s + 512] @ w.T >= least)
+        x += s
+        if same:
+            x, y = x[x < y], y[x < y]
+        for k in range(0, len(x), 1 << 15):
+            yield x[k : k + (1 << 15)], y[k : k + (1 << 15)]
 
 
 def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row.
 
-    Equal vectors meet first and count as one node with its copies. Nodes are dealt to shards by hash, a graph
-    is built per shard, and every shard is asked about every node: a pair of shards meets in one task, which asks each
-    one's graph about the other's nodes. Found pairs are verified in double precision; a task returns links per node and
-    a spanning forest.
+    Equal vectors meet first and count as one node with its copies. Some nodes, as many as a multiple of the square
+    root of their number and no two of them linked, are routers, over which a graph is built. Every node asks the graph for
+    its nearest routers, and nodes that share a router are compared. How many routers a node is given is the least number at which
+    all links of some nodes, and of as many planted vectors, share one; the beam widens until there is such a number. Only if
+    a beam of a quarter of the routers has none do all nodes meet all. A router's nodes are cut into blocks that are dealt by
+    hash, and each pair of blocks is a task's work. A pair is counted at the first router that it shares. Pairs too
+    near the threshold for single precision are verified in double; a task returns links per node and a spanning forest.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: ``n_links`` 0,
     own component, kept. Vectors of different lengths never link. Copies link with each other and with whatever
@@ -335,60 +390,18 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
     class's ``n_links`` and component (null if no row of it has an id) and are not kept. Other columns are
     ignored. An empty table gives an empty result.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fit = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = cut(rows.withColumn("fit", fit))
     nodes = rows.where("fit").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     nodes = cut(nodes.withColumn("node", F.xxhash64("v")))
-    sizes = nodes.groupBy(F.size("v").alias("dim")).count().collect()
-    shards = {r[0]: max(least_shards, -(-r[1] // shard_rows)) for r in sizes}
-    if not shards:
+    parts = [cut(_linked(nodes.where(F.size("v") == r[0]), r[0], r[1], least, shard_rows, least_shards)) for r in nodes.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()]
+    if not parts:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    of_dim = F.element_at(F.create_map(*(F.lit(x) for kv in shards.items() for x in kv)), F.size("v"))
-    dealt = nodes.select("node", "copies", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), of_dim).cast("int").alias("shard"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        v = np.array(pdf["v"].tolist(), dtype=np.float64)
-        v /= np.abs(v).max(1, keepdims=True)
-        v /= np.sqrt((v * v).sum(1, keepdims=True))
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [Graph(v).build().dump()]})
-
-    built = cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, nodes binary, copies binary, vectors binary, graph binary"))
-    most = max(shards.values())
-    asks = built.select("dim", F.col("shard").alias("i"), "nodes", "copies", "vectors", "graph", F.explode(F.expr(f"sequence(shard, {most - 1})")).alias("shard"))
-    told = built.select("dim", "shard", F.col("nodes").alias("o_nodes"), F.col("copies").alias("o_copies"), F.col("vectors").alias("o_vectors"), F.col("graph").alias("o_graph"))
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples():
-                v, o = (np.frombuffer(x, np.float64).reshape(-1, r.dim) for x in (r.vectors, r.o_vectors))
-                a, b = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.o_nodes, np.int64)
-                ca, cb = np.frombuffer(r.copies, np.int64), np.frombuffer(r.o_copies, np.int64)
-                same, n, m = r.i == r.shard, np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-
-                if same:  # a pair that either end found
-                    pairs = [np.sort(np.stack(p), axis=0) for p in audited(Graph.load(r.graph, v), v, v, least, True)]
-                    x, y = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), int)
-                    x, y = x[x < y], y[x < y]
-                    np.add.at(n, x, ca[y])
-                    np.add.at(n, y, ca[x])
-                    label, names, links = local_forest(len(a), [(x, y)]), a, n
-                else:
-                    x, y = both_ways(Graph.load(r.graph, v), Graph.load(r.o_graph, o), v, o, least)
-                    np.add.at(n, x, cb[y])
-                    np.add.at(m, y, ca[x])
-                    label, names, links = local_forest(len(a) + len(b), [(x, y + len(a))]), np.concatenate([a, b]), np.concatenate([n, m])
-                own = label != np.arange(len(names))
-                keep = own | (links > 0)
-                yield pd.DataFrame({"a": names[keep], "b": names[label[keep]], "n": links[keep]})
-
-    asked = asks.join(told, ["dim", "shard"]).repartition(min(sum(n * (n + 1) // 2 for n in shards.values()), MOST_TASKS))
-    links = cut(asked.mapInPandas(search, "a long, b long, n long"))
+    links = parts[0]
+    for part in parts[1:]:
+        links = links.unionByName(part)
     roots = components(links.where("a <> b").select("a", "b"))
     named = nodes.select("node", "rep", "copies").join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("component", "node"))
     first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -399,6 +412,158 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
 
 
+def _linked(nodes: DataFrame, dim: int, count: int, least: float, shard_rows: int, least_shards: int) -> DataFrame:
+    """``(a, b, n)`` of nodes of one length: ``n`` links of ``a`` found in a task, and ``b`` of its component there."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    spark, margin = nodes.sparkSession, 1e-6 + 2e-7 * dim
+    routers = max(1, min(count // 2, int(ROUTERS * math.sqrt(count))))
+    picked = nodes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(min(count, routers + PROBES))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(o=pdf["node"].map(lambda x: hash((x, 1)))).sort_values(["o", "node"])
+        v = unit(pdf["v"])
+        apart = slice(routers if len(v) > routers else 0, None)  # no router is a probe, which would find itself
+        probes = v[apart]
+        asked = np.concatenate([probes, planted(probes, PROBES, least)])
+        kept = thinned(v[:routers].astype(np.float32), least)
+        graph = Graph(kept).build()
+        beam, whole, _ = widened(graph, kept.astype(np.float64), probes, least, False)
+        return pd.DataFrame({"graph": [graph.dump()], "routers": [kept.tobytes()], "asked": [asked.tobytes()], "names": [pdf["node"].to_numpy(np.int64)[apart].tobytes()], "beam": [beam], "whole": [whole]})
+
+    built = picked.groupBy().applyInPandas(build, "graph binary, routers binary, asked binary, names binary, beam int, whole boolean").collect()[0].asDict()
+    sent = spark.sparkContext.broadcast({k: bytes(x) if isinstance(x, (bytes, bytearray)) else x for k, x in built.items()})
+    dealt = cut(nodes.select("node", "copies", "v").repartition(max(least_shards, -(-count // TASK_ROWS)), "node"))
+    size = len(built["routers"]) // (4 * dim)
+
+    floats = lambda column: np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
+
+    def route(width: int, whole: bool) -> DataFrame:
+        def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph = None
+            for pdf in pdfs:
+                graph = graph or Graph.load(sent.value["graph"], np.frombuffer(sent.value["routers"], np.float32).reshape(-1, dim))
+                v = unit(pdf["v"])
+                yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "u": [x.tobytes() for x in v.astype(np.float32)], "cells": [x.tobytes() for x in graph.nearest(v, width, whole)]})
+
+        return cut(dealt.mapInPandas(ask, "node long, copies long, u binary, cells binary"))
+
+    def widths(routed: DataFrame, width: int, whole: bool) -> tuple[int, bool]:
+        """The least number of routers at which the probes' links share one, and whether there is one."""
+
+        def probe(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = np.frombuffer(sent.value["asked"], np.float64).reshape(-1, dim).astype(np.float32)
+            names = np.frombuffer(sent.value["names"], np.int64)
+            cells = Graph.load(sent.value["graph"], np.frombuffer(sent.value["routers"], np.float32).reshape(-1, dim)).nearest(asked, width, whole)
+            for pdf in pdfs:
+                u, own = floats(pdf["u"]), np.frombuffer(b"".join(pdf["cells"]), np.int32).reshape(len(pdf), -1)
+                node = pdf["node"].to_numpy(np.int64)
+                for x, y in met(asked, u, least + margin, False):
+                    other = np.append(names, np.zeros(len(asked) - len(names), np.int64))[x] != node[y]
+                    x, y = x[other | (x >= len(names))], y[other | (x >= len(names))]
+                    for s in range(0, len(x), 1 << 12):
+                        i, j = x[s : s + (1 << 12)], y[s : s + (1 << 12)]
+                        yield pd.DataFrame({"planted": i >= len(names), "need": needed(cells[i], own[j])})
+
+        need = pd.DataFrame(routed.mapInPandas(probe, "planted boolean, need long").groupBy("planted", "need").count().collect(), columns=["planted", "need", "n"])
+        least_width = 1
+        for _, part in need.groupby("planted"):
+            part = part.sort_values("need")
+            share = part["n"].cumsum() / part["n"].sum()
+            least_width = max(least_width, int(part["need"][share >= MEET].iloc[0]))
+        return least_width, least_width <= width
+
+    width = built["beam"]
+    while True:
+        routed = route(min(width, size), built["whole"])
+        given, enough = widths(routed, width, built["whole"])
+        if enough or 4 * width >= size:
+            break
+        width *= 2
+    given = min(width, given + given // 2)  # what the probes need and half as many again, for links that they did not see
+    # where no beam is wide enough, all nodes meet in one cell
+    end = 2**31 - 1  # stands for no router, and behind all routers
+
+    def cells(pdf: pd.DataFrame):
+        own = np.frombuffer(b"".join(pdf["cells"]), np.int32).reshape(len(pdf), -1)[:, :given]
+        return np.sort(np.where(own < 0, end, own), axis=1) if enough else np.zeros((len(pdf), 1), np.int32)
+
+    def counts(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            cell, n = np.unique(cells(pdf), return_counts=True)
+            yield pd.DataFrame({"cell": cell, "n": n})
+
+    def file(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole_pdf in pdfs:
+            for s in range(0, len(whole_pdf), 1024):
+                pdf = whole_pdf[s : s + 1024]
+                own = cells(pdf)
+                pdf = pdf.assign(cells=[x.tobytes() for x in own])
+                pdf = pdf.loc[pdf.index.repeat(own.shape[1])].assign(cell=own.ravel())
+                yield pdf[pdf["cell"] < end]
+
+    filed = routed.mapInPandas(file, "node long, copies long, u binary, cells binary, cell int")
+    sizes = cut(routed.mapInPandas(counts, "cell int, n long").where(F.col("cell") < end).groupBy("cell").agg(F.sum("n").alias("n")))
+    block = max(1, min(shard_rows, BLOCK_BYTES // (4 * dim)))
+    large = {r[0]: -(-r[1] // block) for r in sizes.where(F.col("n") > block).collect()}
+    buckets = max(least_shards, sum(sizes.selectExpr(f"n * ceil(n / {block})").groupBy().sum().collect()[0]) // BUCKET_ROWS)
+    blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in large.items() for x in kv)), F.col("cell")), F.lit(1)) if large else F.lit(1)
+    filed = filed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    filed = filed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "i", "j", "own", "node"])
+        v, own = floats(pdf["u"]), np.frombuffer(b"".join(pdf["cells"]), np.int32).reshape(len(pdf), -1)
+        names, copies, n, unsure = pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), np.zeros(len(pdf), np.int64), []
+        at = pdf[["cell", "i", "j"]].to_numpy()
+        begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
+        second = pdf["own"].to_numpy() == at[:, 2]
+
+        def counted():
+            for s, e in zip(begin, np.append(begin[1:], len(at)), strict=True):
+                cell, same = at[s, 0], at[s, 1] == at[s, 2]
+                w = s if same else s + int((~second[s:e]).sum())
+                early = own[s:e, : max(1, int((own[s:e] < cell).sum(1).max()))]
+                early = np.where(early < cell, early, -1)
+                for x, y in met(v[s : e if same else w], v[w:e], least - margin, same):
+                    y = y + (w - s)
+                    # a pair counts at the first router that it shares
+                    first = (early[x, 0] < 0) | (early[y, 0] < 0)
+                    ask = np.flatnonzero(~first & (early[x, 0] != early[y, 0]))
+                    for k in range(0, len(ask), 1 << 12):
+                        k = ask[k : k + (1 << 12)]
+                        first[k] = needed(early[x[k]], early[y[k]]) > early.shape[1]
+                    x, y = x[first] + s, y[first] + s
+                    sure = np.einsum("ij,ij->i", v[x], v[y]) >= least + margin
+                    unsure.append((names[x[~sure]], names[y[~sure]]))
+                    x, y = x[sure], y[sure]
+                    np.add.at(n, x, copies[y])
+                    np.add.at(n, y, copies[x])
+                    yield x, y
+
+        label = local_forest(len(names), counted())
+        keep = n > 0
+        made = [pd.DataFrame({"a": names[keep], "b": names[label[keep]], "n": n[keep], "sure": True})]
+        made += [pd.DataFrame({"a": a, "b": b, "n": np.zeros(len(a), np.int64), "sure": False}) for a, b in unsure if len(a)]
+        return pd.concat(made)
+
+    bucket = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(int(buckets))).cast("int")
+    found = cut(filed.drop("other", "blocks").groupBy(bucket).applyInPandas(compare, "a long, b long, n long, sure boolean"))
+
+    def verify(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            if len(pdf):
+                pdf = pdf[(unit(pdf["va"]) * unit(pdf["vb"])).sum(1) >= least]
+                yield pd.DataFrame({"a": np.append(pdf["a"], pdf["b"]), "b": np.append(pdf["b"], pdf["a"]), "n": np.append(pdf["cb"], pdf["ca"])})
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("v").alias(f"v{x}"), F.col("copies").alias(f"c{x}"))
+    near = found.where("NOT sure").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return found.where("sure").select("a", "b", "n").unionByName(near.mapInPandas(verify, "a long, b long, n long"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
