@@ -114,39 +114,49 @@ def ambank(lines: DataFrame, default_year: int | None = None) -> DataFrame:
     rows above it on its page, and before a file's first row stands the opening balance of its first page. A row without a
     second amount takes the step. Rows are ordered by day and page. Without a statement date ``default_year`` is the year.
     """
-    rows = lines.select("file", c("page").cast("int").alias("page"), c("line").cast("int").alias("line"), spaced(c("text")).alias("t")).where("t <> ''").withColumn("u", F.upper("t"))
-    file = Window.partitionBy("file")
     money = lambda t: F.regexp_extract_all(t, F.lit(f"({AMBANK_MONEY})"), F.lit(1))
-    rows = rows.withColumn("m", money(c("t"))).withColumn("first", c("page") == F.min("page").over(file))
-    stamp = lambda p: F.min(F.when(c("first") & c("t").rlike(p), F.struct("line", F.regexp_extract("t", p, 1).alias("d")))).over(file)["d"]
-    rows = rows.withColumn("stamp", F.try_to_date(F.coalesce(stamp(AMBANK_RANGE), stamp(AMBANK_DAY)), "dd/MM/yyyy")).withColumn("nth", F.row_number().over(Window.partitionBy("file", "page").orderBy("line")))
-    label = F.min(F.when(c("first") & c("t").rlike(AMBANK_OPENING), c("nth"))).over(file)
-    away = c("nth") - label
-    rank = F.when(away == 0, 0).when(away.between(-AMBANK_NEAR, -1), -away).when(away.between(1, AMBANK_NEAR), away + AMBANK_NEAR)
-    opening = F.min(F.when(c("first") & rank.isNotNull() & (F.size("m") > 0), F.struct(rank.alias("r"), amount(last_(c("m"))).alias("v")))).over(file)["v"]
-    page = Window.partitionBy("file", "page").orderBy("line")
-    rows = rows.withColumn("opening", opening).withColumn("over", F.max(c("u").rlike(AMBANK_ENDS)).over(page)).where(~c("over"))
-    rows = rows.withColumn("total", c("t").rlike(AMBANK_TOTAL)).withColumn("forward", c("t").rlike(AMBANK_FORWARD) & ~c("total")).withColumn("noise", c("u").rlike(AMBANK_NOISE)).where(~c("noise"))
-    rows = rows.withColumn("forward", c("forward") & (F.count_if(c("forward") & (F.size("m") > 0)).over(page) <= 1)).withColumn("brought", F.when(c("forward"), amount(last_(c("m")))))
-    year = F.coalesce(F.year("stamp"), F.lit(default_year)).cast("string")
-    rows = rows.withColumn("starts", ~c("forward") & ~c("total") & c("t").rlike(AMBANK_START)).withColumn("dt", F.when(c("starts"), F.try_to_date(F.concat_ws(" ", F.lpad(F.regexp_extract("t", AMBANK_START, 1), 2, "0"), F.initcap(F.regexp_extract("t", AMBANK_START, 2)), year), "dd MMM yyyy")))
-    rows = rows.withColumn("tid", F.count_if("starts").over(page)).withColumn("gid", F.count_if(c("starts") | c("total")).over(page))
-    rows = rows.withColumn("open", c("gid") == F.last(F.when(c("starts"), F.when(c("dt").isNotNull(), c("gid")).otherwise(-1)), ignorenulls=True).over(page))
-    rows = rows.withColumn("top", F.min(F.when(c("brought").isNotNull(), F.struct("line", "brought"))).over(Window.partitionBy("file", "page"))["brought"])
+    # lines are followed page by page and only their rows file by file, as a file's lines may be more than a task holds
+    rows = lines.select("file", c("page").cast("int").alias("page"), c("line").cast("int").alias("line"), spaced(c("text")).alias("t")).where("t <> ''")
+    page, whole = Window.partitionBy("file", "page").orderBy("line"), Window.partitionBy("file", "page")
+    rows = rows.withColumn("nth", F.row_number().over(page)).withColumn("over", F.max(F.upper("t").rlike(AMBANK_ENDS)).over(page))
+    rows = rows.withColumn("away", c("nth") - F.min(F.when(c("t").rlike(AMBANK_OPENING), c("nth"))).over(whole)).withColumn("out", c("over") | F.upper("t").rlike(AMBANK_NOISE))
+    rows = rows.withColumn("total", ~c("out") & c("t").rlike(AMBANK_TOTAL)).withColumn("forward", ~c("out") & ~c("total") & c("t").rlike(AMBANK_FORWARD))
+    rows = rows.withColumn("forward", c("forward") & (F.count_if(c("forward") & c("t").rlike(AMBANK_MONEY)).over(page) <= 1))
+    rows = rows.withColumn("starts", ~c("out") & ~c("forward") & ~c("total") & c("t").rlike(AMBANK_START)).withColumn("gid", F.count_if(c("starts") | c("total")).over(page))
+    rows = rows.withColumn("tid", F.count_if("starts").over(page)).withColumn("open", c("gid") == F.last(F.when(c("starts"), c("gid")), ignorenulls=True).over(page))
+    brought = F.when(c("forward"), amount(last_(money(c("t")))))
+    rows = rows.withColumn("brought", brought).withColumn("top", F.min(F.when(c("brought").isNotNull(), F.struct("line", "brought"))).over(whole)["brought"])
     body = F.when(c("starts"), F.regexp_extract("t", AMBANK_START, 3)).otherwise(c("t"))
-    part = F.struct("line", "dt", F.nullif(body, F.lit("")).alias("b"))
-    made = rows.where(c("open") & ~c("forward") & ~c("total")).groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"), F.first("top").alias("top"), F.first("opening").alias("opening"))
-    made = made.select("file", "page", F.expr("p[0].line").alias("line"), F.expr("p[0].dt").alias("dt"), F.array_join(F.transform("p", lambda x: x["b"]), " ").alias("t"), "top", "opening", F.lit(False).alias("marker"))
-    made = made.withColumn("m", money(c("t"))).where("size(m) > 0").withColumn("balance", amount(last_(c("m")))).withColumn("amt", F.when(F.size("m") > 1, amount(F.get("m", F.size("m") - 2))))
+    part = F.when(c("open") & ~c("forward") & ~c("total") & ~c("out"), F.struct("line", F.nullif(body, F.lit("")).alias("b")))
+    day = F.max(F.when(c("starts"), F.concat_ws(" ", F.lpad(F.regexp_extract("t", AMBANK_START, 1), 2, "0"), F.initcap(F.regexp_extract("t", AMBANK_START, 2)))))
+    stamp = lambda p: F.min(F.when(c("page").isNotNull() & c("t").rlike(p), F.struct("page", "line", F.regexp_extract("t", p, 1).alias("v"))))
+    rank = F.when(c("away") == 0, 0).when(c("away").between(-AMBANK_NEAR, -1), -c("away")).when(c("away").between(1, AMBANK_NEAR), c("away") + AMBANK_NEAR)
+    opening = F.min(F.when(c("page").isNotNull() & rank.isNotNull() & c("t").rlike(AMBANK_MONEY), F.struct("page", rank.alias("r"), amount(last_(money(c("t")))).alias("v"))))
+    mark = F.min(F.when(c("brought").isNotNull(), F.struct("line", "brought")))
+    made = rows.groupBy("file", "page", "tid").agg(F.sort_array(F.collect_list(part)).alias("p"), day.alias("day"), mark.alias("mark"), F.first("top").alias("top"), stamp(AMBANK_RANGE).alias("range"), stamp(AMBANK_DAY).alias("stamp"), opening.alias("opening"))
+    made = made.withColumn("t", F.array_join(F.transform("p", lambda x: x["b"]), " ")).withColumn("m", money(c("t")))
+    made = made.withColumn("balance", amount(last_(c("m")))).withColumn("shown", F.when(F.size("m") > 1, F.get("m", F.size("m") - 2)))
     # one occurrence each of balance, a side behind it, and amount goes
     drop = lambda t, token: F.when(token.isNull() | (F.instr(t, token) == 0), t).otherwise(F.concat(F.substring(t, F.lit(1), F.instr(t, token) - 1), F.substring(t, F.instr(t, token) + F.length(token), F.length(t))))
-    text = drop(c("t"), last_(c("m")))
-    text = F.regexp_replace(text, r"(?i)^(.*?)\b(?:DR|CR)\b", "$1")
-    made = made.withColumn("text", text).withColumn("text", spaced(drop(c("text"), F.when(F.size("m") > 1, F.get("m", F.size("m") - 2)))))
-    made = made.withColumn("description", F.coalesce(F.nullif("text", F.lit("")), F.lit(AMBANK_NOTHING)))
-    marks = rows.where("brought IS NOT NULL").select("file", "page", "line", F.coalesce(F.trunc("stamp", "month"), F.try_to_date(F.concat(year, F.lit("-01-01")), "yyyy-MM-dd")).alias("dt"), F.lit(AMBANK_MARKER).alias("description"), c("brought").alias("balance"), F.lit(None).cast("double").alias("amt"), "top", "opening", F.lit(True).alias("marker"))
-    every = made.select("file", "page", "line", "dt", "description", "balance", "amt", "top", "opening", "marker").unionByName(marks)
-    before = F.coalesce(F.lag("balance").over(Window.partitionBy("file", "page").orderBy("line")), "top", F.lag("balance").over(Window.partitionBy("file").orderBy("page", "line")), "opening")
+    made = made.withColumn("text", F.regexp_replace(drop(c("t"), last_(c("m"))), r"(?i)^(.*?)\b(?:DR|CR)\b", "$1"))
+    made = made.withColumn("description", F.coalesce(F.nullif(spaced(drop(c("text"), c("shown"))), F.lit("")), F.lit(AMBANK_NOTHING)))
+    row = F.when(F.size("m") > 0, F.struct(F.get("p", F.lit(0))["line"].alias("line"), "day", "description", "balance", amount(c("shown")).alias("amt"), F.lit(False).alias("marker")))
+    none = lambda kind: F.lit(None).cast(kind)
+    marked = F.when(c("mark").isNotNull(), F.struct(c("mark.line").alias("line"), none("string").alias("day"), F.lit(AMBANK_MARKER).alias("description"), c("mark.brought").alias("balance"), none("double").alias("amt"), F.lit(True).alias("marker")))
+    # a page that gives no row is there for the file's first page and for what it prints
+    every = made.select("file", "page", "top", "range", "stamp", "opening", F.explode_outer(F.array_compact(F.array(row, marked))).alias("x")).select("file", "page", "top", "range", "stamp", "opening", "x.*")
+    file = Window.partitionBy("file")
+    every = every.withColumn("head", F.min("page").over(file))
+    for n in ("range", "stamp", "opening"):
+        every = every.withColumn(n, F.min(n).over(file))
+    for n in ("range", "stamp", "opening"):
+        every = every.withColumn(n, F.when(c(f"{n}.page") == c("head"), c(f"{n}.v")))
+    every = every.withColumn("stamp", F.try_to_date(F.coalesce("range", "stamp"), "dd/MM/yyyy"))
+    year = F.coalesce(F.year("stamp"), F.lit(default_year)).cast("string")
+    begun = F.coalesce(F.trunc("stamp", "month"), F.try_to_date(F.concat(year, F.lit("-01-01")), "yyyy-MM-dd"))
+    every = every.withColumn("dt", F.when(c("marker"), begun).otherwise(F.try_to_date(F.concat_ws(" ", "day", year), "dd MMM yyyy"))).where(c("marker") | (~c("marker") & c("dt").isNotNull()))
+    every = every.select("file", "page", "line", "dt", "description", "balance", "amt", "top", "opening", "marker")
+    before = F.coalesce(F.lag("balance").over(page), "top", F.lag("balance").over(Window.partitionBy("file").orderBy("page", "line")), "opening")
     every = every.withColumn("step", F.round(c("balance") - before, 2)).withColumn("side", F.when(c("amt").isNotNull(), _side(c("description"))))
     step = lambda sign: F.greatest(sign * c("step"), F.lit(0.0))
     credit = F.when(c("marker"), 0.0).when(c("side") == "CR", F.abs("amt")).when(c("side") == "DR", 0.0).otherwise(F.coalesce(step(1), F.lit(0.0)))
